@@ -7,6 +7,7 @@ them gets that document's result. A null doc_id sorts before every other id.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def blocks(batches, most: int) -> Iterator[tuple[list, ...]]:
+    """Column lists of consecutive rows, the last column text: about ``most`` characters a block, one row at least."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        start = size = 0
+        for i, text in enumerate(columns[-1]):
+            if size and size + len(text) > most:
+                yield tuple(c[start:i] for c in columns)
+                start, size = i, 0
+            size += len(text) + 1
+        if start < batch.num_rows:
+            yield tuple(c[start:] for c in columns)
+
+
 class WordTable:
     """Numbers the distinct words that a task has met; what is derived from a word is computed once for each number.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import langid, line_dedup, packing, quality
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_language_id": langid.op3_language_id,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES = {
