@@ -42,9 +42,8 @@ def tokens_of(path: str):
     tokenizer.encode_special_tokens = True
 
     def derive(words: list[bytes]) -> list[np.ndarray]:
-        held = np.empty(len(words), object)
-        held[:] = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        return [held]
+        found = tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.fromiter((np.array(e.ids, np.uint32) for e in found), object, len(words))]
 
     words = WordTable(derive, limit=250_000)
     end = np.zeros(1, np.uint32)

@@ -3,11 +3,11 @@
 For each text a public subword vocabulary with byte fallback gives characters per token, the share of tokens that are
 fallback bytes, and the entropy of its tokens over the most that so many tokens can have. Robust bands (median and
 median absolute deviation over all documents that pass the base rules) are kept for each language and, for documents
-without a usable language, for each script; a text outside its band in any measure is rejected.
+without a usable language, for each script, by length class; a text outside its band in any measure is rejected.
 
-Defined cases: a null or blank text has no words and fails the base rules; a null lang goes by script; a language of
-fewer than ``min_docs`` documents goes by script, a script of fewer keeps all; repeated rows are judged alike; an empty
-table gives an empty result. Words are cut at the six ASCII white-space characters and encoded one by one, so a
+Defined cases: a null or blank text has no words and fails the base rules; a null lang goes by script; a language with
+fewer than ``min_docs`` documents of a length goes by script, a script with fewer keeps all; repeated rows are judged
+alike; an empty table gives an empty result. Words are cut at the six ASCII white-space characters and encoded one by one, so a
 task holds one block of texts and a bounded table of words, however long the texts are.
 """
 
@@ -32,7 +32,7 @@ SCRIPT_NAMES = ["latin", "greek", "cyrillic", "other", "hebrew", "arabic", "othe
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 #: The least half-width of a band in each measure: bands of a very even language must not reject ordinary texts.
-LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.02, "entropy": 0.06}
+LEAST_WIDTH = {"chars_per_token": 0.08, "byte_share": 0.02, "entropy": 0.02}
 
 SCHEMA = (
     "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -83,8 +83,7 @@ def measurer(path: str):
             owner = np.repeat(np.arange(len(tokens)), sizes)
             points = np.fromiter((ord(next((c for c in t if c.isalpha()), "\x00")) for t in texts), np.int64, len(texts))
             script = np.where(points == 0, -1, np.searchsorted(SCRIPT_STARTS, points, "right") - 1)
-            held = np.empty(len(tokens), object)
-            held[:] = np.split(flat, np.cumsum(sizes)[:-1])
+            held = np.fromiter(np.split(flat, np.cumsum(sizes)[:-1]), object, len(tokens))
             return [sizes, np.bincount(owner, is_byte[flat], len(tokens)), script, held]
 
         words = WordTable(derive, limit=250_000)
@@ -127,34 +126,31 @@ def quality_features(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
     """One row a document, without a shuffle: the base counts and the three fertility measures."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.mapInArrow(measurer(vocabulary_path(vocabulary)), SCHEMA).withColumn("base_failed", base_failed)
+    return docs.mapInArrow(measurer(vocabulary_path(vocabulary)), SCHEMA).withColumns({"base_failed": base_failed, "length_class": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
 
 
 def bands(features: DataFrame, key: str, width: float, min_docs: int, most: int) -> DataFrame:
-    """For each of the ``most`` most frequent values of key: the lower and upper bound of every measure."""
-    middle = features.filter(~F.col("base_failed") & F.col(key).isNotNull()).groupBy(F.col(key).alias("band_key")).agg(
+    """For the ``most`` most frequent pairs of key and length class: the lower and upper bound of every measure."""
+    middle = features.filter(~F.col("base_failed") & F.col(key).isNotNull()).groupBy(key, "length_class").agg(
         F.count("*").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES)
     )
     # half the distance between the quartiles is the median absolute deviation of an even distribution
     half = {m: F.greatest(width * 1.4826 * (F.col(m)[2] - F.col(m)[0]) / 2, F.lit(LEAST_WIDTH[m])) for m in MEASURES}
-    return (
-        middle.filter(F.col("n") >= min_docs)
-        .select("band_key", "n", *(F.struct((F.col(m)[1] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")).alias(m) for m in MEASURES))
-        .orderBy(F.col("n").desc(), "band_key")
-        .limit(most)
-        .drop("n")
-    )
+    limits = F.struct(*(F.struct((F.col(m)[1] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")).alias(m) for m in MEASURES))
+    return middle.filter(F.col("n") >= min_docs).orderBy(F.col("n").desc(), key, "length_class").limit(most).select(key, "length_class", limits.alias(f"{key}_band"))
 
 
-def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width: float = 6.0, min_docs: int = 20, most_bands: int = 1000) -> DataFrame:
+def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width: float = 6.0, min_docs: int = 20, most_bands: int = 5000) -> DataFrame:
     """Per document the features, base_failed, kept, and the measures that rejected it.
 
-    The bands are at most ``most_bands`` rows for languages and one a script, so joining them by broadcast is bounded.
+    A band holds for texts of one language (or script) whose token counts have the same power of two, as short texts
+    scatter more. There are at most ``most_bands`` bands of either kind, so joining them by broadcast is bounded.
     """
     features = cut_lineage(quality_features(documents, vocabulary))
-    by_lang = bands(features, "lang", width, min_docs, most_bands).select(F.col("band_key").alias("lang"), F.struct(*MEASURES).alias("lang_band"))
-    by_script = bands(features, "script", width, min_docs, len(SCRIPT_NAMES)).select(F.col("band_key").alias("script"), F.struct(*MEASURES).alias("script_band"))
-    joined = features.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(by_script), "script", "left").withColumn("band", F.coalesce("lang_band", "script_band"))
+    joined = features
+    for key in ("lang", "script"):
+        joined = joined.join(F.broadcast(bands(features, key, width, min_docs, most_bands)), [key, "length_class"], "left")
+    joined = joined.withColumn("band", F.coalesce("lang_band", "script_band"))
     outside = [F.when(~F.col(m).between(F.col(f"band.{m}.low"), F.col(f"band.{m}.high")), F.lit(m)) for m in MEASURES]
     return joined.withColumn("rejected_by", F.array_compact(F.array(*outside))).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("lang_band", "script_band", "band")
 
