@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, packing, quality
+from . import langid, line_dedup, packing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_language_id": langid.op3_language_id,
+    "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
