@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, packing, quality, warc
+from . import langid, line_dedup, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES = {
