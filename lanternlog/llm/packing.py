@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, blocks, cut_lineage, table
-from .quality import vocabulary_path
+from .common import blocks, cut_lineage, table
+from .tokens import vocabulary_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
@@ -29,37 +29,6 @@ BIN = pa.schema([("fill", pa.int64()), ("pieces", pa.list_(PIECE))])
 BIN_SCHEMA = "fill long, pieces array<struct<doc_id:long, piece:int, start:long, length:long, ids_crc32:long>>"
 
 
-def tokens_of(path: str):
-    """A function from a block of texts to their ids, document by document, each ended by id 0.
-
-    White space ends every token of this vocabulary and is dropped, so a text's ids are its words' ids joined; every
-    distinct word is encoded once. Texts with characters that composition could join across a word's end don't exist,
-    as white space composes with nothing.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def derive(words: list[bytes]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.fromiter((np.array(e.ids, np.uint32) for e in found), object, len(words))]
-
-    words = WordTable(derive, limit=250_000)
-    end = np.zeros(1, np.uint32)
-
-    def run(texts) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        ids = words.numbers(split)
-        out, at = [], 0
-        for s in split:
-            out.append(np.concatenate([*words.values[0][ids[at : at + len(s)]], end]) if s else end)
-            at += len(s)
-        return out
-
-    return run
-
-
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best fit in falling order: each item goes to the fullest bin that still takes it. Returns the bins' items.
 
@@ -88,6 +57,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def piece_lists(lists: list[list[tuple]]) -> pa.ListArray:
+    columns = zip(*(p for x in lists for p in x), strict=True)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(PIECE)))
+
+
 def packed_rows(items: list[tuple[int, list]], capacity: int, most_items: int) -> Iterator[pa.RecordBatch]:
     """Bins of the items (fill, pieces); more than most_items are packed in blocks of that many."""
     for at in range(0, len(items), most_items):
@@ -95,17 +70,19 @@ def packed_rows(items: list[tuple[int, list]], capacity: int, most_items: int) -
         found = best_fit([x[0] for x in block], capacity)
         for lo in range(0, len(found), 5_000):
             rows = [(sum(block[i][0] for i in b), [p for i in b for p in block[i][1]]) for b in found[lo : lo + 5_000]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(PIECE))], schema=BIN)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), piece_lists([r[1] for r in rows])], schema=BIN)
 
 
 def first_round(path: str, capacity: int, most_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, items = tokens_of(path), []
+        encoder, items, end = word_encoder(path), [], np.zeros(1, "<u4")
         for doc_ids, texts in blocks(batches, 3_000_000):
-            for doc_id, ids in zip(doc_ids, tokens(texts), strict=True):
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    items.append((len(own), [{"doc_id": doc_id, "piece": k, "start": start, "length": len(own), "ids_crc32": crc32(own.astype("<u4").tobytes())}]))
+            joined, ends = encoder.encode(texts)
+            for doc_id, start, stop in zip(doc_ids, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                ids = np.concatenate([joined[start:stop], end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    items.append((len(own), [(doc_id, k, at, len(own), crc32(own.astype("<u4").tobytes()))]))
             if len(items) >= most_items:
                 yield from packed_rows(items, capacity, most_items)
                 items = []
@@ -118,7 +95,10 @@ def next_round(capacity: int, most_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list = []
         for batch in batches:
-            items += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            pieces = batch.column(1).flatten()
+            rows = list(zip(*(pieces.field(i).to_pylist() for i in range(len(PIECE))), strict=True))
+            bounds = batch.column(1).offsets.to_pylist()
+            items += [(fill, rows[a - bounds[0] : b - bounds[0]]) for fill, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:], strict=False)]
         yield from packed_rows(items, capacity, most_items)
 
     return run
