@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, packing, quality, secrets, toxicity, warc
+from . import decontaminate, langid, line_dedup, minhash, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
