@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, minhash, packing, quality, secrets, toxicity, warc
+from . import decontaminate, langid, line_dedup, minhash, packing, quality, secrets, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
