@@ -7,7 +7,9 @@ them gets that document's result. A null doc_id sorts before every other id.
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,19 +85,18 @@ class WordTable:
     It is emptied when it holds more than ``limit`` words, so its memory is bounded whatever the texts are.
     """
 
-    def __init__(self, derive, limit: int = 400_000):
+    def __init__(self, derive, limit: int = 250_000):
         self.derive, self.limit = derive, limit
-        self.ids: dict[bytes, int] = {}
+        self.ids: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.values: list[np.ndarray] = []
 
     def numbers(self, docs_words: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words, documents joined; also derives what new words need."""
         if len(self.ids) > self.limit:
-            self.ids, self.values = {}, []
-        ids, known = self.ids, len(self.ids)
-        out = np.fromiter((ids.setdefault(w, len(ids)) for ws in docs_words for w in ws), np.int64)
-        if len(ids) > known:
-            new = list(ids)[known:]
-            fresh = self.derive(new)
+            self.ids, self.values = defaultdict(count().__next__), []
+        known = len(self.ids)
+        out = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(docs_words)), np.int64, sum(map(len, docs_words)))
+        if len(self.ids) > known:
+            fresh = self.derive(list(islice(self.ids, known, None)))
             self.values = [np.concatenate([a, b]) for a, b in zip(self.values, fresh, strict=True)] if self.values else list(fresh)
         return out

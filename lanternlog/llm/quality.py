@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, WordTable, blocks, cut_lineage, table
+from .tokens import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: FIXED VALUES: the base rules of the contract.
@@ -35,17 +36,11 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 LEAST_WIDTH = {"chars_per_token": 0.08, "byte_share": 0.02, "entropy": 0.02}
 
 SCHEMA = (
-    "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, k1 long, k2 long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def repeat_words(ids: np.ndarray) -> int:
     """Words that lie in a three-word window found twice or more, the first time included."""
     if len(ids) < 4:
@@ -75,34 +70,37 @@ def measurer(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
-        def derive(words: list[bytes]) -> list[np.ndarray]:
-            texts = [w.decode() for w in words]
+        def derive(new: list[bytes]) -> list[np.ndarray]:
+            texts = [w.decode() for w in new]
             tokens = model.encode(texts, num_threads=1)
             flat = np.fromiter((x for t in tokens for x in t), np.int32)
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             owner = np.repeat(np.arange(len(tokens)), sizes)
             points = np.fromiter((ord(next((c for c in t if c.isalpha()), "\x00")) for t in texts), np.int64, len(texts))
             script = np.where(points == 0, -1, np.searchsorted(SCRIPT_STARTS, points, "right") - 1)
-            held = np.fromiter(np.split(flat, np.cumsum(sizes)[:-1]), object, len(tokens))
-            return [sizes, np.bincount(owner, is_byte[flat], len(tokens)), script, held]
+            kept = held[0] if words.values else np.zeros(0, np.int32)  # starts anew with the table
+            held[0] = np.concatenate([kept, flat])
+            return [sizes, np.bincount(owner, is_byte[flat], len(tokens)), script, len(kept) + np.cumsum(sizes) - sizes]
 
-        words = WordTable(derive, limit=250_000)
-        for doc_ids, langs, texts in blocks(batches, 3_000_000):
+        held = [np.zeros(0, np.int32)]
+        words = WordTable(derive)
+        for doc_ids, k1, k2, langs, texts in blocks(batches, 3_000_000):
             raw = [t.encode() for t in texts]
             split = [b.split() for b in raw]
             ids = words.numbers(split)
             ends = np.cumsum([len(s) for s in split])
             rows = []
-            for doc_id, lang, text, b, start, end in zip(doc_ids, langs, texts, raw, [0, *ends[:-1]], ends, strict=True):
+            for *own_keys, lang, text, b, start, end in zip(doc_ids, k1, k2, langs, texts, raw, [0, *ends[:-1]], ends, strict=True):
                 own = ids[start:end]
                 spaces = len(b) - len(b.translate(None, WORD_SPACE.encode()))
                 lines = [x for x in text.split("\n") if x.strip(WORD_SPACE)]
                 n_tokens, entropy, share, script = 0, 0.0, 0.0, -1
                 if len(own):
-                    sizes, n_bytes, scripts, held = (v[own] for v in words.values)
+                    sizes, n_bytes, scripts, starts = (v[own] for v in words.values)
                     n_tokens = int(sizes.sum())
+                    tokens = held[0][np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(n_tokens)]
                     share = float(n_bytes.sum() / n_tokens) if n_tokens else 0.0
-                    counts = np.bincount(np.concatenate(held)) if n_tokens else np.zeros(1, int)
+                    counts = np.bincount(tokens)
                     counts = counts[counts > 0]
                     if n_tokens > 1:
                         entropy = float(1 - (counts * np.log(counts)).sum() / n_tokens / np.log(n_tokens))
@@ -110,7 +108,7 @@ def measurer(path: str):
                     script = int(np.bincount(letters).argmax()) if len(letters) else -1
                 chars = len(text) - spaces
                 rows.append(
-                    (doc_id, lang, SCRIPT_NAMES[script] if script >= 0 else "none", len(own), chars, len(b) - len(b.translate(None, SYMBOLS)),
+                    (*own_keys, lang, SCRIPT_NAMES[script] if script >= 0 else "none", len(own), chars, len(b) - len(b.translate(None, SYMBOLS)),
                      len(lines) - len(set(lines)), repeat_words(own), n_tokens, chars / n_tokens if n_tokens else 0.0, share, entropy)
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
@@ -122,9 +120,15 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
 
+def row_key(lang) -> list:
+    """128 bits, never null, that name what a document's verdict depends on."""
+    return [F.xxhash64("doc_id", "text", lang).alias("k1"), F.xxhash64(F.lit("second"), "text", lang, "doc_id").alias("k2")]
+
+
 def quality_features(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a document, without a shuffle: the base counts and the three fertility measures."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    docs = documents.select(F.col("doc_id").cast("long"), *row_key(lang), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return docs.mapInArrow(measurer(vocabulary_path(vocabulary)), SCHEMA).withColumns({"base_failed": base_failed, "length_class": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
 
@@ -155,6 +159,13 @@ def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width:
     return joined.withColumn("rejected_by", F.array_compact(F.array(*outside))).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("lang_band", "script_band", "band")
 
 
+def kept_documents(documents: DataFrame, **settings) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    keep = quality_rules(documents, **settings).filter("kept").select("k1", "k2").distinct()
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.struct("*").alias("row"), *row_key(lang)).join(keep, ["k1", "k2"], "left_semi").select("row.*")
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "byte_share", "entropy"
