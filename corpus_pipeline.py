@@ -1,10 +1,72 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
+
+Every stage takes all that the one before it kept. All but the last return the columns of documents; n_chars follows
+the text. A stage's result is written as Parquet in the shared folder and read again, so a lost executor costs at most
+the stage that runs.
+
+Null and empty texts fail the quality rules and go in the first stage; repeated rows are judged alike and the third
+stage keeps one of them; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lanternlog.llm.common import shared_dir, table
+from lanternlog.llm.decontaminate import decontaminated
+from lanternlog.llm.line_dedup import line_dedup
+from lanternlog.llm.minhash import without_near_duplicates
+from lanternlog.llm.packing import pack
+from lanternlog.llm.quality import kept_documents
+
+#: The tokeniser, its bands and the exact packing have no counterpart in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return kept_documents(docs)
+
+
+def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated three-line windows. A document that loses all its lines goes."""
+    left = line_dedup(docs).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(docs.columns)
+
+
+def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of the smallest doc_id."""
+    return without_near_duplicates(docs)
+
+
+def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
