@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core
+from . import core, extraction  # noqa: F401  extraction registers its queries with core
 
 Query = Callable[[SparkSession, str], DataFrame]
 

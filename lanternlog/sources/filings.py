@@ -363,7 +363,7 @@ def index_levels(lines: DataFrame, header: str = "DATE,OPEN,HIGH,LOW,CLOSE") ->
     parts = F.split("line", ",")
     rows = lines.join(files.select("file_name"), "file_name", "left_semi").filter((F.trim("line") != header) & (F.size(parts) == 5))
     typed = rows.select(
-        F.upper(F.regexp_extract("file_name", r"([^/_.]+)[^/]*$", 1)).alias("index_code"), day(parts[0], "MM/dd/yyyy").alias("trade_date"), *(number(parts[i + 1], "decimal(14,4)").alias(c) for i, c in enumerate(("open", "high", "low", "close")))
+        F.upper(F.regexp_extract("file_name", r"([^/_.]+)[^/]*$", 1)).alias("index_code"), day(F.get(parts, 0), "MM/dd/yyyy").alias("trade_date"), *(number(F.get(parts, i + 1), "decimal(14,4)").alias(c) for i, c in enumerate(("open", "high", "low", "close")))
     )
     return typed.filter("trade_date IS NOT NULL AND close IS NOT NULL")
 
