@@ -726,3 +726,35 @@ def a05(spark, d):
 def k01(spark, d):
     levels = view(spark, d, "tb_volatility").filter("index_code = 'CLICK'")
     return radar.overview(view(spark, d, "tb_companies"), all_hits(spark, d), graph.interlocks(view(spark, d, "tb_roles")), levels).withColumn("latest_close", F.col("latest_close").cast("double"))
+
+
+# --- the scores' parts, each by itself ------------------------------------------------------------------------------
+
+
+def part(name: str, ctes: str, table: str, scores, *columns: str) -> None:
+    @query(name, f"WITH {ctes} SELECT company_id, {rounded(*columns)} FROM {table}")
+    def run(spark, d):
+        return scores(spark, d).select("company_id", *r6(*columns))
+
+
+part("s04_window_total", INS, "insider", insider, "window_total", "transactions", "priced")
+part("s06_size_vs_history", INS, "insider", insider, "size_vs_history")
+part("s07_breadth", INS, "insider", insider, "breadth")
+part("s08_persistence", INS, "insider", insider, "persistence")
+part("s09_discretion", INS, "insider", insider, "discretion")
+part("s11_insider_confidence", INS, "insider", insider, "confidence")
+part("s17_magnitude_vs_history", INST, "institution", institution, "magnitude_vs_history")
+part("s18_institution_breadth", INST, "institution", institution, "breadth")
+part("s19_consensus", INST, "institution", institution, "consensus")
+part("s20_new_money_share", INST, "institution", institution, "new_money_share")
+part("s23_rising_gate", SHORT, "short_interest", short_interest, "change_percent")
+part("s24_change_vs_history", SHORT, "short_interest", short_interest, "magnitude_vs_history", "baseline_z")
+part("s25_cover_vs_history", SHORT, "short_interest", short_interest, "days_to_cover_vs_history")
+part("s26_increase_run", SHORT, "short_interest", short_interest, "run")
+
+WEIGHTS_SQL = "UNION ALL ".join(f"SELECT company_id, '{n}' AS name, round({n}, 6) AS value, CAST({w} AS DOUBLE) AS weight FROM insider " for n, w in scoring.INSIDER_WEIGHTS.items())
+
+
+@query("s10_insider_components", f"WITH {INS} {WEIGHTS_SQL}")
+def s10(spark, d):
+    return insider(spark, d).select("company_id", F.explode("components").alias("c")).select("company_id", "c.name", F.round("c.value", 6).alias("value"), "c.weight")
