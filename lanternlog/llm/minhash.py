@@ -224,7 +224,7 @@ def linker(threshold: float):
                     mark[own] = 0
                     similar = common / (sizes[rest] + sizes[i] - common)
                     linked = rest[similar >= threshold].tolist()
-                    for j in rest[(similar < threshold) & (similar > threshold / 3) & (uneven[rest] | uneven[i])].tolist():
+                    for j in rest[(similar < threshold) & (similar > threshold / 5) & (uneven[rest] | uneven[i])].tolist():
                         a, b = (dict(zip(docs[k][0].tolist(), weights_of(docs[k][1]).tolist(), strict=True)) for k in (i, j))
                         if probability_jaccard(a, b) >= threshold:
                             linked.append(j)
