@@ -5,9 +5,9 @@ fallback bytes, and the entropy of its tokens over the most that so many tokens
 median absolute deviation over all documents that pass the base rules) are kept for each language and, for documents
 without a usable language, for each script, by length class; a text outside its band in any measure is rejected.
 
-Defined cases: a null or blank text has no words and fails the base rules; a null lang goes by script; a language with
-fewer than ``min_docs`` documents of a length goes by script, a script with fewer keeps all; repeated rows are judged
-alike; an empty table gives an empty result. Words are cut at the six ASCII white-space characters and encoded one by one, so a
+Defined cases: a null or blank text has no words and fails the base rules; a null lang, and a language
+with fewer than ``min_docs`` documents, goes by script; a script with fewer keeps all; repeated rows are judged alike;
+an empty table gives an empty result. Words are cut at the six ASCII white-space characters and encoded one by one, so a
 task holds one block of texts and a bounded table of words, however long the texts are.
 """
 
@@ -133,30 +133,34 @@ def quality_features(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
     return docs.mapInArrow(measurer(vocabulary_path(vocabulary)), SCHEMA).withColumns({"base_failed": base_failed, "length_class": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
 
 
-def bands(features: DataFrame, key: str, width: float, min_docs: int, most: int) -> DataFrame:
-    """For the ``most`` most frequent pairs of key and length class: the lower and upper bound of every measure."""
-    middle = features.filter(~F.col("base_failed") & F.col(key).isNotNull()).groupBy(key, "length_class").agg(
-        F.count("*").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES)
-    )
+def bands(features: DataFrame, keys: list[str], measures: tuple[str, ...], width: float, min_docs: int, most: int) -> DataFrame:
+    """For the ``most`` most frequent values of keys: the lower and upper bound of the measures; others have none."""
+    usable = features.filter(~F.col("base_failed")).dropna(subset=keys)
+    middle = usable.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in measures))
     # half the distance between the quartiles is the median absolute deviation of an even distribution
-    half = {m: F.greatest(width * 1.4826 * (F.col(m)[2] - F.col(m)[0]) / 2, F.lit(LEAST_WIDTH[m])) for m in MEASURES}
-    limits = F.struct(*(F.struct((F.col(m)[1] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")).alias(m) for m in MEASURES))
-    return middle.filter(F.col("n") >= min_docs).orderBy(F.col("n").desc(), key, "length_class").limit(most).select(key, "length_class", limits.alias(f"{key}_band"))
+    half = {m: F.greatest(width * 1.4826 * (F.col(m)[2] - F.col(m)[0]) / 2, F.lit(LEAST_WIDTH[m])) for m in measures}
+    none = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    limits = F.struct(*((F.struct((F.col(m)[1] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")) if m in measures else none).alias(m) for m in MEASURES))
+    return middle.filter(F.col("n") >= min_docs).orderBy(F.col("n").desc(), *keys).limit(most).select(*keys, limits.alias("_".join([*keys, "band"])))
 
 
 def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width: float = 6.0, min_docs: int = 20, most_bands: int = 5000) -> DataFrame:
     """Per document the features, base_failed, kept, and the measures that rejected it.
 
     A band holds for texts of one language (or script) whose token counts have the same power of two, as short texts
-    scatter more. There are at most ``most_bands`` bands of either kind, so joining them by broadcast is bounded.
+    scatter more. Where there are too few of a length, the language's band over all lengths holds, without the entropy,
+    which falls with length. There are at most ``most_bands`` bands of a kind, so joining them by broadcast is bounded.
     """
     features = cut_lineage(quality_features(documents, vocabulary))
+    kinds = [(["lang", "length_class"], MEASURES), (["script", "length_class"], MEASURES), (["lang"], MEASURES[:2]), (["script"], MEASURES[:2])]
     joined = features
-    for key in ("lang", "script"):
-        joined = joined.join(F.broadcast(bands(features, key, width, min_docs, most_bands)), [key, "length_class"], "left")
-    joined = joined.withColumn("band", F.coalesce("lang_band", "script_band"))
+    for keys, measures in kinds:
+        joined = joined.join(F.broadcast(bands(features, keys, measures, width, min_docs, most_bands)), keys, "left")
+    by_lang, by_script, all_lang, all_script = ("_".join([*keys, "band"]) for keys, _ in kinds)
+    joined = joined.withColumn("band", F.coalesce(by_lang, all_lang, by_script, all_script))
     outside = [F.when(~F.col(m).between(F.col(f"band.{m}.low"), F.col(f"band.{m}.high")), F.lit(m)) for m in MEASURES]
-    return joined.withColumn("rejected_by", F.array_compact(F.array(*outside))).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("lang_band", "script_band", "band")
+    kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
+    return joined.withColumn("rejected_by", F.array_compact(F.array(*outside))).withColumn("kept", kept).drop(by_lang, by_script, all_lang, all_script, "band")
 
 
 def kept_documents(documents: DataFrame, **settings) -> DataFrame:
