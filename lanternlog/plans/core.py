@@ -38,9 +38,9 @@ EVENT = ["event_id", "company_id", "person_id", "transaction_code", "event_time"
 EVENT_SQL = ", ".join(EVENT)
 
 
-@query("t01_as_of_public", f"SELECT {EVENT_SQL} FROM tb_form4 WHERE publication_time <= {D} AND company_id = 7 ORDER BY publication_time")
+@query("t01_as_of_public", f"SELECT {EVENT_SQL} FROM tb_form4 WHERE publication_time <= {D} ORDER BY publication_time")
 def t01(spark, d):
-    return asof.as_of_public(view(spark, d, "tb_form4"), AS_OF, entity=7).select(EVENT)
+    return asof.as_of_public(view(spark, d, "tb_form4"), AS_OF).select(EVENT)
 
 
 @query("t02_as_of_ingested", f"SELECT {EVENT_SQL} FROM tb_form4 WHERE retrieved_at <= {D} OR (retrieved_at IS NULL AND created_at <= {D})")
@@ -84,17 +84,17 @@ def q02(spark, d):
 
 @query(
     "q03_holdings",
-    f"SELECT company_id, canonical_name, institution_id, period_of_report, CAST(sum(shares) AS DOUBLE) AS shares FROM tb_13f_raw JOIN tb_companies ON company_id = entity_id WHERE period_of_report + 45 <= {D} AND institution_id = 3 GROUP BY ALL",
+    f"SELECT company_id, canonical_name, institution_id, period_of_report, CAST(sum(shares) AS DOUBLE) AS shares FROM tb_13f_raw JOIN tb_companies ON company_id = entity_id WHERE period_of_report + 45 <= {D} GROUP BY ALL",
 )
 def q03(spark, d):
     h = derive.quarter_holdings(view(spark, d, "tb_13f_raw")).withColumn("publication_time", F.date_add("period_of_report", 45))
-    out = asof.catalogue(h, [(names(spark, d), "company_id")], as_of=AS_OF, where={"institution_id": 3}, newest_first="publication_time")
+    out = asof.catalogue(h, [(names(spark, d), "company_id")], as_of=AS_OF, newest_first="publication_time")
     return out.select("company_id", "canonical_name", "institution_id", "period_of_report", F.col("shares").cast("double").alias("shares"))
 
 
-@query("q04_ownership", f"SELECT accession, filer_id, company_id, canonical_name, form_type, event_date FROM tb_ownership JOIN tb_companies ON company_id = entity_id WHERE publication_time <= {D} AND company_id = 7")
+@query("q04_ownership", f"SELECT accession, filer_id, company_id, canonical_name, form_type, event_date FROM tb_ownership JOIN tb_companies ON company_id = entity_id WHERE publication_time <= {D}")
 def q04(spark, d):
-    out = asof.catalogue(view(spark, d, "tb_ownership"), [(names(spark, d), "company_id")], as_of=AS_OF, where={"company_id": 7}, newest_first="publication_time")
+    out = asof.catalogue(view(spark, d, "tb_ownership"), [(names(spark, d), "company_id")], as_of=AS_OF, newest_first="publication_time")
     return out.select("accession", "filer_id", "company_id", "canonical_name", "form_type", "event_date")
 
 
@@ -168,9 +168,9 @@ def q11(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("q12_analyst_trends", "SELECT company_id, period, strong_buy, buy, hold, sell, strong_sell FROM tb_analyst WHERE company_id = 7")
+@query("q12_analyst_trends", "SELECT company_id, period, strong_buy, buy, hold, sell, strong_sell FROM tb_analyst")
 def q12(spark, d):
-    return asof.catalogue(view(spark, d, "tb_analyst"), [], where={"company_id": 7}, newest_first="period").select("company_id", "period", "strong_buy", "buy", "hold", "sell", "strong_sell")
+    return asof.catalogue(view(spark, d, "tb_analyst"), [], newest_first="period").select("company_id", "period", "strong_buy", "buy", "hold", "sell", "strong_sell")
 
 
 # --- event log -----------------------------------------------------------------------------------------------------
@@ -182,26 +182,27 @@ def raw_order():
     return [F.col(c) for c in RAW_ORDER.split(", ")[:-1]] + [F.col("price").asc_nulls_first()]
 
 
-@query("e17_idempotent_append", "SELECT concat('form4:', accession, '#', txn_index) AS raw_reference, company_id, person_id, CAST(shares AS DOUBLE) AS shares FROM tb_form4 WHERE NOT (accession % 3 = 0)")
+@query("e17_idempotent_append", "SELECT concat('form4:', accession, '#', txn_index) AS raw_reference, company_id, person_id, CAST(shares AS DOUBLE) AS shares FROM tb_form4 WHERE accession * 10 + txn_index NOT IN (SELECT accession * 10 + txn_index FROM tb_form4_raw WHERE publication_time < DATE '1996-01-01')")
 def e17(spark, d):
     raw = view(spark, d, "tb_form4_raw").withColumn("raw_reference", eventlog.natural_key("form4", "accession", "txn_index"))
-    known = raw.filter("accession % 3 = 0")
+    known = raw.filter("publication_time < DATE '1996-01-01'")
     return eventlog.new_rows(raw, known, ["raw_reference"], raw_order()).select("raw_reference", "company_id", "person_id", F.col("shares").cast("double").alias("shares"))
 
 
 @query(
     "e16_batch_summary",
-    "SELECT (SELECT count(*) FROM tb_form4_raw) AS seen, (SELECT count(*) FROM (SELECT DISTINCT accession, txn_index FROM tb_form4_raw WHERE price IS NOT NULL AND accession % 3 <> 0)) AS created, (SELECT count(*) FROM tb_form4_raw WHERE price IS NOT NULL) - (SELECT count(*) FROM (SELECT DISTINCT accession, txn_index FROM tb_form4_raw WHERE price IS NOT NULL AND accession % 3 <> 0)) AS duplicate, (SELECT count(*) FROM tb_form4_raw WHERE price IS NULL) AS error",
+    """WITH fresh AS (SELECT DISTINCT accession, txn_index FROM tb_form4_raw WHERE price IS NOT NULL AND accession * 10 + txn_index NOT IN (SELECT accession * 10 + txn_index FROM tb_form4_raw WHERE publication_time < DATE '1996-01-01'))
+SELECT (SELECT count(*) FROM tb_form4_raw) AS seen, (SELECT count(*) FROM fresh) AS created, (SELECT count(*) FROM tb_form4_raw WHERE price IS NOT NULL) - (SELECT count(*) FROM fresh) AS duplicate, (SELECT count(*) FROM tb_form4_raw WHERE price IS NULL) AS error""",
 )
 def e16(spark, d):
     raw = view(spark, d, "tb_form4_raw")
-    return eventlog.batch_summary(raw, raw.filter("accession % 3 = 0"), ["accession", "txn_index"], raw_order(), F.col("price").isNotNull())
+    return eventlog.batch_summary(raw, raw.filter("publication_time < DATE '1996-01-01'"), ["accession", "txn_index"], raw_order(), F.col("price").isNotNull())
 
 
-@query("e18_whole_filing", "SELECT institution_id, period_of_report, count(*) AS n FROM tb_13f_raw WHERE NOT (institution_id < 10 AND period_of_report < DATE '1996-01-01') GROUP BY 1, 2")
+@query("e18_whole_filing", "SELECT institution_id, period_of_report, count(*) AS n FROM tb_13f_raw WHERE NOT (period_of_report < DATE '1996-01-01') GROUP BY 1, 2")
 def e18(spark, d):
     raw = view(spark, d, "tb_13f_raw")
-    known = raw.filter("institution_id < 10 AND period_of_report < DATE '1996-01-01'").select("institution_id", "period_of_report").distinct()
+    known = raw.filter("period_of_report < DATE '1996-01-01'").select("institution_id", "period_of_report").distinct()
     return raw.join(known, ["institution_id", "period_of_report"], "left_anti").groupBy("institution_id", "period_of_report").agg(F.count("*").alias("n"))
 
 
@@ -276,10 +277,10 @@ def e14(spark, d):
 
 @query(
     "e15_role_backfill",
-    "SELECT person_id, company_id, coalesce(CASE WHEN company_id % 2 = 0 THEN NULL ELSE r.start_date END, f.first) AS start_date FROM tb_roles r LEFT JOIN (SELECT person_id, company_id, min(publication_time) AS first FROM tb_form4 GROUP BY 1, 2) f USING (person_id, company_id)",
+    "SELECT person_id, company_id, coalesce(CASE WHEN NOT r.is_officer THEN NULL ELSE r.start_date END, f.first) AS start_date FROM tb_roles r LEFT JOIN (SELECT person_id, company_id, min(publication_time) AS first FROM tb_form4 GROUP BY 1, 2) f USING (person_id, company_id)",
 )
 def e15(spark, d):
-    some = view(spark, d, "tb_roles").select("person_id", "company_id", F.when(F.col("company_id") % 2 != 0, F.col("start_date")).alias("start_date"))
+    some = view(spark, d, "tb_roles").select("person_id", "company_id", F.when(F.col("is_officer"), F.col("start_date")).alias("start_date"))
     return eventlog.backfill_start(some, view(spark, d, "tb_form4")).select("person_id", "company_id", "start_date")
 
 
@@ -330,11 +331,11 @@ def e06(spark, d):
     return resolve.control_persons(view(spark, d, "tb_control"), filings.HOME_COUNTRIES)
 
 
-@query("e07_person_by_cik", "SELECT person_id AS cik, CASE WHEN max(o) = 4 THEN 'PERSON' WHEN max(o) = 3 THEN 'INSTITUTION' WHEN max(o) = 2 THEN 'COMPANY' ELSE 'OTHER' END AS kind, count(DISTINCT o) AS n_kinds FROM (SELECT person_id, CASE transaction_code WHEN 'P' THEN 4 WHEN 'A' THEN 3 WHEN 'S' THEN 2 ELSE 1 END AS o FROM tb_form4 WHERE l_partkey % 50 = 0) GROUP BY 1")
+@query("e07_person_by_cik", "SELECT person_id AS cik, CASE WHEN max(o) = 4 THEN 'PERSON' WHEN max(o) = 3 THEN 'INSTITUTION' WHEN max(o) = 2 THEN 'COMPANY' ELSE 'OTHER' END AS kind, count(DISTINCT o) AS n_kinds FROM (SELECT person_id, CASE transaction_code WHEN 'P' THEN 4 WHEN 'A' THEN 3 WHEN 'S' THEN 2 ELSE 1 END AS o FROM tb_form4) GROUP BY 1")
 def e07(spark, d):
     code = F.col("transaction_code")
     kind = F.when(code == "P", "PERSON").when(code == "A", "INSTITUTION").when(code == "S", "COMPANY").otherwise("OTHER")
-    return resolve.person_kinds(view(spark, d, "tb_form4").filter("l_partkey % 50 = 0").select(F.col("person_id").alias("cik"), kind.alias("kind")))
+    return resolve.person_kinds(view(spark, d, "tb_form4").select(F.col("person_id").alias("cik"), kind.alias("kind")))
 
 
 @query("e08_filers", "SELECT filer_key, CASE WHEN max(p) = 1 THEN 'PERSON' ELSE 'OTHER' END AS kind, count(*) AS n_rows FROM (SELECT CASE WHEN filer_cik IS NOT NULL THEN concat('cik:', filer_cik) ELSE concat('name:', filer_id) END AS filer_key, CASE WHEN filer_cik IS NOT NULL AND type_code = 'IN' THEN 1 ELSE 0 END AS p FROM tb_ownership) GROUP BY 1")
@@ -354,10 +355,11 @@ def e12(spark, d):
     return resolve.valid_on(rows, view(spark, d, "tb_identifiers"), "event_time").select("event_id", "ticker", "company_id")
 
 
-@query("e13_worklist", "SELECT company_id AS cik, 0 AS part, company_id AS pos FROM tb_identifiers WHERE company_id % 7 = 0 UNION ALL SELECT company_id, 1, company_id FROM tb_identifiers WHERE company_id % 7 <> 0")
+@query("e13_worklist", "SELECT company_id AS cik, 0 AS part, company_id AS pos FROM tb_identifiers WHERE valid_from IS NULL UNION ALL SELECT company_id, 1, company_id FROM tb_identifiers WHERE valid_from IS NOT NULL")
 def e13(spark, d):
-    ids = view(spark, d, "tb_identifiers").select(F.col("company_id").alias("cik"))
-    return resolve.worklist(ids.filter("cik % 7 = 0").withColumn("pos", F.col("cik")), ids.union(ids))
+    rows = view(spark, d, "tb_identifiers").select(F.col("company_id").alias("cik"), F.col("company_id").alias("pos"), "valid_from")
+    ids = rows.select("cik")
+    return resolve.worklist(rows.filter("valid_from IS NULL").select("cik", "pos"), ids.union(ids))
 
 
 # --- derived facts -------------------------------------------------------------------------------------------------
@@ -710,10 +712,10 @@ def a03(spark, d):
     return alerts.label_hits(rules(spark), conv(spark, d)).select("name", "company_id", "summary")
 
 
-@query("a04_new_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite FROM hits WHERE company_id % 2 = 0")
+@query("a04_new_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite FROM hits WHERE composite IS NULL OR composite < 75")
 def a04(spark, d):
     hits = all_hits(spark, d)
-    known = hits.filter("company_id % 2 <> 0").select("name", "company_id", F.lit(AS_OF).alias("alert_date"))
+    known = hits.filter("composite >= 75").select("name", "company_id", F.lit(AS_OF).alias("alert_date"))
     return alerts.new_alerts(hits, known, AS_OF).select("name", "company_id", "alert_date", "composite")
 
 
