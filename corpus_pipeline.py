@@ -10,6 +10,7 @@ stage keeps one of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -21,16 +22,30 @@ from lanternlog.llm.line_dedup import line_dedup
 from lanternlog.llm.minhash import without_near_duplicates
 from lanternlog.llm.packing import pack
 from lanternlog.llm.quality import kept_documents
+from lanternlog.session import ship_package
 
 #: The tokeniser, its bands and the exact packing have no counterpart in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
+def stage(f):
+    """A stage makes sure that the workers can import the package before it builds its plan."""
+
+    @functools.wraps(f)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(docs.sparkSession)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return kept_documents(docs)
 
 
+@stage
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated three-line windows. A document that loses all its lines goes."""
     left = line_dedup(docs).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
@@ -39,16 +54,19 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(docs.columns)
 
 
+@stage
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest doc_id."""
     return without_near_duplicates(docs)
 
 
+@stage
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     return pack(docs)
@@ -66,7 +84,7 @@ STAGES = [
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, step in STAGES[:-1]:
+        step(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
