@@ -5,6 +5,7 @@ one symbol of every text, from its end to its start, and merges the new suffixes
 sequential pass (``CollectionIndex``). A corpus is too large, and its documents too long, for one such collection, so
 Spark first cuts it into collections that no repeated string crosses:
 
+0. Documents whose whole text an earlier one has are settled by a hash of the text.
 1. Every 50-byte string is keyed by the least hash of its 20-byte parts. Equal strings have equal keys, and
    neighbouring strings mostly share one, so a document is a row of runs with one key each.
 2. Keys go through one shuffle, a task's own repetitions combined first. Keys that two documents share come back.
@@ -31,14 +32,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, table
+from .common import blocks, cut_lineage, mix64, table
 from .minhash import grouped_rows, group_bounds
 
 LENGTH, PART = 50, 20
 FACTOR = np.uint64(0xD1342543DE82EF95)
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NO_ID = -(2**63)
-MOST_STARTS = 64  # of one run; longer ones, as of one word repeated, are cut
+BLOCK = 2_000_000  # characters at a time: hashing takes some sixty bytes of memory for each
+MOST_STARTS = 32  # of one run; longer ones, as of one word repeated, are cut
 
 
 def power(n: int) -> np.uint64:
@@ -47,12 +49,13 @@ def power(n: int) -> np.uint64:
 
 def string_keys(data: np.ndarray) -> np.ndarray:
     """For the LENGTH bytes from each place on: the least hash of their PART-byte parts. By doubling, in whole arrays."""
-    h1 = BYTE_CODES[data]
-    h2 = h1[:-1] * power(1) + h1[1:]
-    h4 = h2[:-2] * power(2) + h2[2:]
-    h8 = h4[:-4] * power(4) + h4[4:]
-    h16 = h8[:-8] * power(8) + h8[8:]
-    least = mix64(h16[:-4] * power(4) + h4[16:])
+    h = BYTE_CODES[data]
+    h = h[:-1] * power(1) + h[1:]  # of 2 bytes
+    four = h[:-2] * power(2) + h[2:]
+    h = four[:-4] * power(4) + four[4:]  # of 8
+    h = h[:-8] * power(8) + h[8:]  # of 16
+    least = mix64(h[:-4] * power(4) + four[16:])
+    del h, four
     span = 1
     while 2 * span <= LENGTH - PART + 1:
         least = np.minimum(least[:-span], least[span:])
@@ -110,47 +113,49 @@ class CollectionIndex:
         codes = (np.cumsum(used) * used)[data].astype(np.uint8)  # UTF-8 uses fewer than 255 bytes
         last = np.cumsum(sizes) - 1
         n = len(texts)
-        active = np.arange(n)
-        place = np.arange(n)  # of each active text's longest suffix so far
-        symbol = codes[last].copy()
-        text, length, common = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        active, place = np.arange(n), np.arange(n)  # texts that still grow, and the place of each one's longest suffix
+        # a position in one word: text, length of the suffix, common prefix with the position before, symbol
+        rows = np.arange(n, dtype=np.uint64) << np.uint64(24) | codes[last].astype(np.uint64)
         step = 0
         while len(active):
             step += 1
-            order = np.argsort(symbol, kind="stable")
-            grown = order[np.searchsorted(symbol[order], 1) :]
-            rank = np.empty(len(symbol), np.int64)
-            rank[grown] = np.arange(len(grown))
+            symbol, common = self._byte(rows, 0), self._byte(rows, 1)
+            grown = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
+            rank = np.empty(len(rows), np.int32)
+            rank[grown] = np.arange(len(grown), dtype=np.int32)
             new = n + rank[place]  # the n empty suffixes come first
             total = n + len(grown)
             is_new = np.zeros(total, bool)
             is_new[new] = True
             old = np.flatnonzero(~is_new)
-            before = np.where(sizes[active] > step, codes[np.maximum(last[active] - step, 0)], 0).astype(np.uint8)
-            changed = np.unique(np.concatenate([new, new[new + 1 < total] + 1]))
-            changed = changed[changed > n]
+            changed = is_new.copy()  # a new position, and the one that follows it
+            changed[1:] |= is_new[:-1]
+            changed[: n + 1] = False
+            changed = np.flatnonzero(changed)
             here, previous = grown[changed - n], grown[changed - n - 1]
-            same = symbol[here] == symbol[previous]
+            same = np.flatnonzero(symbol[here] == symbol[previous])
             shared = np.zeros(len(changed), np.uint8)
             # ranges in falling order of their starts, so that nothing between two of them is looked at
-            at = np.flatnonzero(same)[np.argsort(-previous[same], kind="stable")]
+            at = same[np.argsort(-previous[same])]
             if len(at):
                 bounds = np.stack([previous[at] + 1, here[at] + 1], axis=1).ravel()
                 shared[at] = 1 + np.minimum.reduceat(np.append(common, np.uint8(0)), bounds)[::2]
-            symbol, text, length, common = (self._merged(total, old, new, a, b) for a, b in ((symbol, before), (text, active), (length, step), (common, 0)))
-            common[changed] = shared
-            if total > n:
-                common[n] = 0
             going = sizes[active] > step
+            before = np.where(going, codes[np.maximum(last[active] - step, 0)], 0).astype(np.uint64)
+            merged = np.empty(total, np.uint64)
+            merged[old] = rows
+            merged[new] = active.astype(np.uint64) << np.uint64(24) | np.uint64(step << 16) | before
+            bytes_of = merged.view(np.uint8).reshape(-1, 8)
+            bytes_of[changed, 1] = shared
+            if total > n:
+                bytes_of[n, 1] = 0
+            rows = merged
             active, place = active[going], new[going]
-        self.text, self.length, self.common, self.symbol = text, length, common, symbol
+        self.text, self.length, self.common, self.symbol = (rows >> np.uint64(24)).astype(np.int64), self._byte(rows, 2), self._byte(rows, 1), self._byte(rows, 0)
 
     @staticmethod
-    def _merged(total: int, old: np.ndarray, new: np.ndarray, kept: np.ndarray, added) -> np.ndarray:
-        out = np.empty(total, kept.dtype)
-        out[old] = kept
-        out[new] = added
-        return out
+    def _byte(rows: np.ndarray, k: int) -> np.ndarray:
+        return np.ascontiguousarray(rows.astype("<u8", copy=False).view(np.uint8)[k::8])
 
 
 def least_owner(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
@@ -189,7 +194,7 @@ def key_sender(parts: int):
     """From (id, slot, text): each block's keys with the least id that has them, dealt by key, and the block's repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, slots, texts in blocks(batches, 6_000_000):
+        for ids, slots, texts in blocks(batches, BLOCK):
             keys, doc, _, _ = runs_of([t.encode() for t in texts])
             if not len(keys):
                 continue
@@ -242,12 +247,12 @@ def key_matcher(parts: int):
     return run
 
 
-def run_sender(parts: int, most_known: int = 150_000):
+def run_sender(parts: int, most_known: int = 100_000):
     """From (id, slot, keys of a document, text): its runs with those keys, dealt by key; copies are settled at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for ids, slots, wanted, texts in blocks(batches, 6_000_000):
+        for ids, slots, wanted, texts in blocks(batches, BLOCK):
             raw = [t.encode() for t in texts]
             keys, doc, start, count = runs_of(raw)
             bounds = np.searchsorted(doc, np.arange(len(raw) + 1))
@@ -271,7 +276,7 @@ def run_sender(parts: int, most_known: int = 150_000):
             for p, found in enumerate(out):
                 if found:
                     k, i, s, at, data = zip(*found, strict=True)
-                    arrays = (np.array(x, t).tobytes() for x, t in ((k, np.uint64), (i, np.int64), (s, np.int32), (at, np.int64), (list(map(len, data)), np.int64)))
+                    arrays = (np.array(x, t).tobytes() for x, t in ((k, np.uint64), (i, np.int64), (s, np.int32), (at, np.int32), (list(map(len, data)), np.uint8)))
                     rows.append((p, None, None, *arrays, b"".join(data)))
             if rows:
                 yield packed_batch(rows)
@@ -331,11 +336,11 @@ def run_settler(parts: int, most_pieces: int):
                 known = [(0, i, s, v) for i, s, v in zip(*(share.column(k).to_pylist() for k in (1, 2, 6)), strict=True) if i is not None]
                 dealt = share.filter(pa.compute.is_valid(share.column(8)))
                 if dealt.num_rows:
-                    columns = [np.frombuffer(b"".join(dealt.column(k).to_pylist()), t) for k, t in ((3, np.uint64), (4, np.int64), (5, np.int32), (6, np.int64), (7, np.int64))]
+                    columns = [np.frombuffer(b"".join(dealt.column(k).to_pylist()), t) for k, t in ((3, np.uint64), (4, np.int64), (5, np.int32), (6, np.int32), (7, np.uint8))]
                     data = b"".join(dealt.column(8).to_pylist())
-                    ends = np.cumsum(columns[4]).tolist()
+                    ends = np.cumsum(columns[4], dtype=np.int64).tolist()
                     texts = [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-                    ids, slots, begin, end = settled_runs(*columns[:4], texts, most_pieces)
+                    ids, slots, begin, end = settled_runs(*columns[:3], columns[3].astype(np.int64), texts, most_pieces)
                     if len(ids):
                         known += by_document(ids, slots, np.stack([begin, end], axis=1), parts)
                 for lo in range(0, len(known), 20_000):
@@ -350,13 +355,13 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, spans of a document, text): the maximal covered runs, and the other bytes joined."""
-    for ids, spans, texts in blocks(batches, 6_000_000):
+    """From (id, is_copy, spans of a document, text): the maximal covered runs, and the other bytes joined."""
+    for ids, copies, spans, texts in blocks(batches, BLOCK):
         rows = []
-        for i, own, text in zip(ids, spans, texts, strict=True):
+        for i, is_copy, own, text in zip(ids, copies, spans, texts, strict=True):
             data = text.encode()
-            merged: list[list[int]] = []
-            if own:
+            merged: list[list[int]] = [[0, len(data)]] if is_copy else []
+            if own and not is_copy:
                 pairs = np.unique(np.frombuffer(b"".join(own), np.int64).reshape(-1, 2), axis=0)
                 reach = np.maximum.accumulate(pairs[:, 1])
                 first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
@@ -371,19 +376,33 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def suffix_dedup(documents: DataFrame, *, most_pieces: int = 30_000) -> DataFrame:
-    """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left)."""
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(id, slot) of documents of LENGTH bytes or more whose whole text a document with a smaller id has too."""
+    slim = docs.filter(F.octet_length("text") >= LENGTH).select("id", "slot", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    first = slim.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    return slim.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "slot").distinct()
+
+
+def suffix_dedup(documents: DataFrame, *, most_pieces: int = 20_000) -> DataFrame:
+    """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left).
+
+    Whole copies lose everything and own nothing that the first copy doesn't, so they are settled by a hash of the text
+    and take no further part.
+    """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("slot"), text.alias("text"))
-    dealt = docs.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
+    copies = cut_lineage(whole_copies(docs))
+    own = docs.join(copies, ["id", "slot"], "left_anti")
+    dealt = own.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
     shared = dealt.mapInArrow(key_matcher(parts), "id long, slot int, keys binary")
     wanted = shared.groupBy("id", "slot").agg(F.collect_list("keys").alias("keys"))  # no more than a document's own runs
-    runs = docs.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
+    runs = own.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
     settled = runs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(run_settler(parts, most_pieces), "id long, slot int, spans binary")
     spans = settled.groupBy("id", "slot").agg(F.collect_list("spans").alias("spans"))
-    return docs.join(spans, ["id", "slot"], "left").select("id", "spans", "text").mapInArrow(removed, RESULT)
+    every = docs.join(spans, ["id", "slot"], "left").join(copies.withColumn("is_copy", F.lit(True)), ["id", "slot"], "left")
+    return every.select("id", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans", "text").mapInArrow(removed, RESULT)
 
 
 def op2_suffix_dedup(spark, sf_dir):
