@@ -61,7 +61,8 @@ def robust_z(values: Column, value: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
+    """x within 0 and 100; null stays null, which greatest() and least() would pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)))
 
 
 def composite(weights: dict[str, float]) -> Column:
