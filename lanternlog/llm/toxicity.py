@@ -67,15 +67,17 @@ def fitted(df: DataFrame, label: str, penalty: float):
     n, mean = df.agg(F.count(label), F.avg(label)).first()
     if not n or mean in (0.0, 1.0):
         return float(mean or 0.0)
-    return LogisticRegression(featuresCol="inputs", labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=60, tol=1e-5).fit(df)
+    return LogisticRegression(featuresCol="inputs", labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=30, tol=1e-4).fit(df)
 
 
-def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 20_000, folds: int = 3, least_docs: int = 3, most_words: int = 1 << 17, penalty: float = 0.002) -> Chain:
+def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 10_000, folds: int = 3, least_docs: int = 5, most_words: int = 1 << 15, penalty: float = 0.002) -> Chain:
     usable = labels.select("doc_id", *(label_of(c).alias(f"is_{c}") for c in categories)).dropna().dropDuplicates(["doc_id"])
     # at most most_labelled rows of a few numbers, so the broadcast is bounded; documents are not moved
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     rows = documents.select("doc_id", words().alias("words")).join(F.broadcast(chosen), "doc_id")
-    train = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))))
+    # a few partitions: an optimiser's step is a job of its own, and costs what its tasks cost to start
+    n_tasks = -(-most_labelled // 4_000)
+    train = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).repartition(n_tasks))
     n = train.count()
     vocabulary = CountVectorizer(inputCol="words", outputCol="word_vector", binary=True, minDF=float(least_docs if n >= 10 * least_docs else 1), vocabSize=most_words)
     if not n or not train.filter(F.size("words") > 0).limit(1).count():
@@ -91,7 +93,7 @@ def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES,
             train = parts[0]
             for p in parts[1:]:
                 train = train.unionByName(p)
-            train = cut_lineage(train.drop("inputs"))
+            train = cut_lineage(train.drop("inputs").coalesce(n_tasks))
             before.append(f"p_{category}")
     return Chain(vocabulary, models)
 
