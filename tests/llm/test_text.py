@@ -66,6 +66,34 @@ def test_nothing_to_learn_from(spark, empty):
     assert langid.language_id(one).first().lang_pred == "und"
 
 
+def test_every_language_and_gram_is_learnt(spark):
+    # a letter range and a few words of its own for each of 70 languages
+    rng = random.Random(5)
+    rows = [(100 * i + j, " ".join("".join(chr(0x4E00 + 20 * i + rng.randrange(20)) for _ in range(5)) for _ in range(30)), f"l{i:02}", "s", 0) for i in range(70) for j in range(6)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    out = {r.doc_id: r for r in langid.language_id(df).collect()}
+    assert all(out[i].lang_pred == lang for i, _, lang, *_ in rows)
+    # what is broadcast changes nothing
+    assert {r.doc_id: r for r in langid.language_id(df, most_broadcast=700).collect()} == out
+
+
+def test_gram_table_has_the_models_probabilities(spark):
+    rng = random.Random(6)
+    counted = Counter()
+    for lang, make in (("a", sentence), ("b", late)):
+        grams, _ = langid.positions(make(rng, 200).split())
+        counted.update((lang, g.tobytes().decode("utf-32-le")) for g in np.ascontiguousarray(grams))
+    rows = [(lang, g, n, n) for (lang, g), n in counted.items()]
+    unseen = "\x01\x01kat"
+    df = spark.createDataFrame([*rows, (None, unseen, 1, 0)], "lang string, gram string, n long, fit_n long")
+    langs, table = langid.gram_table(df)
+    found = {r.gram: r.p for r in table.collect()}
+    codes = lambda gs: np.array([[ord(c) for c in g] for g in gs], np.uint32)
+    models = langid.Models(langs, np.array([langs.index(k) for k, *_ in rows]), codes([g for _, g, *_ in rows]), np.array([n for *_, n in rows]))
+    assert langs == ["a", "b"] and unseen in found
+    assert np.allclose(np.array(list(found.values())) / langid.SCALE, models.score(codes(found)), atol=1e-4)
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 
 
