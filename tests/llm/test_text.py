@@ -154,6 +154,19 @@ def test_chain_finds_toxic_texts_that_it_did_not_see(spark, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_words_of_three_labelled_rows_are_learnt(spark):
+    rng = random.Random(9)
+    rare = ["rarest" + a + b for a in "abcd" for b in "efgh"]
+    rows = [(i, sentence(rng, 40) + (" " + rare[i // 3] if i < 48 else ""), "en", "s", 0) for i in range(240)]
+    rows += [(1000 + i, sentence(rng, 40) + " " + w, "en", "s", 0) for i, w in enumerate(rare)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    labels = spark.createDataFrame([(i, 1, int(i < 48)) for i in range(240)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(df, labels)
+    assert set(rare) <= set(chain.vocabulary.vocabulary)
+    out = {r.doc_id: r.p_toxic for r in toxicity.toxicity(df, labels).collect()}
+    assert min(out[1000 + i] for i in range(len(rare))) > 0.3  # the base rate is 0.2
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
