@@ -93,10 +93,15 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text with words: its node (a 128-bit hash of its words), band hashes, and a byte of each register."""
+    """Of each text its node (a 128-bit hash of its words), band hashes, and a byte of each register; all null without words."""
     shingler = Shingler()
     for ids, k1, k2, texts in blocks(batches, 3_000_000):
-        found = [(i, *x) for i, x in enumerate(shingler(texts)) if x[0]]
+        shingled = shingler(texts)
+        found = [(i, *x) for i, x in enumerate(shingled) if x[0]]
+        wordless = [i for i, x in enumerate(shingled) if not x[0]]
+        if wordless:
+            keys = [pa.array([c[i] for i in wordless], pa.int64()) for c in (ids, k1, k2)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.nulls(len(wordless), t) for t in (pa.binary(), pa.list_(pa.int64()), pa.binary()))], ["doc_id", "k1", "k2", "node", "bands", "registers"])
         if not found:
             continue
         nodes = [xxhash.xxh3_128_digest(" ".join(words).encode()) for _, words, _, _ in found]
@@ -257,7 +262,7 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int
     features = cut_lineage(docs.mapInArrow(featured_columns, FEATURES))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     # texts with the same words have the same bands and registers
-    nodes = cut_lineage(features.groupBy("node").agg(F.min(order).alias("first"), F.min("bands").alias("bands"), F.min("registers").alias("registers")))
+    nodes = cut_lineage(features.filter("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.min("bands").alias("bands"), F.min("registers").alias("registers")))
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = banded.join(shared, "key").join(nodes.select("node", "registers"), "node").select("key", "n", "node", "registers")
@@ -274,7 +279,7 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int
     found = features.select("doc_id", "k1", "k2", "node").join(named, "node")
     is_first = (F.col("k1") == F.col("class_first.k1")) & (F.col("k2") == F.col("class_first.k2"))
     with_words = found.select("doc_id", "k1", "k2", F.col("class_first.doc_id").alias("class_id"), is_first.alias("is_first"))
-    wordless = docs.filter(~F.col("text").rlike(r"(?U)\w")).select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
+    wordless = features.filter("node is null").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
     return with_words.unionByName(wordless)
 
 

@@ -145,6 +145,14 @@ def test_one_document_of_each_class_stays(docs, clashing):
     assert kept.count() == classes_want(rows_by_text(docs))[0]
 
 
+def test_every_text_is_a_row_whatever_its_words_are(spark):
+    odd = ["\u2764\ufe0f", "\u200d", "\u203f", "\u0301", "\u00bd", "\u00b2", "\u2460", "", None, "plain"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(minhash.near_duplicates(df).select("doc_id", "class_id", "is_first").collect())
+    assert out == [(i, i, True) for i in range(len(odd))]
+    assert minhash.without_near_duplicates(df).count() == len(odd)
+
+
 def test_probability_jaccard_by_its_definition():
     a, b = {1: 1.0, 2: 2.0, 3: 0.5}, {2: 1.0, 3: 3.0, 4: 1.0}
     want = 0.0
