@@ -3,11 +3,12 @@
 A text's words (runs of word characters, lower case) give five-word shingles, each weighted 1 + ln(its count). Every
 shingle sends arrivals of a Poisson process whose rate is its weight, each to a random register; a register keeps the
 first. A document is done when its shingles' next arrivals are later than its last register's. Two registers agree
-with the probability Jaccard similarity of the documents.
+with the probability Jaccard similarity of the documents. A second set of registers has all weights 1, so that they
+agree with the plain Jaccard similarity; it is the first one again where no shingle repeats.
 
 1. Texts with the same words are one node, so exact copies never meet each other again.
-2. Registers are hashed in bands. In each band's bucket, pairs whose registers agree often enough to reach the
-   threshold (four standard errors are allowed) are joined into clouds. Buckets go through in blocks of ``block``
+2. Both sets of registers are hashed in bands. In each band's bucket, pairs whose registers of either set agree often
+   enough to reach the threshold (four standard errors are allowed) are joined into clouds. Buckets go through in blocks of ``block``
    nodes, each pair of blocks by itself, and give a spanning forest, so what they give is linear in their size.
 3. In each cloud, again in blocks, similarity is computed exactly from the shingles: two nodes link when their Jaccard
    or their probability Jaccard similarity reaches the threshold. Pairs that are connected already are skipped.
@@ -92,8 +93,18 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return kept.reshape(-1, REGISTERS)
 
 
+def band_hashes(registers: np.ndarray) -> np.ndarray:
+    bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(registers), 1))
+    for k in range(ROWS):
+        bands = mix64((bands + registers[:, k : ROWS * BANDS : ROWS]) * STEP)
+    return bands
+
+
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text its node (a 128-bit hash of its words), band hashes, and a byte of each register; all null without words."""
+    """Of each text its node (a 128-bit hash of its words), band hashes, and a byte of each register; all null without words.
+
+    Where a shingle repeats, the bands and registers with all weights 1 follow.
+    """
     shingler = Shingler()
     for ids, k1, k2, texts in blocks(batches, 3_000_000):
         shingled = shingler(texts)
@@ -106,14 +117,19 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         nodes = [xxhash.xxh3_128_digest(" ".join(words).encode()) for _, words, _, _ in found]
         registers = signatures([(s, c) for _, _, s, c in found])
-        bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), 1))
-        for k in range(ROWS):
-            bands = mix64((bands + registers[:, k : ROWS * BANDS : ROWS]) * STEP)
-        small = np.ascontiguousarray((registers & np.uint64(255)).astype(np.uint8))
+        uneven = [k for k, (_, _, _, c) in enumerate(found) if c.max() > 1]
+        keys = list(band_hashes(registers))
+        small = [r.tobytes() for r in (registers & np.uint64(255)).astype(np.uint8)]
+        if uneven:
+            plain = signatures([(found[k][2], np.ones(len(found[k][2]))) for k in uneven])
+            for k, own, small_own in zip(uneven, band_hashes(plain), (plain & np.uint64(255)).astype(np.uint8), strict=True):
+                keys[k] = np.unique(np.concatenate([keys[k], own]))
+                small[k] += small_own.tobytes()
+        ends = np.cumsum([0, *map(len, keys)])
         own = [i for i, *_ in found]
         yield pa.RecordBatch.from_arrays(
             [pa.array([c[i] for i in own], pa.int64()) for c in (ids, k1, k2)]
-            + [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())), pa.array([r.tobytes() for r in small], pa.binary())],
+            + [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64))), pa.array(small, pa.binary())],
             ["doc_id", "k1", "k2", "node", "bands", "registers"],
         )
 
@@ -161,18 +177,21 @@ def cloud_finder(least_agreeing: int):
         for rows in grouped_rows(batches, 3):
             bounds = group_bounds(rows, 3)
             nodes = rows.column(3).to_pylist()
-            registers = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            kept = rows.column(4).to_pylist()
+            both = [np.frombuffer(b"".join(r[:REGISTERS] for r in kept), np.uint8).reshape(-1, REGISTERS)]
+            if any(len(r) > REGISTERS for r in kept):
+                both.append(np.frombuffer(b"".join(r[-REGISTERS:] for r in kept), np.uint8).reshape(-1, REGISTERS))
             starts, sizes = bounds[:-1], np.diff(bounds)
             two = starts[sizes == 2]
-            alike = (registers[two] == registers[two + 1]).sum(axis=1) >= least_agreeing
+            alike = np.any([(r[two] == r[two + 1]).sum(axis=1) >= least_agreeing for r in both], axis=0)
             pairs = {tuple(sorted((nodes[i], nodes[i + 1]))) for i in two[alike].tolist()}
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own = registers[start : start + size]
+                own = [r[start : start + size] for r in both]
                 root = np.arange(size)
                 for i in range(size - 1):
                     rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
                     if len(rest):
-                        near = rest[(own[rest] == own[i]).sum(axis=1) >= least_agreeing]
+                        near = rest[np.any([(r[rest] == r[i]).sum(axis=1) >= least_agreeing for r in own], axis=0)]
                         if len(near):
                             roots = np.unique(np.append(root[near], root[i]))
                             root[np.isin(root, roots)] = roots[0]

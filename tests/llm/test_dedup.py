@@ -153,6 +153,17 @@ def test_every_text_is_a_row_whatever_its_words_are(spark):
     assert minhash.without_near_duplicates(df).count() == len(odd)
 
 
+def test_copies_with_a_repeated_block_are_found(spark):
+    rows = []
+    for i, times in enumerate((5, 30, 5, 30)):
+        words = [f"w{i}x{k}" for k in range(404)]
+        block = [f"b{i}x{k}" for k in range(60)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words + block * times))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    assert found == {i: i - i % 10 for i, _ in rows}
+
+
 def test_probability_jaccard_by_its_definition():
     a, b = {1: 1.0, 2: 2.0, 3: 0.5}, {2: 1.0, 3: 3.0, 4: 1.0}
     want = 0.0
