@@ -1,9 +1,11 @@
 """Best-fit packing by hierarchical residuals: tokenised documents into as few fixed-length sequences as can be.
 
 Each task tokenises its documents, cuts those longer than a sequence, and packs the pieces best-fit in falling
-order. Bins at least ``nearly_full`` are done; the others go on as items, ``fan_in`` tasks' bins to one, for the next
-best-fit round, until one task holds them all or a task would hold more than ``most_items``. A bin travels as one row
-with its pieces, at most as many as it has tokens, so no task ever holds more than its share of bins.
+order. Bins at least ``nearly_full``, and bins that not even the emptiest one fits into, are done; the others go on as
+items, ``fan_in`` tasks' bins to one, for the next best-fit round, until as few tasks hold them as can: each takes about
+``most_items``. One task's bins don't fit together any more; where several are needed, the bins are dealt anew in each
+round, until a round saves less than the share ``least_saved`` of them. A bin travels as one row with its pieces, at most as many as it has tokens, so no task ever
+holds more than its share of bins.
 
 Defined cases: a null or empty text is the one token 0; only texts longer than a sequence are cut, and only their last
 piece may be shorter; repeated rows and null ids are documents of their own; an empty table gives an empty result.
@@ -122,24 +124,24 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(ids), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(documents: DataFrame, *, vocabulary: str = VOCABULARY, length: int = LENGTH, nearly_full: float = 0.995, fan_in: int = 8, most_items: int = 200_000) -> DataFrame:
+def pack(documents: DataFrame, *, vocabulary: str = VOCABULARY, length: int = LENGTH, nearly_full: float = 0.995, fan_in: int = 8, most_items: int = 200_000, least_saved: float = 0.001) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     bins = cut_lineage(docs.mapInArrow(first_round(vocabulary_path(vocabulary), length, most_items), BIN_SCHEMA))
-    is_full = F.col("fill") >= int(nearly_full * length)
-    done, tasks = [bins.filter(is_full)], bins.rdd.getNumPartitions()
-    rest = bins.filter(~is_full)
-    n_rest = rest.count()
-    while tasks > 1 and n_rest:
-        tasks = max(-(-tasks // fan_in), -(-n_rest // most_items))
+    done, tasks, turn = [], bins.rdd.getNumPartitions(), 0
+    while True:
+        least, n_bins = bins.agg(F.min("fill"), F.count("*")).first()
+        is_done = (F.col("fill") >= int(nearly_full * length)) | (F.col("fill") + (least or 0) > length)
+        rest = bins.filter(~is_done)
+        done.append(bins.filter(is_done))
+        before = rest.count()
+        fewest = -(-before // most_items)
+        if before < 2 or (turn and tasks == fewest and (tasks == 1 or n_bins > (1 - least_saved) * dealt)):
+            break
         # bins are dealt by their first piece, so that each task gets a mixture of sizes, the same on a rerun
+        tasks, turn, dealt = max(-(-tasks // fan_in), fewest), turn + 1, before
         first = F.col("pieces")[0]
-        bins = cut_lineage(rest.repartition(tasks, F.xxhash64(first["doc_id"], first["piece"], "fill")).mapInArrow(next_round(length, most_items), BIN_SCHEMA))
-        done.append(bins.filter(is_full))
-        rest, before = bins.filter(~is_full), n_rest
-        n_rest = rest.count()
-        if n_rest > 0.9 * before and tasks > 1 and n_rest > most_items:
-            break  # what is left does not fit together, as bins of one size over half a sequence don't
+        bins = cut_lineage(rest.repartition(tasks, F.xxhash64(F.lit(turn), first["doc_id"], first["piece"], "fill")).mapInArrow(next_round(length, most_items), BIN_SCHEMA))
     everything = rest
     for d in done:
         everything = everything.unionByName(d)

@@ -7,8 +7,10 @@ from itertools import chain, count, islice
 
 import numpy as np
 
-#: ASCII marks that are cut off a word's end when a letter stands before them: the vocabulary always cuts there.
+#: ASCII marks that are cut off a word's end when an ASCII letter stands before them: the vocabulary always cuts there.
 MARKS = ".,!#$%&*|<>?;:"
+#: How the vocabulary's whole-token literals begin; a word that has this is given to the tokenizer as it stands.
+LITERAL = b"<|"
 
 
 def vocabulary_path(name: str) -> str:
@@ -21,15 +23,16 @@ class WordEncoder:
     """White space ends every token of the vocabulary and is dropped, so a text's ids are its words' ids joined.
 
     A word is looked up by number; its ids are those of two pieces, the word without its closing marks and the marks.
-    New pieces of letters only are encoded many to a call, as each ends with an end-of-word token; other pieces are
-    encoded one by one. Both tables are emptied when they pass their limits, so memory is bounded.
+    A word is only cut where an ASCII letter stands before the marks: other letters may become a letter and a mark when
+    the tokenizer lower-cases or composes them, which the vocabulary joins with the marks. New pieces of letters only are
+    encoded many to a call, as each ends with an end-of-word token; other pieces are encoded one by one. Both tables are
+    emptied when they pass their limits, so memory is bounded.
     """
 
     def __init__(self, path: str, most_words: int = 250_000, most_pieces: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -86,9 +89,13 @@ class WordEncoder:
         if len(self.words) > known:
             cores, marks = [], []
             for w in islice(self.words, known, None):
+                if LITERAL in w:
+                    cores.append(w.decode())
+                    marks.append("")
+                    continue
                 whole = w.lower().decode()  # of bytes: ASCII letters only
                 core = whole.rstrip(MARKS)
-                if core and not core[-1].isalpha():
+                if core and not (core[-1].isascii() and core[-1].isalpha()):
                     core = whole
                 cores.append(core)
                 marks.append(whole[len(core) :])

@@ -226,17 +226,25 @@ def test_items_within_their_errors_are_found(spark, empty):
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
+#: What the tokenizer treats in a way of its own: marks, white space, letters that fall apart, literals of whole tokens.
+ATOMS = [*"abcXYZ019'.,!#$%&*|<>?;:-_=()\"/ \t\n\r\x0b\x0c\x1c\x85\xa0", "\u2003", "\u3000", "\u0130", "\u00e9", "e\u0301", "\u0301", "\u0307", "\u0338", "\u00df", "\u03a3", "\u00bd", "\u00b2", "\u65e5\u672c", "\u3002", "\ufb01", "\u2163",
+         "\u01c5", "\u200d", "\U0001f600", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\u212b", "\u1e9e", "\uff21", "\xad", "\u212a", "\u037e", "the", "Hello", "world. "]
+
+
 def test_ids_are_the_tokenizers_own(docs):
     from tokenizers import Tokenizer
 
     path = tokens.vocabulary_path(packing.VOCABULARY)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    odd = ["", "a-b!c... that's 'tis I'll <|endoftext|> x=y; (foo). \"bar\"!", "É. ÉA! İstanbul ΣΑΣ. ́a! é. ½! ²x 日本語。テスト! foo-! ≮ a≮!", "!!! ??? ..."]
-    texts = odd + [r.text or "" for r in docs.collect()]
-    ids, ends = tokens.WordEncoder(path, most_words=50, most_pieces=200).encode(texts)
-    for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
-        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
+    rng = random.Random(10)
+    odd = ["", "a-b!c... that's 'tis I'll <|endoftext|> x=y; (foo). \"bar\"!", "É. ÉA! İ. İstanbul ΣΑΣ. ́a! é. ½! ²x 日本語。テスト! foo-! ≮ a≮!", "!!! ??? ..."]
+    texts = odd + [r.text or "" for r in docs.collect()] + ["".join(rng.choice(ATOMS) for _ in range(rng.randint(0, 24))) for _ in range(100_000)]
+    encoder = tokens.WordEncoder(path, most_words=3_000, most_pieces=5_000)
+    for at in range(0, len(texts), 200):
+        some = texts[at : at + 200]
+        ids, ends = encoder.encode(some)
+        for text, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+            assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_packing(docs, empty):
@@ -265,6 +273,16 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("most_items", [40, 200_000])
+def test_packing_comes_near_the_bound_at_every_size_of_a_task(spark, most_items):
+    """Texts of over half a sequence, which do not fit together, and short ones that fill them up."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c"]) for _ in range(39 + i % 3 if i % 4 else 3)), "en", "s", 0) for i in range(800)]
+    out = packing.pack(spark.createDataFrame(rows, DOCUMENTS).repartition(16), length=64, most_items=most_items).collect()
+    assert len(out) == 800 and sum(r.length for r in out) == sum(len(t.split()) + 1 for _, t, *_ in rows)
+    assert len({r.sequence_id for r in out}) == 600  # the long ones need one each, and all the short ones fit beside them
+
+
 def test_best_fit_fills_the_fullest_bin():
     assert [sorted(b) for b in packing.best_fit([6, 5, 4, 3, 2], 10)] == [[0, 2], [1, 3, 4]]
 
