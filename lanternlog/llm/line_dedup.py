@@ -31,8 +31,8 @@ def windows(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text and any other columns) with text deduplicated, and n_lines, n_removed (long).
+def marked(documents: DataFrame) -> DataFrame:
+    """packed() documents with text deduplicated, and n_lines and n_removed beside them.
 
     One aggregation finds each repeated window's first place (hot windows are combined before the shuffle), one
     join finds the later ones, and one join brings the covered positions back to their documents.
@@ -42,21 +42,33 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     first = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("first") < F.col("last"))
     later = found.join(first.drop("last"), ["h1", "h2"]).filter(F.col("place") > F.col("first"))
     covered = later.groupBy(F.col("place.doc_id").alias("covered_id"), F.col("place.text_hash").alias("covered_hash")).agg(F.collect_set("place.pos").alias("starts"))
-    joined = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("covered_id")) & (F.col("text_hash") == F.col("covered_hash")), "left")
+    # texts go into the join as lines, which the functions below then read by their place
+    lined = docs.select("doc_id", "text_hash", "rest", F.split("text", "\n", -1).alias("lines"))
+    joined = lined.join(covered, F.col("doc_id").eqNullSafe(F.col("covered_id")) & (F.col("text_hash") == F.col("covered_hash")), "left")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + 2))))
-    lines = F.split("text", "\n", -1)
-    # one pass over the lines: those at a removed position are replaced by null, which array_compact takes out
-    stay = F.array_compact(F.transform(lines, lambda line, i: F.when(~F.array_contains("gone", i), line)))
-    out = joined.withColumn("gone", gone).withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"),
-            "text": F.when(F.col("gone").isNull(), F.col("text"))
-            .when(F.size("gone") == F.size(lines), F.lit(""))
-            .otherwise(F.array_join(stay, "\n")),
-        }
+    # a set difference of the positions, so a text's work is in proportion to its lines
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    stay = F.transform(left, lambda i: F.get("lines", i))
+    return joined.select(
+        "doc_id",
+        F.array_join(F.when(F.col("starts").isNull(), F.col("lines")).otherwise(stay), "\n").alias("text"),
+        "rest",
+        F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_removed"),
     )
-    return unpacked(out, documents, "n_lines", "n_removed")
+
+
+def line_dedup(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text and any other columns) with text deduplicated, and n_lines, n_removed (long).
+
+    A column of documents that has one of these two names is replaced; without_repeated_lines() keeps it.
+    """
+    return unpacked(marked(documents), documents, "n_lines", "n_removed")
+
+
+def without_repeated_lines(documents: DataFrame) -> DataFrame:
+    """documents, all their columns kept, with text deduplicated; those that lose every line are gone."""
+    return unpacked(marked(documents).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), documents)
 
 
 def op1_line_dedup(spark, sf_dir):
