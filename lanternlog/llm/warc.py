@@ -2,16 +2,17 @@
 
 Writing range-sorts the records by page, each task streams its range into gzip members (one a record), rolls to a new
 file when the compressed size passes ``roll_bytes``, and names each file for good only when it is whole; a manifest of
-the files, written and committed by Spark, says which files count. Headers and digests are made anew from the payload.
-A rerun of a task writes the same bytes under the same final name, so a lost executor leaves at most a file whose
-temporary name no manifest has.
+the files, written and committed by Spark, says which files count, and the reader holds every file against it. Headers
+and digests are made anew from the payload. The ranges follow from the input alone, so a rerun of a task or a job
+writes the same bytes under the same final names, and a lost executor leaves at most a file with a temporary name.
 
 Of records with equal payloads the one with the largest page_id is the response and the others revisit it. The payload
 is compressed before any shuffle, and only the small (digest, length, page_id) rows decide who revisits whom.
 
 Defined cases: a null html is an empty payload, which is compared like any other; a null url is written as
-``urn:page:<id>``; pages that repeat the largest page_id with an equal payload are all responses; a null page_id is
-below every other, sorts first, and is read back as null; an empty table writes an empty manifest.
+``urn:page:<id>``; pages that repeat the largest page_id with an equal payload are all responses, and their record ids
+get a number; a null page_id is below every other, sorts first, and is read back as null; an empty table writes an
+empty manifest; a listed file that is missing, or is not what the manifest says, is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from base64 import b32encode
 from collections.abc import Iterator
 from hashlib import sha1
 from io import BytesIO
-from zlib import DEFLATED, compressobj, decompressobj
+from itertools import islice
+from zlib import DEFLATED, compressobj, decompress, decompressobj
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,29 +48,35 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def record(kind: str, page_id, url, digest: str, size: int, refers_to=None, payload: bytes | None = None) -> bytes:
-    """One record; a response carries the payload, a revisit its digest, its length and the record that has it."""
+def record(kind: str, page_id, url, digest: str, size: int, refers_to=None, payload: bytes = b"", copy: int = 0) -> bytes:
+    """One record; a response carries the payload, a revisit its digest, its length and the record that has it.
+
+    A record's id is its page and digest, with a number where a page repeats both.
+    """
     name = "null" if page_id is None else page_id
-    body = payload if kind == "response" else b""
     head = [
         VERSION,
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <urn:page:{name}:{digest}{f':{copy}' if copy else ''}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url if url is not None else f'urn:page:{name}'}".replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{digest if kind == 'response' else EMPTY_DIGEST}",
         f"X-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return (CRLF.join(head) + CRLF * 2).encode() + body + (CRLF * 2).encode()
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
+    return (CRLF.join(head) + CRLF * 2).encode() + payload + (CRLF * 2).encode()
 
 
 def base32(digest: bytes) -> str:
     return b32encode(digest).decode()
 
 
+EMPTY_DIGEST = base32(sha1(b"").digest())
+
+
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page as the gzip member of its response record, with digest and length; before any shuffle."""
     for ids, urls, htmls in blocks(batches, 8_000_000):
@@ -94,22 +102,32 @@ def file_writer(folder: str, roll_bytes: int):
         part, attempt = task.partitionId(), task.taskAttemptId()
         made: list[tuple] = []
         out = temporary = final = digest = None
-        records = size = 0
+        records = size = copy = 0
+        before = None
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                store.move(temporary, final)
+                if store.get_file_info(final).type == fs.FileType.NotFound:
+                    store.move(temporary, final)
+                else:  # an attempt before this one has named the same bytes
+                    store.delete_file(temporary)
                 made.append((final.rsplit("/", 1)[1], records, size, digest.hexdigest(), part, len(made)))
                 out = None
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["refers_to"] is None:
-                    data = row["gz"]
+                this = (row["page_id"], row["hex"])  # equal ones follow each other, and lie in one range
+                copy, before = copy + 1 if this == before else 0, this
+                digest32 = base32(bytes.fromhex(row["hex"]))
+                if row["refers_to"] is not None:
+                    data = member(record("revisit", row["page_id"], row["url"], digest32, row["size"], row["refers_to"], copy=copy))
+                elif copy:
+                    payload = decompress(row["gz"], 31).partition(b"\r\n\r\n")[2][: row["size"]]
+                    data = member(record("response", row["page_id"], row["url"], digest32, row["size"], payload=payload, copy=copy))
                 else:
-                    data = member(record("revisit", row["page_id"], row["url"], base32(bytes.fromhex(row["hex"])), row["size"], row["refers_to"]))
+                    data = row["gz"]
                 if out is None:
                     final = f"{root}/part-{part:06d}-{len(made):05d}.warc.gz"
                     temporary = f"{final}.{attempt}.tmp"
@@ -132,10 +150,15 @@ def file_writer(folder: str, roll_bytes: int):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, roll_bytes: int = 64 << 20) -> DataFrame:
+def range_count(compressed_bytes: float, shard_bytes: int, least_bytes: int, most_small: int) -> int:
+    """One range for each shard_bytes; where those are fewer than most_small, up to that many of least_bytes or more."""
+    return max(1, int(compressed_bytes // shard_bytes) + 1, min(most_small, int(compressed_bytes // least_bytes) + 1))
+
+
+def write_warc(pages: DataFrame, folder: str, *, shard_bytes: int = 256 << 20, roll_bytes: int = 64 << 20, least_bytes: int = 4 << 20, most_small: int = 200) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under folder; returns the committed manifest.
 
-    The number of ranges follows the input: one for each ``shard_bytes`` of compressed records.
+    The number of ranges follows the input's size alone, with html taken to compress to a third (range_count()).
     """
     from pyarrow import fs
 
@@ -153,7 +176,7 @@ def write_warc(pages: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, r
     joined = made.join(targets, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("hex") == F.col("revisit_hex")), "left")
     kept = joined.select("page_id", "url", "hex", "size", "refers_to", F.when(F.col("refers_to").isNull(), F.col("gz")).alias("gz"))
     total = own.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    ranges = max(1, int(total / 3 // shard_bytes) + 1, min(spark.sparkContext.defaultParallelism, int(total // (4 << 20)) + 1))
+    ranges = range_count(total / 3, shard_bytes, least_bytes, most_small)
     ordered = kept.repartitionByRange(ranges, F.col("page_id").asc_nulls_first(), "hex").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "hex", "url")
     ordered.mapInArrow(file_writer(f"{folder}/archive", roll_bytes), MANIFEST).write.mode("errorifexists").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -176,35 +199,48 @@ def parsed(path: str, data: bytes, slice_bytes: int = 1 << 20) -> Iterator[tuple
             continue
         body = rest[: int(fields["Content-Length"])]
         digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-        if kind == "response" and (base32(sha1(body).digest()) != digest or len(body) != size):
+        found = base32(sha1(body).digest())
+        if found != fields["WARC-Block-Digest"].removeprefix("sha1:") or (kind == "response" and (found != digest or len(body) != size)):
             raise ValueError(f"{path}: {fields['WARC-Record-ID']} does not have its digest")
-        name = fields["WARC-Record-ID"][10:-1]
-        target = fields.get("WARC-Refers-To")
-        yield (None if name == "null" else int(name), fields["WARC-Target-URI"], kind, size, digest, None if target is None else int(target[10:-1]), path)
-
-
-def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            rows: list[tuple] = []
-            for row in parsed(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
-                rows.append(row)
-                if len(rows) >= 10_000:
+        page = lambda record_id: record_id[10:-1].split(":")[0]  # noqa: E731  of <urn:page:id:digest>
+        name, target = page(fields["WARC-Record-ID"]), fields.get("WARC-Refers-To")
+        yield (None if name == "null" else int(name), fields["WARC-Target-URI"], kind, size, digest, None if target is None else int(page(target)), path)
+
+
+def file_reader(folder: str):
+    """The records of the manifest's files, each file held against its records, bytes and sha1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        names = [x.split()[0] for x in RECORD.split(", ")]
+        for batch in batches:
+            for entry in batch.to_pylist():
+                path = entry["path"]
+                if store.get_file_info(f"{root}/{path}").type != fs.FileType.File:
+                    raise ValueError(f"{path} is in the manifest and missing")
+                with store.open_input_stream(f"{root}/{path}", compression=None) as stream:
+                    data = stream.read()
+                if len(data) != entry["bytes"] or sha1(data).hexdigest() != entry["sha1"]:
+                    raise ValueError(f"{path} is not the file that the manifest has")
+                found, count = parsed(path, data), 0
+                while rows := list(islice(found, 10_000)):
+                    count += len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if count != entry["records"]:
+                    raise ValueError(f"{path} has {count} records, not {entry['records']}")
+
+    return run
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the files that the manifest under folder has; a file is a row of at most the rolled size."""
+    """The records of the files that the manifest under folder has; a task holds one file, of about the rolled size."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.gz").load(f"{folder}/archive")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    listed = named.join(manifest.select("path"), "path", "left_semi")
-    return listed.mapInArrow(parse_files, RECORD)
+    n_files = manifest.count()
+    tasks = max(1, min(n_files, 1000 + n_files // 10))
+    return manifest.repartition(tasks, "path").mapInArrow(file_reader(f"{folder}/archive"), RECORD)
 
 
 def op4_warc(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Language ID, quality rules, toxicity, decontamination, packing, secrets, archives: brute force and held-out checks."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -325,12 +326,18 @@ def test_secrets(spark, empty):
 # --- archives ------------------------------------------------------------------------------------------------------
 
 
+def test_ranges_follow_the_input_alone():
+    count = lambda gb: warc.range_count(gb * (1 << 30), 256 << 20, 4 << 20, 200)
+    assert [count(x) for x in (0, 0.05, 10, 30_000)] == [1, 13, 200, 120_001]
+
+
 def test_archives_round_trip(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, f"http://x/{i}", sentence(rng, 200)) for i in range(60)]
     rows += [(100 + i, f"http://y/{i}", rows[i][2]) for i in range(20)] + [(200 + i, None, "copied") for i in range(30)]
     rows += [(300, "http://n", None), (301, "http://n\r\nX: y", ""), (None, "http://z", "copied"), (None, "http://zz", "alone"), rows[0], ("ü" and 302, "http://ü", "☃ " * 5000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(400, "http://long", sentence(rng, 300_000)), (401, "http://long", "x" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, "f", 1) for r in rows], "page_id long, url string, html string, refers_to string, size int")
     folder = f"file://{tmp_path}/w"
     manifest = warc.write_warc(pages, folder, roll_bytes=4_000)
     assert manifest.count() > 2 and manifest.agg({"records": "sum"}).first()[0] == len(rows)
@@ -347,5 +354,18 @@ def test_archives_round_trip(spark, tmp_path):
     assert got == want
     again = warc.write_warc(pages, f"{folder}2", roll_bytes=4_000)
     assert sorted((r.path, r.sha1) for r in again.collect()) == sorted((r.path, r.sha1) for r in manifest.collect())
+    ids = [line for p in (tmp_path / "w/archive").iterdir() for line in gzip.decompress(p.read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert len(ids) == len(set(ids)) == len(rows) + manifest.count()
+    # a job that is run again finds its files there and leaves them
+    (tmp_path / "w/manifest").rename(tmp_path / "w/old")
+    assert sorted((r.path, r.sha1) for r in warc.write_warc(pages, folder, roll_bytes=4_000).collect()) == sorted((r.path, r.sha1) for r in again.collect())
+    first = sorted(p for p in (tmp_path / "w2/archive").iterdir() if p.name.endswith(".gz"))[0]
+    whole = first.read_bytes()
+    first.write_bytes(whole[:-1] + b"?")
+    with pytest.raises(Exception, match="not the file that the manifest has"):
+        warc.read_warc(spark, f"{folder}2").count()
+    first.unlink()
+    with pytest.raises(Exception, match="in the manifest and missing"):
+        warc.read_warc(spark, f"{folder}2").count()
     none = warc.write_warc(pages.limit(0), f"{folder}3")
     assert none.count() == 0 and warc.read_warc(spark, f"{folder}3").count() == 0
