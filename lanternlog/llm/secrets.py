@@ -1,8 +1,9 @@
 """Secret scans, with DataFrame functions only: base patterns, and a battery of randomness tests on token-like strings.
 
 Token-like runs of at least ``LEAST`` characters are cut out and an encoding is inferred for each: the smallest of hex,
-base32, base36, base62 and base64 whose characters it keeps to and whose kinds of characters it mixes (words in
-letters of one case are no encoding). Three tests then ask whether its symbols could be uniformly random: chi-squared
+base32, base36, letters, base62 and base64 whose characters it keeps to and whose kinds of characters it mixes (words
+in letters of one case are no encoding). A run without one, such as a path with a key in it, is cut at its marks, and
+its parts of ``LEAST`` characters are tokens of their own. Three tests then ask whether its symbols could be uniformly random: chi-squared
 over the alphabet, runs above and below the alphabet's middle, and serial correlation of neighbours, each as a normal
 deviate with the moments for the token's own length. The smallest of the three p-values, corrected for three tests, is
 the token's. Within each encoding and length class the Benjamini-Hochberg rule then dismisses tokens as not random, so
@@ -40,6 +41,7 @@ ENCODINGS = [
     ("base32", UPPER + "234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$"),
     ("base36", DIGITS + LOWER, r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$"),
     ("BASE36", DIGITS + UPPER, r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$"),
+    ("letters", UPPER + LOWER, r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$"),
     ("base62", UPPER + LOWER + DIGITS, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$"),
     ("base64", UPPER + LOWER + DIGITS + "+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$"),
     ("base64url", UPPER + LOWER + DIGITS + "-_", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$"),
@@ -73,14 +75,36 @@ def upper_tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(bounded * 1.5976 + bounded * bounded * bounded * 0.07056))
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """tokens (match, ...) with encoding, n and p, the chance that random symbols look as uneven; others are dropped."""
+def inferred(tokens: DataFrame) -> DataFrame:
+    """tokens with bare (the match without padding), encoding and its alphabet, both null where none fits."""
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     bare = F.rtrim(F.col("match"), F.lit("="))
     for name, symbols, pattern in reversed(ENCODINGS):
         encoding = F.when(bare.rlike(pattern), F.lit(name)).otherwise(encoding)
         alphabet = F.when(bare.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
-    known = tokens.withColumns({"encoding": encoding, "alphabet": alphabet, "bare": bare}).filter(F.col("encoding").isNotNull())
+    return tokens.withColumns({"encoding": encoding, "alphabet": alphabet, "bare": bare})
+
+
+def parts_of(tokens: DataFrame) -> DataFrame:
+    """The parts of LEAST characters or more between a token's marks, with their places."""
+    cut = tokens.withColumn("token_start", F.col("start")).select("doc_id", "text_hash", "kind", "token_start", F.posexplode(F.regexp_extract_all("match", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))).alias("i", "match"))
+    before = W.partitionBy("doc_id", "text_hash", "token_start").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    end = F.col("token_start") + F.sum(F.length("match")).over(before)
+    placed = cut.select("doc_id", "text_hash", "kind", "match", (end - F.length("match")).alias("start"), end.alias("end"))
+    return placed.filter(F.length("match") >= LEAST)
+
+
+def tokens_of(tokens: DataFrame) -> DataFrame:
+    """Tokens with an encoding: those that have one as they stand, and the parts of the others that do."""
+    found = inferred(tokens)
+    whole = found.filter("encoding IS NOT NULL")
+    rest = found.filter(F.col("encoding").isNull() & F.col("bare").rlike("[^A-Za-z0-9]")).drop("encoding", "alphabet", "bare")
+    return whole.unionByName(inferred(parts_of(rest)).filter("encoding IS NOT NULL"))
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """tokens (match, ...) with encoding, n and p, the chance that random symbols look as uneven."""
+    known = tokens_of(tokens)
     codes = F.transform(F.split("bare", ""), lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("double"))
     known = known.withColumns({"codes": codes, "n": F.length("bare").cast("double"), "k": F.length("alphabet").cast("double")})
     n, k = F.col("n"), F.col("k")

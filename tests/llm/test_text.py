@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from base64 import b32encode
@@ -290,7 +291,7 @@ def test_best_fit_fills_the_fullest_bin():
 
 # --- secrets -------------------------------------------------------------------------------------------------------
 
-ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def base_spans(t):
@@ -323,6 +324,78 @@ def test_secrets(spark, empty):
     assert secrets.secret_report(spark.createDataFrame([], DOCUMENTS)).count() == 0
 
 
+def plain_p(token):
+    """The battery by its definitions, one token at a time."""
+    bare = token.rstrip("=")
+    alphabet = next((a for _, a, pattern in secrets.ENCODINGS if re.match(pattern, bare)), None)
+    if alphabet is None:
+        return None
+    n, k = len(bare), len(alphabet)
+    codes = [alphabet.index(c) for c in bare]
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * max(min(z, 12), -12) + 0.07056 * max(min(z, 12), -12) ** 3))
+    chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(codes).values()) + (k - len(set(codes))) * n / k
+    above = [c >= k / 2 for c in codes]
+    a = sum(above)
+    spread = 2 * a * (n - a)
+    variance = spread * (spread - n) / (n * n * (n - 1))
+    runs = 1 + sum(x != y for x, y in zip(above, above[1:], strict=False))
+    mean = sum(codes) / n
+    total = sum((c - mean) ** 2 for c in codes)
+    serial = sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:], strict=False)) / total if total else None
+    ps = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    ps.append(2 * tail(abs(runs - 1 - spread / n) / math.sqrt(variance) if variance > 0 else 12))
+    ps.append(2 * tail(abs(serial + 1 / n) * math.sqrt(n) if total else 12))
+    return 1 - (1 - min(min(ps), 1)) ** 3
+
+
+def made_tokens():
+    rng = random.Random(12)
+    letters = secrets.UPPER + secrets.LOWER
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = [make(letters + secrets.DIGITS, rng.randint(24, 60)) for _ in range(150)] + [make(letters, rng.randint(24, 60)) for _ in range(100)] + [make("0123456789abcdef", 40) for _ in range(50)]
+    words = sorted({w for w in sentence(rng, 3000).split() if len(w) > 3})
+    names = ["".join(rng.choice(words).capitalize() for _ in range(rng.randint(4, 7))) + rng.choice(["", "2", "11"]) for _ in range(300)]
+    names = [x for x in names if len(x) >= secrets.LEAST]
+    paths = ["/".join(rng.choice(words) for _ in range(6)) + "_v2-" + rng.choice(words) for _ in range(100)]
+    inner = [f"{rng.choice(words)}/api_v2/my-{rng.choice(words)}/{make(letters + secrets.DIGITS, 40)}" for _ in range(100)]
+    return keys, names, paths, inner
+
+
+def test_battery_by_its_definitions_and_what_it_reports(spark):
+    keys, names, paths, inner = made_tokens()
+    every = keys + names
+    df = spark.createDataFrame([(i, 0, "random", t, 0, len(t)) for i, t in enumerate(every)], "doc_id long, text_hash long, kind string, match string, start long, end long")
+    got = {r.doc_id: r.p for r in secrets.battery(df).collect()}
+    want = {i: p for i, t in enumerate(every) if (p := plain_p(t)) is not None}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    texts = [f"see {t} here" for t in every + paths + inner]
+    out = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    found = lambda first, n: sum("random" in out[i] or "hex" in out[i] for i in range(first, first + n))
+    a, b, c = len(keys), len(names), len(paths)
+    assert found(0, a) >= 0.95 * a and found(a, b) <= 0.1 * b and found(a + b, c) <= 0.05 * c
+    # the key within a path, and not the path
+    for i, t in enumerate(inner):
+        at = 4 + len(t) - 40
+        assert out[a + b + c + i] in ("", f"random:{at}:{at + 40}")
+    assert found(a + b + c, len(inner)) >= 0.95 * len(inner)
+
+
+def plain_dismissed(ps, q):
+    """Benjamini-Hochberg at q over one class: which p-values are dismissed."""
+    order = sorted(range(len(ps)), key=lambda i: ps[i])
+    most = max((r for r, i in enumerate(order, 1) if ps[i] <= q * r / len(ps)), default=0)
+    return {i for r, i in enumerate(order, 1) if r <= most}
+
+
+def test_false_discovery_step(spark):
+    rng = random.Random(13)
+    bins = [rng.choice([0, 1, 2, 5, 20, 30, 60, 100]) for _ in range(200)]
+    ps = [10 ** (-b * secrets.BIN_WIDTH) for b in bins]
+    df = spark.createDataFrame([("hex", 9, b) for b in bins], "encoding string, length_class int, p_bin int")
+    limit = secrets.dismissed_below(df, 0.05).first()
+    assert {i for i, b in enumerate(bins) if limit and b >= limit.from_bin} == plain_dismissed(ps, 0.05)
+
+
 # --- archives ------------------------------------------------------------------------------------------------------
 
 
