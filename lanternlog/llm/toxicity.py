@@ -6,7 +6,8 @@ that did not see its fold, as an unlabelled row will be. Learning takes at most
 by a hash of doc_id; scoring is one pass over all documents, without a shuffle.
 
 Defined cases: a null or wordless text has no words and gets the models' base rates; labelled rows with a null label or
-without a document are not learnt from; without labelled rows of both kinds a category's rate is the labels' mean (0
+without a document are not learnt from; of labels of one document that conflict the larger of each category holds, so a
+rerun learns the same; repeated documents are learnt from as often as they occur; without labelled rows of both kinds a category's rate is the labels' mean (0
 without labels); repeated rows are scored alike; an empty table gives an empty result.
 """
 
@@ -71,13 +72,15 @@ def fitted(df: DataFrame, label: str, penalty: float):
 
 
 def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 20_000, folds: int = 3, least_docs: int = 3, most_words: int = 1 << 17, penalty: float = 0.002) -> Chain:
-    usable = labels.select("doc_id", *(label_of(c).alias(f"is_{c}") for c in categories)).dropna().dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", *(label_of(c).alias(f"is_{c}") for c in categories)).dropna()
+    usable = usable.groupBy("doc_id").agg(*(F.max(f"is_{c}").alias(f"is_{c}") for c in categories))
     # at most most_labelled rows of a few numbers, so the broadcast is bounded; documents are not moved
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     rows = documents.select("doc_id", words().alias("words")).join(F.broadcast(chosen), "doc_id")
-    # a few partitions: an optimiser's step is a job of its own, and costs what its tasks cost to start
+    # what the scan's tasks wrote is read by a few: an optimiser's step is a job of its own, and costs what its tasks cost
+    # to start; without a shuffle, so that a rerun has the rows in the same places
     n_tasks = -(-most_labelled // 4_000)
-    train = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).repartition(n_tasks))
+    train = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))).coalesce(n_tasks)
     n = train.count()
     vocabulary = CountVectorizer(inputCol="words", outputCol="word_vector", binary=True, minDF=float(least_docs if n >= 10 * least_docs else 1), vocabSize=most_words)
     if not n or not train.filter(F.size("words") > 0).limit(1).count():
