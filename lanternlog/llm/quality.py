@@ -133,29 +133,31 @@ def quality_features(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
     return docs.mapInArrow(measurer(vocabulary_path(vocabulary)), SCHEMA).withColumns({"base_failed": base_failed, "length_class": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
 
 
-def bands(features: DataFrame, keys: list[str], measures: tuple[str, ...], width: float, min_docs: int, most: int) -> DataFrame:
-    """For the ``most`` most frequent values of keys: the lower and upper bound of the measures; others have none."""
+def bands(features: DataFrame, keys: list[str], measures: tuple[str, ...], width: float, min_docs: int) -> DataFrame:
+    """For every value of keys that min_docs documents have: the lower and upper bound of the measures; others have none."""
     usable = features.filter(~F.col("base_failed")).dropna(subset=keys)
     middle = usable.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in measures))
     # half the distance between the quartiles is the median absolute deviation of an even distribution
     half = {m: F.greatest(width * 1.4826 * (F.col(m)[2] - F.col(m)[0]) / 2, F.lit(LEAST_WIDTH[m])) for m in measures}
     none = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     limits = F.struct(*((F.struct((F.col(m)[1] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")) if m in measures else none).alias(m) for m in MEASURES))
-    return middle.filter(F.col("n") >= min_docs).orderBy(F.col("n").desc(), *keys).limit(most).select(*keys, limits.alias("_".join([*keys, "band"])))
+    return middle.filter(F.col("n") >= min_docs).select(*keys, limits.alias("_".join([*keys, "band"])))
 
 
-def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width: float = 6.0, min_docs: int = 20, most_bands: int = 5000) -> DataFrame:
+def quality_rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, width: float = 6.0, min_docs: int = 20, most_broadcast: int = 5000) -> DataFrame:
     """Per document the features, base_failed, kept, and the measures that rejected it.
 
     A band holds for texts of one language (or script) whose token counts have the same power of two, as short texts
     scatter more. Where there are too few of a length, the language's band over all lengths holds, without the entropy,
-    which falls with length. There are at most ``most_bands`` bands of a kind, so joining them by broadcast is bounded.
+    which falls with length. Up to ``most_broadcast`` bands of a kind are broadcast, more are joined by their keys, with
+    the same result.
     """
     features = cut_lineage(quality_features(documents, vocabulary))
     kinds = [(["lang", "length_class"], MEASURES), (["script", "length_class"], MEASURES), (["lang"], MEASURES[:2]), (["script"], MEASURES[:2])]
     joined = features
     for keys, measures in kinds:
-        joined = joined.join(F.broadcast(bands(features, keys, measures, width, min_docs, most_bands)), keys, "left")
+        own = cut_lineage(bands(features, keys, measures, width, min_docs))
+        joined = joined.join(F.broadcast(own) if own.count() <= most_broadcast else own.hint("shuffle_merge"), keys, "left")
     by_lang, by_script, all_lang, all_script = ("_".join([*keys, "band"]) for keys, _ in kinds)
     joined = joined.withColumn("band", F.coalesce(by_lang, all_lang, by_script, all_script))
     outside = [F.when(~F.col(m).between(F.col(f"band.{m}.low"), F.col(f"band.{m}.high")), F.lit(m)) for m in MEASURES]

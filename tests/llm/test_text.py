@@ -127,6 +127,63 @@ def test_texts_outside_their_band_go(spark):
     assert 100 not in kept and len(kept) == 60
 
 
+def plain_measures(model, text):
+    """Characters a token, share of fallback bytes, and token entropy over the most that so many tokens can have."""
+    ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", text) for i in model.encode(w)]
+    if not ids:
+        return 0.0, 0.0, 0.0
+    shares = [n / len(ids) for n in Counter(ids).values()]
+    entropy = -sum(p * math.log(p) for p in shares) / math.log(len(ids)) if len(ids) > 1 else 0.0
+    return sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", text))) / len(ids), sum(model.is_byte(i) for i in ids) / len(ids), entropy
+
+
+def test_measures_and_verdicts_by_their_definitions(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(quality.VOCABULARY))
+    rng = random.Random(14)
+    rows = [(1000 + i, (sentence if i % 2 else late)(rng, rng.choice([60, 70, 130, 260])) + " ☃" * (rng.randrange(3) if i % 10 else 40), ["a", "b", None][i % 3], "s", 0) for i in range(200)]
+    df = docs.unionByName(spark.createDataFrame(rows, DOCUMENTS))
+    out = quality.quality_rules(df).collect()
+    texts = {(r.doc_id, r.n_chars, r.lang): r.text or "" for r in df.collect()}
+    measured = {}
+    for key, t in texts.items():
+        measured.setdefault((key[0], key[2], len(re.findall(r"[^\x20\x09-\x0D]+", t))), []).append(plain_measures(model, t))
+    for r in out:
+        assert any((r.chars_per_token, r.byte_share, r.entropy) == pytest.approx(x, abs=1e-9) for x in measured[r.doc_id, r.lang, r.n_words])
+    usable = [r for r in out if not r.base_failed]
+
+    def band(keys, names):
+        groups = defaultdict(list)
+        for r in usable:
+            if all(r[k] is not None for k in keys):
+                groups[tuple(r[k] for k in keys)].append(r)
+        found = {}
+        for key, own in groups.items():
+            if len(own) >= 20:
+                at = lambda m, q, own=own: sorted(x[m] for x in own)[max(math.ceil(q * len(own)) - 1, 0)]
+                found[key] = {m: (at(m, 0.5), max(6 * 1.4826 * (at(m, 0.75) - at(m, 0.25)) / 2, quality.LEAST_WIDTH[m])) for m in names}
+        return found
+
+    kinds = [(k, band(k, names)) for k, names in ((("lang", "length_class"), quality.MEASURES), (("lang",), quality.MEASURES[:2]), (("script", "length_class"), quality.MEASURES), (("script",), quality.MEASURES[:2]))]
+    for r in out:
+        limits = next((f[tuple(r[k] for k in keys)] for keys, f in kinds if tuple(r[k] for k in keys) in f), {})
+        assert set(r.rejected_by) == {m for m, (middle, half) in limits.items() if abs(r[m] - middle) > half}
+        assert r.kept == (not r.base_failed and not r.rejected_by)
+    assert sum(bool(r.rejected_by) for r in out) >= 10
+    # joined or broadcast, the bands are the same
+    verdicts = lambda rows: Counter((r.doc_id, r.n_words, r.kept, *r.rejected_by) for r in rows)
+    assert verdicts(quality.quality_rules(df, most_broadcast=0).collect()) == verdicts(out)
+
+
+def test_more_languages_than_are_broadcast(spark):
+    rng = random.Random(15)
+    rows = [(20 * i + j, sentence(rng, 60) if j else "☃⚘☙ " * 60, f"l{i}", "s", 0) for i in range(30) for j in range(21)]
+    out = quality.quality_rules(spark.createDataFrame(rows, DOCUMENTS), most_broadcast=10, min_docs=20).collect()
+    by_own = [r for r in out if not r.base_failed]
+    assert len(by_own) == 600 and all(r.kept for r in by_own)
+
+
 def test_repeat_words_with_large_numbers():
     ids = np.array([5, 3 << 21, 7, 1, 5, 3 << 21, 7, 2])
     assert quality.repeat_words(ids) == 6
