@@ -8,12 +8,16 @@ agree with the plain Jaccard similarity; it is the first one again where no shin
 
 1. Texts with the same words are one node, so exact copies never meet each other again.
 2. Both sets of registers are hashed in bands. In each band's bucket, pairs whose registers of either set agree often
-   enough to reach the threshold (four standard errors are allowed) are joined into clouds. Buckets go through in blocks of ``block``
-   nodes, each pair of blocks by itself, and give a spanning forest, so what they give is linear in their size.
-3. In each cloud, again in blocks, similarity is computed exactly from the shingles: two nodes link when their Jaccard
-   or their probability Jaccard similarity reaches the threshold. Pairs that are connected already are skipped.
+   enough to reach the threshold (four standard errors are allowed) are joined into clouds.
+3. In each cloud similarity is computed exactly from the shingles: two nodes link when their Jaccard or their probability
+   Jaccard similarity reaches the threshold. Pairs that are connected already are skipped.
 4. Connected nodes are a class, named by its smallest doc_id.
 
+Buckets and clouds go through in blocks of ``block`` nodes (``connected``). One of several blocks has each block compared
+within itself and with a few representatives, which connects nearly all of a group of copies; what stays outside the
+group's largest component is then compared with every block. So a hot group costs its size times what is outside, not
+its square, and no link is left out.
+
 Defined cases: a text without words is a class of its own; a text of fewer than five words is one shingle; a null
 doc_id names a class only if no other id can; repeated rows are one document; an empty table gives an empty result.
 """
@@ -235,7 +239,9 @@ def linker(threshold: float):
                 ends = np.cumsum(sizes)
                 number = np.unique(np.concatenate([s for s, _ in docs]), return_inverse=True)[1]
                 uneven = np.array([c.max() > 1 for _, c in docs])
-                mark = np.zeros(number.max() + 1, np.int64)
+                weights = [weights_of(c) for _, c in docs]
+                shares = np.concatenate([w / w.sum() for w in weights])
+                mark, share = np.zeros(number.max() + 1, np.int64), np.zeros(number.max() + 1)
                 root = np.arange(len(docs))
                 for i in range(len(docs) - 1):
                     rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
@@ -248,10 +254,17 @@ def linker(threshold: float):
                     mark[own] = 0
                     similar = common / (sizes[rest] + sizes[i] - common)
                     linked = rest[similar >= threshold].tolist()
-                    for j in rest[(similar < threshold) & (similar > threshold / 5) & (uneven[rest] | uneven[i])].tolist():
-                        a, b = (dict(zip(docs[k][0].tolist(), weights_of(docs[k][1]).tolist(), strict=True)) for k in (i, j))
-                        if probability_jaccard(a, b) >= threshold:
-                            linked.append(j)
+                    weighted = (similar < threshold) & (common > 0) & (uneven[rest] | uneven[i])
+                    if weighted.any():
+                        # no pair is more similar than what its weights, each as a share of its text's, have in common
+                        share[own] = shares[ends[i] - sizes[i] : ends[i]]
+                        both = np.concatenate([[0], np.cumsum(np.minimum(share[number[ends[i] :]], shares[ends[i] :]))])
+                        share[own] = 0
+                        most = (both[ends[i + 1 :] - ends[i]] - both[ends[i + 1 :] - sizes[i + 1 :] - ends[i]])[rest - i - 1]
+                        for j in rest[weighted & (most > threshold - 1e-9)].tolist():
+                            a, b = (dict(zip(docs[k][0].tolist(), weights_of(docs[k][1]).tolist(), strict=True)) for k in (i, j))
+                            if probability_jaccard(a, b) >= threshold:
+                                linked.append(j)
                     if linked:
                         roots = np.unique(np.append(root[linked], root[i]))
                         root[np.isin(root, roots)] = roots[0]
@@ -262,17 +275,40 @@ def linker(threshold: float):
     return run
 
 
-def in_blocks(rows: DataFrame, keys: list[str], size: str, block: int) -> DataFrame:
-    """rows with lo and hi: groups of more than ``block`` rows are cut by node, and each pair of cuts becomes a group."""
-    cuts = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    paired = rows.withColumn("cuts", cuts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    return paired.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *[c for c in rows.columns if c not in (*keys, size)])
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Groups whole and in order within the partitions."""
-    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")
+def spread(rows: DataFrame) -> DataFrame:
+    """Blocks whole and in order within the partitions."""
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+
+def connected(sizes: DataFrame, members: DataFrame, finder, block: int, representatives: int = 32) -> DataFrame:
+    """node and label of what finder() connects in groups; sizes has key and n of each group, members key, node and one more."""
+    columns = ["key", "lo", "hi", *members.columns[1:]]
+    place = lambda cuts: F.pmod(F.xxhash64("node"), cuts).cast("int")
+    until = lambda n: F.sequence(F.lit(0), n - 1)
+    rows = members.join(sizes, "key").withColumn("cuts", F.ceil(F.col("n") / block).cast("int"))
+    # about this many of a group are compared with every block; there is one in most groups
+    chosen = F.pmod(F.xxhash64("node", F.lit("representative")), F.col("n")) < representatives
+    sent = F.explode(F.when(chosen, until(F.col("cuts"))).otherwise(F.array(place(F.col("cuts")))))
+    edges = spread(rows.withColumn("lo", sent).withColumn("hi", F.col("lo")).select(columns)).mapInArrow(finder, EDGES).distinct()
+    large = sizes.filter(F.col("n") > block)
+    if large.isEmpty():
+        return components(edges)
+    edges = cut_lineage(edges)
+    labels = components(edges)
+    labelled = members.join(large, "key").select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut_lineage(labelled)
+    largest = labelled.groupBy("key", "label").agg(F.count("*").alias("size"), F.max("n").alias("n")).groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("size", "label")).alias("largest"))
+    # a group that is one component is done
+    cuts = largest.filter(F.col("largest.size") < F.col("n")).select(
+        "key", F.col("largest.label").alias("inner"), F.ceil((F.col("n") - F.col("largest.size")) / block).cast("int").alias("outer_cuts"), F.ceil(F.col("largest.size") / block).cast("int").alias("inner_cuts")
+    )
+    sides = labelled.drop("n").join(cuts, "key").withColumn("is_inner", F.col("label") == F.col("inner")).drop("label", "inner")
+    # the blocks outside the largest component are numbered first, and everything is compared with them
+    own = F.when(F.col("is_inner"), F.col("outer_cuts") + place(F.col("inner_cuts"))).otherwise(place(F.col("outer_cuts")))
+    other = F.explode(until(F.when(F.col("is_inner"), F.col("outer_cuts")).otherwise(F.col("outer_cuts") + F.col("inner_cuts"))))
+    rest = members.join(sides, ["key", "node"]).withColumn("own", own).withColumn("other", other)
+    rest = rest.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(columns)
+    return components(edges.unionByName(spread(rest).mapInArrow(finder, EDGES)).distinct())
 
 
 def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int = 1000) -> DataFrame:
@@ -283,16 +319,13 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int
     # texts with the same words have the same bands and registers
     nodes = cut_lineage(features.filter("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.min("bands").alias("bands"), F.min("registers").alias("registers")))
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = banded.join(shared, "key").join(nodes.select("node", "registers"), "node").select("key", "n", "node", "registers")
+    shared = cut_lineage(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = banded.join(shared.select("key"), "key").join(nodes.select("node", "registers"), "node").select("key", "node", "registers")
     least = int(REGISTERS * (threshold - 4 * sqrt(threshold * (1 - threshold) / REGISTERS)))
-    cloud_edges = spread(in_blocks(members, ["key"], "n", block), "key").mapInArrow(cloud_finder(least), EDGES).distinct()
-    clouds = components(cloud_edges)  # node, label
-    sized = clouds.join(clouds.groupBy("label").agg(F.count("*").alias("n")), "label")
+    clouds = connected(shared, members, cloud_finder(least), block).withColumn("key", F.xxhash64("label"))  # node, label
     first = nodes.select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    texts = sized.join(first, "node").join(docs.select("k1", "k2", "text"), ["k1", "k2"]).select(F.xxhash64("label").alias("key"), "n", "node", "text")
-    links = spread(in_blocks(texts, ["key"], "n", block), "key").mapInArrow(linker(threshold), EDGES).distinct()
-    classes = components(links)
+    texts = clouds.join(first, "node").join(docs.select("k1", "k2", "text"), ["k1", "k2"]).select("key", "node", "text")
+    classes = connected(clouds.groupBy("key").agg(F.count("*").alias("n")), texts, linker(threshold), block)
     of_node = nodes.select("node", "first").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = of_node.join(of_node.groupBy("label").agg(F.min("first").alias("class_first")), "label").select("node", "class_first")
     found = features.select("doc_id", "k1", "k2", "node").join(named, "node")

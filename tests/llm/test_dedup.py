@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -136,7 +137,27 @@ def test_near_duplicates(docs, empty):
 
 def test_small_blocks_find_the_same_classes(docs):
     rows = lambda n: sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_duplicates(docs, block=n).collect())
-    assert rows(2) == rows(1000)
+    assert rows(2) == rows(1000) == rows(7)
+
+
+def test_a_hot_group_keeps_every_link(spark):
+    """A chain of texts, each like the next but not like those further on, between many copies with one word changed."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(150):
+        own = list(words)
+        own[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(12):  # each step changes seven words for good
+        for k in range(7):
+            words[i * 30 + 4 * k] = f"y{i}x{k}"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300 + i, " ".join(f"z{i}x{k}" for k in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, want = classes_want(rows)
+    for block in (8, 60, 1000):
+        assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(df, block=block).collect()} == {(i, c) for (i, _), c in want.items()}
 
 
 def test_one_document_of_each_class_stays(docs, clashing):
@@ -155,7 +176,7 @@ def test_every_text_is_a_row_whatever_its_words_are(spark):
 
 def test_copies_with_a_repeated_block_are_found(spark):
     rows = []
-    for i, times in enumerate((5, 30, 5, 30)):
+    for i, times in enumerate((5, 30, 5, 30, 2000)):
         words = [f"w{i}x{k}" for k in range(404)]
         block = [f"b{i}x{k}" for k in range(60)]
         rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words + block * times))]
