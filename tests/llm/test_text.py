@@ -221,11 +221,78 @@ def test_words_of_three_labelled_rows_are_learnt(spark):
     df = spark.createDataFrame(rows, DOCUMENTS)
     labels = spark.createDataFrame([(i, 1, int(i < 48)) for i in range(240)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_chain(df, labels)
-    assert set(rare) <= set(chain.vocabulary.vocabulary)
+    assert set(rare) <= set(chain.vocabulary)
     out = {r.doc_id: r.p_toxic for r in toxicity.toxicity(df, labels).collect()}
     assert min(out[1000 + i] for i in range(len(rare))) > 0.3  # the base rate is 0.2
 
 
+def test_models_are_the_minimum_that_they_should_be():
+    """At the minimum of mean log loss + penalty * |scaled weights|, slopes balance the penalty, and none is over it."""
+    rng = np.random.default_rng(6)
+    n, width = 400, 60
+    x = rng.random((n, width)) < rng.random(width) ** 2
+    dense = rng.random((n, 1))
+    z = x[:, :5] @ np.array([2.0, -2.0, 1.5, 1.0, -1.0]) + 2 * dense[:, 0] - 1
+    label = (rng.random(n) < 1 / (1 + np.exp(-z))).astype(float)
+    row, ids = np.nonzero(x)
+    penalty = 0.01
+    rows = toxicity.Rows(ids, x.sum(axis=1), width, dense)
+    weights, intercept = toxicity.fitted(rows, label, penalty, most_steps=2000, tolerance=1e-12)
+    both = np.column_stack([x, dense]).astype(float)
+    std = both.std(axis=0)
+    residual = 1 / (1 + np.exp(-(both @ weights + intercept))) - label
+    slope = (both / np.where(std > 0, std, 1)).T @ residual / n
+    own = (std > 1e-12) & (weights != 0)
+    assert abs(residual.mean()) < 1e-5 and 3 <= own.sum() < width
+    assert np.allclose(slope[own], -penalty * np.sign(weights[own]), atol=1e-4)
+    assert (np.abs(slope[(std > 1e-12) & (weights == 0)]) <= penalty + 1e-4).all()
+    assert (weights[std <= 1e-12] == 0).all()
+
+
+def test_conflicting_labels_repeated_rows_and_wordless_texts(spark, docs):
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, 30) + (" badword" if i % 4 == 0 else ""), "en", "s", 0) for i in range(160)]
+    rows += [(500, None, None, None, None), (501, " 12 ☃ ", "en", "s", 0), (502, "badword " * 200_000, "en", "s", 0), rows[0], rows[0], (None, "badword here", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    labels = [(i, i % 2, int(i % 4 == 0)) for i in range(120)]
+    make = lambda more: spark.createDataFrame(labels + more, "doc_id long, quality int, toxic int")
+    report = lambda lab: sorted((str(r.doc_id), r.p_low_quality, r.p_toxic) for r in toxicity.toxicity(df, lab).collect())
+    # a second label that says less changes nothing, whichever comes first; one that says more holds
+    once = report(make([]))
+    assert report(make([(i, 1, 0) for i in range(0, 120, 4)])) == once == report(make([(None, 1, 1), (7, None, 1), (9999, 1, 1)]).repartition(7))
+    assert report(make([(i, 1, 1) for i in range(1, 120, 4)])) != once
+    out = {i: p for i, _, p in once}
+    assert len(once) == len(rows) and out["500"] == out["501"] < 0.5 < min(out["502"], out["None"])
+    assert sum(i == "0" for i, *_ in once) == 3 and len({x for x in once if x[0] == "0"}) == 1
+
+
+def test_probabilities_of_the_chain_by_hand(spark):
+    """The later model's input is what models of the other folds gave; a plain chain has the same probabilities."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(6)), "en", "s", 0) for i in range(300)]
+    labels = [(i, int("ab" not in t.split() or i % 9 == 0), int("cd" in t.split() and i % 7 > 0)) for i, t, *_ in rows[:200]]
+    df, lab = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.toxicity(df, lab).collect()}
+    fold = {r[0]: r[1] for r in lab.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fold'), 3)").collect()}
+    words = sorted({w for _, t, *_ in rows for w in t.split()})
+    x = np.array([[w in t.split() for w in words] for _, t, *_ in rows], float)
+    low, toxic = np.array([1.0 - q for _, q, _ in labels]), np.array([float(t) for *_, t in labels])
+
+    def fit(which, label, dense):
+        ids = np.concatenate([np.flatnonzero(x[i]) for i in which])
+        w, b = toxicity.fitted(toxicity.Rows(ids, x[which].sum(axis=1).astype(int), len(words), dense[which]), label[which], 0.002)
+        return lambda rows, d: 1 / (1 + np.exp(-(np.column_stack([x[rows], d]) @ w + b)))
+
+    none, known, every = np.zeros((300, 0)), np.arange(200), np.arange(300)
+    apart = np.zeros((200, 1))
+    for f in range(3):
+        own = np.array([i for i in known if fold[i] == f])
+        apart[own, 0] = fit(np.setdiff1d(known, own), low, none)(own, none[own])
+    p_low = fit(known, low, none)(every, none)
+    p_toxic = fit(known, toxic, apart)(every, p_low[:, None])
+    assert np.allclose(np.array([got[i] for i in range(300)]), np.column_stack([p_low, p_toxic]), atol=0.01)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
