@@ -1,4 +1,7 @@
-"""Alert rules over all scored companies, de-duplicated by rule, company and day, with an outbox of payloads."""
+"""Alert rules over all scored companies, de-duplicated by rule, company and day, with an outbox of payloads.
+
+Rules are joined without hints: written by hand they are few, and Spark broadcasts what it knows to be small.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,6 @@ from pyspark.sql import functions as F
 #: FIXED VALUES: rule kinds and the score family that each watches.
 FAMILIES = {"INSIDER_THRESHOLD": "insider", "INSTITUTIONAL_THRESHOLD": "institution", "SHORT_INTEREST_THRESHOLD": "short_interest"}
 LABEL_RULE = "CONVERGENCE_LABEL"
-MOST_RULES = 10_000  # rules are written by hand; more than this is refused instead of broadcast
 
 RULE = "name string, version int, rule_type string, min_score double, labels array<string>, webhook_url string, webhook_format string"
 
@@ -26,33 +28,44 @@ def current_rules(changes: DataFrame) -> DataFrame:
     return newest.select("name", "r.*").withColumns({"is_active": F.lit(True), "is_valid": is_valid()})
 
 
+def listing(alerts: DataFrame, *, rule: str | None = None, company=None) -> DataFrame:
+    """Alerts, of one rule or company if asked for, newest first."""
+    for column, value in (("name", rule), ("company_id", company)):
+        alerts = alerts if value is None else alerts.filter(F.col(column) == F.lit(value))
+    return alerts.orderBy(F.col("alert_date").desc(), "name", "company_id")
+
+
 def shown(rules: DataFrame) -> DataFrame:
     """Rules as they are listed: the address only as a yes or no."""
     return rules.withColumn("has_webhook", F.col("webhook_url").isNotNull()).drop("webhook_url")
 
 
-def small(rules: DataFrame) -> DataFrame:
-    """The valid rules for a broadcast, after their number is checked."""
-    valid = rules.filter("is_valid")
-    if valid.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} alert rules")
-    return F.broadcast(valid)
-
-
 def threshold_hits(rules: DataFrame, scores: DataFrame) -> DataFrame:
     """scores (family, company_id, composite, ...) that reach a rule's least score; a null never does."""
     family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
-    watched = small(rules.filter(F.col("rule_type").isin(list(FAMILIES))).withColumn("family", F.try_element_at(family, F.col("rule_type"))))
-    hits = scores.join(watched, "family").filter(F.col("composite") >= F.col("min_score"))
+    watched = rules.filter(F.col("is_valid") & F.col("rule_type").isin(list(FAMILIES))).withColumn("family", F.try_element_at(family, F.col("rule_type")))
+    hits = scores.join(watched.select("family", "name", "min_score"), "family").filter(F.col("composite") >= F.col("min_score"))
     said = F.concat(F.col("family"), F.lit(" score "), F.format_number("composite", 1), F.lit(" reaches "), F.format_number("min_score", 1))
-    return hits.select("name", "company_id", "composite", said.alias("summary"), *(["evidence_ids"] if "evidence_ids" in scores.columns else []))
+    return hits.select("name", "company_id", "composite", said.alias("summary"), "family")
 
 
 def label_hits(rules: DataFrame, table: DataFrame) -> DataFrame:
-    """Convergence rows whose label a rule watches; they carry no composite."""
-    watched = small(rules.filter(F.col("rule_type") == LABEL_RULE)).select("name", F.explode("labels").alias("label")).distinct()
+    """Convergence rows whose label a rule watches; they carry no composite, and rest on all families."""
+    watched = rules.filter(F.col("is_valid") & (F.col("rule_type") == LABEL_RULE)).select("name", F.explode("labels").alias("label")).distinct()
     hits = table.join(watched, "label")
-    return hits.select("name", "company_id", F.lit(None).cast("double").alias("composite"), F.col("label").alias("summary"), *(["evidence_ids"] if "evidence_ids" in table.columns else []))
+    return hits.select("name", "company_id", F.lit(None).cast("double").alias("composite"), F.col("label").alias("summary"), F.lit(None).cast("string").alias("family"))
+
+
+def with_evidence(hits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """hits with evidence_ids: the ids of evidence (family, company_id, evidence_id) of the hit's family, or of all.
+
+    Only what belongs to a company that was hit is gathered.
+    """
+    keys = hits.select("name", "company_id", F.col("family").alias("hit_family"))
+    found = evidence.join(keys, "company_id").filter(F.col("hit_family").isNull() | (F.col("hit_family") == F.col("family")))
+    ids = found.groupBy("name", "company_id").agg(F.array_sort(F.collect_list(F.struct("family", "evidence_id"))).alias("found"))
+    none = F.array().cast("array<string>")
+    return hits.join(ids, ["name", "company_id"], "left").withColumn("evidence_ids", F.coalesce(F.transform("found", lambda x: x["evidence_id"]), none)).drop("found", "family")
 
 
 def new_alerts(hits: DataFrame, known: DataFrame, as_of) -> DataFrame:
@@ -73,8 +86,11 @@ def evaluated(rules: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def payloads(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """An outbox row for each alert with an address: chat text, or JSON of nine fields with nulls kept."""
-    rows = alerts.join(F.broadcast(rules.select("name", "webhook_url", "webhook_format")), "name").filter("webhook_url IS NOT NULL")
+    """An outbox row for each alert with an address: chat text, or JSON of nine fields with nulls kept.
+
+    alerts has evidence_ids, as with_evidence() gives them.
+    """
+    rows = alerts.join(rules.filter("webhook_url IS NOT NULL").select("name", "webhook_url", "webhook_format"), "name")
     rule_id, alert_id = F.sha2("name", 256), F.sha2(F.concat_ws(":", "name", F.col("company_id").cast("string"), F.col("alert_date").cast("string")), 256)
     generic = F.to_json(
         F.struct(

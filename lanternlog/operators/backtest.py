@@ -26,8 +26,9 @@ def forward_returns(signals: DataFrame, bars: DataFrame, holding_bars: int) -> D
     both = priced.select("company_id", F.col("trade_date").alias("at"), F.lit(1).alias("is_bar"), entry.alias("bar")).unionByName(
         signals.select("company_id", F.col("signal_date").alias("at"), F.lit(0).alias("is_bar")), allowMissingColumns=True
     )
-    following = W.partitionBy("company_id").orderBy("at", "is_bar").rowsBetween(W.currentRow, W.unboundedFollowing)
-    matched = both.withColumn("entry", F.first("bar", ignorenulls=True).over(following)).filter("is_bar = 0")
+    # from the last date to the first, so that the next bar is the last one seen and a frame grows by a row at a time
+    seen = W.partitionBy("company_id").orderBy(F.col("at").desc(), F.col("is_bar").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    matched = both.withColumn("entry", F.last("bar", ignorenulls=True).over(seen)).filter("is_bar = 0")
     return matched.select(
         "company_id",
         F.col("at").alias("signal_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-METRICS = ["revenue", "net_income", "gross_profit"]
+METRICS = ["revenue", "net_income", "eps_diluted", "gross_profit", "operating_income"]
 
 
 def quarter_holdings(raw: DataFrame) -> DataFrame:
@@ -33,24 +33,26 @@ def prior_portfolio(holdings: DataFrame) -> DataFrame:
 def position_changes(holdings: DataFrame) -> DataFrame:
     """Holdings with status and change against the period before, and a row for each position that was given up.
 
-    One full outer join of each period with the one before; what is only before is EXITED, what is only now is NEW.
+    A holding is compared with the company's holding before it where that is of the institution's period before: by lag
+    and lead over (institution, company), so the holdings are read once, and joined only with the institutions' periods.
+    What is only before is EXITED, as of the period after it; what is only now is NEW.
     """
-    now = holdings.select("institution_id", "period_of_report", "company_id", "shares", "market_value_usd")
-    keys = ["institution_id", "period_of_report", "company_id"]
-    both = now.join(prior_portfolio(holdings), keys, "full_outer")
-    change = F.col("shares") - F.col("prior_shares")
-    status = (
-        F.when(F.col("prior_shares").isNull(), "NEW").when(F.col("shares").isNull(), "EXITED").when(change > 0, "INCREASED").when(change < 0, "DECREASED").otherwise("UNCHANGED")
-    )
+    own = W.partitionBy("institution_id", "company_id").orderBy("period_of_report")
+    at = holdings.select("institution_id", "period_of_report", "company_id", "shares", "market_value_usd").join(periods(holdings), ["institution_id", "period_of_report"])
+    at = at.withColumns({"last_period": F.lag("period_of_report").over(own), "last_shares": F.lag("shares").over(own), "lead_period": F.lead("period_of_report").over(own)})
+    prior = F.when(F.col("last_period") == F.col("prior_period"), F.col("last_shares"))
+    change = F.col("shares") - prior
+    status = F.when(prior.isNull(), "NEW").when(change > 0, "INCREASED").when(change < 0, "DECREASED").otherwise("UNCHANGED")
+    shares, value = (lambda x: x.cast("decimal(28,4)")), (lambda x: x.cast("decimal(28,2)"))
+    now = F.struct(F.col("period_of_report").alias("period"), shares(F.col("shares")).alias("shares"), value(F.col("market_value_usd")).alias("value"), shares(change).alias("change"), status.alias("status"))
+    gone = F.col("next_period").isNotNull() & ~F.col("lead_period").eqNullSafe(F.col("next_period"))
     zero = F.lit(0)
-    return both.select(
-        *keys,
-        F.coalesce("shares", zero).cast("decimal(28,4)").alias("shares"),
-        F.coalesce("market_value_usd", zero).cast("decimal(28,2)").alias("market_value_usd"),
-        F.when(F.col("prior_shares").isNull(), None).otherwise(F.coalesce("shares", zero) - F.col("prior_shares")).cast("decimal(28,4)").alias("shares_change"),
-        status.alias("position_status"),
-        F.date_add("period_of_report", 45).alias("publication_time"),
-    )
+    left = F.struct(F.col("next_period").alias("period"), shares(zero).alias("shares"), value(zero).alias("value"), shares(-F.col("shares")).alias("change"), F.lit("EXITED").alias("status"))
+    rows = at.select("institution_id", "company_id", F.explode(F.array_compact(F.array(now, F.when(gone, left)))).alias("r"))
+    return rows.select(
+        "institution_id", F.col("r.period").alias("period_of_report"), "company_id", "r.shares", F.col("r.value").alias("market_value_usd"), F.col("r.change").alias("shares_change"),
+        F.col("r.status").alias("position_status"), F.date_add("r.period", 45).alias("publication_time"),
+    )
 
 
 def fund_changes(snapshots: DataFrame) -> DataFrame:
@@ -99,10 +101,10 @@ def fundamentals(facts: DataFrame) -> DataFrame:
     at = first.groupBy("company_id", "period_start", "period_end", "period_type").agg(
         *(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS), F.min("filed").alias("publication_time")
     )
-    return at.withColumn("gross_margin", margin("gross_profit", "revenue"))
+    return at.withColumns({"gross_margin": margin("gross_profit", "revenue"), "operating_margin": margin("operating_income", "revenue")})
 
 
 def margin(part: str, whole: str) -> Column:
     """part over whole in percent, as decimal(7,4); null where whole is null or 0 or the ratio does not fit."""
     ratio = F.col(part).cast("double") / F.nullif(F.col(whole).cast("double"), F.lit(0.0)) * 100
-    return ratio.try_cast("decimal(9,4)")
+    return ratio.try_cast("decimal(7,4)")

@@ -12,10 +12,11 @@ TRANSACTION_TYPES = {
     "X": "OPTION_EXERCISE", "C": "CONVERSION", "G": "GIFT", "W": "TRANSFER", "Z": "TRANSFER",
 }
 
-#: FIXED VALUES: source name, tier, licence.
+#: FIXED VALUES: what each kind of facts comes from: kind, source name, tier, address.
 SOURCES = [
-    ("sec_form4", "A", "public domain"), ("sec_13f", "A", "public domain"), ("finra_short_interest", "A", "public data"),
-    ("companies_house", "A", "open government licence"), ("blockchain_info", "B", "public api"), ("cboe_volatility", "B", "public data"), ("gdelt", "C", "open data"),
+    ("insider", "SEC EDGAR", "A_OFFICIAL", "https://www.sec.gov"), ("holdings", "SEC EDGAR", "A_OFFICIAL", "https://www.sec.gov"), ("short_interest", "FINRA", "A_OFFICIAL", "https://api.finra.org"),
+    ("control", "Companies House", "A_OFFICIAL", "https://api.company-information.service.gov.uk"), ("wallet", "blockchain.info", "A_OFFICIAL", "https://blockchain.info"),
+    ("volatility", "Cboe Global Markets", "A_OFFICIAL", "https://www.cboe.com"), ("tone", "GDELT Project", "C_PUBLICATION", "https://www.gdeltproject.org"),
 ]
 
 
@@ -43,16 +44,29 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: list[str], order: list[C
     return first_per_key(batch.join(target.select(*keys).distinct(), keys, "left_anti"), keys, order)
 
 
-def batch_summary(batch: DataFrame, target: DataFrame, keys: list[str], order: list[Column], is_valid: Column) -> DataFrame:
-    """How many rows of a batch are seen, created, duplicate and in error; a bad row never stops the others."""
-    good = batch.filter(is_valid)
-    created = new_rows(good, target, keys, order)
-    one = good.agg(F.count("*").alias("good")).crossJoin(created.agg(F.count("*").alias("created"))).crossJoin(batch.agg(F.count("*").alias("seen")))
-    return one.select("seen", "created", (F.col("good") - F.col("created")).alias("duplicate"), (F.col("seen") - F.col("good")).alias("error"))
+def quarantine(batch: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
+    """The rows of a batch that fail a check, with the first reason."""
+    reason = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for why, ok in checks))
+    return batch.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
+def batch_summary(batch: DataFrame, target: DataFrame, keys: list[str], order: list[Column], is_valid: Column, is_empty: Column | None = None) -> DataFrame:
+    """How many rows of a batch are seen, created, duplicate, empty and in error; a bad row never stops the others."""
+    empty = F.coalesce(is_empty if is_empty is not None else F.lit(False), F.lit(False))
+    bad = ~F.coalesce(is_valid, F.lit(False)) & ~empty
+    counts = batch.agg(F.count("*").alias("seen"), F.count_if(empty).alias("empty"), F.count_if(bad).alias("error"))
+    created = new_rows(batch.filter(~empty & is_valid), target, keys, order)
+    one = counts.crossJoin(created.agg(F.count("*").alias("created")))
+    return one.select("seen", "created", (F.col("seen") - F.col("empty") - F.col("error") - F.col("created")).alias("duplicate"), "empty", "error")
+
+
+def source_kinds(spark) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "kind string, name string, tier string, base_url string")
 
 
 def sources(spark) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "name string, tier string, licence string")
+    """The source dimension: one row a name, however many kinds of facts come from it."""
+    return source_kinds(spark).select("name", "tier", "base_url").distinct()
 
 
 def insider_envelope(transactions: DataFrame) -> DataFrame:
@@ -88,10 +102,10 @@ def event_union(*parts: tuple[str, DataFrame, Column, Column, Column]) -> DataFr
 
 
 def roles(transactions: DataFrame) -> DataFrame:
-    """Person-company roles after all transactions: the latest flag and non-empty title, the earliest disclosure."""
+    """Person-company roles after all transactions: the latest flags and non-empty title, the earliest disclosure."""
     order = F.struct("publication_time", "event_id")
     return transactions.groupBy("person_id", "company_id").agg(
-        F.max_by("is_officer", order).alias("is_officer"), F.max_by("title", F.when(F.col("title") != "", order)).alias("title"), F.min("publication_time").alias("start_date")
+        *(F.max_by(c, order).alias(c) for c in ("is_officer", "is_director", "is_ten_percent_owner")), F.max_by("title", F.when(F.col("title") != "", order)).alias("title"), F.min("publication_time").alias("start_date")
     )
 
 

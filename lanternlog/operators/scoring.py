@@ -6,7 +6,7 @@ row in the window has no row here.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,18 +21,31 @@ ACCUMULATING, DISTRIBUTING = ["NEW", "INCREASED"], ["DECREASED", "EXITED"]
 # --- history and anomaly -------------------------------------------------------------------------------------------
 
 
-def bucket(event_time: Column, window_start: date, window_days: int) -> Column:
-    """Number of the half-open window before window_start that a date lies in, 0 the nearest; negative after it."""
-    days_before = F.datediff(F.lit(window_start), event_time) - 1
-    return F.floor(days_before / window_days).cast("int")
+def bucket(event_time: Column, window_start: date | datetime, window_days: int) -> Column:
+    """Number of the half-open window before window_start that a time lies in, 0 the nearest; negative after it.
 
+    Times are compared to the microsecond; a date is its first moment.
+    """
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    before = micros(F.lit(window_start)) - micros(event_time) - 1
+    return F.floor(before / F.lit(window_days * 86_400_000_000)).cast("int")
 
-def baseline(rows: DataFrame, key: str, amount: Column, window_start: date, window_days: int, lookback_days: int) -> DataFrame:
-    """key and history: the amounts of floor(lookback / window) windows, 0 where nothing happened; order does not matter."""
+
+def window_and_history(rows: DataFrame, as_of: date | datetime, window_days: int, lookback_days: int) -> DataFrame:
+    """rows of the window (k = -1) and of the floor(lookback / window) windows before it (k = 0, 1, ...); others are gone."""
     n = lookback_days // window_days
-    k = bucket(F.col("event_time"), window_start, window_days)
-    sums = rows.withColumn("_k", k).filter(F.col("_k").between(0, n - 1)).groupBy(key, "_k").agg(F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("_sum"))
-    return sums.groupBy(key).agg(F.collect_list("_sum").alias("_some")).select(key, padded(F.col("_some"), n).alias("history"))
+    k = F.greatest(bucket(F.col("event_time"), as_of - timedelta(window_days), window_days), F.lit(-1))
+    return rows.filter(F.col("event_time") < F.lit(as_of)).withColumn("k", k).filter(F.col("k") < n)
+
+
+def of_window(column: str | Column) -> Column:
+    """A bucket's value in the window's row, for an aggregation over a company's buckets."""
+    return F.max(F.when(F.col("k") == -1, column if isinstance(column, Column) else F.col(column)))
+
+
+def history_of(amount: str, n: int) -> Column:
+    """The amounts of the n windows before, 0 where nothing happened; their order does not matter."""
+    return padded(F.collect_list(F.when(F.col("k") >= 0, F.coalesce(F.col(amount).cast("double"), F.lit(0.0)))), n)
 
 
 def padded(some: Column, n: int) -> Column:
@@ -108,40 +121,68 @@ def amount() -> Column:
     return F.col("shares").cast("decimal(18,4)") * F.col("price").cast("decimal(18,4)")
 
 
-def discretionary(transactions: DataFrame, as_of: date) -> DataFrame:
+def discretionary(transactions: DataFrame, as_of: date | datetime) -> DataFrame:
     """Open-market purchases that were public by as_of."""
     return transactions.filter((F.col("acquired_disposed") == "A") & (F.col("transaction_code") == "P") & (F.col("publication_time") <= F.lit(as_of)))
 
 
-def in_window(rows: DataFrame, start: date, end: date) -> DataFrame:
+def in_window(rows: DataFrame, start: date | datetime, end: date | datetime) -> DataFrame:
     return rows.filter((F.col("event_time") >= F.lit(start)) & (F.col("event_time") < F.lit(end)))
 
 
-def insider_window(transactions: DataFrame, roles: DataFrame, as_of: date, window_days: int) -> DataFrame:
-    """Per company: dollars, transactions, priced ones, distinct and senior insiders, plan dollars, evidence."""
-    rows = in_window(discretionary(transactions, as_of), as_of - timedelta(window_days), as_of)
-    known = roles.select("person_id", "company_id", "is_officer")
-    evidence = F.struct("event_time", "event_id", "person_id", "shares", "price", amount().alias("dollars"), F.col("is_10b5_1").alias("plan"), "accession")
+ROLES = ("is_officer", "is_director", "is_ten_percent_owner")
+
+
+def insider_buckets(transactions: DataFrame, roles: DataFrame, as_of: date | datetime, window_days: int, lookback_days: int) -> DataFrame:
+    """Per company and bucket: dollars, transactions, priced ones, distinct and senior insiders, plan dollars.
+
+    One pass over the transactions: they are summed for each person first, so that distinct people are rows, and roles
+    are joined to those. Senior is who is an officer, a director or an owner of ten percent.
+    """
+    rows = window_and_history(discretionary(transactions, as_of), as_of, window_days, lookback_days)
+    people = rows.groupBy("company_id", "k", "person_id").agg(
+        F.sum(amount()).alias("total"), F.count("*").alias("transactions"), F.count("price").alias("priced"), F.sum(F.when(F.col("is_10b5_1"), amount())).alias("plan")
+    )
+    senior = F.coalesce(*(F.when(F.col(c), F.lit(True)) for c in ROLES), F.lit(False))
+    known = roles.select("person_id", "company_id", senior.alias("is_senior"))
+    return (
+        people.join(known, ["person_id", "company_id"], "left")
+        .groupBy("company_id", "k")
+        .agg(
+            F.sum("total").alias("total"), F.sum("transactions").alias("transactions"), F.sum("priced").alias("priced"), F.count("*").alias("insiders"),
+            F.count_if(F.col("is_senior")).alias("senior"), F.sum("plan").alias("plan"),
+        )
+    )
+
+
+def insider_window(transactions: DataFrame, roles: DataFrame, as_of: date | datetime, window_days: int, lookback_days: int = 0) -> DataFrame:
+    """Per company with a purchase in the window: the window's sums and counts, and the history of dollars."""
+    counts = ("transactions", "priced", "insiders", "senior")
     return (
-        rows.join(known, ["person_id", "company_id"], "left")
+        insider_buckets(transactions, roles, as_of, window_days, lookback_days)
         .groupBy("company_id")
         .agg(
-            F.coalesce(F.sum(amount()).cast("double"), F.lit(0.0)).alias("window_total"),
-            F.count("*").alias("transactions"),
-            F.count("price").alias("priced"),
-            F.size(F.collect_set("person_id")).cast("bigint").alias("insiders"),
-            F.size(F.collect_set(F.when(F.col("is_officer"), F.col("person_id")))).cast("bigint").alias("senior"),
-            F.coalesce(F.sum(F.when(F.col("is_10b5_1"), amount())).cast("double"), F.lit(0.0)).alias("plan_total"),
-            F.array_sort(F.collect_list(evidence)).alias("evidence"),
+            F.coalesce(of_window("total").cast("double"), F.lit(0.0)).alias("window_total"), *(of_window(c).alias(c) for c in counts),
+            F.coalesce(of_window("plan").cast("double"), F.lit(0.0)).alias("plan_total"), history_of("total", lookback_days // window_days).alias("history"),
         )
-    )
+        .filter("transactions IS NOT NULL")
+    )
 
 
-def insider_scores(transactions: DataFrame, roles: DataFrame, companies: DataFrame, as_of: date, *, window_days: int = 90, lookback_days: int = 730, least: int = 4) -> DataFrame:
+def insider_evidence(transactions: DataFrame, roles: DataFrame, as_of: date | datetime, window_days: int = 90) -> DataFrame:
+    """The purchases that a score rests on, a row each: who, in which roles, when, how much, and where it was disclosed."""
+    rows = in_window(discretionary(transactions, as_of), as_of - timedelta(window_days), as_of)
+    known = roles.select("person_id", "company_id", *ROLES)
+    url = F.col("source_url") if "source_url" in transactions.columns else F.lit(None).cast("string").alias("source_url")
+    return rows.join(known, ["person_id", "company_id"], "left").select(
+        "company_id", "event_time", "event_id", "person_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ROLES), "shares", "price", amount().alias("dollars"), F.col("is_10b5_1").alias("plan"), url, "accession"
+    )
+
+
+def insider_scores(transactions: DataFrame, roles: DataFrame, companies: DataFrame, as_of: date | datetime, *, window_days: int = 90, lookback_days: int = 730, least: int = 4) -> DataFrame:
+    """A row for each company with a purchase in the window; insider_evidence() has the rows that it rests on."""
     start = as_of - timedelta(window_days)
-    window = insider_window(transactions, roles, as_of, window_days)
-    past = baseline(discretionary(transactions, as_of), "company_id", amount(), start, window_days, lookback_days)
-    out = window.join(past, "company_id", "left").withColumn("history", F.coalesce("history", padded(F.lit(None).cast("array<double>"), lookback_days // window_days)))
+    out = insider_window(transactions, roles, as_of, window_days, lookback_days)
     out = out.withColumns(against_history("window_total", least)).withColumns(
         {
             "size_vs_history": clamp(F.col("baseline_percentile") * 100),
@@ -190,39 +231,46 @@ def accumulated() -> Column:
     return F.when(F.col("position_status") == "NEW", F.col("market_value_usd").cast("double")).when(F.col("position_status") == "INCREASED", grown).otherwise(0.0)
 
 
-def public_holdings(changes: DataFrame, as_of: date) -> DataFrame:
+def public_holdings(changes: DataFrame, as_of: date | datetime) -> DataFrame:
     return changes.filter(F.col("publication_time") <= F.lit(as_of)).withColumn("event_time", F.col("period_of_report"))
 
 
-def direction_counts(changes: DataFrame, as_of: date, window_days: int = 365) -> DataFrame:
+def institution_window(changes: DataFrame, as_of: date | datetime, window_days: int = 365, lookback_days: int = 0) -> DataFrame:
+    """Per company: the window's dollars added and in new positions, distinct institutions that added and that reduced or
+    left, and the history of dollars added. One pass: changes are summed for each institution first."""
+    adding, reducing = F.col("position_status").isin(ACCUMULATING), F.col("position_status").isin(DISTRIBUTING)
+    rows = window_and_history(public_holdings(changes, as_of).filter(adding | reducing), as_of, window_days, lookback_days)
+    each = rows.groupBy("company_id", "k", "institution_id").agg(
+        F.sum(F.when(adding, accumulated()).otherwise(0.0)).alias("total"), F.sum(F.when(F.col("position_status") == "NEW", accumulated()).otherwise(0.0)).alias("new"),
+        F.max(adding).alias("adds"), F.max(reducing).alias("reduces"),
+    )
+    sums = each.groupBy("company_id", "k").agg(F.sum("total").alias("total"), F.sum("new").alias("new"), F.count_if("adds").alias("adding"), F.count_if("reduces").alias("reducing"))
+    return sums.groupBy("company_id").agg(
+        of_window("total").alias("window_total"), of_window("new").alias("new_total"), of_window("adding").alias("accumulating"), of_window("reducing").alias("distributing"),
+        history_of("total", lookback_days // window_days).alias("history"),
+    ).filter("accumulating IS NOT NULL")
+
+
+def direction_counts(changes: DataFrame, as_of: date | datetime, window_days: int = 365) -> DataFrame:
     """Per company: distinct institutions that added, and that reduced or left, in the window."""
-    rows = in_window(public_holdings(changes, as_of), as_of - timedelta(window_days), as_of)
-    return rows.groupBy("company_id").agg(
-        F.count_distinct(F.when(F.col("position_status").isin(ACCUMULATING), F.col("institution_id"))).alias("accumulating"),
-        F.count_distinct(F.when(F.col("position_status").isin(DISTRIBUTING), F.col("institution_id"))).alias("distributing"),
-    )
+    return institution_window(changes, as_of, window_days).select("company_id", "accumulating", "distributing")
+
+
+def institution_evidence(changes: DataFrame, as_of: date | datetime, window_days: int = 365) -> DataFrame:
+    """The holdings that a score's dollars come from, a row each."""
+    rows = in_window(public_holdings(changes, as_of), as_of - timedelta(window_days), as_of).filter(F.col("position_status").isin(ACCUMULATING))
+    return rows.select("company_id", "event_time", "institution_id", "position_status", "shares", "shares_change", "market_value_usd", accumulated().alias("dollars"))
+
 
+def institution_scores(changes: DataFrame, companies: DataFrame, as_of: date | datetime, *, window_days: int = 365, lookback_days: int = 1460, least: int = 3) -> DataFrame:
+    """A row for each company that an institution added in the window; institution_evidence() has what it rests on."""
+    return scored_institutions(institution_window(changes, as_of, window_days, lookback_days), companies, as_of, window_days, least)
 
-def institution_scores(changes: DataFrame, companies: DataFrame, as_of: date, *, window_days: int = 365, lookback_days: int = 1460, least: int = 3) -> DataFrame:
+
+def scored_institutions(window: DataFrame, companies: DataFrame, as_of: date | datetime, window_days: int = 365, least: int = 3) -> DataFrame:
+    """institution_scores() of an institution_window() that the caller has."""
     start = as_of - timedelta(window_days)
-    public = public_holdings(changes, as_of)
-    adding = F.col("position_status").isin(ACCUMULATING)
-    evidence = F.struct("event_time", "institution_id", "position_status", "shares", "shares_change", "market_value_usd", accumulated().alias("dollars"))
-    window = (
-        in_window(public, start, as_of)
-        .filter(F.col("position_status").isin(ACCUMULATING + DISTRIBUTING))
-        .groupBy("company_id")
-        .agg(
-            F.sum(F.when(adding, accumulated()).otherwise(0.0)).alias("window_total"),
-            F.sum(F.when(F.col("position_status") == "NEW", accumulated()).otherwise(0.0)).alias("new_total"),
-            F.size(F.collect_set(F.when(adding, F.col("institution_id")))).cast("bigint").alias("accumulating"),
-            F.size(F.collect_set(F.when(~adding, F.col("institution_id")))).cast("bigint").alias("distributing"),
-            F.array_sort(F.collect_list(F.when(adding, evidence))).alias("evidence"),
-        )
-        .filter("accumulating > 0")
-    )
-    past = baseline(public.filter(adding), "company_id", accumulated(), start, window_days, lookback_days)
-    out = window.join(past, "company_id", "left").withColumn("history", F.coalesce("history", padded(F.lit(None).cast("array<double>"), lookback_days // window_days)))
+    out = window.filter("accumulating > 0")
     out = out.withColumns(against_history("window_total", least)).withColumns(
         {
             "magnitude_vs_history": clamp(F.col("baseline_percentile") * 100),
@@ -256,18 +304,24 @@ def institution_scores(changes: DataFrame, companies: DataFrame, as_of: date, *,
 # --- short interest ------------------------------------------------------------------------------------------------
 
 
-def latest_cycles(snapshots: DataFrame, as_of: date, lookback_cycles: int = 12) -> DataFrame:
+def latest_cycles(snapshots: DataFrame, as_of: date | datetime, lookback_cycles: int = 12) -> DataFrame:
     """The newest lookback + 1 public cycles of each company, numbered from 1."""
     newest = W.partitionBy("company_id").orderBy(F.col("settlement_date").desc())
     return snapshots.filter(F.col("publication_time") <= F.lit(as_of)).withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= lookback_cycles + 1)
 
 
-def short_interest_scores(snapshots: DataFrame, companies: DataFrame, as_of: date, *, lookback_cycles: int = 12, least: int = 3) -> DataFrame:
+def short_interest_evidence(snapshots: DataFrame, as_of: date | datetime, lookback_cycles: int = 12) -> DataFrame:
+    """The cycles that a score rests on, a row each, of companies whose newest one rose."""
+    rows = latest_cycles(snapshots, as_of, lookback_cycles)
+    rising = rows.filter("rn = 1 AND change_percent > 0").select("company_id")
+    return rows.join(rising, "company_id", "left_semi").select("company_id", "rn", "settlement_date", "current_short_position", "change_percent", "days_to_cover")
+
+
+def short_interest_scores(snapshots: DataFrame, companies: DataFrame, as_of: date | datetime, *, lookback_cycles: int = 12, least: int = 3) -> DataFrame:
     rows = latest_cycles(snapshots, as_of, lookback_cycles)
     first = F.col("rn") == 1
     past = F.col("rn") > 1
     rising = F.coalesce(F.col("change_percent") > 0, F.lit(False))
-    evidence = F.struct("rn", "settlement_date", "current_short_position", "change_percent", "days_to_cover")
     out = rows.groupBy("company_id").agg(
         F.max(F.when(first, F.col("settlement_date"))).alias("settlement_date"),
         F.max(F.when(first, F.col("change_percent"))).alias("change_percent"),
@@ -275,7 +329,6 @@ def short_interest_scores(snapshots: DataFrame, companies: DataFrame, as_of: dat
         F.collect_list(F.when(past, F.col("change_percent"))).alias("history"),
         F.collect_list(F.when(past, F.col("days_to_cover"))).alias("cover_history"),
         (F.coalesce(F.min(F.when(past & ~rising, F.col("rn"))), F.max("rn") + 1) - 2).cast("bigint").alias("run"),
-        F.array_sort(F.collect_list(evidence)).alias("evidence"),
     )
     out = out.filter("change_percent > 0").withColumns(against_history("change_percent", least))
     cover = (F.size("cover_history") >= least) & F.col("days_to_cover").isNotNull()

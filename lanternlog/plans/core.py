@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, asof, backtest, derive, eventlog, graph, radar, resolve, scoring
 from ..sources import filings
-from .views import view, with_views
+from .views import base, view, with_views
 
 AS_OF = date(2000, 1, 1)
 D = "DATE '2000-01-01'"
@@ -109,17 +109,25 @@ AGREED = """typed AS (SELECT *, CASE WHEN date_diff('day', period_start, period_
 agreed AS (SELECT company_id, metric, period_start, period_end FROM typed WHERE period_type IS NOT NULL GROUP BY ALL HAVING count(DISTINCT value) = 1),
 kept AS (SELECT t.* FROM typed t JOIN agreed USING (company_id, metric, period_start, period_end) WHERE period_type IS NOT NULL),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, metric, period_start, period_end ORDER BY filed, accession, value) AS n FROM kept) WHERE n = 1),
-fund AS (SELECT company_id, period_start, period_end, period_type, max(CASE WHEN metric = 'revenue' THEN value END) AS revenue, max(CASE WHEN metric = 'net_income' THEN value END) AS net_income, max(CASE WHEN metric = 'gross_profit' THEN value END) AS gross_profit, min(filed) AS publication_time FROM firsts GROUP BY 1, 2, 3, 4)"""
-FUND_COLUMNS = "company_id, period_start, period_end, period_type, CAST(revenue AS DOUBLE) AS revenue, CAST(net_income AS DOUBLE) AS net_income, CAST(gross_profit AS DOUBLE) AS gross_profit, publication_time"
+fund AS (SELECT company_id, period_start, period_end, period_type, max(CASE WHEN metric = 'revenue' THEN value END) AS revenue, max(CASE WHEN metric = 'net_income' THEN value END) AS net_income, max(CASE WHEN metric = 'gross_profit' THEN value END) AS gross_profit, max(CASE WHEN metric = 'operating_income' THEN value END) AS operating_income, max(CASE WHEN metric = 'eps_diluted' THEN value END) AS eps_diluted, min(filed) AS publication_time FROM firsts GROUP BY 1, 2, 3, 4)"""
+FUND_COLUMNS = f"company_id, period_start, period_end, period_type, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in derive.METRICS)}, publication_time"
+MARGINS_SQL = ", ".join(
+    f"CASE WHEN abs(CAST({part} AS DOUBLE) / nullif(CAST(revenue AS DOUBLE), 0) * 100) < 1000 THEN round(CAST({part} AS DOUBLE) / nullif(CAST(revenue AS DOUBLE), 0) * 100, 4) END AS {name}"
+    for part, name in (("gross_profit", "gross_margin"), ("operating_income", "operating_margin"))
+)
+
+
+def margins():
+    return [F.col(c).cast("double").alias(c) for c in ("gross_margin", "operating_margin")]
 
 
-def fund_columns(df):
-    return df.select("company_id", "period_start", "period_end", "period_type", *(F.col(c).cast("double").alias(c) for c in ("revenue", "net_income", "gross_profit")), "publication_time")
+def fund_columns(df, *more):
+    return df.select("company_id", "period_start", "period_end", "period_type", *(F.col(c).cast("double").alias(c) for c in derive.METRICS), "publication_time", *more)
 
 
-@query("q06_fundamentals", f"WITH {AGREED} SELECT {FUND_COLUMNS} FROM fund WHERE publication_time <= {D} AND period_type = 'QUARTER'")
+@query("q06_fundamentals", f"WITH {AGREED} SELECT {FUND_COLUMNS}, {MARGINS_SQL} FROM fund WHERE publication_time <= {D} AND period_type = 'QUARTER'")
 def q06(spark, d):
-    return fund_columns(asof.catalogue(derive.fundamentals(view(spark, d, "tb_xbrl")), [], as_of=AS_OF, where={"period_type": "QUARTER"}, newest_first="period_end"))
+    return fund_columns(asof.catalogue(derive.fundamentals(view(spark, d, "tb_xbrl")), [], as_of=AS_OF, where={"period_type": "QUARTER"}, newest_first="period_end"), *margins())
 
 
 @query("q07_fund_snapshots", f"SELECT fund_id, period_end, CAST(net_assets_usd AS DOUBLE) AS net_assets FROM tb_fund_aum WHERE publication_time <= {D}")
@@ -189,14 +197,40 @@ def e17(spark, d):
     return eventlog.new_rows(raw, known, ["raw_reference"], raw_order()).select("raw_reference", "company_id", "person_id", F.col("shares").cast("double").alias("shares"))
 
 
+FRESH = "tb_form4_raw WHERE price IS NOT NULL AND shares > 1 AND accession * 10 + txn_index NOT IN (SELECT accession * 10 + txn_index FROM tb_form4_raw WHERE publication_time < DATE '1996-01-01')"
+
+
 @query(
     "e16_batch_summary",
-    """WITH fresh AS (SELECT DISTINCT accession, txn_index FROM tb_form4_raw WHERE price IS NOT NULL AND accession * 10 + txn_index NOT IN (SELECT accession * 10 + txn_index FROM tb_form4_raw WHERE publication_time < DATE '1996-01-01'))
-SELECT (SELECT count(*) FROM tb_form4_raw) AS seen, (SELECT count(*) FROM fresh) AS created, (SELECT count(*) FROM tb_form4_raw WHERE price IS NOT NULL) - (SELECT count(*) FROM fresh) AS duplicate, (SELECT count(*) FROM tb_form4_raw WHERE price IS NULL) AS error""",
+    f"""WITH n AS (SELECT count(*) AS seen, count(*) FILTER (WHERE shares <= 1) AS empty, count(*) FILTER (WHERE shares > 1 AND price IS NULL) AS error FROM tb_form4_raw), fresh AS (SELECT count(*) AS created FROM (SELECT DISTINCT accession, txn_index FROM {FRESH}))
+SELECT seen, created, seen - empty - error - created AS duplicate, empty, error FROM n, fresh""",
 )
 def e16(spark, d):
     raw = view(spark, d, "tb_form4_raw")
-    return eventlog.batch_summary(raw, raw.filter("publication_time < DATE '1996-01-01'"), ["accession", "txn_index"], raw_order(), F.col("price").isNotNull())
+    return eventlog.batch_summary(raw, raw.filter("publication_time < DATE '1996-01-01'"), ["accession", "txn_index"], raw_order(), F.col("price").isNotNull(), F.col("shares") <= 1)
+
+
+@query("e16_quarantine", "SELECT accession, txn_index, CASE WHEN shares <= 1 THEN 'empty' ELSE 'no price' END AS reason, count(*) AS n FROM tb_form4_raw WHERE shares <= 1 OR price IS NULL GROUP BY ALL")
+def e16_quarantine(spark, d):
+    bad = eventlog.quarantine(view(spark, d, "tb_form4_raw"), ("empty", F.col("shares") > 1), ("no price", F.col("price").isNotNull()))
+    return bad.groupBy("accession", "txn_index", "reason").agg(F.count("*").alias("n"))
+
+
+EVENT_COUNTS = """SELECT 'insider' AS kind, count(*) AS n FROM tb_form4 UNION ALL SELECT 'holdings', count(*) FROM tb_13f_raw UNION ALL SELECT 'short_interest', count(*) FROM tb_short_interest UNION ALL SELECT 'control', count(*) FROM tb_control
+UNION ALL SELECT 'wallet', count(*) FROM (SELECT DISTINCT address, tx_hash FROM tb_wallet_legs) UNION ALL SELECT 'volatility', count(*) FROM tb_volatility UNION ALL SELECT 'tone', count(DISTINCT company_id) FROM tb_tone"""
+
+
+@query("e01_sources", f"WITH c AS ({EVENT_COUNTS}), s AS (SELECT * FROM (VALUES {', '.join(str(x) for x in eventlog.SOURCES)}) v(kind, name, tier, base_url)) SELECT name, tier, base_url, CAST(sum(n) AS BIGINT) AS n_facts FROM c JOIN s USING (kind) GROUP BY ALL")
+def e01(spark, d):
+    """The source dimension with the facts that came from each source."""
+    facts = {"insider": view(spark, d, "tb_form4"), "holdings": view(spark, d, "tb_13f_raw"), "short_interest": view(spark, d, "tb_short_interest"), "control": view(spark, d, "tb_control")}
+    facts |= {"wallet": view(spark, d, "tb_wallet_legs").select("address", "tx_hash").distinct(), "volatility": view(spark, d, "tb_volatility"), "tone": view(spark, d, "tb_tone").select("company_id").distinct()}
+    counts = None
+    for kind, rows in facts.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    named = counts.join(eventlog.source_kinds(spark).select("kind", "name"), "kind").groupBy("name").agg(F.sum("n").alias("n_facts"))
+    return eventlog.sources(spark).join(named, "name").select("name", "tier", "base_url", "n_facts")
 
 
 @query("e18_whole_filing", "SELECT institution_id, period_of_report, count(*) AS n FROM tb_13f_raw WHERE NOT (period_of_report < DATE '1996-01-01') GROUP BY 1, 2")
@@ -212,7 +246,7 @@ def e19(spark, d):
     return eventlog.new_rows(rows, rows.filter("trade_date < DATE '2024-01-10'"), ["index_code", "trade_date"], [F.col("close")]).select("index_code", "trade_date", F.col("close").cast("double").alias("close"))
 
 
-TONE = "tone AS (SELECT company_id, CAST(sum(n) AS BIGINT) AS article_count, CAST(round(CAST(CAST(sum(bin * n) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS DECIMAL(18,6)), 3) AS DOUBLE) AS mean_tone FROM tb_tone GROUP BY 1)"
+TONE = "tone AS (SELECT company_id, CAST(sum(n) AS BIGINT) AS article_count, round_even(CAST(sum(bin * n) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0), 3) AS mean_tone FROM tb_tone GROUP BY 1)"
 
 
 @query("e20_append_snapshot", f"WITH {TONE} SELECT run, company_id, article_count, mean_tone FROM tone, (VALUES (1), (2)) v(run)")
@@ -261,17 +295,17 @@ def e24(spark, d):
     return eventlog.integrity(view(spark, d, "tb_form4_raw"), unique={"unique_transaction": ["accession", "txn_index"]}, ranges={"shares_range": ("shares", 0, 40)})
 
 
-TITLES = "(SELECT *, transaction_code = 'P' AS is_officer, CASE WHEN transaction_code = 'S' THEN '' ELSE concat('T', CAST(l_partkey % 9 AS INT)) END AS title FROM tb_form4)"
+TITLES = "(SELECT *, transaction_code = 'P' AS is_officer, l_partkey % 3 = 0 AS is_director, l_partkey % 7 = 0 AS is_ten_percent_owner, CASE WHEN transaction_code = 'S' THEN '' ELSE concat('T', CAST(l_partkey % 9 AS INT)) END AS title FROM tb_form4)"
 
 
 @query(
     "e14_roles",
-    f"SELECT person_id, company_id, arg_max(is_officer, publication_time * 1.0) AS is_officer, arg_max(title, publication_time * 1.0) FILTER (WHERE title <> '') AS title, min(start) AS start_date FROM (SELECT *, publication_time AS start FROM {TITLES}) GROUP BY 1, 2".replace(
+    f"SELECT person_id, company_id, arg_max(is_officer, publication_time * 1.0) AS is_officer, arg_max(is_director, publication_time * 1.0) AS is_director, arg_max(is_ten_percent_owner, publication_time * 1.0) AS is_ten_percent_owner, arg_max(title, publication_time * 1.0) FILTER (WHERE title <> '') AS title, min(start) AS start_date FROM (SELECT *, publication_time AS start FROM {TITLES}) GROUP BY 1, 2".replace(
         "publication_time * 1.0", "CAST(date_diff('day', DATE '1970-01-01', publication_time) AS HUGEINT) * 100000000000 + event_id"
     ),
 )
 def e14(spark, d):
-    rows = view(spark, d, "tb_form4").withColumns({"is_officer": F.col("transaction_code") == "P", "title": F.when(F.col("transaction_code") == "S", "").otherwise(F.concat(F.lit("T"), (F.col("l_partkey") % 9).cast("int").cast("string")))})
+    rows = view(spark, d, "tb_form4").withColumns({"is_officer": F.col("transaction_code") == "P", "is_director": F.col("l_partkey") % 3 == 0, "is_ten_percent_owner": F.col("l_partkey") % 7 == 0, "title": F.when(F.col("transaction_code") == "S", "").otherwise(F.concat(F.lit("T"), (F.col("l_partkey") % 9).cast("int").cast("string")))})
     return eventlog.roles(rows)
 
 
@@ -404,9 +438,9 @@ def d05(spark, d):
     return fund_columns(derive.fundamentals(view(spark, d, "tb_xbrl")))
 
 
-@query("d06_margins", f"WITH {AGREED} SELECT company_id, period_start, period_end, round(CAST(gross_profit AS DOUBLE) / nullif(CAST(revenue AS DOUBLE), 0) * 100, 4) AS gross_margin FROM fund")
+@query("d06_margins", f"WITH {AGREED} SELECT company_id, period_start, period_end, {MARGINS_SQL} FROM fund")
 def d06(spark, d):
-    return derive.fundamentals(view(spark, d, "tb_xbrl")).select("company_id", "period_start", "period_end", F.col("gross_margin").cast("double").alias("gross_margin"))
+    return derive.fundamentals(view(spark, d, "tb_xbrl")).select("company_id", "period_start", "period_end", *margins())
 
 
 # --- scores --------------------------------------------------------------------------------------------------------
@@ -423,16 +457,24 @@ def anomaly_sql(p: str, start: str, step: int, n: int, rows: str, amount: str) -
 {p}s AS (SELECT *, CASE WHEN mad = 0 THEN CASE WHEN window_total = m THEN 0.0 WHEN window_total > m THEN 10.0 ELSE -10.0 END ELSE 0.6745 * (window_total - m) / mad END AS z FROM {p}w JOIN {p}m USING (company_id) JOIN {p}d USING (company_id) JOIN {p}p USING (company_id))"""
 
 
-INS = f"""iq AS (SELECT *, CAST(shares AS DECIMAL(18,4)) * CAST(price AS DECIMAL(18,4)) AS amt FROM tb_form4 WHERE acquired_disposed = 'A' AND transaction_code = 'P' AND publication_time <= {D}),
-iw AS (SELECT company_id, coalesce(CAST(sum(amt) AS DOUBLE), 0) AS window_total, count(*) AS transactions, count(price) AS priced, count(DISTINCT person_id) AS insiders, count(DISTINCT CASE WHEN is_officer THEN person_id END) AS senior, coalesce(CAST(sum(CASE WHEN is_10b5_1 THEN amt END) AS DOUBLE), 0) AS plan_total
-  FROM iq LEFT JOIN tb_roles USING (person_id, company_id) WHERE event_time >= {D} - 90 AND event_time < {D} GROUP BY 1),
-{anomaly_sql("i", f"({D} - 90)", 90, 8, "iq", "amt")},
+def insider_sql(as_of: str = D, window: int = 90, lookback: int = 730) -> str:
+    return f"""iq AS (SELECT *, CAST(shares AS DECIMAL(18,4)) * CAST(price AS DECIMAL(18,4)) AS amt FROM tb_form4 WHERE acquired_disposed = 'A' AND transaction_code = 'P' AND publication_time <= {as_of}),
+iw AS (SELECT company_id, coalesce(CAST(sum(amt) AS DOUBLE), 0) AS window_total, count(*) AS transactions, count(price) AS priced, count(DISTINCT person_id) AS insiders, count(DISTINCT CASE WHEN is_officer OR is_director OR is_ten_percent_owner THEN person_id END) AS senior, coalesce(CAST(sum(CASE WHEN is_10b5_1 THEN amt END) AS DOUBLE), 0) AS plan_total
+  FROM iq LEFT JOIN tb_roles USING (person_id, company_id) WHERE event_time >= {as_of} - {window} AND event_time < {as_of} GROUP BY 1),
+{anomaly_sql("i", f"({as_of} - {window})", window, lookback // window, "iq", "amt")},
 ic AS (SELECT *, least(100.0, greatest(0.0, pct * 100)) AS size_vs_history, least(100.0, 25.0 * insiders + 15.0 * senior) AS breadth, least(100.0, greatest(0.0, (transactions * 1.0 / insiders - 1) * 50)) AS persistence, greatest(0.0, 100 - 60 * CASE WHEN window_total > 0 THEN plan_total / window_total ELSE 0.0 END) AS discretion FROM "is"),
 insider AS (SELECT ic.*, canonical_name AS company_name, size_vs_history * 0.35 + breadth * 0.30 + persistence * 0.15 + discretion * 0.20 AS composite, least(priced * 1.0 / transactions, 1.0) AS confidence FROM ic JOIN tb_companies ON company_id = entity_id)""".replace("is AS (SELECT", '"is" AS (SELECT')
 
 
-def insider(spark, d):
-    return scoring.insider_scores(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), view(spark, d, "tb_companies"), AS_OF)
+INS = insider_sql()
+
+
+def transactions(spark, d):
+    return view(spark, d, "tb_form4").withColumn("source_url", F.concat(F.lit("https://www.sec.gov/Archives/"), F.col("accession").cast("string")))
+
+
+def insider(spark, d, as_of=AS_OF, **settings):
+    return scoring.insider_scores(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), view(spark, d, "tb_companies"), as_of, **settings)
 
 
 INS_PARTS = ["window_total", "plan_total", "size_vs_history", "breadth", "persistence", "discretion", "composite", "confidence"]
@@ -465,9 +507,21 @@ def s05(spark, d):
     return w.select("company_id", "transactions", "priced", "insiders", "senior", *r6("window_total", "plan_total"))
 
 
-@query("s12_insider_evidence", f"WITH {INS} SELECT iq.company_id, event_id, person_id, event_time, CAST(amt AS DOUBLE) AS dollars, is_10b5_1 AS plan FROM iq JOIN insider USING (company_id) WHERE event_time >= {D} - 90 AND event_time < {D}")
+@query("s12_insider_evidence", f"WITH {INS} SELECT iq.company_id, event_id, person_id, event_time, CAST(amt AS DOUBLE) AS dollars, is_10b5_1 AS plan, coalesce(is_officer, false) AS is_officer, coalesce(is_director, false) AS is_director, coalesce(is_ten_percent_owner, false) AS is_ten_percent_owner, concat('https://www.sec.gov/Archives/', accession) AS source_url FROM iq JOIN iw USING (company_id) LEFT JOIN tb_roles USING (person_id, company_id) WHERE event_time >= {D} - 90 AND event_time < {D}")
 def s12(spark, d):
-    return insider(spark, d).select("company_id", F.explode("evidence").alias("e")).select("company_id", "e.event_id", "e.person_id", "e.event_time", F.col("e.dollars").cast("double").alias("dollars"), "e.plan")
+    rows = scoring.insider_evidence(transactions(spark, d), view(spark, d, "tb_roles"), AS_OF)
+    return rows.select("company_id", "event_id", "person_id", "event_time", F.col("dollars").cast("double").alias("dollars"), "plan", *scoring.ROLES, "source_url")
+
+
+SAID = """SELECT company_id, concat(insiders, ' insider(s), ', transactions, ' purchase(s), $', format('{:,}', CAST(round_even(window_total, 0) AS BIGINT)), '.') AS headline,
+concat('$', format('{:,}', CAST(round_even(window_total, 0) AS BIGINT)), ' bought; percentile ', CAST(round_even(pct * 100, 0) AS BIGINT), ' of own windows, robust z ', format('{:.1f}', z), '.') AS size_said,
+concat(insiders, ' buyer(s), ', senior, ' of them senior.') AS breadth_said FROM insider WHERE abs(z) < 1000"""
+
+
+@query("s13_explanations", f"WITH {INS} {SAID}")
+def s13(spark, d):
+    said = insider(spark, d).filter(F.abs("baseline_z") < 1000)
+    return said.select("company_id", F.col("explanation")[0].alias("headline"), F.col("explanation")[1].alias("size_said"), F.col("explanation")[2].alias("breadth_said"))
 
 
 @query("s14_insider_score", f"WITH {INS} SELECT company_id, company_name, transactions, insiders, senior, {rounded(*INS_PARTS)} FROM insider")
@@ -488,8 +542,12 @@ institution AS (SELECT nc.*, canonical_name AS company_name, magnitude_vs_histor
 INST_PARTS = ["magnitude_vs_history", "breadth", "consensus", "new_money_share", "composite", "confidence"]
 
 
+def institution_window(spark, d):
+    return scoring.institution_window(changes(spark, d), AS_OF, lookback_days=1460)
+
+
 def institution(spark, d):
-    return scoring.institution_scores(changes(spark, d), view(spark, d, "tb_companies"), AS_OF)
+    return scoring.scored_institutions(institution_window(spark, d), view(spark, d, "tb_companies"), AS_OF)
 
 
 @query("s15_accumulated_value", f"WITH {INST} SELECT institution_id, period_of_report, company_id, round(amt, 6) AS dollars FROM na")
@@ -577,6 +635,14 @@ def r06(spark, d):
     return ranked(short_interest(spark, d))
 
 
+@query("r07_radar_parameters", f"WITH {insider_sql("DATE '1997-06-01'", 180, 900)} SELECT company_id, company_name, round(composite, 6) AS composite FROM insider ORDER BY insider.composite DESC NULLS LAST, company_id LIMIT 40")
+def r07(spark, d):
+    """A radar with every parameter set; checked() holds them to their ranges."""
+    settings = {"window_days": 180, "lookback_days": 900}
+    radar.checked(top_n=40, **settings)
+    return radar.top(insider(spark, d, date(1997, 6, 1), **settings), 40).select("company_id", "company_name", *r6("composite"))
+
+
 @query("c01_direction_counts", f"WITH {INST} SELECT company_id, accumulating, distributing FROM nx")
 def c01(spark, d):
     return scoring.direction_counts(changes(spark, d), AS_OF)
@@ -591,7 +657,9 @@ conv AS (SELECT company_id, round(ic, 6) AS insider_composite, round(nc, 6) AS i
 
 
 def conv(spark, d):
-    return radar.convergence(insider(spark, d), institution(spark, d), short_interest(spark, d), scoring.direction_counts(changes(spark, d), AS_OF))
+    window = institution_window(spark, d)
+    scores = scoring.scored_institutions(window, view(spark, d, "tb_companies"), AS_OF)
+    return radar.convergence(insider(spark, d), scores, short_interest(spark, d), window.select("company_id", "accumulating", "distributing"))
 
 
 def conv_columns(df):
@@ -692,9 +760,31 @@ def families(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-HITS = """th AS (SELECT 'insider strong' AS name, company_id, round(composite, 6) AS composite FROM insider WHERE round(composite, 6) >= 60 UNION ALL SELECT 'institutions', company_id, round(composite, 6) FROM institution WHERE round(composite, 6) >= 70 UNION ALL SELECT 'shorts', company_id, round(composite, 6) FROM short_interest WHERE round(composite, 6) >= 50),
-lh AS (SELECT 'labels' AS name, company_id, CAST(NULL AS DOUBLE) AS composite FROM conv WHERE label IN ('MIXED_INSIDER_BUYING_INSTITUTIONAL_SELLING', 'SHORT_INTEREST_ONLY', 'INSIDER_AND_INSTITUTIONAL_ACCUMULATING')),
-hits AS (SELECT * FROM th UNION ALL SELECT * FROM lh)"""
+def evidence(spark, d):
+    """What the scores of all families rest on: family, company_id, evidence_id."""
+    one = scoring.insider_evidence(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), AS_OF)
+    two = scoring.institution_evidence(changes(spark, d), AS_OF).withColumnRenamed("event_time", "period")
+    three = scoring.short_interest_evidence(si(spark, d), AS_OF)
+    parts = [
+        one.select(F.lit("insider").alias("family"), "company_id", eventlog.natural_key("form4", "event_id").alias("evidence_id")),
+        two.select(F.lit("institution").alias("family"), "company_id", eventlog.natural_key("13f", "institution_id", "company_id", "period").alias("evidence_id")),
+        three.select(F.lit("short_interest").alias("family"), "company_id", eventlog.natural_key("si", "company_id", "settlement_date").alias("evidence_id")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+EVIDENCE = f"""ev AS (SELECT 'insider' AS family, company_id, concat('form4:', event_id) AS id FROM iq WHERE event_time >= {D} - 90 AND event_time < {D}
+  UNION ALL SELECT 'institution', company_id, concat('13f:', institution_id, '#', company_id, '#', period_of_report) FROM na WHERE event_time >= {D} - 365 AND event_time < {D}
+  UNION ALL SELECT 'short_interest', company_id, concat('si:', company_id, '#', settlement_date) FROM sl JOIN (SELECT company_id FROM sw) USING (company_id))"""
+HITS = f"""{EVIDENCE},
+th AS (SELECT 'insider strong' AS name, 'insider' AS family, company_id, round(composite, 6) AS composite FROM insider WHERE round(composite, 6) >= 60 UNION ALL SELECT 'institutions', 'institution', company_id, round(composite, 6) FROM institution WHERE round(composite, 6) >= 70 UNION ALL SELECT 'shorts', 'short_interest', company_id, round(composite, 6) FROM short_interest WHERE round(composite, 6) >= 50),
+lh AS (SELECT 'labels' AS name, CAST(NULL AS VARCHAR) AS family, company_id, CAST(NULL AS DOUBLE) AS composite FROM conv WHERE label IN ('MIXED_INSIDER_BUYING_INSTITUTIONAL_SELLING', 'SHORT_INTEREST_ONLY', 'INSIDER_AND_INSTITUTIONAL_ACCUMULATING')),
+hits AS (SELECT * FROM th UNION ALL SELECT * FROM lh),
+he AS (SELECT h.name, h.company_id, count(id) AS n_evidence, min(id) AS first_evidence, max(id) AS last_evidence FROM hits h LEFT JOIN ev e ON h.company_id = e.company_id AND (h.family IS NULL OR h.family = e.family) GROUP BY 1, 2)"""
+
+
+def evidence_columns():
+    return [F.size("evidence_ids").cast("bigint").alias("n_evidence"), F.array_min("evidence_ids").alias("first_evidence"), F.array_max("evidence_ids").alias("last_evidence")]
 
 
 def all_hits(spark, d):
@@ -702,21 +792,66 @@ def all_hits(spark, d):
     return alerts.threshold_hits(r, families(spark, d)).unionByName(alerts.label_hits(r, conv(spark, d)))
 
 
-@query("a02_threshold_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, composite FROM th")
+@query("a02_threshold_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, composite, n_evidence, first_evidence, last_evidence FROM th JOIN he USING (name, company_id)")
 def a02(spark, d):
-    return alerts.threshold_hits(rules(spark), families(spark, d)).select("name", "company_id", "composite")
+    hits = alerts.threshold_hits(rules(spark), families(spark, d))
+    return alerts.with_evidence(hits, evidence(spark, d)).select("name", "company_id", "composite", *evidence_columns())
 
 
-@query("a03_label_alerts", f"WITH {CONV}, {HITS} SELECT h.name, h.company_id, label AS summary FROM lh h JOIN conv USING (company_id)")
+@query("a03_label_alerts", f"WITH {CONV}, {HITS} SELECT h.name, h.company_id, label AS summary, n_evidence, first_evidence, last_evidence FROM lh h JOIN conv USING (company_id) JOIN he ON he.name = h.name AND he.company_id = h.company_id")
 def a03(spark, d):
-    return alerts.label_hits(rules(spark), conv(spark, d)).select("name", "company_id", "summary")
+    return alerts.with_evidence(alerts.label_hits(rules(spark), conv(spark, d)), evidence(spark, d)).select("name", "company_id", "summary", *evidence_columns())
 
 
-@query("a04_new_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite FROM hits WHERE composite IS NULL OR composite < 75")
-def a04(spark, d):
+def alerts_of_the_day(spark, d):
     hits = all_hits(spark, d)
     known = hits.filter("composite >= 75").select("name", "company_id", F.lit(AS_OF).alias("alert_date"))
-    return alerts.new_alerts(hits, known, AS_OF).select("name", "company_id", "alert_date", "composite")
+    return alerts.new_alerts(hits, known, AS_OF)
+
+
+@query("a04_new_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite FROM hits WHERE composite IS NULL OR composite < 75")
+def a04(spark, d):
+    return alerts_of_the_day(spark, d).select("name", "company_id", "alert_date", "composite")
+
+
+@query(
+    "a06_payloads",
+    f"WITH {CONV}, {HITS} SELECT name, company_id, name = 'labels' AS is_chat, CASE WHEN name = 'labels' THEN NULL ELSE sha256(name) END AS rule_id, CASE WHEN name = 'labels' THEN NULL ELSE composite END AS composite_score, CASE WHEN name = 'labels' THEN NULL ELSE n_evidence END AS n_events, CASE WHEN name = 'labels' THEN NULL ELSE first_evidence END AS first_event, CASE WHEN name = 'labels' THEN concat('*labels* fired for `', company_id, '` on 2000-01-01: ', label) END AS chat FROM hits JOIN he USING (name, company_id) LEFT JOIN conv USING (company_id) WHERE name IN ('insider strong', 'labels') AND (composite IS NULL OR composite < 75)",
+)
+def a06(spark, d):
+    """The day's outbox, its payloads read back."""
+    r = rules(spark)
+    out = alerts.payloads(alerts.with_evidence(alerts_of_the_day(spark, d), evidence(spark, d)), r)
+    said = F.from_json("payload", "text string, rule_id string, composite_score double, source_event_ids array<string>")
+    read = out.select("name", "company_id", said.alias("p"))
+    ids = F.col("p.source_event_ids")
+    return read.select(
+        "name", "company_id", F.col("p.text").isNotNull().alias("is_chat"), "p.rule_id", "p.composite_score", F.when(ids.isNotNull(), F.size(ids)).cast("bigint").alias("n_events"), F.array_min(ids).alias("first_event"), F.col("p.text").alias("chat")
+    )
+
+
+@query("q13_alert_listing", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite, true AS has_webhook FROM hits WHERE name = 'insider strong' AND composite < 75")
+def q13(spark, d):
+    shown = alerts.shown(rules(spark)).select("name", "has_webhook")
+    return alerts.listing(alerts_of_the_day(spark, d), rule="insider strong").join(shown, "name").select("name", "company_id", "alert_date", "composite", "has_webhook")
+
+
+RULE_CHANGES = """SELECT concat('rule ', o_custkey) AS name, CAST(o_orderkey AS INT) AS version, CASE o_orderpriority WHEN '1-URGENT' THEN 'INSIDER_THRESHOLD' WHEN '2-HIGH' THEN 'INSTITUTIONAL_THRESHOLD' WHEN '3-MEDIUM' THEN 'SHORT_INTEREST_THRESHOLD' WHEN '5-LOW' THEN 'UNKNOWN' ELSE 'CONVERGENCE_LABEL' END AS rule_type,
+CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS min_score, o_orderkey % 4 > 0 AS has_labels FROM orders"""
+
+
+@query(
+    "a01_current_rules",
+    f"WITH c AS ({RULE_CHANGES}) SELECT name, version, rule_type, min_score, CASE WHEN rule_type = 'CONVERGENCE_LABEL' THEN has_labels ELSE rule_type <> 'UNKNOWN' AND min_score IS NOT NULL END AS is_valid, true AS is_active, version % 2 = 0 AS has_webhook FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS n FROM c) WHERE n = 1",
+)
+def a01(spark, d):
+    """A table of rule changes, each order one of its customer's rule, to the rules that hold now."""
+    base(spark, d, "orders").createOrReplaceTempView("orders")
+    changed = spark.sql(RULE_CHANGES).select(
+        "name", "version", "rule_type", "min_score", F.when(F.col("has_labels"), F.array(F.lit("INSIDER_ONLY"))).alias("labels"),
+        F.when(F.col("version") % 2 == 0, F.lit("https://hooks.example.com/x")).alias("webhook_url"), F.lit("GENERIC").alias("webhook_format"),
+    )
+    return alerts.shown(alerts.current_rules(changed)).select("name", "version", "rule_type", "min_score", "is_valid", "is_active", "has_webhook")
 
 
 @query("a05_rules_evaluated", f"WITH {CONV}, {HITS} SELECT r.name, count(h.name) AS created FROM (VALUES ('insider strong'), ('institutions'), ('shorts'), ('labels')) r(name) LEFT JOIN hits h USING (name) GROUP BY 1")

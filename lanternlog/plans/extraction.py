@@ -38,13 +38,13 @@ def ten(column: str):
 
 
 def feeds(spark, d):
-    """Atom feeds, one a disclosure day: an entry for every filer, so that a filing may be listed more than once."""
+    """Atom feeds, one for each 500 accession numbers: an entry for every filer, so that a filing may be listed more than once."""
     rows = view(spark, d, "tb_form4").withColumn("form", F.when(F.col("accession") % 3 == 0, "13F-HR/A").when(F.col("accession") % 3 == 1, "13F-HR").otherwise("4"))
     entry = F.concat(
         F.lit("<entry>"), F.lit('<link rel="alternate" href="https://www.sec.gov/Archives/edgar/data/'), s("company_id"), F.lit('/x-index.htm"/>'), F.lit('<category term="'), F.col("form"), F.lit('"/>'),
         tag("updated", F.concat(s("publication_time"), F.lit("T12:00:00Z"))), tag("id", F.concat(F.lit("urn:tag:sec.gov,2008:accession-number="), s("accession"))), F.lit("</entry>"),
     )
-    one = rows.groupBy(F.col("accession") % 40).agg(joined(F.col("event_id").alias("o"), entry).alias("entries"), F.min("event_id").alias("document"))
+    one = rows.groupBy(F.floor(F.col("accession") / 500).alias("document")).agg(joined(F.col("event_id").alias("o"), entry).alias("entries"))
     return one.select(F.lpad(s("document"), 12, "0").alias("document"), F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")).alias("payload"))
 
 
@@ -126,8 +126,9 @@ def schedules(spark, d, form: str):
 def x05(spark, d):
     rows = view(spark, d, "tb_ownership").withColumn("form", F.when(F.col("form_type") == "SCHEDULE 13D", F.col("form_type")).otherwise("SCHEDULE 13D/A"))
     hit = F.struct("publication_time", F.struct(F.struct(F.array(ten("company_id")).alias("ciks"), "form", s("accession").alias("adsh"), s("publication_time").alias("file_date")).alias("_source")).alias("h"))
-    pages = rows.groupBy((F.col("accession") % 30).alias("p")).agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["h"]).alias("hits"))
-    docs = pages.select(F.lpad(s("p"), 4, "0").alias("document"), F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("payload"))
+    # a page for each 500 accession numbers
+    pages = rows.groupBy(F.floor(F.col("accession") / 500).alias("p")).agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["h"]).alias("hits"))
+    docs = pages.select(F.lpad(s("p"), 12, "0").alias("document"), F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("payload"))
     return filings.search_leads(docs, "SCHEDULE 13D").select("accession", "file_date")
 
 
@@ -162,9 +163,13 @@ def x07(spark, d):
     return schedule_columns(filings.schedule_13g(schedules(spark, d, "13G").select("document", body.alias("payload"))))
 
 
-@query("x08_acceptance_time", "SELECT accession, CAST(publication_time AS TIMESTAMP) + INTERVAL (CASE WHEN month(publication_time) BETWEEN 5 AND 9 THEN 16 ELSE 17 END) HOUR AS accepted_at FROM (SELECT DISTINCT accession, min(publication_time) OVER (PARTITION BY accession) AS publication_time FROM tb_ownership) WHERE month(publication_time) NOT IN (4, 10)")
+#: The zone's rule until 2006 in SQL: daylight time from April's first Sunday to October's last; noon is after the change.
+DAYLIGHT = "day >= make_date(year(day), 4, 1) + CAST((7 - dayofweek(make_date(year(day), 4, 1))) % 7 AS INT) AND day < make_date(year(day), 10, 31) - CAST(dayofweek(make_date(year(day), 10, 31)) AS INT)"
+
+
+@query("x08_acceptance_time", f"SELECT accession, CAST(day AS TIMESTAMP) + INTERVAL (CASE WHEN {DAYLIGHT} THEN 16 ELSE 17 END) HOUR AS accepted_at FROM (SELECT accession, min(publication_time) AS day FROM tb_ownership GROUP BY 1)")
 def x08(spark, d):
-    rows = view(spark, d, "tb_ownership").groupBy("accession").agg(F.min("publication_time").alias("at")).filter(~F.month("at").isin(4, 10))
+    rows = view(spark, d, "tb_ownership").groupBy("accession").agg(F.min("publication_time").alias("at"))
     header = F.concat(F.lit("<SEC-DOCUMENT>\n<ACCEPTANCE-DATETIME>"), F.date_format("at", "yyyyMMdd"), F.lit("120000\nACCESSION NUMBER: "), s("accession"))
     return rows.select("accession", filings.acceptance_time(header).alias("accepted_at"))
 
@@ -175,10 +180,14 @@ def x08(spark, d):
 def fact_payloads(spark, d):
     """Company-facts JSON, one a company: each row of the view as a fundamental and, from annual reports, a dividend."""
     rows = view(spark, d, "tb_xbrl")
-    concept = F.when(F.col("metric") == "revenue", F.when(F.col("concept") == "TagA", "Revenues").otherwise("RevenueFromContractWithCustomerExcludingAssessedTax")).when(F.col("metric") == "net_income", "NetIncomeLoss").otherwise("GrossProfit")
+    one_of = F.create_map(*(F.lit(x) for kv in (("net_income", "NetIncomeLoss"), ("gross_profit", "GrossProfit"), ("operating_income", "OperatingIncomeLoss"), ("eps_diluted", "EarningsPerShareDiluted")) for x in kv))
+    revenue = F.when(F.col("concept") == "TagA", "Revenues").otherwise("RevenueFromContractWithCustomerExcludingAssessedTax")
+    concept = F.when(F.col("metric") == "revenue", revenue).otherwise(one_of[F.col("metric")])
+    unit = F.when(F.col("metric") == "eps_diluted", "USD/shares").otherwise("USD")
     fact = F.struct(s("value").alias("val"), s("period_start").alias("start"), s("period_end").alias("end"), s("filed").alias("filed"), "form", s("accession").alias("accn"))
-    some = rows.select("company_id", concept.alias("c"), fact.alias("f")).unionByName(rows.filter("metric = 'revenue'").select("company_id", F.lit("PaymentsOfDividends").alias("c"), fact.alias("f")))
-    units = some.groupBy("company_id", "c").agg(F.struct(F.create_map(F.lit("USD"), F.collect_list("f")).alias("units")).alias("u"))
+    some = rows.select("company_id", concept.alias("c"), unit.alias("unit"), fact.alias("f"))
+    some = some.unionByName(rows.filter("metric = 'revenue'").select("company_id", F.lit("PaymentsOfDividends").alias("c"), F.lit("USD").alias("unit"), fact.alias("f")))
+    units = some.groupBy("company_id", "c", "unit").agg(F.struct(F.create_map("unit", F.collect_list("f")).alias("units")).alias("u"))
     docs = units.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("c", "u"))).alias("us-gaap"))
     return docs.select(s("company_id").alias("document"), F.to_json(F.struct(F.lit("A company").alias("entityName"), F.struct("us-gaap").alias("facts"))).alias("payload"))
 
@@ -253,6 +262,16 @@ def x14(spark, d):
 # --- short interest ------------------------------------------------------------------------------------------------
 
 
+@query(
+    "x15_candidate_dates",
+    """WITH a AS (SELECT DISTINCT settlement_date AS as_of FROM tb_short_interest), m AS (SELECT as_of, CAST(date_trunc('month', as_of) - to_months(CAST(i AS INT)) AS DATE) AS m FROM a, range(0, 4) r(i)),
+c AS (SELECT as_of, m + CAST(k AS INT) AS settlement_date FROM m, range(11, 17) r(k) UNION SELECT as_of, last_day(m) - CAST(k AS INT) FROM m, range(0, 5) r(k)) SELECT as_of, settlement_date FROM c WHERE settlement_date <= as_of""",
+)
+def x15(spark, d):
+    """Of every day on which a cycle settled: the days on which cycles may have settled by then."""
+    return filings.settlement_candidates(view(spark, d, "tb_short_interest").select(F.col("settlement_date").alias("as_of")).distinct())
+
+
 @query("x16_confirmed_cycles", f"SELECT DISTINCT settlement_date FROM tb_short_interest WHERE settlement_date <= {D} AND settlement_date >= DATE '1999-10-01' AND (day(settlement_date) BETWEEN 12 AND 17 OR settlement_date > last_day(settlement_date) - 5) ORDER BY settlement_date DESC LIMIT 5")
 def x16(spark, d):
     return filings.confirmed_cycles(filings.candidate_settlement_dates(spark, AS_OF), view(spark, d, "tb_short_interest"), 5)

@@ -13,17 +13,23 @@ from .views import view
 
 
 def workspace(spark) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one in tests."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
 @query("st01_streamed_append", "SELECT accession, txn_index, count(*) AS n FROM (SELECT DISTINCT accession, txn_index FROM tb_form4_raw) GROUP BY 1, 2")
 def st01(spark, d):
     folder, raw = workspace(spark), view(spark, d, "tb_form4_raw")
-    raw.repartition(4).write.parquet(f"{folder}/landing")
+    # landed in order of accession numbers, as filings come in; how many files there are follows the table
+    raw.repartitionByRange("accession").write.parquet(f"{folder}/landing")
     stream = ingest.landing(spark, f"{folder}/landing", raw.schema, files_per_batch=2)
-    ingest.appended_once(stream, f"{folder}/target", f"{folder}/state", ["accession", "txn_index"], [F.col("l_partkey"), F.col("company_id"), F.col("shares")]).awaitTermination()
+    part = F.floor(F.col("accession") / 10_000)
+    ingest.appended_once(stream, f"{folder}/target", f"{folder}/state", ["accession", "txn_index"], [F.col("l_partkey"), F.col("company_id"), F.col("shares")], part).awaitTermination()
     return ingest.read_target(spark, f"{folder}/target", raw.schema).groupBy("accession", "txn_index").agg(F.count("*").alias("n"))
 
 
@@ -31,7 +37,7 @@ def st01(spark, d):
 def st02(spark, d):
     folder = workspace(spark)
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    events.repartition(1).write.parquet(f"{folder}/landing")
+    events.repartitionByRange("ts").write.parquet(f"{folder}/landing")
     stream = ingest.landing(spark, f"{folder}/landing", events.schema)
     totals = ingest.window_totals(stream, "ts", "event_type", F.col("value"), "1 day", "0 seconds")
     totals.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -21,7 +21,7 @@ VIEWS = {
   FROM tb_form4_raw) q
   WHERE rn = 1""",
     "tb_roles": """
-  SELECT person_id, company_id, min(publication_time) AS start_date, max(CASE WHEN transaction_code = 'P' THEN 1 ELSE 0 END) = 1 AS is_officer
+  SELECT person_id, company_id, min(publication_time) AS start_date, max(CASE WHEN transaction_code = 'P' AND l_partkey % 80 = 0 THEN 1 ELSE 0 END) = 1 AS is_officer, max(CASE WHEN l_partkey % 120 = 0 THEN 1 ELSE 0 END) = 1 AS is_director, max(CASE WHEN l_partkey % 200 = 0 THEN 1 ELSE 0 END) = 1 AS is_ten_percent_owner
   FROM tb_form4
   WHERE l_partkey % 40 = 0
   GROUP BY person_id, company_id""",
@@ -39,8 +39,8 @@ VIEWS = {
   FROM lineitem
   GROUP BY l_suppkey, CAST(l_shipdate AS DATE)""",
     "tb_xbrl": """
-  SELECT company_id, metric, concept, form, period_start, period_end, CAST(company_id * 1000 + year(period_end) * 10 + bump AS DECIMAL(24,2)) AS value, period_end + filed_lag AS filed, accession
-  FROM (SELECT l_suppkey AS company_id, CASE l_returnflag WHEN 'A' THEN 'revenue' WHEN 'N' THEN 'net_income' ELSE 'gross_profit' END AS metric, CASE l_linestatus WHEN 'F' THEN 'TagA' ELSE 'TagB' END AS concept, CASE WHEN l_linenumber = 7 THEN '10-K' ELSE '10-Q' END AS form, CASE WHEN l_linenumber >= 6 THEN CAST(date_trunc('year', o_orderdate) AS DATE) ELSE CAST(date_trunc('quarter', o_orderdate) AS DATE) END AS period_start, CASE WHEN l_linenumber = 7 THEN CAST(date_trunc('year', o_orderdate) AS DATE) + 364 WHEN l_linenumber = 6 THEN CAST(date_trunc('year', o_orderdate) AS DATE) + 180 ELSE last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 62) END AS period_end, CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END AS bump, CAST(l_partkey % 400 AS INT) AS filed_lag, l_orderkey AS accession
+  SELECT company_id, metric, concept, form, period_start, period_end, CAST(company_id * 1000 + year(period_end) * 10 + bump + 300 * kind AS DECIMAL(24,2)) AS value, period_end + filed_lag AS filed, accession
+  FROM (SELECT l_suppkey AS company_id, CASE l_partkey % 5 WHEN 0 THEN 'revenue' WHEN 1 THEN 'net_income' WHEN 2 THEN 'gross_profit' WHEN 3 THEN 'operating_income' ELSE 'eps_diluted' END AS metric, l_partkey % 5 AS kind, CASE l_linestatus WHEN 'F' THEN 'TagA' ELSE 'TagB' END AS concept, CASE WHEN l_linenumber = 7 THEN '10-K' ELSE '10-Q' END AS form, CASE WHEN l_linenumber >= 6 THEN CAST(date_trunc('year', o_orderdate) AS DATE) ELSE CAST(date_trunc('quarter', o_orderdate) AS DATE) END AS period_start, CASE WHEN l_linenumber = 7 THEN CAST(date_trunc('year', o_orderdate) AS DATE) + 364 WHEN l_linenumber = 6 THEN CAST(date_trunc('year', o_orderdate) AS DATE) + 180 ELSE last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 62) END AS period_end, CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END AS bump, CAST(l_partkey % 400 AS INT) AS filed_lag, l_orderkey AS accession
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) q""",
     "tb_volatility": """
   SELECT upper(event_type) AS index_code, CAST(ts AS DATE) AS trade_date, min_by(CAST(value AS DECIMAL(14,4)), event_id) AS open, max(CAST(value AS DECIMAL(14,4))) AS high, min(CAST(value AS DECIMAL(14,4))) AS low, max_by(CAST(value AS DECIMAL(14,4)), event_id) AS close

@@ -112,17 +112,23 @@ TABLE_13F = "infoTable array<struct<nameOfIssuer:string,cusip:string,value:strin
 
 
 def holdings_13f(filings: DataFrame) -> DataFrame:
-    """(document, cover, payload) to holdings summed by CUSIP; a filing without a period is rejected whole."""
-    rows = filings.select("document", F.from_xml("cover", COVER_13F, PERMISSIVE).alias("c"), F.posexplode(xml(TABLE_13F)["infoTable"]).alias("pos", "t")).select(
+    """(document, cover, payload, and path_cik if it is known) to holdings summed by CUSIP.
+
+    A filing without a period is rejected whole; a row whose numbers are none, or have separators, is left out. A filer
+    without a CIK has that of the filing's path; unknown names are UNKNOWN.
+    """
+    path_cik = cik("path_cik") if "path_cik" in filings.columns else F.lit(None).cast("string")
+    plain = lambda c, kind: F.trim(F.col(c)).try_cast(kind)
+    rows = filings.select("document", path_cik.alias("path_cik"), F.from_xml("cover", COVER_13F, PERMISSIVE).alias("c"), F.posexplode(xml(TABLE_13F)["infoTable"]).alias("pos", "t")).select(
         "document",
-        cik("c.headerData.filerInfo.filer.credentials.cik").alias("filer_cik"),
-        text_or_null("c.formData.coverPage.filingManager.name").alias("filer_name"),
+        F.coalesce(cik("c.headerData.filerInfo.filer.credentials.cik"), "path_cik").alias("filer_cik"),
+        F.coalesce(text_or_null("c.formData.coverPage.filingManager.name"), F.lit("UNKNOWN")).alias("filer_name"),
         day("c.headerData.filerInfo.periodOfReport", "MM-dd-yyyy").alias("period_of_report"),
         "pos",
         text_or_null("t.cusip").alias("cusip"),
-        F.col("t.nameOfIssuer").alias("issuer"),
-        number("t.shrsOrPrnAmt.sshPrnamt").alias("shares"),
-        number("t.value", "decimal(20,2)").alias("value"),
+        F.coalesce(text_or_null("t.nameOfIssuer"), F.lit("UNKNOWN")).alias("issuer"),
+        plain("t.shrsOrPrnAmt.sshPrnamt", "decimal(20,4)").alias("shares"),
+        plain("t.value", "decimal(20,2)").alias("value"),
     )
     whole = rows.filter(F.col("period_of_report").isNotNull() & F.col("cusip").isNotNull() & F.col("shares").isNotNull() & F.col("value").isNotNull())
     return whole.groupBy("document", "filer_cik", "filer_name", "period_of_report", "cusip").agg(
@@ -283,12 +289,19 @@ def nport_snapshots(payloads: DataFrame) -> DataFrame:
 # --- short interest ------------------------------------------------------------------------------------------------
 
 
+def settlement_candidates(days: DataFrame, months: int = 4) -> DataFrame:
+    """For each as_of of days the dates on which a cycle may have settled by then: the 12th to 17th and the last five
+    days of its month and of those before it, ``months`` in all."""
+    back = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months(F.trunc("as_of", "month"), -i))
+    month = days.select("as_of", F.explode(back).alias("m"))
+    some = F.concat(F.sequence(F.date_add("m", 11), F.date_add("m", 16)), F.sequence(F.date_sub(F.last_day("m"), 4), F.last_day("m")))
+    return month.select("as_of", F.explode(F.array_distinct(some)).alias("settlement_date")).filter(F.col("settlement_date") <= F.col("as_of"))
+
+
 def candidate_settlement_dates(spark, as_of, months: int = 4) -> DataFrame:
-    """Days on which a cycle may have settled: the 12th to 17th and the last five days of each month, newest first."""
-    month = spark.range(months).select(F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), -F.col("id").cast("int")).alias("m"))
-    middle = month.select(F.explode(F.sequence(F.date_add("m", 11), F.date_add("m", 16))).alias("settlement_date"))
-    end = month.select(F.explode(F.sequence(F.date_sub(F.last_day("m"), 4), F.last_day("m"))).alias("settlement_date"))
-    return middle.union(end).distinct().filter(F.col("settlement_date") <= F.lit(as_of).cast("date")).orderBy(F.col("settlement_date").desc())
+    """settlement_candidates() of one day, newest first."""
+    day_of = spark.range(1).select(F.lit(as_of).cast("date").alias("as_of"))
+    return settlement_candidates(day_of, months).select("settlement_date").orderBy(F.col("settlement_date").desc())
 
 
 def confirmed_cycles(candidates: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -380,7 +393,7 @@ def tone(bins: DataFrame) -> DataFrame:
         bins.groupBy("company_id")
         .agg(
             total.cast("bigint").alias("article_count"),
-            F.round(F.sum(F.col("bin") * F.col("n")).cast("double") / F.nullif(total.cast("double"), F.lit(0.0)), 3).alias("mean_tone"),
+            F.bround(F.sum(F.col("bin") * F.col("n")).cast("double") / F.nullif(total.cast("double"), F.lit(0.0)), 3).alias("mean_tone"),
             F.array_sort(F.collect_list(F.struct("bin", F.col("n").alias("count")))).alias("histogram"),
         )
         .filter("article_count > 0")

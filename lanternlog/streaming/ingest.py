@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators import alerts, eventlog
 
@@ -25,30 +25,43 @@ def once_within(stream: DataFrame, keys: list[str], clock: str, delay: str) -> D
     return stream.withWatermark(clock, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def appended_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[Column], on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+MOST_PARTS = 1_000  # parts of a target that a batch is held against by name; beyond, against all of them
+
+
+def appended_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[Column], part: Column | None = None, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Append every key once, whenever it comes: each batch is anti-joined with the target, as in a batch run.
 
-    A batch writes into its own folder, so that a batch that is run again after a failure replaces what it wrote.
+    ``part`` is a function of the keys that puts keys that come at about the same time into one part, such as a range of
+    accession numbers; the target is laid out by it, and a batch reads only the parts that it has keys of. A batch
+    writes into its own folder, so that a batch that is run again after a failure replaces what it wrote.
     """
+    spark, schema = stream.sparkSession, stream.schema
+    own = (part if part is not None else F.lit(0)).cast("long").alias("part")
+    # a target always has a first, empty batch, so that there is a folder to read
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1/part=0")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        folder = f"{target}/batch={batch_id}"
-        known = read_target(spark, target, batch.schema, before=batch_id)
-        eventlog.new_rows(batch, known, keys, order).write.mode("overwrite").parquet(folder)
+        batch = batch.select("*", own)
+        some = [r.part for r in batch.select("part").distinct().limit(MOST_PARTS + 1).collect()]
+        known = target_rows(batch.sparkSession, target, schema, before=batch_id)
+        if len(some) <= MOST_PARTS:
+            known = known.filter(F.col("part").isin(some))
+        eventlog.new_rows(batch, known, keys, order).write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={batch_id}")
         if on_new is not None:
-            on_new(spark.read.schema(batch.schema).parquet(folder), batch_id)
+            on_new(target_rows(batch.sparkSession, target, schema).filter(F.col("batch") == batch_id).drop("batch", "part"), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_target(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
-    """What has been appended, of batches before a given one if it is given; empty before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([f for f in schema.fields if f.name != "batch"] + [StructField("batch", IntegerType())])).parquet(target)
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+def target_rows(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
+    """What has been appended, with its batch and part, of batches before a given one if it is given."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType()), StructField("part", LongType())])).parquet(target)
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def read_target(spark: SparkSession, target: str, schema) -> DataFrame:
+    """What has been appended."""
+    return target_rows(spark, target, schema).drop("batch", "part")
 
 
 def window_totals(stream: DataFrame, clock: str, key: str, amount: Column, window: str, delay: str) -> DataFrame:
@@ -57,14 +70,18 @@ def window_totals(stream: DataFrame, clock: str, key: str, amount: Column, windo
     return grouped.agg(F.sum(amount).alias("total"), F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "total", "n")
 
 
+ALERTS = StructType([StructField("name", StringType()), StructField("company_id", LongType()), StructField("alert_date", DateType()), StructField("composite", DoubleType()), StructField("summary", StringType())])
+
+
 def alert_writer(rules: DataFrame, scores_of: Callable[[DataFrame], DataFrame], target: str, as_of):
-    """An ``on_new`` that scores what came in and appends the alerts that no alert of the day has."""
+    """An ``on_new`` that scores what came in and appends the alerts that no alert of the day has; a part for each day."""
+    rules.sparkSession.createDataFrame([], ALERTS).write.mode("overwrite").parquet(f"{target}/batch=-1/part=0")
 
     def on_new(rows: DataFrame, batch_id: int) -> None:
-        schema = "name string, company_id long, alert_date date, composite double, summary string"
-        known = read_target(rows.sparkSession, target, StructType.fromDDL(schema), before=batch_id)
+        today = as_of.toordinal()
+        known = target_rows(rows.sparkSession, target, ALERTS, before=batch_id).filter(F.col("part") == today)
         hits = alerts.threshold_hits(rules, scores_of(rows))
-        alerts.new_alerts(hits, known, as_of).select("name", F.col("company_id").cast("long").alias("company_id"), "alert_date", "composite", "summary").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh = alerts.new_alerts(hits, known, as_of).select("name", F.col("company_id").cast("long").alias("company_id"), "alert_date", "composite", "summary")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}/part={today}")
 
     return on_new
-

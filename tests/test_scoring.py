@@ -1,6 +1,6 @@
 """Hand-made rows with known scores."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ def companies(spark):
     return spark.createDataFrame(COMPANIES, "entity_id long, canonical_name string, sector string, country string")
 
 
+ROLE = "person_id long, company_id long, is_officer boolean, is_director boolean, is_ten_percent_owner boolean"
+
+
 def buy(i, day, dollars, *, person=1, public=None, plan=False, price=True, code="P", company=1):
     from decimal import Decimal
 
@@ -25,7 +28,7 @@ def buy(i, day, dollars, *, person=1, public=None, plan=False, price=True, code=
 
 def score(spark, rows, roles=(), **kw):
     txns = spark.createDataFrame(rows, TXN)
-    r = spark.createDataFrame(list(roles), "person_id long, company_id long, is_officer boolean")
+    r = spark.createDataFrame([(*x, *[None] * (5 - len(x))) for x in roles], ROLE)
     return {x.company_id: x for x in scoring.insider_scores(txns, r, companies(spark), AS_OF, **kw).collect()}
 
 
@@ -73,7 +76,20 @@ def test_senior_buyers(spark):
     rows = [buy(1, AS_OF - timedelta(5), 75, person=1), buy(2, AS_OF - timedelta(4), 25, person=2)]
     got = score(spark, rows, roles=[(1, 1, True), (2, 1, False)])[1]
     assert got.breadth == 25 * 2 + 15
-    assert [e.event_id for e in got.evidence] == [1, 2]
+    # a director, or an owner of ten percent, is senior without an office
+    assert score(spark, rows, roles=[(1, 1, False, True), (2, 1, False, False, True)])[1].breadth == 25 * 2 + 15 * 2
+    evidence = scoring.insider_evidence(spark.createDataFrame(rows, TXN), spark.createDataFrame([(1, 1, False, True, None)], ROLE), AS_OF).orderBy("event_time").collect()
+    assert [(e.event_id, e.is_director, e.is_officer) for e in evidence] == [(1, True, False), (2, False, False)]
+
+
+def test_windows_to_the_second(spark):
+    rows = [(*buy(i, AS_OF, 10)[:6], datetime(2026, 6, 30, h), datetime(2026, 6, 30, h), *buy(i, AS_OF, 10)[8:]) for i, h in ((1, 9), (2, 11), (3, 15))]
+    txns = spark.createDataFrame(rows, TXN.replace("event_time date, publication_time date", "event_time timestamp, publication_time timestamp"))
+    none = spark.createDataFrame([], ROLE)
+    seen = lambda at: [r.transactions for r in scoring.insider_scores(txns, none, companies(spark), at, window_days=1).collect()]
+    assert seen(datetime(2026, 6, 30, 12)) == [2] and seen(datetime(2026, 7, 1, 10)) == [2] and seen(datetime(2026, 6, 30, 9)) == []
+    back = scoring.insider_scores(txns, none, companies(spark), datetime(2026, 7, 1, 12), window_days=1, lookback_days=4).first()
+    assert back.transactions == 1 and sorted(back.history) == [0.0, 0.0, 0.0, 20.0]
 
 
 def test_numbers_are_written_with_thousands_and_half_even(spark):

@@ -16,7 +16,8 @@ DAY = date(2026, 3, 10)
 
 def test_sources_are_unique_by_name(spark):
     rows = eventlog.sources(spark)
-    assert rows.count() == rows.select("name").distinct().count() == 7
+    assert rows.count() == rows.select("name").distinct().count() == 6
+    assert {r.name: r.tier for r in rows.collect()}["GDELT Project"] == "C_PUBLICATION"
 
 
 def test_candidate_settlement_dates(spark):
@@ -85,6 +86,32 @@ def test_three_companies_are_three_pairs(spark):
     assert graph.interlocks(roles, as_of=date(2026, 1, 2)).count() == 1
 
 
+def test_a_cover_without_names_and_numbers_with_separators(spark):
+    row = lambda cusip, n, v: f"<infoTable><cusip>{cusip}</cusip><value>{v}</value><shrsOrPrnAmt><sshPrnamt>{n}</sshPrnamt></shrsOrPrnAmt></infoTable>"
+    cover = "<edgarSubmission><headerData><filerInfo><periodOfReport>03-31-2026</periodOfReport></filerInfo></headerData></edgarSubmission>"
+    table = f"<informationTable>{row('A', 10, 100)}{row('A', 5, 50)}{row('B', '1,000', 9)}</informationTable>"
+    df = spark.createDataFrame([("d", cover, table, "77")], "document string, cover string, payload string, path_cik string")
+    assert [(r.filer_cik, r.filer_name, r.issuer_name, r.cusip, int(r.shares), int(r.market_value_usd)) for r in filings.holdings_13f(df).collect()] == [("0000000077", "UNKNOWN", "UNKNOWN", "A", 15, 150)]
+
+
+def test_mean_tone_is_rounded_half_even(spark):
+    bins = spark.createDataFrame([(1, 1, 1), (1, 0, 15), (2, 3, 1), (2, 0, 15), (3, 5, 0)], "company_id long, bin int, n long")
+    assert {r.company_id: r.mean_tone for r in filings.tone(bins).collect()} == {1: 0.062, 2: 0.188}
+
+
+def test_evidence_goes_with_the_alert(spark):
+    rules = alerts.current_rules(spark.createDataFrame(RULES, alerts.RULE))
+    scores = spark.createDataFrame([("insider", 1, 70.0), ("insider", 2, 10.0)], "family string, company_id long, composite double")
+    table = spark.createDataFrame([(1, "SHORT_INTEREST_ONLY"), (3, "SHORT_INTEREST_ONLY")], "company_id long, label string")
+    evidence = spark.createDataFrame([("insider", 1, "e2"), ("insider", 1, "e1"), ("short_interest", 1, "s1"), ("insider", 2, "e3")], "family string, company_id long, evidence_id string")
+    hits = alerts.threshold_hits(rules, scores).unionByName(alerts.label_hits(rules, table))
+    fresh = alerts.new_alerts(alerts.with_evidence(hits, evidence), spark.createDataFrame([], "name string, company_id long, alert_date date"), DAY)
+    assert {(r.name, r.company_id): r.evidence_ids for r in fresh.collect()} == {("insider strong", 1): ["e1", "e2"], ("labels", 1): ["e1", "e2", "s1"], ("labels", 3): []}
+    got = {(r.name, r.company_id): json.loads(r.payload) for r in alerts.payloads(fresh, rules).collect()}
+    assert got["insider strong", 1]["source_event_ids"] == ["e1", "e2"] and len(got) == 3
+    assert [r.company_id for r in alerts.listing(fresh, rule="labels").collect()] == [1, 3] and alerts.listing(fresh, company=3).count() == 1
+
+
 def test_append_is_idempotent(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
     none = spark.createDataFrame([], rows.schema)
@@ -98,7 +125,7 @@ def test_stream_equals_batch_and_reruns_add_nothing(spark, tmp_path):
     rows.repartition(4).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         stream = ingest.landing(spark, f"{tmp_path}/in", rows.schema, files_per_batch=1)
-        ingest.appended_once(stream, f"{tmp_path}/out", f"{tmp_path}/state", ["k"], [F.col("v")]).awaitTermination()
+        ingest.appended_once(stream, f"{tmp_path}/out", f"{tmp_path}/state", ["k"], [F.col("v")], F.floor(F.col("k") / 10)).awaitTermination()
         got = ingest.read_target(spark, f"{tmp_path}/out", rows.schema)
         assert got.count() == got.select("k").distinct().count() == 50
 
