@@ -1,21 +1,22 @@
 """Suffix-array dedup: 50-byte strings that also start in an earlier document, found by a collection's BWT and LCP.
 
 The Burrows-Wheeler transform and the common prefixes of a collection are built column by column: each round inserts
-one symbol of every text, from its end to its start, and merges the new suffixes into the sorted list so far in one
-sequential pass (``CollectionIndex``). A corpus is too large, and its documents too long, for one such collection, so
-Spark first cuts it into collections that no repeated string crosses:
+one symbol of every text, from its end to its start, in sequential passes over files that hold the list so far
+(``ColumnFiles``). A corpus is too large, and its documents too long, for one such collection, so Spark first cuts it
+into collections that no repeated string crosses:
 
-0. Documents whose whole text an earlier one has are settled by a hash of the text.
 1. Every 50-byte string is keyed by the least hash of its 20-byte parts. Equal strings have equal keys, and
    neighbouring strings mostly share one, so a document is a row of runs with one key each.
 2. Keys go through one shuffle, a task's own repetitions combined first. Keys that two documents share come back.
-3. The runs with such keys are cut out of their documents and dealt by key; copies of a run met before are settled on
-   the way. Each key's distinct runs are a collection: strings with a common prefix of 50 are equal, and the least
-   doc_id among them says which documents lose them.
-4. The covered bytes go back to their documents.
+3. The runs with such keys are cut out of their documents and dealt by key. Equal runs are combined before the shuffle,
+   as every hot group is: the one with the least doc_id is sent on, and the others are covered by it. What arrives is
+   combined once more, so a collection has each distinct run of its keys once, owned by the least doc_id that has it.
+4. Strings with a common prefix of 50 in the sorted list are equal; the least owner among them says which documents
+   lose them. The covered bytes go back to their documents.
 
-A task's lists are in memory, and what would be the sequential files between rounds are bounded arrays, as collections
-of whole keys are indexed about ``most_pieces`` runs at a time. Documents are shuffled once, for steps 3 and 4.
+A collection is whole keys with about ``most_pieces`` runs. Its list is in two files (symbols and common prefixes) in
+the shared folder, read and written a chunk of ``chunk`` rows at a time; only numbers for each text are in memory.
+Documents are shuffled once, for steps 3 and 4.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; documents with the same doc_id do not take
 strings from each other; a null doc_id is smaller than every other; repeated rows get the same result; an empty table
@@ -24,6 +25,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut_lineage, mix64, table
+from .common import blocks, mix64, shared_dir, ship_package, table
 from .minhash import grouped_rows, group_bounds
 
 LENGTH, PART = 50, 20
@@ -97,79 +99,183 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class ColumnFiles:
+    """Two files of a byte a row, symbols and common prefixes, and the two that the next round makes of them."""
+
+    KINDS = ("bwt", "lcp")
+
+    def __init__(self, folder: str, chunk: int):
+        from pyarrow import fs
+
+        self.store, path = fs.FileSystem.from_uri(folder)
+        self.path, self.chunk, self.round = f"{path}/{uuid.uuid4().hex}", chunk, 0
+        self.store.create_dir(self.path)
+
+    def name(self, kind: str, turn: int) -> str:
+        return f"{self.path}/{turn % 2}.{kind}"
+
+    def read(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """The current list, from its start to its end."""
+        streams = [self.store.open_input_stream(self.name(k, self.round), compression=None) for k in self.KINDS]
+        try:
+            while len(first := streams[0].read(self.chunk)):
+                yield np.frombuffer(first, np.uint8), np.frombuffer(streams[1].read(self.chunk), np.uint8)
+        finally:
+            for s in streams:
+                s.close()
+
+    def write(self, chunks) -> None:
+        """The next list, which is the current one from then on."""
+        streams = [self.store.open_output_stream(self.name(k, self.round + 1), compression=None) for k in self.KINDS]
+        for rows in chunks:
+            for s, column in zip(streams, rows, strict=True):
+                s.write(np.ascontiguousarray(column))
+        for s in streams:
+            s.close()
+        self.round += 1
+
+    def delete(self) -> None:
+        self.store.delete_dir(self.path)
+
+
 class CollectionIndex:
-    """The sorted suffixes of a collection of texts, with their BWT symbols and common prefixes, built by columns.
+    """The sorted suffixes of a collection of texts as BWT symbols and common prefixes, built by columns in files.
 
     A position's symbol is what stands before its suffix, 0 where nothing does. Sorting the positions by symbol, ties in
     order, lists the suffixes that are one symbol longer; that is where a round finds the places of the new ones. A new
     suffix and the one before it have one more symbol in common than the range between the positions they grew from.
+    Both are found in one pass over the file, with counts and running minima for each symbol; a second pass writes the
+    next file with the new positions in it.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], files: ColumnFiles):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         used = np.zeros(256, bool)
         used[data] = True
         codes = (np.cumsum(used) * used)[data].astype(np.uint8)  # UTF-8 uses fewer than 255 bytes
         last = np.cumsum(sizes) - 1
-        n = len(texts)
-        active, place = np.arange(n), np.arange(n)  # texts that still grow, and the place of each one's longest suffix
-        # a position in one word: text, length of the suffix, common prefix with the position before, symbol
-        rows = np.arange(n, dtype=np.uint64) << np.uint64(24) | codes[last].astype(np.uint64)
-        step = 0
+        self.n, self.sizes, self.files = len(texts), sizes, files
+        first = codes[last]
+        files.write((first[at : at + files.chunk], np.zeros(len(first[at : at + files.chunk]), np.uint8)) for at in range(0, self.n, files.chunk))
+        self.counts = np.bincount(first, minlength=256)
+        active, place, step = np.arange(self.n), np.arange(self.n), 0  # texts that still grow, in the order of their longest suffixes
         while len(active):
             step += 1
-            symbol, common = self._byte(rows, 0), self._byte(rows, 1)
-            grown = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
-            rank = np.empty(len(rows), np.int32)
-            rank[grown] = np.arange(len(grown), dtype=np.int32)
-            new = n + rank[place]  # the n empty suffixes come first
-            total = n + len(grown)
-            is_new = np.zeros(total, bool)
-            is_new[new] = True
-            old = np.flatnonzero(~is_new)
-            changed = is_new.copy()  # a new position, and the one that follows it
-            changed[1:] |= is_new[:-1]
-            changed[: n + 1] = False
-            changed = np.flatnonzero(changed)
-            here, previous = grown[changed - n], grown[changed - n - 1]
-            same = np.flatnonzero(symbol[here] == symbol[previous])
-            shared = np.zeros(len(changed), np.uint8)
-            # ranges in falling order of their starts, so that nothing between two of them is looked at
-            at = same[np.argsort(-previous[same])]
-            if len(at):
-                bounds = np.stack([previous[at] + 1, here[at] + 1], axis=1).ravel()
-                shared[at] = 1 + np.minimum.reduceat(np.append(common, np.uint8(0)), bounds)[::2]
+            new, changed, shared = self._places(place)
             going = sizes[active] > step
-            before = np.where(going, codes[np.maximum(last[active] - step, 0)], 0).astype(np.uint64)
-            merged = np.empty(total, np.uint64)
-            merged[old] = rows
-            merged[new] = active.astype(np.uint64) << np.uint64(24) | np.uint64(step << 16) | before
-            bytes_of = merged.view(np.uint8).reshape(-1, 8)
-            bytes_of[changed, 1] = shared
-            if total > n:
-                bytes_of[n, 1] = 0
-            rows = merged
+            before = np.where(going, codes[np.maximum(last[active] - step, 0)], 0).astype(np.uint8)
+            order = np.argsort(new)
+            active, new, before, going = active[order], new[order], before[order], going[order]
+            files.write(self._merged(new, before, changed, shared))
+            self.counts += np.bincount(before, minlength=256)
             active, place = active[going], new[going]
-        self.text, self.length, self.common, self.symbol = (rows >> np.uint64(24)).astype(np.int64), self._byte(rows, 2), self._byte(rows, 1), self._byte(rows, 0)
 
-    @staticmethod
-    def _byte(rows: np.ndarray, k: int) -> np.ndarray:
-        return np.ascontiguousarray(rows.astype("<u8", copy=False).view(np.uint8)[k::8])
-
-
-def least_owner(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
+    def _places(self, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the symbols before the suffixes at ``place`` (in order) make new positions, and the changed prefixes.
+
+        Changed are new positions and those that follow one: with their common prefixes, in the order of positions.
+        """
+        smaller = self.n + np.cumsum(self.counts) - self.counts - self.counts[0]  # where a symbol's suffixes begin
+        seen = np.zeros(256, np.int64)  # of each symbol in the chunks before
+        least = np.zeros(256, np.uint8)  # of the common prefixes since its last one
+        pending = np.zeros(256, bool)  # whether its last one makes a new position, so that its next one is changed
+        new, changed, shared, at = np.empty(len(place), np.int64), [], [], 0
+        for symbol, common in self.files.read():
+            size = len(symbol)
+            lo, hi = np.searchsorted(place, (at, at + size))
+            own = place[lo:hi] - at
+            order = np.argsort(symbol, kind="stable")
+            number = np.bincount(symbol, minlength=256)
+            begin = np.cumsum(number) - number
+            kinds = np.flatnonzero(number)
+            shift = smaller + seen - begin  # from a rank in the chunk to a position
+            is_own = np.zeros(size, bool)
+            is_own[own] = True
+            made = np.flatnonzero(is_own[order])  # the ranks of the chunk's own places
+            text = order[made]
+            new[lo + np.searchsorted(own, text)] = made + shift[symbol[text]]
+            flag = np.zeros(size + 1, bool)
+            flag[made + 1] = True
+            # the first of a symbol only follows one of its own symbol, in the chunks before
+            flag[begin[kinds]] = pending[kinds]
+            flag[made] = True
+            flag[begin[0] : begin[0] + number[0]] = False  # no symbol, no longer suffix
+            some = np.flatnonzero(flag[:size])
+            here = order[some]
+            of = symbol[here]
+            is_first = some == begin[of]
+            start = np.where(is_first, 0, order[some - 1] + 1)
+            value = np.empty(len(some), np.uint8)
+            # ranges in falling order of their starts, so that nothing between two of them is looked at twice
+            turn = np.argsort(-start, kind="stable")
+            bounds = np.stack([start[turn], here[turn] + 1], axis=1).ravel()
+            padded = np.append(common, np.uint8(255))
+            if len(some):
+                value[turn] = np.minimum.reduceat(padded, bounds)[::2]
+            value = np.where(is_first & (seen[of] > 0), np.minimum(value, least[of]), value)
+            shared.append(np.where(is_first & (seen[of] == 0), 0, value + 1).astype(np.uint8))
+            changed.append(some + shift[of])
+            ends = order[begin[kinds] + number[kinds] - 1]
+            least = np.minimum(least, common.min())
+            turn = np.argsort(ends)
+            since = np.minimum.reduceat(padded, ends[turn] + 1)
+            least[kinds[turn]] = np.minimum.accumulate(since[::-1])[::-1]
+            pending[kinds] = is_own[ends]
+            seen += number
+            at += size
+        changed, shared = np.concatenate(changed), np.concatenate(shared)
+        order = np.argsort(changed)
+        return new, changed[order], shared[order]
+
+    def _merged(self, new: np.ndarray, before: np.ndarray, changed: np.ndarray, shared: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The current list with the new positions in it."""
+        at, done = 0, 0
+        rows_before = new - np.arange(len(new))  # of the current list
+        total = self.counts.sum()
+        for symbol, common in self.files.read():
+            is_last = at + len(symbol) == total
+            upto = len(new) if is_last else int(np.searchsorted(rows_before, at + len(symbol)))
+            where = rows_before[done:upto] - at
+            symbol = np.insert(symbol, where, before[done:upto])
+            common = np.insert(common, where, np.uint8(0))
+            lo, hi = np.searchsorted(changed, (at + done, at + done + len(symbol)))
+            common[changed[lo:hi] - at - done] = shared[lo:hi]
+            at += len(symbol) - (upto - done)
+            done = upto
+            yield symbol, common
+
+    def read(self) -> tuple[np.ndarray, ...]:
+        """The whole list: symbols and common prefixes."""
+        return tuple(np.concatenate(x) for x in zip(*self.files.read(), strict=True))
+
+    def walk(self, symbol: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length of suffix the texts that have one so long, and its positions."""
+        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
+        longer = np.zeros(len(symbol), np.int64)
+        longer[order] = self.n + np.arange(len(order))
+        texts, at = np.arange(self.n), np.arange(self.n)
+        length = 0
+        while len(texts):
+            yield length, texts, at
+            going = self.sizes[texts] > length
+            texts, at, length = texts[going], longer[at[going]], length + 1
+
+
+def least_owner(texts: list[bytes], owner: np.ndarray, files: ColumnFiles) -> np.ndarray:
     """For each string of LENGTH bytes, text by text: the least owner of a text that has it."""
-    index = CollectionIndex(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    group = np.flatnonzero(index.common < LENGTH)
-    least = np.repeat(np.minimum.reduceat(owner[index.text], group), np.diff(np.append(group, len(index.text))))
-    whole = index.length >= LENGTH
-    strings = sizes - LENGTH + 1
+    index = CollectionIndex(texts, files)
+    symbol, common = index.read()
+    group = np.cumsum(common < LENGTH) - 1
+    strings = index.sizes - LENGTH + 1
     first = np.cumsum(strings) - strings
-    out = np.empty(strings.sum(), np.int64)
-    out[first[index.text[whole]] + sizes[index.text[whole]] - index.length[whole]] = least[whole]
-    return out
+    of, owners = np.empty(strings.sum(), np.int64), np.repeat(owner, strings)
+    for length, own, at in index.walk(symbol):
+        if length >= LENGTH:
+            of[first[own] + index.sizes[own] - length] = group[at]
+    least = np.full(int(group[-1]) + 1, 2**63 - 1, np.int64)
+    np.minimum.at(least, of, owners)
+    return least[of]
 
 
 PACKED = "p int, id long, slot int, keys binary, ids binary, slots binary, starts binary, sizes binary, data binary"
@@ -284,51 +390,52 @@ def run_sender(parts: int, most_known: int = 100_000):
     return run
 
 
-def settled_runs(keys, ids, slots, starts, texts: list[bytes], most_pieces: int) -> tuple[np.ndarray, ...]:
-    """(id, slot, start, end) of the covered ranges of these runs."""
+def settled_runs(keys, ids, slots, starts, texts: list[bytes], most_pieces: int, new_files) -> tuple[np.ndarray, ...]:
+    """(id, slot, start, end) of the covered strings of these runs."""
     numbers: dict[bytes, int] = {}
     number = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
     distinct = list(numbers)
     owner = np.full(len(distinct), 2**63 - 1, np.int64)
     np.minimum.at(owner, number, ids)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    copies = ids > owner[number]
-    found = [(ids[copies], slots[copies], starts[copies], starts[copies] + sizes[copies])]
     key_of = np.zeros(len(distinct), np.uint64)
     key_of[number] = keys
     order = np.argsort(key_of, kind="stable")
     group = np.flatnonzero(np.append(True, key_of[order][1:] != key_of[order][:-1]))
-    size = np.diff(np.append(group, len(order)))
     members = np.argsort(number, kind="stable")
     member_at = np.searchsorted(number[members], np.arange(len(distinct) + 1))
-    batch, n = [], 0
-    several = np.flatnonzero(size > 1)
-    for j, g in enumerate(several.tolist()):
-        batch.append(order[group[g] : group[g] + size[g]])
-        n += size[g]
-        if n < most_pieces and j + 1 < len(several):
-            continue
-        chosen = np.concatenate(batch)
-        batch, n = [], 0
-        least = least_owner([distinct[c] for c in chosen], owner[chosen])
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int32), *(np.zeros(0, np.int64),) * 2)], 0
+    while at < len(order):
+        upto = np.searchsorted(group, at + most_pieces)  # whole keys
+        end = int(group[upto]) if upto < len(group) else len(order)
+        chosen, at = order[at:end], end
+        files = new_files()
+        least = least_owner([distinct[c] for c in chosen], owner[chosen], files)
+        files.delete()
         strings = np.array([len(distinct[c]) for c in chosen]) - LENGTH + 1
-        lost = least < np.repeat(owner[chosen], strings)
-        at = np.flatnonzero(lost)
-        if len(at):
-            piece = np.searchsorted(np.cumsum(strings), at, "right")
-            offset = at - (np.cumsum(strings) - strings)[piece]
-            c = chosen[piece]
-            counts = member_at[c + 1] - member_at[c]
-            m = members[ranges(member_at[c], counts)]
-            begin = starts[m] + np.repeat(offset, counts)
-            found.append((ids[m], slots[m], begin, begin + LENGTH))
+        first = np.cumsum(strings) - strings
+        # every run against its own strings' least owners, copies of it too
+        counts = member_at[chosen + 1] - member_at[chosen]
+        m = members[ranges(member_at[chosen], counts)]
+        piece = np.repeat(np.arange(len(chosen)), counts)
+        lost = least[ranges(first[piece], strings[piece])] < np.repeat(ids[m], strings[piece])
+        hit = np.flatnonzero(lost)
+        owner_row = np.repeat(np.arange(len(m)), strings[piece])[hit]
+        begin = starts[m][owner_row] + ranges(np.zeros(len(m), np.int64), strings[piece])[hit]
+        # strings that follow each other are one span
+        new = np.ones(len(begin), bool)
+        new[1:] = (owner_row[1:] != owner_row[:-1]) | (begin[1:] != begin[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(begin))[: len(head)] - 1
+        own = m[owner_row[head]]
+        found.append((ids[own], slots[own], begin[head], begin[tail] + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def run_settler(parts: int, most_pieces: int):
+def run_settler(parts: int, most_pieces: int, folder: str, chunk: int):
     """Of each dealt share of the runs: the covered ranges, document by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_files = lambda: ColumnFiles(folder, chunk)
         for rows in grouped_rows(batches, 1):
             bounds = group_bounds(rows, 1)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -340,7 +447,7 @@ def run_settler(parts: int, most_pieces: int):
                     data = b"".join(dealt.column(8).to_pylist())
                     ends = np.cumsum(columns[4], dtype=np.int64).tolist()
                     texts = [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-                    ids, slots, begin, end = settled_runs(*columns[:3], columns[3].astype(np.int64), texts, most_pieces)
+                    ids, slots, begin, end = settled_runs(*columns[:3], columns[3].astype(np.int64), texts, most_pieces, new_files)
                     if len(ids):
                         known += by_document(ids, slots, np.stack([begin, end], axis=1), parts)
                 for lo in range(0, len(known), 20_000):
@@ -355,13 +462,13 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, is_copy, spans of a document, text): the maximal covered runs, and the other bytes joined."""
-    for ids, copies, spans, texts in blocks(batches, BLOCK):
+    """From (id, spans of a document, text): the maximal covered runs, and the other bytes joined."""
+    for ids, spans, texts in blocks(batches, BLOCK):
         rows = []
-        for i, is_copy, own, text in zip(ids, copies, spans, texts, strict=True):
+        for i, own, text in zip(ids, spans, texts, strict=True):
             data = text.encode()
-            merged: list[list[int]] = [[0, len(data)]] if is_copy else []
-            if own and not is_copy:
+            merged: list[list[int]] = []
+            if own:
                 pairs = np.unique(np.frombuffer(b"".join(own), np.int64).reshape(-1, 2), axis=0)
                 reach = np.maximum.accumulate(pairs[:, 1])
                 first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
@@ -376,33 +483,22 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """(id, slot) of documents of LENGTH bytes or more whose whole text a document with a smaller id has too."""
-    slim = docs.filter(F.octet_length("text") >= LENGTH).select("id", "slot", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
-    first = slim.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    return slim.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "slot").distinct()
-
-
-def suffix_dedup(documents: DataFrame, *, most_pieces: int = 20_000) -> DataFrame:
-    """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left).
-
-    Whole copies lose everything and own nothing that the first copy doesn't, so they are settled by a hash of the text
-    and take no further part.
-    """
+def suffix_dedup(documents: DataFrame, *, most_pieces: int = 50_000, chunk: int = 1 << 20) -> DataFrame:
+    """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left)."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship_package(spark)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("slot"), text.alias("text"))
-    copies = cut_lineage(whole_copies(docs))
-    own = docs.join(copies, ["id", "slot"], "left_anti")
-    dealt = own.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
+    # shares grow with the input: four for each of its splits, or as many as the session asks for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions() if documents.columns else 1)
+    dealt = docs.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
     shared = dealt.mapInArrow(key_matcher(parts), "id long, slot int, keys binary")
     wanted = shared.groupBy("id", "slot").agg(F.collect_list("keys").alias("keys"))  # no more than a document's own runs
-    runs = own.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
-    settled = runs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(run_settler(parts, most_pieces), "id long, slot int, spans binary")
+    runs = docs.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
+    folder = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
+    settled = runs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(run_settler(parts, most_pieces, folder, chunk), "id long, slot int, spans binary")
     spans = settled.groupBy("id", "slot").agg(F.collect_list("spans").alias("spans"))
-    every = docs.join(spans, ["id", "slot"], "left").join(copies.withColumn("is_copy", F.lit(True)), ["id", "slot"], "left")
-    return every.select("id", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans", "text").mapInArrow(removed, RESULT)
+    return docs.join(spans, ["id", "slot"], "left").select("id", "spans", "text").mapInArrow(removed, RESULT)
 
 
 def op2_suffix_dedup(spark, sf_dir):

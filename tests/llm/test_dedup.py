@@ -53,19 +53,26 @@ def test_lines_keep_all_rows_and_other_columns(docs, clashing, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_collection_index_is_the_sorted_list_of_suffixes():
-    import random
-
+def test_collection_index_is_the_sorted_list_of_suffixes(tmp_path):
     rng = random.Random(3)
-    for _ in range(25):
+    for turn in range(40):
         texts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 9))]
-        index = suffix_dedup.CollectionIndex(texts)
+        texts += texts[: turn % 3]  # copies are in the list like any other text
+        files = suffix_dedup.ColumnFiles(f"file://{tmp_path}/{turn}", rng.choice([1, 2, 3, 7, 1000]))
+        index = suffix_dedup.CollectionIndex(texts, files)
+        # one round a column, each a pass from one pair of files to the other
+        assert files.round == 1 + max(map(len, texts))
+        assert sorted(p.name for p in next((tmp_path / str(turn)).iterdir()).iterdir()) == ["0.bwt", "0.lcp", "1.bwt", "1.lcp"]
+        symbol, common = index.read()
         want = sorted(((t[len(t) - n :] + b"\0", i, n) for i, t in enumerate(texts) for n in range(len(t) + 1)), key=lambda x: (x[0], x[1]))
-        assert list(zip(index.text.tolist(), index.length.tolist(), strict=True)) == [(i, n) for _, i, n in want]
-        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == 0), 0)
-        assert index.common.tolist() == [0, *(common(a[0], b[0]) for a, b in zip(want, want[1:], strict=False))]
+        got = sorted((p, i, n) for n, own, at in index.walk(symbol) for i, p in zip(own.tolist(), at.tolist(), strict=True))
+        assert [(i, n) for _, i, n in got] == [(i, n) for _, i, n in want] and [p for p, _, _ in got] == list(range(len(want)))
+        alike = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == 0), 0)
+        assert common.tolist() == [0, *(alike(a[0], b[0]) for a, b in zip(want, want[1:], strict=False))]
         before = [texts[i][len(texts[i]) - n - 1] if n < len(texts[i]) else None for _, i, n in want]
-        assert [x is None for x in before] == (index.symbol == 0).tolist()
+        assert [x is None for x in before] == (symbol == 0).tolist()
+        files.delete()
+        assert not list((tmp_path / str(turn)).iterdir())
 
 
 def suffix_want(rows):
@@ -93,6 +100,8 @@ def test_strings(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.suffix_dedup(docs).collect())
     assert got == suffix_want(rows)
+    small = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.suffix_dedup(docs, most_pieces=30, chunk=100).collect())
+    assert small == got
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
