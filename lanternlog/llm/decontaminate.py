@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, ship_package, table
 
 WORD = re.compile(r"\w+")
 
@@ -124,6 +124,7 @@ def searcher(shared, key: str, error_rate: float) -> Searcher:
 def item_blocks(benchmark: DataFrame, most_chars: int):
     """Broadcasts of (item_id, text) lists that together are the benchmark, each about most_chars long at most."""
     spark = benchmark.sparkSession
+    ship_package(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n = 1 if total <= most_chars else int(2 * total // most_chars) + 1

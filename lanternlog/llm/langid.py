@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, blocks, cut_lineage, mix64, table
+from .common import WordTable, blocks, cut_lineage, mix64, ship_package, table
 
 ORDER = 5
 START, END = 1, 2  # code points that no text has as letters
@@ -331,6 +331,7 @@ def language_id(documents: DataFrame, *, held_out=None, width: float = 6.0, leas
     ``held_out`` is a column of documents that are never learnt from; by default crc32(doc_id) mod 4 = 2.
     ``most_broadcast`` bounds the log-probabilities that are broadcast; it changes no result.
     """
+    ship_package(documents.sparkSession)
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
     docs = documents.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))

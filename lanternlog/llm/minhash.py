@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, blocks, cut_lineage, mix64, table
+from .common import WordTable, blocks, cut_lineage, mix64, ship_package, table
 from .graph import components
 
 WORD = re.compile(r"\w+")
@@ -313,6 +313,7 @@ def connected(sizes: DataFrame, members: DataFrame, finder, block: int, represen
 
 def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int = 1000) -> DataFrame:
     """A row for each document row: doc_id, k1, k2 (its key), class_id, is_first (the class's own document)."""
+    ship_package(documents.sparkSession)
     docs = row_keys(documents)
     features = cut_lineage(docs.mapInArrow(featured_columns, FEATURES))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut_lineage, table
+from .common import blocks, cut_lineage, ship_package, table
 from .tokens import vocabulary_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -126,6 +126,7 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(documents: DataFrame, *, vocabulary: str = VOCABULARY, length: int = LENGTH, nearly_full: float = 0.995, fan_in: int = 8, most_items: int = 200_000, least_saved: float = 0.001) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    ship_package(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     bins = cut_lineage(docs.mapInArrow(first_round(vocabulary_path(vocabulary), length, most_items), BIN_SCHEMA))
     done, tasks, turn = [], bins.rdd.getNumPartitions(), 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, WordTable, blocks, cut_lineage, table
+from .common import WORD_SPACE, WordTable, blocks, cut_lineage, ship_package, table
 from .tokens import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -127,6 +127,7 @@ def row_key(lang) -> list:
 
 def quality_features(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a document, without a shuffle: the base counts and the three fertility measures."""
+    ship_package(documents.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
     docs = documents.select(F.col("doc_id").cast("long"), *row_key(lang), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, ship_package, table
 
 #: The categories in the order of the chain; labels has quality (1: good) and a column of its own for every other.
 CATEGORIES = ("low_quality", "toxic")
@@ -189,6 +189,7 @@ TRAIN = "fold int, ids array<int>, labels array<double>, before array<double>"
 
 def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 20_000, folds: int = 3, least_docs: int = 3, most_words: int = 1 << 17, penalty: float = 0.002) -> Chain:
     """Learn from at most ``most_labelled`` labelled rows, by the ``most_words`` most frequent words of ``least_docs`` of them at least."""
+    ship_package(documents.sparkSession)
     usable = labels.select("doc_id", *(label_of(c).alias(f"is_{c}") for c in categories)).dropna()
     usable = usable.groupBy("doc_id").agg(F.array(*(F.max(f"is_{c}") for c in categories)).alias("labels"))
     # at most most_labelled rows of a few numbers, so the broadcast is bounded; documents are not moved

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_dir, table
+from .common import blocks, shared_dir, ship_package, table
 
 CRLF = "\r\n"
 #: FIXED VALUES: the format's version and its profile for records that only point at an equal payload.
@@ -163,6 +163,7 @@ def write_warc(pages: DataFrame, folder: str, *, shard_bytes: int = 256 << 20, r
     from pyarrow import fs
 
     spark = pages.sparkSession
+    ship_package(spark)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{root}/archive", recursive=True)
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -237,6 +238,7 @@ def file_reader(folder: str):
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the files that the manifest under folder has; a task holds one file, of about the rolled size."""
+    ship_package(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     n_files = manifest.count()
     tasks = max(1, min(n_files, 1000 + n_files // 10))
