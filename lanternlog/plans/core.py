@@ -6,12 +6,14 @@ Each query is registered with the SQL that states its result over the same table
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from ..operators import alerts, asof, backtest, derive, eventlog, graph, radar, resolve, scoring
 from ..sources import filings
-from .views import base, view, with_views
+from .store import stored
+from .views import VIEWS, base, view, with_views
 
 AS_OF = date(2000, 1, 1)
 D = "DATE '2000-01-01'"
@@ -469,12 +471,85 @@ insider AS (SELECT ic.*, canonical_name AS company_name, size_vs_history * 0.35
 INS = insider_sql()
 
 
-def transactions(spark, d):
-    return view(spark, d, "tb_form4").withColumn("source_url", F.concat(F.lit("https://www.sec.gov/Archives/"), F.col("accession").cast("string")))
+class Facts:
+    """The tables that scores and alerts read, each made once, when it is first asked for.
+
+    Transactions and position changes are written: several scores read them with different columns.
+    """
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def form4(self):
+        url = F.concat(F.lit("https://www.sec.gov/Archives/"), F.col("accession").cast("string"))
+        return stored(view(self.spark, self.d, "tb_form4")).withColumn("source_url", url)
+
+    @cached_property
+    def roles(self):
+        return self.spark.sql(VIEWS["tb_roles"].replace("tb_form4", "{form4}"), form4=self.form4)
+
+    @cached_property
+    def companies(self):
+        return view(self.spark, self.d, "tb_companies")
+
+    @cached_property
+    def changes(self):
+        return stored(changes(self.spark, self.d))
+
+    @cached_property
+    def short_interest(self):
+        return si(self.spark, self.d)
+
+    def insider(self, as_of=AS_OF, **settings):
+        return scoring.insider_scores(self.form4, self.roles, self.companies, as_of, **settings)
+
+    @cached_property
+    def institution_window(self):
+        return scoring.institution_window(self.changes, AS_OF, lookback_days=1460)
+
+    def institution(self):
+        return scoring.scored_institutions(self.institution_window, self.companies, AS_OF)
+
+    def short_interest_scores(self):
+        return scoring.short_interest_scores(self.short_interest, self.companies, AS_OF)
+
+    def evidence(self):
+        """What the scores of all families rest on: family, company_id, evidence_id."""
+        one = scoring.insider_evidence(self.form4, self.roles, AS_OF)
+        two = scoring.institution_evidence(self.changes, AS_OF).withColumnRenamed("event_time", "period")
+        three = scoring.short_interest_evidence(self.short_interest, AS_OF)
+        parts = [
+            one.select(F.lit("insider").alias("family"), "company_id", eventlog.natural_key("form4", "event_id").alias("evidence_id")),
+            two.select(F.lit("institution").alias("family"), "company_id", eventlog.natural_key("13f", "institution_id", "company_id", "period").alias("evidence_id")),
+            three.select(F.lit("short_interest").alias("family"), "company_id", eventlog.natural_key("si", "company_id", "settlement_date").alias("evidence_id")),
+        ]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    @cached_property
+    def families(self):
+        """Every company's composite in each family, written: thresholds and labels both read it."""
+        parts = [rows.select(F.lit(n).alias("family"), "company_id", F.round("composite", 6).alias("composite")) for n, rows in (("insider", self.insider()), ("institution", self.institution()), ("short_interest", self.short_interest_scores()))]
+        return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+    def convergence(self):
+        directions = self.institution_window.select("company_id", "accumulating", "distributing")
+        return radar.convergence(*(self.families.filter(F.col("family") == n) for n in ("insider", "institution", "short_interest")), directions)
+
+    def hits(self):
+        r = rules(self.spark)
+        return alerts.threshold_hits(r, self.families).unionByName(alerts.label_hits(r, self.convergence()))
+
+    def alerts_of_the_day(self, with_evidence: bool = False):
+        hits = self.hits()
+        if with_evidence:
+            hits = alerts.with_evidence(hits, self.evidence())
+        known = hits.filter("composite >= 75").select("name", "company_id", F.lit(AS_OF).alias("alert_date"))
+        return alerts.new_alerts(hits, known, AS_OF)
 
 
 def insider(spark, d, as_of=AS_OF, **settings):
-    return scoring.insider_scores(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), view(spark, d, "tb_companies"), as_of, **settings)
+    return Facts(spark, d).insider(as_of, **settings)
 
 
 INS_PARTS = ["window_total", "plan_total", "size_vs_history", "breadth", "persistence", "discretion", "composite", "confidence"]
@@ -503,13 +578,15 @@ def s03(spark, d):
 
 @query("s05_insider_aggregates", f"WITH {INS} SELECT company_id, transactions, priced, insiders, senior, {rounded('window_total', 'plan_total')} FROM iw")
 def s05(spark, d):
-    w = scoring.insider_window(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), AS_OF, 90)
+    facts = Facts(spark, d)
+    w = scoring.insider_window(facts.form4, facts.roles, AS_OF, 90)
     return w.select("company_id", "transactions", "priced", "insiders", "senior", *r6("window_total", "plan_total"))
 
 
 @query("s12_insider_evidence", f"WITH {INS} SELECT iq.company_id, event_id, person_id, event_time, CAST(amt AS DOUBLE) AS dollars, is_10b5_1 AS plan, coalesce(is_officer, false) AS is_officer, coalesce(is_director, false) AS is_director, coalesce(is_ten_percent_owner, false) AS is_ten_percent_owner, concat('https://www.sec.gov/Archives/', accession) AS source_url FROM iq JOIN iw USING (company_id) LEFT JOIN tb_roles USING (person_id, company_id) WHERE event_time >= {D} - 90 AND event_time < {D}")
 def s12(spark, d):
-    rows = scoring.insider_evidence(transactions(spark, d), view(spark, d, "tb_roles"), AS_OF)
+    facts = Facts(spark, d)
+    rows = scoring.insider_evidence(facts.form4, facts.roles, AS_OF)
     return rows.select("company_id", "event_id", "person_id", "event_time", F.col("dollars").cast("double").alias("dollars"), "plan", *scoring.ROLES, "source_url")
 
 
@@ -542,12 +619,8 @@ institution AS (SELECT nc.*, canonical_name AS company_name, magnitude_vs_histor
 INST_PARTS = ["magnitude_vs_history", "breadth", "consensus", "new_money_share", "composite", "confidence"]
 
 
-def institution_window(spark, d):
-    return scoring.institution_window(changes(spark, d), AS_OF, lookback_days=1460)
-
-
 def institution(spark, d):
-    return scoring.scored_institutions(institution_window(spark, d), view(spark, d, "tb_companies"), AS_OF)
+    return scoring.institution_scores(changes(spark, d), view(spark, d, "tb_companies"), AS_OF)
 
 
 @query("s15_accumulated_value", f"WITH {INST} SELECT institution_id, period_of_report, company_id, round(amt, 6) AS dollars FROM na")
@@ -657,9 +730,7 @@ conv AS (SELECT company_id, round(ic, 6) AS insider_composite, round(nc, 6) AS i
 
 
 def conv(spark, d):
-    window = institution_window(spark, d)
-    scores = scoring.scored_institutions(window, view(spark, d, "tb_companies"), AS_OF)
-    return radar.convergence(insider(spark, d), scores, short_interest(spark, d), window.select("company_id", "accumulating", "distributing"))
+    return Facts(spark, d).convergence()
 
 
 def conv_columns(df):
@@ -755,24 +826,6 @@ def rules(spark):
     return alerts.current_rules(spark.createDataFrame(RULES, alerts.RULE))
 
 
-def families(spark, d):
-    parts = [f(spark, d).select(F.lit(n).alias("family"), "company_id", F.round("composite", 6).alias("composite")) for n, f in (("insider", insider), ("institution", institution), ("short_interest", short_interest))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def evidence(spark, d):
-    """What the scores of all families rest on: family, company_id, evidence_id."""
-    one = scoring.insider_evidence(view(spark, d, "tb_form4"), view(spark, d, "tb_roles"), AS_OF)
-    two = scoring.institution_evidence(changes(spark, d), AS_OF).withColumnRenamed("event_time", "period")
-    three = scoring.short_interest_evidence(si(spark, d), AS_OF)
-    parts = [
-        one.select(F.lit("insider").alias("family"), "company_id", eventlog.natural_key("form4", "event_id").alias("evidence_id")),
-        two.select(F.lit("institution").alias("family"), "company_id", eventlog.natural_key("13f", "institution_id", "company_id", "period").alias("evidence_id")),
-        three.select(F.lit("short_interest").alias("family"), "company_id", eventlog.natural_key("si", "company_id", "settlement_date").alias("evidence_id")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 EVIDENCE = f"""ev AS (SELECT 'insider' AS family, company_id, concat('form4:', event_id) AS id FROM iq WHERE event_time >= {D} - 90 AND event_time < {D}
   UNION ALL SELECT 'institution', company_id, concat('13f:', institution_id, '#', company_id, '#', period_of_report) FROM na WHERE event_time >= {D} - 365 AND event_time < {D}
   UNION ALL SELECT 'short_interest', company_id, concat('si:', company_id, '#', settlement_date) FROM sl JOIN (SELECT company_id FROM sw) USING (company_id))"""
@@ -787,31 +840,22 @@ def evidence_columns():
     return [F.size("evidence_ids").cast("bigint").alias("n_evidence"), F.array_min("evidence_ids").alias("first_evidence"), F.array_max("evidence_ids").alias("last_evidence")]
 
 
-def all_hits(spark, d):
-    r = rules(spark)
-    return alerts.threshold_hits(r, families(spark, d)).unionByName(alerts.label_hits(r, conv(spark, d)))
-
-
 @query("a02_threshold_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, composite, n_evidence, first_evidence, last_evidence FROM th JOIN he USING (name, company_id)")
 def a02(spark, d):
-    hits = alerts.threshold_hits(rules(spark), families(spark, d))
-    return alerts.with_evidence(hits, evidence(spark, d)).select("name", "company_id", "composite", *evidence_columns())
+    facts = Facts(spark, d)
+    hits = alerts.threshold_hits(rules(spark), facts.families)
+    return alerts.with_evidence(hits, facts.evidence()).select("name", "company_id", "composite", *evidence_columns())
 
 
 @query("a03_label_alerts", f"WITH {CONV}, {HITS} SELECT h.name, h.company_id, label AS summary, n_evidence, first_evidence, last_evidence FROM lh h JOIN conv USING (company_id) JOIN he ON he.name = h.name AND he.company_id = h.company_id")
 def a03(spark, d):
-    return alerts.with_evidence(alerts.label_hits(rules(spark), conv(spark, d)), evidence(spark, d)).select("name", "company_id", "summary", *evidence_columns())
-
-
-def alerts_of_the_day(spark, d):
-    hits = all_hits(spark, d)
-    known = hits.filter("composite >= 75").select("name", "company_id", F.lit(AS_OF).alias("alert_date"))
-    return alerts.new_alerts(hits, known, AS_OF)
+    facts = Facts(spark, d)
+    return alerts.with_evidence(alerts.label_hits(rules(spark), facts.convergence()), facts.evidence()).select("name", "company_id", "summary", *evidence_columns())
 
 
 @query("a04_new_alerts", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite FROM hits WHERE composite IS NULL OR composite < 75")
 def a04(spark, d):
-    return alerts_of_the_day(spark, d).select("name", "company_id", "alert_date", "composite")
+    return Facts(spark, d).alerts_of_the_day().select("name", "company_id", "alert_date", "composite")
 
 
 @query(
@@ -821,7 +865,7 @@ def a04(spark, d):
 def a06(spark, d):
     """The day's outbox, its payloads read back."""
     r = rules(spark)
-    out = alerts.payloads(alerts.with_evidence(alerts_of_the_day(spark, d), evidence(spark, d)), r)
+    out = alerts.payloads(Facts(spark, d).alerts_of_the_day(with_evidence=True), r)
     said = F.from_json("payload", "text string, rule_id string, composite_score double, source_event_ids array<string>")
     read = out.select("name", "company_id", said.alias("p"))
     ids = F.col("p.source_event_ids")
@@ -833,7 +877,7 @@ def a06(spark, d):
 @query("q13_alert_listing", f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite, true AS has_webhook FROM hits WHERE name = 'insider strong' AND composite < 75")
 def q13(spark, d):
     shown = alerts.shown(rules(spark)).select("name", "has_webhook")
-    return alerts.listing(alerts_of_the_day(spark, d), rule="insider strong").join(shown, "name").select("name", "company_id", "alert_date", "composite", "has_webhook")
+    return alerts.listing(Facts(spark, d).alerts_of_the_day(), rule="insider strong").join(shown, "name").select("name", "company_id", "alert_date", "composite", "has_webhook")
 
 
 RULE_CHANGES = """SELECT concat('rule ', o_custkey) AS name, CAST(o_orderkey AS INT) AS version, CASE o_orderpriority WHEN '1-URGENT' THEN 'INSIDER_THRESHOLD' WHEN '2-HIGH' THEN 'INSTITUTIONAL_THRESHOLD' WHEN '3-MEDIUM' THEN 'SHORT_INTEREST_THRESHOLD' WHEN '5-LOW' THEN 'UNKNOWN' ELSE 'CONVERGENCE_LABEL' END AS rule_type,
@@ -856,13 +900,13 @@ def a01(spark, d):
 
 @query("a05_rules_evaluated", f"WITH {CONV}, {HITS} SELECT r.name, count(h.name) AS created FROM (VALUES ('insider strong'), ('institutions'), ('shorts'), ('labels')) r(name) LEFT JOIN hits h USING (name) GROUP BY 1")
 def a05(spark, d):
-    return alerts.evaluated(rules(spark), all_hits(spark, d))
+    return alerts.evaluated(rules(spark), Facts(spark, d).hits())
 
 
 @query("k01_overview", f"WITH {CONV}, {HITS} SELECT (SELECT count(*) FROM tb_companies) AS companies, (SELECT count(*) FROM hits) AS alerts, (SELECT count(*) FROM ({PAIRS})) AS interlocks, (SELECT CAST(arg_max(close, trade_date) AS DOUBLE) FROM tb_volatility WHERE index_code = 'CLICK') AS latest_close")
 def k01(spark, d):
     levels = view(spark, d, "tb_volatility").filter("index_code = 'CLICK'")
-    return radar.overview(view(spark, d, "tb_companies"), all_hits(spark, d), graph.interlocks(view(spark, d, "tb_roles")), levels).withColumn("latest_close", F.col("latest_close").cast("double"))
+    return radar.overview(view(spark, d, "tb_companies"), Facts(spark, d).hits(), graph.interlocks(view(spark, d, "tb_roles")), levels).withColumn("latest_close", F.col("latest_close").cast("double"))
 
 
 # --- the scores' parts, each by itself ------------------------------------------------------------------------------

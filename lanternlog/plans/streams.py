@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import ingest
 from .core import query
+from .store import workspace
 from .views import view
 
 
-def workspace(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
 @query("st01_streamed_append", "SELECT accession, txn_index, count(*) AS n FROM (SELECT DISTINCT accession, txn_index FROM tb_form4_raw) GROUP BY 1, 2")
 def st01(spark, d):
-    folder, raw = workspace(spark), view(spark, d, "tb_form4_raw")
+    folder, raw = workspace(spark, "stream"), view(spark, d, "tb_form4_raw")
     # landed in order of accession numbers, as filings come in; how many files there are follows the table
     raw.repartitionByRange("accession").write.parquet(f"{folder}/landing")
     stream = ingest.landing(spark, f"{folder}/landing", raw.schema, files_per_batch=2)
@@ -35,7 +23,7 @@ def st01(spark, d):
 
 @query("st02_streamed_windows", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, round(sum(value), 4) AS total, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1, 2")
 def st02(spark, d):
-    folder = workspace(spark)
+    folder = workspace(spark, "stream")
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     events.repartitionByRange("ts").write.parquet(f"{folder}/landing")
     stream = ingest.landing(spark, f"{folder}/landing", events.schema)
