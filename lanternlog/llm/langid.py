@@ -86,71 +86,6 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-class Models:
-    """Kneser-Ney models of all languages, of order 1 to ORDER, from (lang, gram, n) columns: gram_table() in memory.
-
-    Tests hold gram_table() against it; no query gathers its grams so.
-    """
-
-    def __init__(self, langs: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        width = len(langs)
-        own = [lang == i for i in range(width)]
-        alphabet = len(np.unique(grams[:, -1])) + 1 if len(grams) else 1
-        lower = None  # hashes and log-probabilities of the order below
-        self.hashes, self.logp, self.context_hashes, self.log_backoff = [], [], [], []
-        for order in range(1, ORDER + 1):
-            all_h = gram_hash(grams, order)
-            keys, first = np.unique(all_h, return_index=True)
-            contexts_of = gram_hash(grams[first, :-1], order - 1) if order > 1 else np.zeros(len(keys), np.uint64)
-            contexts, context_at = np.unique(contexts_of, return_inverse=True)
-            logp = np.zeros((len(keys), width), np.float32)
-            log_backoff = np.zeros((len(contexts), width), np.float32)
-            padded = grams[first, -order] == START  # has no letter before it: counted as it occurs
-            for i in range(width):
-                at = np.searchsorted(keys, all_h[own[i]])
-                times = np.bincount(at, n[own[i]], len(keys))
-                if order < ORDER:
-                    longer = np.unique(np.stack([gram_hash(grams[own[i]], order + 1), all_h[own[i]]]), axis=1)
-                    before = np.bincount(np.searchsorted(keys, longer[1]), minlength=len(keys))
-                    times = np.where(padded, times, before)
-                ones, twos = (times == 1).sum(), (times == 2).sum()
-                discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-                total = np.bincount(context_at, times, len(contexts))
-                kinds = np.bincount(context_at, times > 0, len(contexts))
-                back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-                below = np.full(len(keys), 1 / alphabet) if lower is None else np.exp(lower[1][np.searchsorted(lower[0], gram_hash(grams[first], order - 1)), i])
-                p = np.maximum(times - discount, 0) / np.maximum(total, 1)[context_at] + back[context_at] * below
-                logp[:, i] = np.log(np.maximum(p, 1e-12))
-                log_backoff[:, i] = np.log(np.maximum(back, 1e-12))
-            lower = (keys, logp)
-            self.hashes.append(keys)
-            self.logp.append(logp)
-            self.context_hashes.append(contexts)
-            self.log_backoff.append(log_backoff)
-        self.unknown = np.float32(np.log(1 / alphabet))
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each row's last code point after the others, a column per language."""
-        out = np.zeros((len(grams), len(self.langs)), np.float32)
-        left = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            rows = grams[left]
-            h = gram_hash(rows, order)
-            at = np.minimum(np.searchsorted(self.hashes[order - 1], h), len(self.hashes[order - 1]) - 1)
-            hit = self.hashes[order - 1][at] == h
-            out[left[hit]] += self.logp[order - 1][at[hit]]
-            left, rows = left[~hit], rows[~hit]
-            if not len(left):
-                return out
-            c = gram_hash(rows[:, :-1], order - 1) if order > 1 else np.zeros(len(rows), np.uint64)
-            at = np.minimum(np.searchsorted(self.context_hashes[order - 1], c), len(self.context_hashes[order - 1]) - 1)
-            known = self.context_hashes[order - 1][at] == c
-            out[left[known]] += self.log_backoff[order - 1][at[known]]
-        out[left] += self.unknown
-        return out
-
-
 def dense(column: pa.ListArray, width: int, *fields: str) -> list[np.ndarray]:
     """Matrices (rows x width) of the fields of lists of structs, placed by their number; no list and -1 leave zeros."""
     row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
@@ -186,7 +121,7 @@ def interpolation(discounts: np.ndarray, alphabet: int, is_last: bool):
             below = batch.column("below").flatten().to_numpy().reshape(-1, width) if "below" in batch.schema.names else 1 / alphabet
             p = np.maximum(times - discounts, 0) / np.maximum(total, 1) + back * below
             if is_last:
-                p = np.rint(np.log(np.maximum(p, 1e-12)) * SCALE).astype(np.int32)
+                p = np.rint(np.log(np.maximum(p, 1e-50)) * SCALE).astype(np.int32)  # down to what 32 bits take
             yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("n"), lists(p)], ["gram", "n", "p"])
 
     return run

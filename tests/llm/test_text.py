@@ -51,15 +51,80 @@ def test_held_out_texts_get_their_language(two_languages):
     assert next(r for r in out if r.doc_id == 203).rejected
 
 
-def test_model_probabilities_sum_to_one():
-    texts = ["abab", "abba", "bab", "aab"]
-    grams, _ = langid.positions(texts)
-    rows, n = np.unique(grams, axis=0, return_counts=True)
-    models = langid.Models(["x"], np.zeros(len(rows), np.int64), rows, n)
-    alphabet = sorted(set(rows[:, -1].tolist()))
-    for context in ([1, 1, 1, 1], [1, 1, 1, 97], [1, 1, 97, 98], [97, 98, 97, 98]):
-        p = np.exp(models.score(np.array([[*context, c] for c in alphabet], np.uint32))).sum()
-        assert 0.8 < p <= 1.0001  # the rest is kept for characters that were never seen
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by its definitions, in dictionaries: from {(language, five letters): count}."""
+
+    def __init__(self, counts):
+        self.langs = sorted({lang for lang, _ in counts})
+        self.times, self.total, self.kinds, self.discount = {}, Counter(), Counter(), {}
+        for order in range(5, 0, -1):
+            raw, before = Counter(), defaultdict(set)
+            for (lang, gram), n in counts.items():
+                raw[lang, gram[-order:]] += n
+                if order < 5:
+                    before[lang, gram[-order:]].add(gram[-order - 1])
+            for key, n in raw.items():
+                self.times[key] = n if order == 5 or key[1][0] == "\x01" else len(before[key])
+            for lang in self.langs:
+                own = [n for (k, g), n in self.times.items() if k == lang and len(g) == order]
+                ones, twos = own.count(1), own.count(2)
+                self.discount[lang, order] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        for (lang, gram), n in self.times.items():
+            self.total[lang, len(gram), gram[:-1]] += n
+            self.kinds[lang, len(gram), gram[:-1]] += 1
+        self.alphabet = len({g for _, g in self.times if len(g) == 1}) + 1
+
+    def p(self, lang, gram):
+        if not gram:
+            return 1 / self.alphabet
+        total, kinds = self.total[lang, len(gram), gram[:-1]], self.kinds[lang, len(gram), gram[:-1]]
+        below = self.p(lang, gram[1:])
+        if not total:
+            return below
+        d = self.discount[lang, len(gram)]
+        return max(self.times.get((lang, gram), 0) - d, 0) / total + d * kinds / total * below
+
+
+def plain_grams(text):
+    runs = re.findall(r"[^\W\d_]+", text.lower())
+    return [("\x01" * 4 + r + "\x02")[k : k + 5] for r in runs for k in range(len(r) + 1)]
+
+
+def test_language_and_entropy_by_the_definitions(spark, two_languages):
+    from zlib import crc32
+
+    rows = two_languages.unionByName(two_languages.limit(9)).collect()  # with repeated rows
+    crc = lambda i: crc32(str(i).encode())
+    counts = Counter()
+    for r in rows:
+        if r.doc_id is not None and crc(r.doc_id) % 4 != 2 and (crc(r.doc_id) >> 2) % 4 and r.lang and r.text:
+            counts.update((r.lang, g) for g in plain_grams(r.text))
+    model = PlainKneserNey(counts)
+    for context in ("\x01\x01\x01\x01", "\x01\x01\x01t", "then"):
+        for lang in model.langs:
+            p = sum(model.p(lang, context + c) for c in {g for _, g in model.times if len(g) == 1})
+            assert 0.9 < p <= 1.0001  # the rest is for letters that were never seen
+    found = {}
+    for out in langid.language_id(spark.createDataFrame(rows, DOCUMENTS)).collect():
+        assert found.setdefault((out.doc_id, out.held_out, out.cross_entropy), out) == out
+    by_id = defaultdict(list)
+    for out in found.values():
+        by_id[out.doc_id].append(out)
+    for r in rows:
+        grams = plain_grams(r.text or "")
+        if grams:
+            entropy = {lang: -sum(math.log(model.p(lang, g)) for g in grams) / len(grams) for lang in model.langs}
+            best = min(model.langs, key=entropy.get)
+            assert any(o.lang_pred == best and o.cross_entropy == pytest.approx(entropy[best], abs=1e-5) for o in by_id[r.doc_id])
+            want = 1 / sum(math.exp(-(e - entropy[best]) * min(len(grams), 40)) for e in entropy.values())
+            assert any(o.score == pytest.approx(want, abs=1e-4) for o in by_id[r.doc_id])
+
+
+def test_tied_languages_go_to_the_first(spark):
+    rows = [(i, "same words in both", "b" if i % 2 else "a", "s", 0) for i in range(40)]
+    out = langid.language_id(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    learnt = {k: sum(r.lang_pred == k for r in out) for k in ("a", "b")}
+    assert len(out) == 40 and sorted(learnt.values()) == [0, 40]
 
 
 def test_nothing_to_learn_from(spark, empty):
@@ -83,17 +148,14 @@ def test_gram_table_has_the_models_probabilities(spark):
     rng = random.Random(6)
     counted = Counter()
     for lang, make in (("a", sentence), ("b", late)):
-        grams, _ = langid.positions(make(rng, 200).split())
-        counted.update((lang, g.tobytes().decode("utf-32-le")) for g in np.ascontiguousarray(grams))
-    rows = [(lang, g, n, n) for (lang, g), n in counted.items()]
-    unseen = "\x01\x01kat"
-    df = spark.createDataFrame([*rows, (None, unseen, 1, 0)], "lang string, gram string, n long, fit_n long")
+        counted.update((lang, g) for g in plain_grams(make(rng, 200)))
+    unseen = "\x01\x01qqq"
+    df = spark.createDataFrame([*((lang, g, n, n) for (lang, g), n in counted.items()), (None, unseen, 1, 0)], "lang string, gram string, n long, fit_n long")
     langs, table = langid.gram_table(df)
+    model = PlainKneserNey(counted)
     found = {r.gram: r.p for r in table.collect()}
-    codes = lambda gs: np.array([[ord(c) for c in g] for g in gs], np.uint32)
-    models = langid.Models(langs, np.array([langs.index(k) for k, *_ in rows]), codes([g for _, g, *_ in rows]), np.array([n for *_, n in rows]))
-    assert langs == ["a", "b"] and unseen in found
-    assert np.allclose(np.array(list(found.values())) / langid.SCALE, models.score(codes(found)), atol=1e-4)
+    assert langs == ["a", "b"] and unseen in found and len(found) == len({g for _, g in counted}) + 1
+    assert all(p / langid.SCALE == pytest.approx(math.log(model.p(lang, g)), abs=1e-5) for g, ps in found.items() for lang, p in zip(langs, ps, strict=True))
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
