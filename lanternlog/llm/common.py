@@ -67,10 +67,11 @@ def unpacked(df: DataFrame, documents: DataFrame, *added: str) -> DataFrame:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64's finaliser) over uint64 arrays."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def blocks(batches, most: int) -> Iterator[tuple[list, ...]]:

@@ -5,12 +5,13 @@ one symbol of every text, from its end to its start, in sequential passes over f
 (``ColumnFiles``). A corpus is too large, and its documents too long, for one such collection, so Spark first cuts it
 into collections that no repeated string crosses:
 
+0. Equal texts are combined, as every hot group is: those of larger doc_ids are covered by the first and take no part.
 1. Every 50-byte string is keyed by the least hash of its 20-byte parts. Equal strings have equal keys, and
    neighbouring strings mostly share one, so a document is a row of runs with one key each.
 2. Keys go through one shuffle, a task's own repetitions combined first. Keys that two documents share come back.
-3. The runs with such keys are cut out of their documents and dealt by key. Equal runs are combined before the shuffle,
-   as every hot group is: the one with the least doc_id is sent on, and the others are covered by it. What arrives is
-   combined once more, so a collection has each distinct run of its keys once, owned by the least doc_id that has it.
+3. The runs with such keys are cut out of their documents and dealt by key. Equal runs are combined before the shuffle:
+   the one with the least doc_id is sent on, and the others are covered by it. What arrives is combined once more, so a
+   collection has each distinct run of its keys once, owned by the least doc_id that has it.
 4. Strings with a common prefix of 50 in the sorted list are equal; the least owner among them says which documents
    lose them. The covered bytes go back to their documents.
 
@@ -34,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, shared_dir, ship_package, table
+from .common import blocks, cut_lineage, mix64, shared_dir, ship_package, table
 from .minhash import grouped_rows, group_bounds
 
 LENGTH, PART = 50, 20
@@ -49,14 +50,21 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(int(FACTOR), n, 1 << 64))
 
 
+def joined(first: np.ndarray, second: np.ndarray | None, size: int, factor: np.uint64 | None = None) -> np.ndarray:
+    """Hashes of what ``first`` has and, ``size`` bytes on, ``second`` (or first again)."""
+    second = first if second is None else second
+    out = first[: len(second) - size] * (power(size) if factor is None else factor)
+    out += second[size : size + len(out)]
+    return out
+
+
 def string_keys(data: np.ndarray) -> np.ndarray:
     """For the LENGTH bytes from each place on: the least hash of their PART-byte parts. By doubling, in whole arrays."""
     h = BYTE_CODES[data]
-    h = h[:-1] * power(1) + h[1:]  # of 2 bytes
-    four = h[:-2] * power(2) + h[2:]
-    h = four[:-4] * power(4) + four[4:]  # of 8
-    h = h[:-8] * power(8) + h[8:]  # of 16
-    least = mix64(h[:-4] * power(4) + four[16:])
+    h = joined(h, h, 1)  # of 2 bytes
+    four = joined(h, h, 2)
+    h = joined(joined(four, four, 4), None, 8)  # of 16
+    least = mix64(joined(h, four, 16, power(4)))
     del h, four
     span = 1
     while 2 * span <= LENGTH - PART + 1:
@@ -462,13 +470,13 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, spans of a document, text): the maximal covered runs, and the other bytes joined."""
-    for ids, spans, texts in blocks(batches, BLOCK):
+    """From (id, is_copy, spans of a document, text): the maximal covered runs, and the other bytes joined."""
+    for ids, copies, spans, texts in blocks(batches, BLOCK):
         rows = []
-        for i, own, text in zip(ids, spans, texts, strict=True):
+        for i, is_copy, own, text in zip(ids, copies, spans, texts, strict=True):
             data = text.encode()
-            merged: list[list[int]] = []
-            if own:
+            merged: list[list[int]] = [[0, len(data)]] if is_copy else []
+            if own and not is_copy:
                 pairs = np.unique(np.frombuffer(b"".join(own), np.int64).reshape(-1, 2), axis=0)
                 reach = np.maximum.accumulate(pairs[:, 1])
                 first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
@@ -483,22 +491,32 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(id, slot) of documents of LENGTH bytes or more whose whole text a document with a smaller id has too."""
+    slim = docs.filter(F.octet_length("text") >= LENGTH).select("id", "slot", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    first = slim.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    return slim.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "slot").distinct()
+
+
 def suffix_dedup(documents: DataFrame, *, most_pieces: int = 50_000, chunk: int = 1 << 20) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left)."""
     spark = documents.sparkSession
     ship_package(spark)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("slot"), text.alias("text"))
-    # shares grow with the input: four for each of its splits, or as many as the session asks for
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions() if documents.columns else 1)
-    dealt = docs.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
+    # shares grow with the input: two for each of its splits, or as many as the session asks for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    copies = cut_lineage(whole_copies(docs))
+    own = docs.join(copies, ["id", "slot"], "left_anti")
+    dealt = own.mapInArrow(key_sender(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p")
     shared = dealt.mapInArrow(key_matcher(parts), "id long, slot int, keys binary")
     wanted = shared.groupBy("id", "slot").agg(F.collect_list("keys").alias("keys"))  # no more than a document's own runs
-    runs = docs.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
+    runs = own.join(wanted, ["id", "slot"]).select("id", "slot", "keys", "text").mapInArrow(run_sender(parts), PACKED)
     folder = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
     settled = runs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(run_settler(parts, most_pieces, folder, chunk), "id long, slot int, spans binary")
     spans = settled.groupBy("id", "slot").agg(F.collect_list("spans").alias("spans"))
-    return docs.join(spans, ["id", "slot"], "left").select("id", "spans", "text").mapInArrow(removed, RESULT)
+    every = docs.join(spans, ["id", "slot"], "left").join(copies.withColumn("is_copy", F.lit(True)), ["id", "slot"], "left")
+    return every.select("id", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans", "text").mapInArrow(removed, RESULT)
 
 
 def op2_suffix_dedup(spark, sf_dir):
