@@ -15,7 +15,10 @@ def text(rng, lines=6, words=14):
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that operators might use themselves.
-CLASHING = ["row", "rest", "k1", "k2", "gone", "lines", "words", "keys", "id", "slot", "p", "pos", "node", "label", "first", "text_hash", "band", "features"]
+CLASHING = [
+    "row", "rest", "k1", "k2", "gone", "lines", "words", "keys", "id", "slot", "p", "pos", "node", "label", "first", "text_hash", "band", "features", "n_lines", "n_removed", "starts", "place", "script", "kept",
+    "class_id", "is_first", "key", "n", "spans", "is_copy", "held_out", "fold", "labels", "ids", "before", "fill", "pieces", "kind", "match", "start", "end", "encoding", "item_id", "distance", "page_id", "url", "html", "hex", "gz",
+]
 
 
 def corpus():
