@@ -498,7 +498,7 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return slim.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "slot").distinct()
 
 
-def suffix_dedup(documents: DataFrame, *, most_pieces: int = 50_000, chunk: int = 1 << 20) -> DataFrame:
+def suffix_dedup(documents: DataFrame, *, most_pieces: int = 20_000, chunk: int = 1 << 18) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the bytes that are left)."""
     spark = documents.sparkSession
     ship_package(spark)
