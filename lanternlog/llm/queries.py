@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, merkle, minhash, packing, quality, secrets, suffix_dedup, toxicity, warc
+from . import conversations, decontaminate, langid, line_dedup, merkle, minhash, packing, quality, secrets, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
