@@ -190,17 +190,16 @@ def prefix_groups(starts: np.ndarray, ranks: dict[int, np.ndarray], most_leaves:
         r = ranks[PREFIXES[depth]][own]
         begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
         size = np.diff(np.append(begin, len(own)))
-        bundle: list[np.ndarray] = []
+        lo = 0  # where the bundle begins
         for a, n in zip(begin.tolist(), size.tolist(), strict=True):
+            if a > lo and (n > most_leaves or a + n - lo > most_leaves):
+                yield own[lo:a]
+                lo = a
             if n > most_leaves:
                 waiting.append((own[a : a + n], depth + 1))
-            elif sum(map(len, bundle)) + n > most_leaves:
-                yield np.concatenate(bundle)
-                bundle = [own[a : a + n]]
-            else:
-                bundle.append(own[a : a + n])
-        if bundle:
-            yield np.concatenate(bundle)
+                lo = a + n
+        if lo < len(own):
+            yield own[lo:]
 
 
 def common_prefixes(a: np.ndarray, b: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
@@ -254,12 +253,14 @@ def settled(runs: dict[bytes, int], holders: list[tuple[int, int, int, int]], mo
     """Spans of the repeated windows of all holders (id, slot, start, number of the run)."""
     number = np.array([x[3] for x in holders], np.int64)
     repeats, n_starts = repeated_starts(list(runs), np.bincount(number, minlength=len(runs)) > 1, most_leaves)
-    bounds = np.concatenate([[0], np.cumsum(n_starts)]).tolist()
-    spans = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], repeats[a:b].astype(np.int8), [0]])))
-        spans.append(edge.reshape(-1, 2) + (0, WINDOW - 1))
-    out = [(i, s, (spans[k] + at).tobytes()) for i, s, at, k in holders if len(spans[k])]
+    run_of, begins = np.repeat(np.arange(len(runs)), n_starts), np.cumsum(n_starts) - n_starts
+    at = np.flatnonzero(repeats)
+    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (run_of[at[1:]] != run_of[at[:-1]]))) if len(at) else at
+    tail = np.append(head[1:], len(at))[: len(head)] - 1
+    run = run_of[at[head]]
+    spans = np.stack([at[head] - begins[run], at[tail] - begins[run] + WINDOW], axis=1)
+    bounds = np.searchsorted(run, np.arange(len(runs) + 1)).tolist()
+    out = [(i, s, (spans[bounds[k] : bounds[k + 1]] + at).tobytes()) for i, s, at, k in holders if bounds[k] < bounds[k + 1]]
     for lo in range(0, len(out), 20_000):
         yield span_batch(*zip(*out[lo : lo + 20_000], strict=True))
 
