@@ -34,3 +34,19 @@ def day(c: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
 def eastern_to_utc(c: Column | str) -> Column:
     """fourteen digits of New York wall time as a UTC timestamp."""
     return F.to_utc_timestamp(F.try_to_timestamp(col(c), F.lit("yyyyMMddHHmmss")), "America/New_York")
+
+
+def to_thousandths(c: Column | str) -> Column:
+    """A double to three places as its binary value says, ties to even, and the double nearest to that decimal.
+
+    The fraction is taken apart at 2**-26, so that a thousand times either part is exact, and what is over the last
+    whole thousandth is held against the half without a rounded product.
+    """
+    x = col(c)
+    whole = F.floor(F.abs(x))
+    scaled = (F.abs(x) - whole) * F.lit(float(1 << 26))
+    high = F.floor(scaled) * 1000
+    below = F.shiftright(high, 26)
+    over = (high - F.shiftleft(below, 26) - (1 << 25)).cast("double") + (scaled - F.floor(scaled)) * 1000.0
+    up = (over > 0) | ((over == 0) & (below % 2 == 1))
+    return F.signum(x) * (whole * 1000 + below + up.cast("long")).cast("double") / F.lit(1000.0)

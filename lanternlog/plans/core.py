@@ -248,7 +248,14 @@ def e19(spark, d):
     return eventlog.new_rows(rows, rows.filter("trade_date < DATE '2024-01-10'"), ["index_code", "trade_date"], [F.col("close")]).select("index_code", "trade_date", F.col("close").cast("double").alias("close"))
 
 
-TONE = "tone AS (SELECT company_id, CAST(sum(n) AS BIGINT) AS article_count, round_even(CAST(sum(bin * n) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0), 3) AS mean_tone FROM tb_tone GROUP BY 1)"
+def thousandths_sql(x: str) -> str:
+    """x, a double below 2**40, to three places by its binary value, ties to even: whole numbers of 2**-70 are divided."""
+    one = 1 << 70
+    scaled = f"1000 * CAST(abs({x}) * pow(2, 70) AS HUGEINT)"
+    return f"sign({x}) * CAST(({scaled}) // {one} + CASE WHEN 2 * (({scaled}) % {one}) > {one} OR (2 * (({scaled}) % {one}) = {one} AND (({scaled}) // {one}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 1000"
+
+
+TONE = f"tone AS (SELECT company_id, article_count, {thousandths_sql('mean')} AS mean_tone FROM (SELECT company_id, CAST(sum(n) AS BIGINT) AS article_count, CAST(sum(bin * n) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS mean FROM tb_tone GROUP BY 1))"
 
 
 @query("e20_append_snapshot", f"WITH {TONE} SELECT run, company_id, article_count, mean_tone FROM tone, (VALUES (1), (2)) v(run)")

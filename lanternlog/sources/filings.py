@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalise import cik, day, eastern_to_utc, number, text_or_null
+from ..functions.normalise import cik, day, eastern_to_utc, number, text_or_null, to_thousandths
 
 PERMISSIVE = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
@@ -393,7 +393,7 @@ def tone(bins: DataFrame) -> DataFrame:
         bins.groupBy("company_id")
         .agg(
             total.cast("bigint").alias("article_count"),
-            F.bround(F.sum(F.col("bin") * F.col("n")).cast("double") / F.nullif(total.cast("double"), F.lit(0.0)), 3).alias("mean_tone"),
+            to_thousandths(F.sum(F.col("bin") * F.col("n")).cast("double") / F.nullif(total.cast("double"), F.lit(0.0))).alias("mean_tone"),
             F.array_sort(F.collect_list(F.struct("bin", F.col("n").alias("count")))).alias("histogram"),
         )
         .filter("article_count > 0")

@@ -1,13 +1,18 @@
 """Operators whose inputs are small literals: feeds, dates, rules, payloads, streams."""
 
 import json
+import math
+import random
 from datetime import date, datetime
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lanternlog.functions.normalise import to_thousandths
 from lanternlog.operators import alerts, asof, eventlog, graph
-from lanternlog.plans.core import RULES
+from lanternlog.plans.core import RULES, thousandths_sql
 from lanternlog.sources import filings
 from lanternlog.streaming import ingest
 
@@ -95,8 +100,21 @@ def test_a_cover_without_names_and_numbers_with_separators(spark):
 
 
 def test_mean_tone_is_rounded_half_even(spark):
-    bins = spark.createDataFrame([(1, 1, 1), (1, 0, 15), (2, 3, 1), (2, 0, 15), (3, 5, 0)], "company_id long, bin int, n long")
-    assert {r.company_id: r.mean_tone for r in filings.tone(bins).collect()} == {1: 0.062, 2: 0.188}
+    bins = spark.createDataFrame([(1, 1, 1), (1, 0, 15), (2, 3, 1), (2, 0, 15), (3, 5, 0), (4, -651, 1), (4, 0, 79), (5, 1, 1), (5, 0, 79)], "company_id long, bin int, n long")
+    assert {r.company_id: r.mean_tone for r in filings.tone(bins).collect()} == {1: 0.062, 2: 0.188, 4: round(-651 / 80, 3), 5: round(1 / 80, 3)}
+
+
+def test_rounding_is_by_the_binary_value(spark):
+    """Quotients, halves of thousandths and their neighbours, in columns and in the SQL, against Python."""
+    rng = random.Random(22)
+    numbers = [rng.randint(-5000, 5000) / rng.randint(1, 400) for _ in range(10_000)] + [k / 16 for k in range(-99, 100)] + [k / 80 for k in range(-999, 1000)]
+    halves = [(2 * rng.randint(0, 50_000) + 1) / 2000 for _ in range(2000)]
+    numbers += halves + [math.nextafter(x, 0) for x in halves] + [math.nextafter(x, 99) for x in halves] + [0.0, 1e-9, 4e-4, 0.0005, 123456.7895]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(to_thousandths("x")).collect()] == [round(x, 3) for x in numbers]
+    con = duckdb.connect()
+    con.register("numbers", pa.table({"x": numbers}))
+    assert [r[0] for r in con.execute(f"SELECT {thousandths_sql('x')} FROM numbers").fetchall()] == [round(x, 3) for x in numbers]
 
 
 def test_evidence_goes_with_the_alert(spark):
