@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise
-from ..operators import derive
-from ..sources import filings
+from ..operators import derive, eventlog
+from ..sources import filings, landing
 from .core import AGREED, AS_OF, CH, FUND_COLUMNS, NET, TONE, D, fund_columns, query
+from .store import landed, stored
 from .views import view
 
 
@@ -55,9 +56,12 @@ def feed_columns(df):
     return df.select("accession", "cik", "form_type", F.col("filed_at").cast("date").alias("filed"))
 
 
-@query("x01_filing_feed", FEED_SQL.replace("WHERE rn = 1", "WHERE n = 1"))
+@query("x01_filing_feed", FEED_SQL)
 def x01(spark, d):
-    return feed_columns(filings.feed_entries(feeds(spark, d)))
+    """Feeds that are written to compressed files, several in one, and read back with their places in the files."""
+    folder = landed(feeds(spark, d).select(F.col("payload").alias("value")), "\n\x1e\n")
+    pages = landing.landed_records(spark, folder, "\n\x1e\n")
+    return feed_columns(filings.feed_entries(pages.select(F.concat("document", F.lit("#"), F.lpad(s("record_no"), 12, "0")).alias("document"), "payload")))
 
 
 @query("x02_13f_feed", FEED_SQL + " AND accession % 3 = 1")
@@ -104,16 +108,30 @@ def x03(spark, d):
     )
 
 
-@query("x04_13f_filing", f"WITH {CH} SELECT concat(institution_id, ':', period_of_report) AS document, lpad(CAST(institution_id AS VARCHAR), 10, '0') AS filer_cik, period_of_report, lpad(CAST(company_id AS VARCHAR), 9, '0') AS cusip, CAST(shares AS DOUBLE) AS shares, CAST(mv AS DOUBLE) AS market_value_usd FROM h")
+END = "\n</SEC-DOCUMENT>\n"
+
+
+def submission(header, *documents):
+    """A submission's text: a header and (type, body) of its documents."""
+    parts = [F.concat(F.lit("<DOCUMENT>\n<TYPE>"), kind, F.lit("\n<TEXT>\n<XML>\n"), text, F.lit("\n</XML>\n</TEXT>\n</DOCUMENT>\n")) for kind, text in documents]
+    return F.concat(F.lit("<SEC-DOCUMENT>\n<SEC-HEADER>\n"), header, F.lit("\n</SEC-HEADER>\n"), *parts)
+
+
+@query("x04_13f_filing", f"WITH {CH} SELECT concat(institution_id, ':', period_of_report, ':', CAST(floor(company_id / 500) AS BIGINT)) AS document, lpad(CAST(institution_id AS VARCHAR), 10, '0') AS filer_cik, period_of_report, lpad(CAST(company_id AS VARCHAR), 9, '0') AS cusip, CAST(shares AS DOUBLE) AS shares, CAST(mv AS DOUBLE) AS market_value_usd FROM h")
 def x04(spark, d):
+    """Submissions of a cover and a table, of 500 companies each at most, written to files and split again after reading."""
     raw = view(spark, d, "tb_13f_raw").withColumn("cusip", F.lpad(s("company_id"), 9, "0"))
     row = tag("infoTable", F.concat(tag("nameOfIssuer", F.col("cusip")), tag("cusip", F.col("cusip")), tag("value", s("market_value_usd")), tag("shrsOrPrnAmt", tag("sshPrnamt", s("shares")))))
-    one = raw.groupBy("institution_id", "period_of_report").agg(joined(F.struct("company_id", "shares", "market_value_usd").alias("o"), row).alias("rows"))
+    some = raw.groupBy("institution_id", "period_of_report", F.floor(F.col("company_id") / 500).alias("part"))
+    one = some.agg(joined(F.struct("company_id", "shares", "market_value_usd").alias("o"), row).alias("rows"))
     cover = F.concat(
         F.lit("<edgarSubmission><headerData><filerInfo><filer><credentials>"), tag("cik", s("institution_id")), F.lit("</credentials></filer>"), tag("periodOfReport", F.date_format("period_of_report", "MM-dd-yyyy")),
         F.lit("</filerInfo></headerData><formData><coverPage><filingManager><name>A manager</name></filingManager></coverPage></formData></edgarSubmission>"),
     )
-    docs = one.select(F.concat(s("institution_id"), F.lit(":"), s("period_of_report")).alias("document"), cover.alias("cover"), F.concat(F.lit("<informationTable>"), "rows", F.lit("</informationTable>")).alias("payload"))
+    header = F.concat(F.lit("ACCESSION NUMBER: "), s("institution_id"), F.lit(":"), s("period_of_report"), F.lit(":"), s("part"))
+    text = submission(header, (F.lit("13F-HR"), cover), (F.lit("INFORMATION TABLE"), F.concat(F.lit("<informationTable>"), "rows", F.lit("</informationTable>"))))
+    read = landing.submission_documents(landing.landed_records(spark, landed(one.select(text.alias("value")), END), END))
+    docs = read.select(F.regexp_extract("header", r"ACCESSION NUMBER: (\S+)", 1).alias("document"), landing.document_of("13F-HR").alias("cover"), landing.document_of("INFORMATION TABLE").alias("payload"))
     return filings.holdings_13f(docs).select("document", "filer_cik", "period_of_report", "cusip", F.col("shares").cast("double").alias("shares"), F.col("market_value_usd").cast("double").alias("market_value_usd"))
 
 
@@ -169,9 +187,13 @@ DAYLIGHT = "day >= make_date(year(day), 4, 1) + CAST((7 - dayofweek(make_date(ye
 
 @query("x08_acceptance_time", f"SELECT accession, CAST(day AS TIMESTAMP) + INTERVAL (CASE WHEN {DAYLIGHT} THEN 16 ELSE 17 END) HOUR AS accepted_at FROM (SELECT accession, min(publication_time) AS day FROM tb_ownership GROUP BY 1)")
 def x08(spark, d):
+    """From the first 2 KB of submissions that are written to files and read back."""
     rows = view(spark, d, "tb_ownership").groupBy("accession").agg(F.min("publication_time").alias("at"))
-    header = F.concat(F.lit("<SEC-DOCUMENT>\n<ACCEPTANCE-DATETIME>"), F.date_format("at", "yyyyMMdd"), F.lit("120000\nACCESSION NUMBER: "), s("accession"))
-    return rows.select("accession", filings.acceptance_time(header).alias("accepted_at"))
+    header = F.concat(F.lit("<ACCEPTANCE-DATETIME>"), F.date_format("at", "yyyyMMdd"), F.lit("120000\nACCESSION NUMBER: "), s("accession"))
+    folder = landed(rows.select(submission(header, (F.lit("SCHEDULE 13D"), F.lit("<edgarSubmission/>"))).alias("value")), END)
+    read = landing.landed_records(spark, folder, END)
+    accession = F.regexp_extract("payload", r"ACCESSION NUMBER: (\d+)", 1).cast(rows.schema["accession"].dataType)
+    return read.select(accession.alias("accession"), filings.acceptance_time("payload").alias("accepted_at"))
 
 
 # --- company facts -------------------------------------------------------------------------------------------------
@@ -207,16 +229,17 @@ def x10(spark, d):
 # --- funds and 8-K lists -------------------------------------------------------------------------------------------
 
 
-def submissions(rows, key: str, order, form, items, accession, day):
-    """Submissions JSON, one a key, with its filings as parallel arrays in order."""
-    one = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), form.alias("form"), items.alias("items"), accession.alias("acc"), day.alias("day")))).alias("f"))
+def submissions(rows, key: str, order, form, items, accession, day, page=None):
+    """Submissions JSON, one a key (and page), with its filings as parallel arrays in order."""
+    one = rows.groupBy(key, *([page.alias("page")] if page is not None else [])).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), form.alias("form"), items.alias("items"), accession.alias("acc"), day.alias("day")))).alias("f"))
     at = lambda name: F.transform("f", lambda x: x[name])
     recent = F.struct(
         at("form").alias("form"), at("items").alias("items"), at("acc").alias("accessionNumber"), at("day").alias("filingDate"),
         F.transform("f", lambda x: F.concat(x["day"], F.lit("T12:00:00.000Z"))).alias("acceptanceDateTime"), F.transform("f", lambda x: F.lit("doc.htm")).alias("primaryDocument"),
     )
     body = F.struct(F.lit("A company").alias("name"), F.array(F.lit("TICK")).alias("tickers"), F.struct(recent.alias("recent")).alias("filings"))
-    return one.select(s(key).alias("document"), F.to_json(body).alias("payload"))
+    name = s(key) if page is None else F.concat(s(key), F.lit(":"), F.lpad(s("page"), 12, "0"))
+    return one.select(name.alias("document"), F.to_json(body).alias("payload"))
 
 
 @query("x11_nport_leads", "SELECT fund_id, accession, filing_date FROM (SELECT CAST(fund_id AS BIGINT) AS fund_id, CAST(period_end AS VARCHAR) AS accession, publication_time AS filing_date, row_number() OVER (PARTITION BY fund_id ORDER BY period_end) AS n FROM tb_fund_aum WHERE month(period_end) <> 12) WHERE n <= 20")
@@ -238,10 +261,12 @@ def x12(spark, d):
 
 def eight_k(spark, d, items, limit):
     rows = view(spark, d, "tb_8k")
-    docs = submissions(rows, "company_id", F.col("accession"), F.col("form"), F.col("item_codes"), F.lpad(s("accession"), 18, "0"), s("filing_date"))
-    out = filings.disclosures_8k(filings.recent_filings(docs), items, limit)
-    url = filings.document_url(normalise.cik("document"), F.col("accession"), F.col("primary_document"))
-    return out.select(F.col("document").cast("bigint").alias("company_id"), F.col("accession").cast("bigint").alias("accession"), "item_codes", "filing_date", url.alias("url"))
+    # a page of a registrant for each 20,000 accession numbers
+    docs = submissions(rows, "company_id", F.col("accession"), F.col("form"), F.col("item_codes"), F.lpad(s("accession"), 18, "0"), s("filing_date"), F.floor(F.col("accession") / 20_000))
+    pages = filings.disclosures_8k(filings.recent_filings(docs), items).withColumn("registrant", F.substring_index("document", ":", 1))
+    out = filings.first_n(pages, limit, by="registrant", order=("document", "pos"))
+    url = filings.document_url(normalise.cik("registrant"), F.col("accession"), F.col("primary_document"))
+    return out.select(F.col("registrant").cast("bigint").alias("company_id"), F.col("accession").cast("bigint").alias("accession"), "item_codes", "filing_date", url.alias("url"))
 
 
 def eight_k_sql(items: str) -> str:
@@ -306,7 +331,7 @@ def x19(spark, d):
         F.col("psc_name").alias("name"), F.col("psc_kind").alias("kind"), s("notified_on").alias("notified_on"), s("ceased_on").alias("ceased_on"), F.struct(F.concat(F.lit("/psc/"), s("psc_id")).alias("self")).alias("links"),
         F.struct(s("psc_id").alias("registration_number"), "country_registered").alias("identification"),
     )
-    pages = view(spark, d, "tb_control").groupBy("company_id", (F.col("psc_id") % 3).alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload"))
+    pages = view(spark, d, "tb_control").groupBy("company_id", F.floor(F.col("psc_id") / 5000).alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload"))
     out = filings.control_register(pages.select(s("company_id").alias("document"), "payload"))
     return out.select(F.col("document").cast(view(spark, d, "tb_control").schema["company_id"].dataType).alias("company_id"), "psc_name", "notified_on", "ceased_on", "registration_number")
 
@@ -325,14 +350,24 @@ def x20(spark, d):
     return filings.net_effects(filings.wallet_legs(docs)).select("address", "tx_hash", F.col("net_amount").cast("double").alias("net_amount"))
 
 
-@query("x21_index_levels", "SELECT index_code, trade_date, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close FROM tb_volatility WHERE index_code <> 'VIEW'")
+INDEX = r"index=([^/]+)/"
+
+
+def index_files(spark, d) -> str:
+    """A folder of CSV files, one an index: a lower-case header after a blank line; CLICK's comes second, VIEW's is another,
+    and SIGNUP has a line with a value that is none. Lines of another width are everywhere."""
+    rows = view(spark, d, "tb_volatility").select(F.lower("index_code").alias("index"), F.concat(F.lit("b"), s("trade_date")).alias("o"), F.concat_ws(",", F.date_format("trade_date", "M/d/yyyy"), s("open"), s("high"), s("low"), s("close")).alias("value"))
+    code = F.col("index")
+    top = F.when(code == "click", F.array(F.lit("a note"), F.lit("DATE,OPEN,HIGH,LOW,CLOSE"))).when(code == "view", F.array(F.lit("DAY,VALUE"))).otherwise(F.array(F.lit(""), F.lit("date,open,high,low,close"), F.lit("01/02/2024,1")))
+    head = rows.select("index").distinct().select("index", F.posexplode(top).alias("k", "value")).select("index", F.concat(F.lit("a"), s("k")).alias("o"), "value")
+    bad = rows.filter(code == "signup").select("index").distinct().select("index", F.lit("c").alias("o"), F.lit("01/02/2024,1,none,1,1").alias("value"))
+    whole = head.unionByName(rows).unionByName(bad).repartition("index").sortWithinPartitions("index", "o").select("index", "value")
+    return landed(whole, by="index")
+
+
+@query("x21_index_levels", "SELECT index_code, trade_date, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close FROM tb_volatility WHERE index_code NOT IN ('VIEW', 'CLICK', 'SIGNUP')")
 def x21(spark, d):
-    rows = view(spark, d, "tb_volatility")
-    name = F.concat(F.lit("/landing/"), F.lower("index_code"), F.lit("_history.csv"))
-    head = rows.select(name.alias("file_name"), F.when(F.col("index_code") == "VIEW", "DAY,VALUE").otherwise("DATE,OPEN,HIGH,LOW,CLOSE").alias("line")).distinct()
-    lines = rows.select(name.alias("file_name"), F.concat_ws(",", F.date_format("trade_date", "MM/dd/yyyy"), s("open"), s("high"), s("low"), s("close")).alias("line"))
-    noise = head.select("file_name", F.lit("01/02/2024,1").alias("line"))
-    out = filings.index_levels(head.unionByName(lines).unionByName(noise))
+    out = filings.index_levels(landing.landed_records(spark, index_files(spark, d)), INDEX)
     return out.select("index_code", "trade_date", *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")))
 
 
@@ -351,3 +386,102 @@ def x23(spark, d):
     blank = F.when(F.col("c_custkey") % 5 == 0, "   ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ")))
     said = F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.format_number(F.col("c_acctbal").cast("decimal(14,2)"), 2))
     return rows.select("c_custkey", normalise.cik(F.concat(F.lit(" 000"), s("c_custkey"))).alias("cik"), normalise.text_or_null(blank).alias("name"), normalise.number(said, "decimal(14,2)").cast("double").alias("balance"))
+
+
+# --- batches with payloads that can't be parsed --------------------------------------------------------------------
+
+
+SOURCES = {
+    "form4": landing.Source("form4", "xml", filings.FORM4, filings.form4_transactions, ["document", "transaction_index"]),
+    "nport": landing.Source("nport", "xml", filings.NPORT, filings.nport_snapshots, ["document"], complete="parsed.formData.fundInfo.netAssets IS NOT NULL"),
+    "short_interest": landing.Source("short_interest", "json", filings.SHORT_INTEREST, filings.short_interest_records, ["document", "settlement_date"]),
+    "tone": landing.Source("tone", "json", filings.TONE, lambda p: filings.tone_bins(p).withColumnRenamed("company_id", "document"), ["document", "bin"]),
+    "control": landing.Source("control", "json", filings.CONTROL, filings.control_register, ["psc_link"]),
+}
+#: Of each source's documents, by their number modulo 10: 0 is cut off, 1 is in the target already, 2 has no rows, 3 is blank.
+NOTHING = {"form4": "<ownershipDocument><documentType>4</documentType></ownershipDocument>", "short_interest": "[]", "tone": '{"tonechart":[]}', "control": '{"items":[]}'}
+
+
+def batches(spark, d):
+    """name to (number of a document, document, payload, requested) of five sources."""
+    nport = view(spark, d, "tb_fund_aum").withColumn("number", F.year("period_end") * 10 + F.quarter("period_end") * 3 + F.col("fund_id"))
+    general = tag("genInfo", tag("repPdDate", s("period_end")))
+    info = tag("fundInfo", F.concat(tag("totAssets", s("net_assets_usd")), tag("netAssets", F.when(F.col("number") % 10 != 2, s("net_assets_usd")))))
+    shorts = view(spark, d, "tb_short_interest").groupBy("company_id").agg(F.to_json(F.collect_list(F.struct(s("settlement_date").alias("settlementDate"), s("current_short_position").alias("currentShortPositionQuantity")))).alias("payload"))
+    bins = view(spark, d, "tb_tone").groupBy("company_id").agg(F.to_json(F.struct(F.collect_list(F.struct("bin", F.col("n").alias("count"))).alias("tonechart"))).alias("payload"))
+    item = F.struct(F.col("psc_name").alias("name"), F.struct(F.concat(F.lit("/psc/"), s("psc_id")).alias("self")).alias("links"))
+    pages = view(spark, d, "tb_control").groupBy(F.floor(F.col("psc_id") / 20).alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload"))
+    docs = {
+        "form4": form4_payloads(spark, d).withColumn("number", F.col("document").cast("long")),
+        "nport": nport.select("number", F.concat(s("fund_id"), F.lit(":"), s("period_end")).alias("document"), F.concat(F.lit("<edgarSubmission>"), tag("formData", F.concat(general, info)), F.lit("</edgarSubmission>")).alias("payload")),
+        "short_interest": shorts.select(F.col("company_id").alias("number"), s("company_id").alias("document"), "payload"),
+        "tone": bins.select(F.col("company_id").alias("number"), s("company_id").alias("document"), "payload"),
+        "control": pages.select(F.col("page").alias("number"), s("page").alias("document"), "payload"),
+    }
+    out = {}
+    for name, rows in docs.items():
+        r = F.col("number") % 10
+        payload = F.when(r == 0, F.left("payload", F.length("payload") - 4)).when(r == 3, " ").otherwise(F.col("payload"))
+        payload = F.when((r == 2), F.lit(NOTHING[name])).otherwise(payload) if name in NOTHING else payload
+        out[name] = rows.select("number", "document", payload.alias("payload"), F.lit("t").alias("requested"))
+    return out
+
+
+def intakes(spark, d):
+    """The five sources' batches taken in, each against a target that has what the documents numbered 1 have."""
+    for name, batch in batches(spark, d).items():
+        source = SOURCES[name]
+        before = source.extract(batch.filter("number % 10 = 1")).select(*source.keys)
+        yield landing.intake(batch, source, before, stored)
+
+
+def index_intake(spark, d) -> landing.Intake:
+    """The index files' batch, whose unit of rejection is a file of many lines; levels until the 10th are known."""
+    lines = landing.landed_records(spark, index_files(spark, d))
+    levels = filings.index_levels(lines, INDEX)
+    fresh = eventlog.new_rows(levels, levels.filter("trade_date < DATE '2024-01-10'"), ["index_code", "trade_date"], [F.col("close")])
+    bad = filings.index_rejects(lines)
+    files = lines.select("document").distinct().join(bad.select("document", "reason"), "document", "left")
+    return landing.Intake(fresh, bad.select(F.lit("index").alias("source"), F.regexp_extract("document", INDEX, 1).alias("document"), "reason", "payload"), landing.counted("index", files, levels.select("document"), fresh))
+
+
+def batch_sql(name: str, documents: str) -> str:
+    """documents: a query with number, document and rows of every good document. nport's documents without rows are incomplete."""
+    empty = "number % 10 = 2 AND NOT incomplete"
+    error = "number % 10 IN (0, 3) OR number % 10 = 2 AND incomplete"
+    created = "CASE WHEN number % 10 NOT IN (0, 1, 2, 3) THEN n ELSE 0 END"
+    return f"SELECT '{name}' AS source, count(*) AS seen, count(*) FILTER (WHERE {error}) AS error, count(*) FILTER (WHERE {empty}) AS empty, CAST(sum({created}) AS BIGINT) AS created, CAST(coalesce(sum(n) FILTER (WHERE number % 10 = 1), 0) AS BIGINT) AS duplicate FROM (SELECT *, '{name}' = 'nport' AS incomplete FROM ({documents}))"
+
+
+BATCH_SQL = {
+    "form4": "SELECT accession AS number, CAST(accession AS VARCHAR) AS document, 2 * count(*) AS n FROM tb_form4 GROUP BY 1",
+    "nport": "SELECT year(period_end) * 10 + quarter(period_end) * 3 + fund_id AS number, concat(fund_id, ':', period_end) AS document, 1 AS n FROM tb_fund_aum",
+    "short_interest": "SELECT company_id AS number, CAST(company_id AS VARCHAR) AS document, count(*) AS n FROM tb_short_interest GROUP BY 1",
+    "tone": "SELECT company_id AS number, CAST(company_id AS VARCHAR) AS document, count(*) AS n FROM tb_tone GROUP BY 1",
+    "control": "SELECT CAST(floor(psc_id / 20) AS BIGINT) AS number, CAST(CAST(floor(psc_id / 20) AS BIGINT) AS VARCHAR) AS document, count(*) AS n FROM tb_control GROUP BY 1",
+}
+INDEX_SQL = "SELECT 'index' AS source, count(DISTINCT index_code) AS seen, 1 AS error, 2 AS empty, count(*) FILTER (WHERE index_code NOT IN ('VIEW', 'CLICK', 'SIGNUP') AND trade_date >= DATE '2024-01-10') AS created, count(*) FILTER (WHERE index_code NOT IN ('VIEW', 'CLICK', 'SIGNUP') AND trade_date < DATE '2024-01-10') AS duplicate FROM tb_volatility"
+
+
+@query("e16_sources", " UNION ALL ".join([*(batch_sql(name, sql) for name, sql in BATCH_SQL.items()), INDEX_SQL]))
+def e16_sources(spark, d):
+    """A row of counts for each source: documents seen, in error and empty, rows created and known before."""
+    found = [x.summary for x in [*intakes(spark, d), index_intake(spark, d)]]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+REASON = "CASE WHEN number % 10 = 3 THEN 'no payload' WHEN number % 10 = 2 THEN 'incomplete' ELSE 'broken {}' END"
+REJECTS = [f"SELECT '{name}' AS source, document, {REASON.format(SOURCES[name].fmt)} AS reason FROM ({sql}) WHERE number % 10 IN ({'0, 2, 3' if name == 'nport' else '0, 3'})" for name, sql in BATCH_SQL.items()]
+
+
+@query("e16_rejected_payloads", " UNION ALL ".join([*REJECTS, "SELECT DISTINCT 'index', 'signup', 'broken csv' FROM tb_volatility WHERE index_code = 'SIGNUP'"]))
+def e16_rejects(spark, d):
+    """The quarantine of all sources: broken XML, JSON and CSV, blank and incomplete payloads."""
+    found = [x.quarantine for x in [*intakes(spark, d), index_intake(spark, d)]]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out.select("source", "document", "reason")

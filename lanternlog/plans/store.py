@@ -23,3 +23,11 @@ def stored(df: DataFrame) -> DataFrame:
     folder = workspace(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def landed(df: DataFrame, separator: str = "\n", by: str | None = None) -> str:
+    """A folder of compressed text files with the rows of df's column value (a folder in it for each value of ``by``)."""
+    folder = workspace(df.sparkSession, "landing")
+    writer = df.write.option("lineSep", separator).option("compression", "gzip")
+    (writer.partitionBy(by) if by else writer).text(folder)
+    return folder

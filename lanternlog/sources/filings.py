@@ -1,7 +1,8 @@
 """Landed filing payloads to typed tables, as bulk jobs over (document, payload) rows.
 
 Every extractor takes a DataFrame with a ``payload`` text column (and what names its document) and returns typed rows;
-what can't be parsed gives no row, and ``quarantine`` tells which payloads that were.
+what can't be parsed gives no row. ``landing.intake`` parses a batch once, hands the result on in ``parsed``, and puts
+what can't be parsed into quarantine.
 """
 
 from __future__ import annotations
@@ -12,22 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalise import cik, day, eastern_to_utc, number, text_or_null, to_thousandths
 
-PERMISSIVE = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
-
-
-def landed(spark, path: str, fmt: str = "text") -> DataFrame:
-    """A landing directory as (document, payload), a row for each file."""
-    rows = spark.read.option("wholetext", "true").text(path) if fmt == "text" else spark.read.format(fmt).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("payload"))
-
-
-def xml(schema: str) -> Column:
-    return F.from_xml("payload", schema, PERMISSIVE)
-
+from .landing import CORRUPT, OPTIONS, body
 
-def quarantine(payloads: DataFrame, parsed: Column) -> DataFrame:
-    """The payloads of which nothing could be parsed."""
-    return payloads.withColumn("_parsed", parsed).filter(F.col("_parsed").isNull()).drop("_parsed")
+PERMISSIVE = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
 
 # --- feeds and search results --------------------------------------------------------------------------------------
@@ -39,7 +27,7 @@ def feed_entries(payloads: DataFrame, forms: list[str] | None = None) -> DataFra
     ``forms`` keeps exact form types only, so that amendments stay out.
     """
     schema = "entry array<struct<id:string,link:struct<_href:string>,category:struct<_term:string>,updated:string>>"
-    rows = payloads.select("document", F.posexplode(xml(schema)["entry"]).alias("pos", "e")).select(
+    rows = payloads.select("document", F.posexplode(body(payloads, "xml", schema)["entry"]).alias("pos", "e")).select(
         "document",
         "pos",
         F.nullif(F.regexp_extract("e.id", r"accession-number=([0-9-]+)", 1), F.lit("")).alias("accession"),
@@ -57,7 +45,7 @@ def feed_entries(payloads: DataFrame, forms: list[str] | None = None) -> DataFra
 def search_leads(payloads: DataFrame, form: str, limit: int | None = None) -> DataFrame:
     """(accession, form, ciks, file_date) of full-text search results: the exact form, the first hit of an accession."""
     schema = "hits struct<hits:array<struct<_source:struct<ciks:array<string>,form:string,adsh:string,file_date:string>>>>"
-    rows = payloads.select("document", F.posexplode(F.from_json("payload", schema)["hits"]["hits"]).alias("pos", "h")).select(
+    rows = payloads.select("document", F.posexplode(body(payloads, "json", schema)["hits"]["hits"]).alias("pos", "h")).select(
         "document", "pos", F.col("h._source.adsh").alias("accession"), F.col("h._source.form").alias("form"), F.col("h._source.ciks").alias("ciks"), day("h._source.file_date").alias("file_date")
     )
     rows = rows.filter((F.col("form") == form) & (F.size("ciks") > 0) & F.col("accession").isNotNull())
@@ -83,7 +71,7 @@ def form4_transactions(payloads: DataFrame) -> DataFrame:
 
     The plan flag belongs to the filing; skipped_derivatives counts the rows of the other table.
     """
-    doc = payloads.select("document", xml(FORM4).alias("f"))
+    doc = payloads.select("document", body(payloads, "xml", FORM4).alias("f"))
     owners = doc.select("document", "f", F.posexplode("f.reportingOwner").alias("owner_pos", "o"))
     rows = owners.select("document", "f", "owner_pos", "o", F.posexplode("f.nonDerivativeTable.nonDerivativeTransaction").alias("txn_pos", "t"))
     rows = rows.select(
@@ -119,7 +107,7 @@ def holdings_13f(filings: DataFrame) -> DataFrame:
     """
     path_cik = cik("path_cik") if "path_cik" in filings.columns else F.lit(None).cast("string")
     plain = lambda c, kind: F.trim(F.col(c)).try_cast(kind)
-    rows = filings.select("document", path_cik.alias("path_cik"), F.from_xml("cover", COVER_13F, PERMISSIVE).alias("c"), F.posexplode(xml(TABLE_13F)["infoTable"]).alias("pos", "t")).select(
+    rows = filings.select("document", path_cik.alias("path_cik"), F.from_xml("cover", COVER_13F, PERMISSIVE).alias("c"), F.posexplode(body(filings, "xml", TABLE_13F)["infoTable"]).alias("pos", "t")).select(
         "document",
         F.coalesce(cik("c.headerData.filerInfo.filer.credentials.cik"), "path_cik").alias("filer_cik"),
         F.coalesce(text_or_null("c.formData.coverPage.filingManager.name"), F.lit("UNKNOWN")).alias("filer_name"),
@@ -148,7 +136,7 @@ SCHEDULE_13G = (
 
 def schedule_13d(payloads: DataFrame) -> DataFrame:
     """A row for each reporting person of a 13D, with the stated purpose; own CIK unless the no-CIK flag is Y."""
-    rows = payloads.select("document", xml(SCHEDULE_13D).alias("d")).select("document", "d", F.explode("d.formData.reportingPersons.reportingPersonInfo").alias("p"))
+    rows = payloads.select("document", body(payloads, "xml", SCHEDULE_13D).alias("d")).select("document", "d", F.explode("d.formData.reportingPersons.reportingPersonInfo").alias("p"))
     no_cik = F.upper(F.coalesce(F.trim("p.reportingPersonNoCIK"), F.lit("N"))) == "Y"
     return rows.select(
         "document",
@@ -206,7 +194,7 @@ FACTS = "entityName string, facts struct<`us-gaap`:map<string,struct<units:map<s
 
 def company_facts(payloads: DataFrame) -> DataFrame:
     """All dated facts of company-facts JSON: document, concept, unit, value, period, form, filing."""
-    concepts = payloads.select("document", F.explode(F.from_json("payload", FACTS)["facts"]["us-gaap"]).alias("concept", "c"))
+    concepts = payloads.select("document", F.explode(body(payloads, "json", FACTS)["facts"]["us-gaap"]).alias("concept", "c"))
     units = concepts.select("document", "concept", F.explode("c.units").alias("unit", "facts"))
     rows = units.select("document", "concept", "unit", F.explode("facts").alias("f"))
     typed = rows.select(
@@ -239,7 +227,7 @@ GUIDANCE_ITEMS, MERGER_ITEMS = ["2.02", "7.01"], ["2.01"]
 
 def recent_filings(payloads: DataFrame) -> DataFrame:
     """The parallel arrays of a submissions document as rows, in source order."""
-    s = payloads.select("document", F.from_json("payload", SUBMISSIONS).alias("s"))
+    s = payloads.select("document", body(payloads, "json", SUBMISSIONS).alias("s"))
     recent = "s.filings.recent"
     zipped = F.arrays_zip(*(f"{recent}.{c}" for c in ("form", "items", "accessionNumber", "filingDate", "acceptanceDateTime", "primaryDocument")))
     rows = s.select("document", F.col("s.name").alias("company_name"), F.get("s.tickers", 0).alias("ticker"), F.posexplode(zipped).alias("pos", "f"))
@@ -249,9 +237,9 @@ def recent_filings(payloads: DataFrame) -> DataFrame:
     )
 
 
-def first_n(rows: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows of each document in source order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy("document").orderBy("pos"))).filter(F.col("_n") <= limit).drop("_n")
+def first_n(rows: DataFrame, limit: int, by: str = "document", order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """The first ``limit`` rows of each document, or of all pages of a registrant, in source order."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
 
 def nport_leads(payloads: DataFrame, limit: int = 20) -> DataFrame:
@@ -275,7 +263,7 @@ NPORT = "formData struct<genInfo:struct<seriesName:string,repPdDate:string>,fund
 
 def nport_snapshots(payloads: DataFrame) -> DataFrame:
     """A fund's period and assets; without period, total or net assets there is no row."""
-    rows = payloads.select("document", xml(NPORT).alias("n")).select(
+    rows = payloads.select("document", body(payloads, "xml", NPORT).alias("n")).select(
         "document",
         day("n.formData.genInfo.repPdDate").alias("period_end"),
         F.nullif(text_or_null("n.formData.genInfo.seriesName"), F.lit("N/A")).alias("series_name"),
@@ -316,7 +304,7 @@ SHORT_INTEREST = (
 
 def short_interest_records(payloads: DataFrame) -> DataFrame:
     """(document, requested, payload) to typed snapshots; no current position, no row; bad numbers are null."""
-    rows = payloads.select("document", "requested", F.explode(F.from_json("payload", SHORT_INTEREST)).alias("r"))
+    rows = payloads.select("document", "requested", F.explode(body(payloads, "json", SHORT_INTEREST)).alias("r"))
     typed = rows.select(
         "document", F.coalesce(text_or_null("r.symbolCode"), F.upper("requested")).alias("ticker"), F.col("r.issueName").alias("issue_name"), day("r.settlementDate").alias("settlement_date"),
         number("r.currentShortPositionQuantity", "decimal(20,2)").alias("current_short_position"), number("r.previousShortPositionQuantity", "decimal(20,2)").alias("previous_short_position"),
@@ -331,17 +319,20 @@ def short_interest_records(payloads: DataFrame) -> DataFrame:
 HOME_COUNTRIES = ["england", "england & wales", "england and wales", "great britain", "northern ireland", "scotland", "uk", "united kingdom", "wales"]
 
 
+PROFILE = "company_name string, company_number string, company_status string, jurisdiction string, date_of_creation string"
+CONTROL = (
+    "items array<struct<name:string,kind:string,notified_on:string,ceased_on:string,natures_of_control:array<string>,links:struct<self:string>,identification:struct<registration_number:string,country_registered:string>>>"
+)
+
+
 def company_profiles(payloads: DataFrame) -> DataFrame:
-    p = payloads.select("document", F.from_json("payload", "company_name string, company_number string, company_status string, jurisdiction string, date_of_creation string").alias("p"))
+    p = payloads.select("document", body(payloads, "json", PROFILE).alias("p"))
     return p.select("document", "p.company_number", "p.company_name", "p.company_status", "p.jurisdiction", day("p.date_of_creation").alias("created_on")).filter("company_number IS NOT NULL")
 
 
 def control_register(payloads: DataFrame) -> DataFrame:
     """Register pages to one row an entry; the registration number stays only for a home country."""
-    schema = (
-        "items array<struct<name:string,kind:string,notified_on:string,ceased_on:string,natures_of_control:array<string>,links:struct<self:string>,identification:struct<registration_number:string,country_registered:string>>>"
-    )
-    rows = payloads.select("document", F.explode(F.from_json("payload", schema)["items"]).alias("i"))
+    rows = payloads.select("document", F.explode(body(payloads, "json", CONTROL)["items"]).alias("i"))
     at_home = F.lower(F.trim("i.identification.country_registered")).isin(HOME_COUNTRIES)
     return rows.select(
         "document", F.col("i.name").alias("psc_name"), F.col("i.kind").alias("psc_kind"), day("i.notified_on").alias("notified_on"), day("i.ceased_on").alias("ceased_on"),
@@ -355,7 +346,7 @@ WALLET = "address string, txs array<struct<hash:string,time:long,block_height:lo
 
 def wallet_legs(payloads: DataFrame) -> DataFrame:
     """Wallet JSON to the legs of each transaction that touch the wallet's own address."""
-    w = payloads.select(F.from_json("payload", WALLET).alias("w")).select("w.address", F.explode("w.txs").alias("t"))
+    w = payloads.select(body(payloads, "json", WALLET).alias("w")).select("w.address", F.explode("w.txs").alias("t"))
     legs = F.concat(
         F.transform("t.inputs", lambda i: F.struct(F.lit("in").alias("leg"), i["prev_out"]["addr"].alias("addr"), i["prev_out"]["value"].alias("value"))),
         F.transform("t.out", lambda o: F.struct(F.lit("out").alias("leg"), o["addr"].alias("addr"), o["value"].alias("value"))),
@@ -370,19 +361,45 @@ def net_effects(legs: DataFrame) -> DataFrame:
     return legs.groupBy("address", "tx_hash").agg((F.sum(signed).cast("decimal(28,0)") / F.lit(100_000_000)).cast("decimal(30,8)").alias("net_amount"))
 
 
-def index_levels(lines: DataFrame, header: str = "DATE,OPEN,HIGH,LOW,CLOSE") -> DataFrame:
-    """(file_name, line) of index CSVs to levels; a file with another header, and lines of another width, give none."""
-    files = lines.groupBy("file_name").agg(F.max(F.trim("line") == header).alias("ok")).filter("ok")
-    parts = F.split("line", ",")
-    rows = lines.join(files.select("file_name"), "file_name", "left_semi").filter((F.trim("line") != header) & (F.size(parts) == 5))
-    typed = rows.select(
-        F.upper(F.regexp_extract("file_name", r"([^/_.]+)[^/]*$", 1)).alias("index_code"), day(F.get(parts, 0), "MM/dd/yyyy").alias("trade_date"), *(number(F.get(parts, i + 1), "decimal(14,4)").alias(c) for i, c in enumerate(("open", "high", "low", "close")))
-    )
-    return typed.filter("trade_date IS NOT NULL AND close IS NOT NULL")
+LEVEL = f"trade_date string, open decimal(14,4), high decimal(14,4), low decimal(14,4), close decimal(14,4), {CORRUPT} string"
+
+
+def index_lines(lines: DataFrame) -> DataFrame:
+    """(document, record_no, payload) of index CSVs to the lines that hold levels, typed, and is_bad where a value is none.
+
+    A file's first line that is not blank must be the header, in any case; else the file has none. Lines of another
+    width than five are left out.
+    """
+    said = lines.withColumn("payload", F.trim(F.regexp_replace("payload", r"[\r\t]", " "))).filter("payload != ''")
+    head = said.groupBy("document").agg(F.min(F.struct("record_no", "payload")).alias("head"))
+    files = head.filter(F.upper("head.payload") == "DATE,OPEN,HIGH,LOW,CLOSE").select("document", F.col("head.record_no").alias("head_no"))
+    rows = said.join(files, "document").filter((F.col("record_no") > F.col("head_no")) & (F.size(F.split("payload", ",")) == 5))
+    parsed = F.from_csv("payload", LEVEL, OPTIONS | {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = rows.select("document", "record_no", "payload", parsed.alias("parsed"))
+    blank = F.exists(F.array(*(F.col(f"parsed.{c}").isNull() for c in ("open", "high", "low", "close"))), lambda x: x)
+    date = day("parsed.trade_date", "M/d/yyyy")
+    bad = F.col(f"parsed.{CORRUPT}").isNotNull() | blank | date.isNull()
+    return rows.select("document", "record_no", "payload", bad.alias("is_bad"), date.alias("trade_date"), *(F.col(f"parsed.{c}").alias(c) for c in ("open", "high", "low", "close")))
+
+
+def index_rejects(lines: DataFrame) -> DataFrame:
+    """(document, reason, payload): files with a value that is none, by the first line that has one. The whole file is out."""
+    bad = index_lines(lines).filter("is_bad").groupBy("document").agg(F.min(F.struct("record_no", "payload")).alias("first"))
+    return bad.select("document", F.lit("broken csv").alias("reason"), F.col("first.payload").alias("payload"))
+
+
+def index_levels(lines: DataFrame, name: str = r"([^/_.]+)[^/]*$") -> DataFrame:
+    """Levels of index CSVs without a bad line; the index's code is in the file's name."""
+    rows = index_lines(lines)
+    good = rows.join(rows.filter("is_bad").select("document").distinct(), "document", "left_anti")
+    return good.select("document", F.upper(F.regexp_extract("document", name, 1)).alias("index_code"), "trade_date", "open", "high", "low", "close")
+
+
+TONE = "tonechart array<struct<bin:int,count:long>>"
 
 
 def tone_bins(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("document", F.explode(F.from_json("payload", "tonechart array<struct<bin:int,count:long>>")["tonechart"]).alias("b"))
+    rows = payloads.select("document", F.explode(body(payloads, "json", TONE)["tonechart"]).alias("b"))
     return rows.select(F.col("document").alias("company_id"), "b.bin", F.col("b.count").alias("n"))
 
 

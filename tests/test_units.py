@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanternlog.functions.normalise import to_thousandths
 from lanternlog.operators import alerts, asof, eventlog, graph
 from lanternlog.plans.core import RULES, thousandths_sql
-from lanternlog.sources import filings
+from lanternlog.sources import filings, landing
 from lanternlog.streaming import ingest
 
 DAY = date(2026, 3, 10)
@@ -38,9 +38,72 @@ def test_acceptance_time_is_new_york(spark):
     assert got == ["2026-07-01 16:00:00", "2026-01-01 17:00:00", None]
 
 
-def test_broken_xml_gives_no_row_and_is_quarantined(spark):
-    docs = spark.createDataFrame([("good", "<feed><entry><id>accession-number=1-2-3</id><link href='/data/77/x'/><category term='4'/><updated>2026-01-01T00:00:00Z</updated></entry></feed>"), ("bad", "<feed><entry>")], "document string, payload string")
-    assert [(r.accession, r.cik) for r in filings.feed_entries(docs).collect()] == [("1-2-3", "0000000077")]
+FEED = "<feed><entry><id>accession-number=1-2-{}</id><link href='/data/77/x'/><category term='4'/><updated>2026-01-01T00:00:00Z</updated></entry></feed>"
+
+
+def test_broken_payloads_give_no_row_and_are_quarantined(spark):
+    schema = "entry array<struct<id:string,link:struct<_href:string>,category:struct<_term:string>,updated:string>>"
+    feed = landing.Source("feed", "xml", schema, lambda p: filings.feed_entries(p).withColumnRenamed("accession", "document"), ["document"])
+    payloads = [("good", FEED.format(3)), ("other", FEED.format(4)), ("bad", "<feed><entry>"), ("cut", FEED.format(5)[:-3]), ("text", "nonsense"), ("none", None), ("blank", " \n"), ("empty", "<feed></feed>")]
+    docs = spark.createDataFrame(payloads, "document string, payload string")
+    known = spark.createDataFrame([("1-2-4",)], "document string")
+    took = landing.intake(docs, feed, known, lambda df: df.cache())
+    assert [(r.document, r.cik) for r in took.accepted.collect()] == [("1-2-3", "0000000077")]
+    assert {(r.document, r.reason, r.payload) for r in took.quarantine.collect()} == {(n, "no payload" if n in ("none", "blank") else "broken xml", dict(payloads)[n]) for n in ("bad", "cut", "text", "none", "blank")}
+    assert took.summary.first().asDict() == {"source": "feed", "seen": 8, "error": 5, "empty": 1, "created": 1, "duplicate": 1}
+
+
+def test_broken_json_is_quarantined_whole(spark):
+    docs = spark.createDataFrame([("a", '{"tonechart":[{"bin":1,"count":2}]}'), ("b", '{"tonechart":[{"bin":1,"count":2}'), ("c", '{"tonechart":[{"bin":"x","count":2},{"bin":2,"count":2}]}'), ("d", '{"tonechart":[]}')], "document string, payload string")
+    source = landing.Source("tone", "json", filings.TONE, lambda p: filings.tone_bins(p).withColumnRenamed("company_id", "document"), ["document", "bin"])
+    took = landing.intake(docs, source, spark.createDataFrame([], "document string, bin int"), lambda df: df.cache())
+    assert {r.document for r in took.quarantine.collect()} == {"b", "c"} and took.accepted.count() == 1
+    assert tuple(took.summary.first()) == ("tone", 4, 2, 1, 1, 0)
+
+
+def test_both_sinks_of_a_batch_are_replaced_when_it_is_run_again(spark, tmp_path):
+    docs = spark.createDataFrame([("a", '{"tonechart":[{"bin":1,"count":2}]}'), ("b", "{")], "document string, payload string")
+    source = landing.Source("tone", "json", filings.TONE, lambda p: filings.tone_bins(p).withColumnRenamed("company_id", "document"), ["document", "bin"])
+    for _ in range(2):
+        landing.intake(docs, source, spark.createDataFrame([], "document string, bin int"), lambda df: df.cache()).write(str(tmp_path), 7)
+    assert spark.read.parquet(f"{tmp_path}/accepted").count() == spark.read.parquet(f"{tmp_path}/quarantine").count() == 1
+
+
+def test_an_index_file_is_told_by_its_first_line(spark, tmp_path):
+    files = {
+        "vix_history.csv": "\n\n date,open,HIGH,low,close \r\n1/2/2024,1,2,0.5, 1.25\r\n01/03/2024,1,2\n\n", "late_history.csv": "note\nDATE,OPEN,HIGH,LOW,CLOSE\n01/02/2024,1,2,1,1\n", "other_history.csv": "DATE,VALUE\n01/02/2024,1\n",
+        "bad_history.csv": "DATE,OPEN,HIGH,LOW,CLOSE\n01/02/2024,1,2,1,1\n13/45/2024,1,2,1,1\n", "number_history.csv": "DATE,OPEN,HIGH,LOW,CLOSE\n01/02/2024,1,x,1,1\n01/03/2024,1,,1,1\n", "empty_history.csv": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    lines = landing.landed_records(spark, str(tmp_path))
+    assert [(r.index_code, r.trade_date, float(r.close)) for r in filings.index_levels(lines).collect()] == [("VIX", date(2024, 1, 2), 1.25)]
+    assert {(r.document.split("/")[-1], r.payload) for r in filings.index_rejects(lines).collect()} == {("bad_history.csv", "13/45/2024,1,2,1,1"), ("number_history.csv", "01/02/2024,1,x,1,1")}
+
+
+def test_records_are_numbered_in_their_files_however_they_are_read(spark, tmp_path):
+    rows = {f"f{k}": [f"{k}:{i}" for i in range(n)] for k, n in enumerate((1, 3000, 700))}
+    for name, lines in rows.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        read = landing.landed_records(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 10
+        got = {(r.document.split("/")[-1], r.record_no): r.payload for r in read.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {(name, i): x for name, lines in rows.items() for i, x in enumerate(lines)}
+    whole = {r.document.split("/")[-1]: (r.size, r.payload) for r in landing.landed_files(spark, str(tmp_path)).collect()}
+    assert (whole["f0"][0], whole["f0"][1].strip()) == (4, "0:0") and len(whole) == 3
+
+
+def test_submissions_are_split_into_their_documents(spark):
+    text = "<SEC-HEADER>\n<ACCEPTANCE-DATETIME>20260101120000\n</SEC-HEADER>\n<DOCUMENT>\n<TYPE>13F-HR\n<TEXT>\n<XML>\n<a>1</a>\n</XML>\n</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>INFORMATION TABLE\r\n<TEXT>plain</TEXT></DOCUMENT>\n"
+    df = landing.submission_documents(spark.createDataFrame([(text,), ("no documents",), (None,)], "payload string"))
+    rows = df.select("documents", filings.acceptance_time("header").cast("string").alias("at"), landing.document_of("13F-HR").alias("cover"), landing.document_of("13F-HR/A").alias("none")).collect()
+    assert [tuple(x) for x in rows[0].documents] == [("13F-HR", "<a>1</a>"), ("INFORMATION TABLE", "plain")]
+    assert (rows[0].at, rows[0].cover, rows[0].none) == ("2026-01-01 17:00:00", "<a>1</a>", None) and rows[1].documents == [] and rows[2].documents is None
 
 
 def test_rules_keep_their_newest_version(spark):
