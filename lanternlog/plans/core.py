@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, asof, backtest, derive, eventlog, graph, radar, resolve, scoring
 from ..sources import filings
+from ..streaming import keyed
 from .store import stored
 from .views import VIEWS, base, view, with_views
 
@@ -307,15 +308,22 @@ def e24(spark, d):
 TITLES = "(SELECT *, transaction_code = 'P' AS is_officer, l_partkey % 3 = 0 AS is_director, l_partkey % 7 = 0 AS is_ten_percent_owner, CASE WHEN transaction_code = 'S' THEN '' ELSE concat('T', CAST(l_partkey % 9 AS INT)) END AS title FROM tb_form4)"
 
 
-@query(
-    "e14_roles",
-    f"SELECT person_id, company_id, arg_max(is_officer, publication_time * 1.0) AS is_officer, arg_max(is_director, publication_time * 1.0) AS is_director, arg_max(is_ten_percent_owner, publication_time * 1.0) AS is_ten_percent_owner, arg_max(title, publication_time * 1.0) FILTER (WHERE title <> '') AS title, min(start) AS start_date FROM (SELECT *, publication_time AS start FROM {TITLES}) GROUP BY 1, 2".replace(
+ROLES_SQL = f"SELECT person_id, company_id, arg_max(is_officer, publication_time * 1.0) AS is_officer, arg_max(is_director, publication_time * 1.0) AS is_director, arg_max(is_ten_percent_owner, publication_time * 1.0) AS is_ten_percent_owner, arg_max(title, publication_time * 1.0) FILTER (WHERE title <> '') AS title, min(start) AS start_date FROM (SELECT *, publication_time AS start FROM {TITLES}) GROUP BY 1, 2".replace(
         "publication_time * 1.0", "CAST(date_diff('day', DATE '1970-01-01', publication_time) AS HUGEINT) * 100000000000 + event_id"
-    ),
-)
+    )
+
+
+@query("e14_roles", ROLES_SQL)
 def e14(spark, d):
-    rows = view(spark, d, "tb_form4").withColumns({"is_officer": F.col("transaction_code") == "P", "is_director": F.col("l_partkey") % 3 == 0, "is_ten_percent_owner": F.col("l_partkey") % 7 == 0, "title": F.when(F.col("transaction_code") == "S", "").otherwise(F.concat(F.lit("T"), (F.col("l_partkey") % 9).cast("int").cast("string")))})
-    return eventlog.roles(rows)
+    return eventlog.roles(titled(spark, d))
+
+
+def titled(spark, d):
+    """Transactions with flags and a title, which sales lack."""
+    code, part = F.col("transaction_code"), F.col("l_partkey")
+    return view(spark, d, "tb_form4").withColumns(
+        {"is_officer": code == "P", "is_director": part % 3 == 0, "is_ten_percent_owner": part % 7 == 0, "title": F.when(code == "S", "").otherwise(F.concat(F.lit("T"), (part % 9).cast("int").cast("string")))}
+    )
 
 
 @query(
@@ -353,6 +361,39 @@ def resolve_query(name: str, table: str, key: str, at: str, varying: str, kind:
     return run
 
 
+SIGHTED = """sighted AS (SELECT CAST(company_id AS VARCHAR) AS id_value, 'COMPANY' AS kind, concat('n', lpad(CAST(accession AS VARCHAR), 12, '0')) AS name, CASE WHEN accession % 2 = 0 THEN concat('T', CAST(company_id % 40 AS INT)) END AS ticker, publication_time AS seen_at, event_id * 2 AS seen_order FROM tb_form4
+UNION ALL SELECT CAST(person_id AS VARCHAR), CASE WHEN transaction_code = 'G' THEN 'OTHER' ELSE 'PERSON' END, concat('p', lpad(CAST(accession AS VARCHAR), 12, '0')), NULL, publication_time, event_id * 2 + 1 FROM tb_form4),
+entity AS (SELECT id_value, name AS canonical_name, CASE WHEN persons > 0 THEN 'PERSON' ELSE kind END AS kind, persons > 0 AS has_person, companies > 0 AS has_company, ticker
+FROM (SELECT *, row_number() OVER (PARTITION BY id_value ORDER BY seen_at, seen_order) AS n, count(*) FILTER (WHERE kind = 'PERSON') OVER (PARTITION BY id_value) AS persons, count(*) FILTER (WHERE kind = 'COMPANY') OVER (PARTITION BY id_value) AS companies FROM sighted) WHERE n = 1)"""
+ENTITY_SQL = f"WITH {SIGHTED} SELECT * FROM entity"
+
+
+def sightings(transactions):
+    """Who a transaction names: the issuer with its ticker, if it is said, and the owner; gifts name an owner of unknown kind."""
+    code = F.lpad(F.col("accession").cast("string"), 12, "0")
+    one = lambda key, kind, name, ticker, k: F.struct(F.lit("CIK").alias("id_type"), F.col(key).cast("string").alias("id_value"), kind.alias("kind"), F.concat(F.lit(name), code).alias("name"), ticker.cast("string").alias("ticker"), F.col("publication_time").alias("seen_at"), (F.col("event_id") * 2 + k).alias("seen_order"))
+    ticker = F.when(F.col("accession") % 2 == 0, F.concat(F.lit("T"), (F.col("company_id") % 40).cast("int").cast("string")))
+    issuer = one("company_id", F.lit("COMPANY"), "n", ticker, 0)
+    owner = one("person_id", F.when(F.col("transaction_code") == "G", "OTHER").otherwise("PERSON"), "p", F.lit(None), 1)
+    return transactions.select(F.explode(F.array(issuer, owner)).alias("s")).select("s.*")
+
+
+def entity_columns(merged):
+    has = lambda kind: F.array_contains("profiles", kind)
+    return keyed.entities(merged).select("id_value", "canonical_name", "kind", has("PERSON").alias("has_person"), has("COMPANY").alias("has_company"), "ticker")
+
+
+@query("e02_entities", ENTITY_SQL)
+def e02_entities(spark, d):
+    """Everyone that transactions name, by CIK: first name, kind, profiles, and the ticker that came with the first sight."""
+    return entity_columns(keyed.ENTITIES(keyed.entity_partials(sightings(view(spark, d, "tb_form4")))))
+
+
+@query("e02_identifiers", f"WITH {SIGHTED} SELECT sha256(concat('CIK:', id_value)) AS entity_key, 'CIK' AS identifier_type, id_value AS identifier_value, true AS is_primary FROM entity UNION ALL SELECT sha256(concat('CIK:', id_value)), 'TICKER', ticker, false FROM entity WHERE ticker IS NOT NULL")
+def e02_identifiers(spark, d):
+    return keyed.identifiers(keyed.entities(keyed.ENTITIES(keyed.entity_partials(sightings(view(spark, d, "tb_form4"))))))
+
+
 resolve_query("e02_company_by_cik", "tb_form4", "company_id", "publication_time", "accession", "COMPANY", "CIK")
 resolve_query("e03_company_by_cusip", "tb_13f_raw", "company_id", "period_of_report", "institution_id", "COMPANY", "CUSIP")
 resolve_query("e05_uk_company", "tb_control", "company_id", "notified_on", "psc_id", "COMPANY", "COMPANY_NUMBER")
