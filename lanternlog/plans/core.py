@@ -133,9 +133,27 @@ def q06(spark, d):
     return fund_columns(asof.catalogue(derive.fundamentals(view(spark, d, "tb_xbrl")), [], as_of=AS_OF, where={"period_type": "QUARTER"}, newest_first="period_end"), *margins())
 
 
-@query("q07_fund_snapshots", f"SELECT fund_id, period_end, CAST(net_assets_usd AS DOUBLE) AS net_assets FROM tb_fund_aum WHERE publication_time <= {D}")
+SERIES = "CASE WHEN month(period_end) = 6 THEN NULL ELSE concat('S', year(period_end)) END"
+FUNDS = f"funds AS (SELECT fund_id, concat('f', lpad(CAST(fund_id AS VARCHAR), 12, '0')) AS fund_name, concat('F', CAST(fund_id AS INT)) AS ticker, arg_max({SERIES}, publication_time) FILTER (WHERE month(period_end) <> 6) AS series_name FROM tb_fund_aum GROUP BY 1)"
+
+
+def funds(spark, d):
+    """Funds as their snapshots make them known: name, ticker, and the series that was named last."""
+    rows = view(spark, d, "tb_fund_aum").withColumn("series_name", F.when(F.month("period_end") != 6, F.concat(F.lit("S"), F.year("period_end").cast("string"))))
+    known = named(resolve.funds(rows), "f", "fund_id")
+    return known.select("fund_id", F.col("name").alias("fund_name"), F.concat(F.lit("F"), F.col("fund_id").cast("int").cast("string")).alias("ticker"), "series_name")
+
+
+@query("q07_funds", f"WITH {FUNDS} SELECT fund_id, fund_name, ticker, series_name FROM funds")
+def q07_funds(spark, d):
+    return funds(spark, d)
+
+
+@query("q07_fund_snapshots", f"WITH {FUNDS}, moved AS (SELECT *, net_assets_usd - lag(net_assets_usd) OVER (PARTITION BY fund_id ORDER BY period_end) AS moved FROM tb_fund_aum) SELECT fund_id, fund_name, ticker, period_end, CAST(net_assets_usd AS DOUBLE) AS net_assets, CAST(moved AS DOUBLE) AS net_change, publication_time FROM moved JOIN funds USING (fund_id) WHERE publication_time <= {D}")
 def q07(spark, d):
-    return asof.catalogue(view(spark, d, "tb_fund_aum"), [], as_of=AS_OF, newest_first="period_end").select("fund_id", "period_end", F.col("net_assets_usd").cast("double").alias("net_assets"))
+    facts = derive.fund_changes(view(spark, d, "tb_fund_aum"))
+    out = asof.catalogue(facts, [(funds(spark, d), "fund_id")], as_of=AS_OF, newest_first="period_end")
+    return out.select("fund_id", "fund_name", "ticker", "period_end", F.col("net_assets_usd").cast("double").alias("net_assets"), F.col("net_change").cast("double").alias("net_change"), "publication_time")
 
 
 SI = """si AS (SELECT *, settlement_date AS publication_time, round((CAST(current_short_position AS DOUBLE) - CAST(p AS DOUBLE)) / nullif(CAST(p AS DOUBLE), 0) * 100, 2) AS change_percent, CAST(current_short_position AS DOUBLE) / nullif(average_daily_volume, 0) AS days_to_cover
@@ -813,23 +831,37 @@ def k03(spark, d):
 
 # --- graph ---------------------------------------------------------------------------------------------------------
 
-PAIRS = "SELECT a.person_id, a.company_id AS company_a, b.company_id AS company_b, a.start_date AS start_a, b.start_date AS start_b FROM tb_roles a JOIN tb_roles b ON a.person_id = b.person_id AND a.company_id < b.company_id"
-PAIR = ["person_id", "company_a", "company_b", "start_a", "start_b"]
+SEATS = "seats AS (SELECT person_id, company_id, start_date, CASE WHEN (person_id + company_id) % 5 = 0 THEN NULL ELSE concat('T', CAST((person_id + company_id) % 9 AS INT)) END AS title FROM tb_roles), called AS (SELECT entity_id, canonical_name AS name FROM tb_companies), people AS (SELECT DISTINCT person_id, concat('p', lpad(CAST(person_id AS VARCHAR), 12, '0')) AS name FROM tb_roles WHERE person_id % 3 <> 0)"
+PAIRS = f"""WITH {SEATS} SELECT a.person_id, a.company_id AS company_a, b.company_id AS company_b, a.start_date AS start_a, b.start_date AS start_b, a.title AS title_a, b.title AS title_b, coalesce(p.name, 'UNKNOWN') AS person_name, coalesce(x.name, 'UNKNOWN') AS company_a_name, coalesce(y.name, 'UNKNOWN') AS company_b_name
+FROM seats a JOIN seats b ON a.person_id = b.person_id AND CAST(a.company_id AS VARCHAR) < CAST(b.company_id AS VARCHAR) LEFT JOIN people p ON p.person_id = a.person_id LEFT JOIN called x ON x.entity_id = a.company_id LEFT JOIN called y ON y.entity_id = b.company_id"""
+PAIR = ["person_id", "company_a", "company_b", "start_a", "start_b", "title_a", "title_b", "person_name", "company_a_name", "company_b_name"]
+
+
+def seats(spark, d):
+    both = F.col("person_id") + F.col("company_id")
+    return view(spark, d, "tb_roles").withColumn("title", F.when(both % 5 != 0, F.concat(F.lit("T"), (both % 9).cast("int").cast("string"))))
+
+
+def called(spark, d):
+    """Names of companies, and of the persons that have one."""
+    companies = view(spark, d, "tb_companies").select("entity_id", F.col("canonical_name").alias("name"), F.lit("company").alias("kind"))
+    people = view(spark, d, "tb_roles").select("person_id").distinct().filter("person_id % 3 <> 0")
+    return companies.unionByName(named(people, "p", "person_id").select(F.col("person_id").alias("entity_id"), "name", F.lit("person").alias("kind")))
 
 
 @query("g01_interlocks", PAIRS)
 def g01(spark, d):
-    return graph.interlocks(view(spark, d, "tb_roles")).select(PAIR)
+    return graph.interlocks(seats(spark, d), names=called(spark, d)).select(PAIR)
 
 
 @query("g02_interlocks_of_company", f"{PAIRS} WHERE a.company_id = 7 OR b.company_id = 7")
 def g02(spark, d):
-    return graph.interlocks(view(spark, d, "tb_roles"), company=7).select(PAIR)
+    return graph.interlocks(seats(spark, d), company=7, names=called(spark, d)).select(PAIR)
 
 
 @query("g03_interlocks_as_of", f"{PAIRS} WHERE a.start_date <= DATE '1996-01-01' AND b.start_date <= DATE '1996-01-01'")
 def g03(spark, d):
-    return graph.interlocks(view(spark, d, "tb_roles"), as_of=date(1996, 1, 1)).select(PAIR)
+    return graph.interlocks(seats(spark, d), as_of=date(1996, 1, 1), names=called(spark, d)).select(PAIR)
 
 
 # --- backtest ------------------------------------------------------------------------------------------------------
@@ -951,10 +983,10 @@ def a05(spark, d):
     return alerts.evaluated(rules(spark), Facts(spark, d).hits())
 
 
-@query("k01_overview", f"WITH {CONV}, {HITS} SELECT (SELECT count(*) FROM tb_companies) AS companies, (SELECT count(*) FROM hits) AS alerts, (SELECT count(*) FROM ({PAIRS})) AS interlocks, (SELECT CAST(arg_max(close, trade_date) AS DOUBLE) FROM tb_volatility WHERE index_code = 'CLICK') AS latest_close")
+@query("k01_overview", f"WITH {CONV}, {HITS} SELECT (SELECT count(*) FROM tb_companies) AS companies, (SELECT count(*) FROM hits) AS alerts, (SELECT count(*) FROM tb_roles a JOIN tb_roles b ON a.person_id = b.person_id AND a.company_id < b.company_id) AS interlocks, (SELECT CAST(arg_max(close, trade_date) AS DOUBLE) FROM tb_volatility WHERE index_code = 'CLICK') AS latest_close")
 def k01(spark, d):
     levels = view(spark, d, "tb_volatility").filter("index_code = 'CLICK'")
-    return radar.overview(view(spark, d, "tb_companies"), Facts(spark, d).hits(), graph.interlocks(view(spark, d, "tb_roles")), levels).withColumn("latest_close", F.col("latest_close").cast("double"))
+    return radar.overview(view(spark, d, "tb_companies"), Facts(spark, d).hits(), graph.interlocks(seats(spark, d)), levels).withColumn("latest_close", F.col("latest_close").cast("double"))
 
 
 # --- the scores' parts, each by itself ------------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 import json
 import math
 import random
-from datetime import date, datetime
+from collections import Counter
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternlog.functions.normalise import to_thousandths
-from lanternlog.operators import alerts, asof, eventlog, graph
+from lanternlog.operators import alerts, asof, backtest, eventlog, graph
 from lanternlog.plans.core import RULES, thousandths_sql
 from lanternlog.sources import filings, landing
 from lanternlog.streaming import ingest
@@ -148,12 +149,79 @@ def test_listing_mode_is_checked(spark):
         asof.list_events(spark.range(1), DAY, "other")
 
 
+ROLE = "person_id long, company_id long, start_date date, title string"
+
+
 def test_three_companies_are_three_pairs(spark):
-    roles = spark.createDataFrame([(1, c, date(2026, 1, c), True) for c in (1, 2, 3)] + [(2, 1, None, False), (2, 2, date(2026, 1, 1), False)], "person_id long, company_id long, start_date date, is_officer boolean")
+    roles = spark.createDataFrame([(1, c, date(2026, 1, c), f"T{c}") for c in (1, 2, 3)] + [(2, 1, None, None), (2, 2, date(2026, 1, 1), "")], ROLE)
     assert graph.interlocks(roles).count() == 4
     assert graph.interlocks(roles, as_of=date(2026, 1, 2)).count() == 1
 
 
+def test_interlocks_are_ordered_as_text_and_named(spark):
+    roles = spark.createDataFrame([(1, 9, date(2026, 1, 1), "Chair"), (1, 10, date(2026, 1, 2), None)], ROLE)
+    names = spark.createDataFrame([(9, "Nine", "company"), (1, "One", "person"), (10, "not a company", "person")], "entity_id long, name string, kind string")
+    (r,) = graph.interlocks(roles, names=names).collect()
+    assert (r.company_a, r.company_b, r.title_a, r.title_b, r.start_a) == (10, 9, None, "Chair", date(2026, 1, 2))
+    assert (r.person_name, r.company_a_name, r.company_b_name) == ("One", "UNKNOWN", "Nine")
+
+
+def test_a_person_of_many_seats_is_many_tasks(spark):
+    rows = [(1, c, date(2026, 1, 1), "T") for c in range(120)] + [(p, c, date(2026, 1, 1), "T") for p in range(2, 40) for c in (p, p + 1)]
+    roles = spark.createDataFrame(rows, ROLE)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        out = graph.interlocks(roles, most_seats=20).withColumn("task", F.spark_partition_id())
+        got = out.collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    pairs = Counter((r.person_id, *sorted((r.company_a, r.company_b))) for r in got)
+    assert pairs == Counter([(1, a, b) for a in range(120) for b in range(a + 1, 120)] + [(p, p, p + 1) for p in range(2, 40)])
+    tasks = Counter(r.task for r in got if r.person_id == 1)
+    assert len(tasks) > 8 and max(tasks.values()) < len(got) / 3
+
+
+def plain_returns(signals, bars, n):
+    out = []
+    for c, at in signals:
+        own = sorted((t, close) for k, t, close in bars if k == c)
+        later = [i for i, (t, _) in enumerate(own) if t >= at]
+        entry = own[later[0]] if later else None
+        leave = own[later[0] + n] if later and later[0] + n < len(own) else None
+        value = None if leave is None or not entry[1] else (leave[1] - entry[1]) / entry[1] * 100
+        out.append((c, at, entry and entry[0], leave and leave[0], value, "no_entry" if entry is None else "too_few_bars" if leave is None else "ok"))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("days", [1, 7, 1000])
+def test_forward_returns_by_ranges_equal_a_plain_search(spark, days):
+    rng = random.Random(31)
+    start = date(2026, 1, 1)
+    bars = [(c, start + timedelta(t), float(rng.randint(0, 50))) for c in (1, 2, 3) for t in sorted(rng.sample(range(120), 40)) if not 50 < t < 80]
+    signals = [(rng.randint(1, 4), start + timedelta(rng.randint(-5, 130))) for _ in range(120)]
+    got = backtest.forward_returns(spark.createDataFrame(signals, "company_id long, signal_date date"), spark.createDataFrame(bars, "company_id long, trade_date date, close double"), 5, days)
+    assert Counter(map(tuple, got.collect())) == plain_returns(signals, bars, 5)
+
+
+def test_a_company_with_half_of_all_bars_is_many_tasks(spark):
+    start = date(2000, 1, 1)
+    bars = spark.createDataFrame([(1, start + timedelta(t), 1.0 + t) for t in range(4000)] + [(c, start + timedelta(t), 1.0) for c in range(2, 42) for t in range(100)], "company_id long, trade_date date, close double")
+    signals = spark.createDataFrame([(1, start + timedelta(t)) for t in range(4000)], "company_id long, signal_date date")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        out = backtest.forward_returns(signals, bars, 20).withColumn("task", F.spark_partition_id()).groupBy("task", "outcome").count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in out if r.outcome == "ok") == 3980 and sum(r["count"] for r in out) == 4000
+    assert max(r["count"] for r in out) < 700
+
+
 def test_a_cover_without_names_and_numbers_with_separators(spark):
     row = lambda cusip, n, v: f"<infoTable><cusip>{cusip}</cusip><value>{v}</value><shrsOrPrnAmt><sshPrnamt>{n}</sshPrnamt></shrsOrPrnAmt></infoTable>"
     cover = "<edgarSubmission><headerData><filerInfo><periodOfReport>03-31-2026</periodOfReport></filerInfo></headerData></edgarSubmission>"
