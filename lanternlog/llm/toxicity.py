@@ -187,8 +187,8 @@ class Chain:
 TRAIN = "fold int, ids array<int>, labels array<double>, before array<double>"
 
 
-def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 20_000, folds: int = 3, least_docs: int = 3, most_words: int = 1 << 17, penalty: float = 0.002) -> Chain:
-    """Learn from at most ``most_labelled`` labelled rows, by the ``most_words`` most frequent words of ``least_docs`` of them at least."""
+def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES, most_labelled: int = 20_000, folds: int = 3, penalty: float = 0.002) -> Chain:
+    """Learn from at most ``most_labelled`` labelled rows, by all their words; the penalty chooses."""
     ship_package(documents.sparkSession)
     usable = labels.select("doc_id", *(label_of(c).alias(f"is_{c}") for c in categories)).dropna()
     usable = usable.groupBy("doc_id").agg(F.array(*(F.max(f"is_{c}") for c in categories)).alias("labels"))
@@ -199,9 +199,8 @@ def fit_chain(documents: DataFrame, labels: DataFrame, *, categories=CATEGORIES,
     n = train.count()
     if not n:
         return Chain([], {c: (np.zeros(i), -np.inf) for i, c in enumerate(categories)})
-    counts = train.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    least = least_docs if n >= 10 * least_docs else 1
-    vocabulary = [r.word for r in counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most_words).collect()]
+    # every word of the sample, which bounds them
+    vocabulary = [r.word for r in train.select(F.explode("words").alias("word")).distinct().orderBy("word").toLocalIterator()]
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
