@@ -280,8 +280,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
 
-def connected(sizes: DataFrame, members: DataFrame, finder, block: int, representatives: int = 32) -> DataFrame:
-    """node and label of what finder() connects in groups; sizes has key and n of each group, members key, node and one more."""
+def connected(sizes: DataFrame, members: DataFrame, finder, block: int, representatives: int = 32, kept: list[DataFrame] | None = None) -> DataFrame:
+    """node and label of what finder() connects in groups; sizes has key and n of each group, members key, node and one more.
+
+    ``kept`` gets the pairs (a, b) that connect them.
+    """
+
+    def labelled_by(edges: DataFrame) -> DataFrame:
+        if kept is not None:
+            edges = cut_lineage(edges)
+            kept.append(edges)
+        return components(edges)
+
     columns = ["key", "lo", "hi", *members.columns[1:]]
     place = lambda cuts: F.pmod(F.xxhash64("node"), cuts).cast("int")
     until = lambda n: F.sequence(F.lit(0), n - 1)
@@ -292,7 +302,7 @@ def connected(sizes: DataFrame, members: DataFrame, finder, block: int, represen
     edges = spread(rows.withColumn("lo", sent).withColumn("hi", F.col("lo")).select(columns)).mapInArrow(finder, EDGES).distinct()
     large = sizes.filter(F.col("n") > block)
     if large.isEmpty():
-        return components(edges)
+        return labelled_by(edges)
     edges = cut_lineage(edges)
     labels = components(edges)
     labelled = members.join(large, "key").select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -308,11 +318,17 @@ def connected(sizes: DataFrame, members: DataFrame, finder, block: int, represen
     other = F.explode(until(F.when(F.col("is_inner"), F.col("outer_cuts")).otherwise(F.col("outer_cuts") + F.col("inner_cuts"))))
     rest = members.join(sides, ["key", "node"]).withColumn("own", own).withColumn("other", other)
     rest = rest.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(columns)
-    return components(edges.unionByName(spread(rest).mapInArrow(finder, EDGES)).distinct())
+    return labelled_by(edges.unionByName(spread(rest).mapInArrow(finder, EDGES)).distinct())
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int = 1000) -> DataFrame:
-    """A row for each document row: doc_id, k1, k2 (its key), class_id, is_first (the class's own document)."""
+def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int = 1000, with_links: bool = False) -> DataFrame:
+    """A row for each document row: doc_id, k1, k2 (its key), class_id, is_first (the class's own document).
+
+    with_links adds the verified pairs that hold a class together, as each document has them: n_links, how many texts
+    its text is paired with, and link_id, the least doc_id of one. Copies share their text's pairs, and a class of t
+    texts has t - 1 pairs at least, so that every text that shares a class has one; pairs of texts that are connected
+    already are not all verified, as a group of many near copies has too many.
+    """
     ship_package(documents.sparkSession)
     docs = row_keys(documents)
     features = cut_lineage(docs.mapInArrow(featured_columns, FEATURES))
@@ -326,14 +342,21 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, block: int
     clouds = connected(shared, members, cloud_finder(least), block).withColumn("key", F.xxhash64("label"))  # node, label
     first = nodes.select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     texts = clouds.join(first, "node").join(docs.select("k1", "k2", "text"), ["k1", "k2"]).select("key", "node", "text")
-    classes = connected(clouds.groupBy("key").agg(F.count("*").alias("n")), texts, linker(threshold), block)
+    pairs: list[DataFrame] | None = [] if with_links else None
+    classes = connected(clouds.groupBy("key").agg(F.count("*").alias("n")), texts, linker(threshold), block, kept=pairs)
     of_node = nodes.select("node", "first").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = of_node.join(of_node.groupBy("label").agg(F.min("first").alias("class_first")), "label").select("node", "class_first")
     found = features.select("doc_id", "k1", "k2", "node").join(named, "node")
     is_first = (F.col("k1") == F.col("class_first.k1")) & (F.col("k2") == F.col("class_first.k2"))
-    with_words = found.select("doc_id", "k1", "k2", F.col("class_first.doc_id").alias("class_id"), is_first.alias("is_first"))
-    wordless = features.filter("node is null").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
-    return with_words.unionByName(wordless)
+    with_words = found.select("doc_id", "k1", "k2", F.col("class_first.doc_id").alias("class_id"), is_first.alias("is_first"), "node")
+    wordless = features.filter("node is null").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"), "node")
+    rows = with_words.unionByName(wordless)
+    if pairs is None:
+        return rows.drop("node")
+    both = pairs[0].unionByName(pairs[0].select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    partner = both.join(nodes.select(F.col("node").alias("b"), F.col("first.doc_id").alias("link_id")), "b")
+    links = partner.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.min("link_id").alias("link_id"))
+    return rows.join(links, "node", "left").select("doc_id", "k1", "k2", "class_id", "is_first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "link_id")
 
 
 def featured_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,4 +372,4 @@ def without_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
+    return near_duplicates(table(spark, sf_dir, "documents"), with_links=True).select("doc_id", "class_id", "is_first", "n_links", "link_id")
