@@ -145,29 +145,6 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 1000])
-def test_links_are_verified_and_hold_classes_together(docs, block):
-    def shingled(t):
-        words = re.findall(r"\w+", (t or "").lower())
-        return Counter(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))) if words else None
-
-    texts = defaultdict(list)
-    for i, t in rows_by_text(docs):
-        texts[i].append(shingled(t))
-    keys = {(r.k1, r.k2): shingled(r.text) for r in minhash.row_keys(docs).collect()}
-    classes = defaultdict(dict)
-    for r in minhash.near_duplicates(docs, block=block, with_links=True).collect():
-        own = keys[r.k1, r.k2]
-        assert r.n_links or r.link_id is None
-        if r.link_id is not None:
-            assert any(other and similar(own, other) for other in texts[r.link_id])
-        if own and len(texts[r.class_id]) == 1:  # an id of several texts may name several classes
-            classes[r.class_id][frozenset(own.items())] = r.n_links
-    for links in classes.values():
-        assert sum(links.values()) >= 2 * (len(links) - 1) and (len(links) == 1 or min(links.values()) > 0)
-    assert sum(len(links) > 1 for links in classes.values()) >= 8
-
-
 def test_small_blocks_find_the_same_classes(docs):
     rows = lambda n: sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_duplicates(docs, block=n).collect())
     assert rows(2) == rows(1000) == rows(7)
