@@ -9,7 +9,9 @@ The benchmark is a stated query set and goes to the executors in blocks of about
 pass over the documents for each block; a benchmark of the usual size is one block. Documents are never moved.
 
 Defined cases: a null or wordless document holds nothing; a null or wordless item is held by nothing; an item shorter
-than 1 / error_rate must occur exactly; repeated rows give their pairs once; empty tables give an empty result.
+than 1 / error_rate must occur exactly; repeated rows give their pairs once; empty tables give an empty result. Very
+long texts go through the automaton in blocks of their own. Columns besides those that an operator names are not read by
+it, or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

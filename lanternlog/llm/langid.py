@@ -12,7 +12,9 @@ result: log-probabilities are integers (in units of 1 / SCALE), so their sums do
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be
 learnt; a null lang is not learnt from, a null doc_id counts as held out; ties go to the first language in order;
-repeated rows are predicted alike; an empty table gives an empty result.
+repeated rows are predicted alike; an empty table gives an empty result. Very long texts are scored word by word, each
+word once, and count with all their words. Columns besides those that an operator names are not read by it, or are
+handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

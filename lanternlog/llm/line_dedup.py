@@ -4,8 +4,9 @@ Lines are cut at \\n and compared exactly. Every run of three consecutive lines
 first by (doc_id, text hash, position) stays; every line that a later one covers goes, even where it overlaps the
 first (of one line repeated five times, one line stays).
 
-Defined cases: a null text has no lines and stays null; texts of fewer than three lines stay whole; a text that
-loses every line becomes ''; a null doc_id comes first; repeated rows are one document and get the same result.
+Defined cases: a null text has no lines and stays null; texts of fewer than three lines stay whole; a text that loses
+every line becomes ''; a null doc_id comes first; repeated rows are one document and get the same result. Very long
+texts are rows of lines like others: a text is split in its task, and lines, not texts, are shuffled.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ within itself and with a few representatives, which connects nearly all of a gro
 group's largest component is then compared with every block. So a hot group costs its size times what is outside, not
 its square, and no link is left out.
 
-Defined cases: a text without words is a class of its own; a text of fewer than five words is one shingle; a null
-doc_id names a class only if no other id can; repeated rows are one document; an empty table gives an empty result.
+Defined cases: a text without words is a class of its own; a text of fewer than five words is one shingle; a null doc_id
+names a class only if no other id can; repeated rows are one document; an empty table gives an empty result. Very long
+texts go in blocks of their own; their shingles are held once in a task. Columns besides those that an operator names
+are not read by it, or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ round, until a round saves less than the share ``least_saved`` of them. A bin tr
 holds more than its share of bins.
 
 Defined cases: a null or empty text is the one token 0; only texts longer than a sequence are cut, and only their last
-piece may be shorter; repeated rows and null ids are documents of their own; an empty table gives an empty result.
+piece may be shorter; repeated rows and null ids are documents of their own; an empty table gives an empty result. Very
+long texts are encoded word by word in a bounded table and become many pieces. Columns besides those that an operator
+names are not read by it, or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

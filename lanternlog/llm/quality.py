@@ -8,7 +8,8 @@ without a usable language, for each script, by length class; a text outside its
 Defined cases: a null or blank text has no words and fails the base rules; a null lang, and a language
 with fewer than ``min_docs`` documents, goes by script; a script with fewer keeps all; repeated rows are judged alike;
 an empty table gives an empty result. Words are cut at the six ASCII white-space characters and encoded one by one, so a
-task holds one block of texts and a bounded table of words, however long the texts are.
+task holds one block of texts and a bounded table of words, however long the texts are. Columns besides those that an operator names are not read by it, or
+are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

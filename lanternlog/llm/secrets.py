@@ -13,7 +13,8 @@ p-values are counted in a fixed grid of bins, so the false-discovery step is one
 table of bounded size, whatever the corpus is. Positions come from the lengths of the parts between the matches.
 
 Defined cases: a null text is empty; an empty table gives an empty result; repeated rows are one document and get the
-same spans; positions are code points, ends exclusive.
+same spans; positions are code points, ends exclusive. Very long texts and tokens are matched as they are, in columns.
+Columns besides those that an operator names are not read by it, or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ Documents are shuffled once, for steps 3 and 4.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; documents with the same doc_id do not take
 strings from each other; a null doc_id is smaller than every other; repeated rows get the same result; an empty table
-gives an empty result.
+gives an empty result. Very long texts go in blocks of their own and are cut into runs of one key, so no collection has
+a whole one. Columns besides those that an operator names are not read by it, or are handed on as they are, whatever
+their names.
 """
 
 from __future__ import annotations

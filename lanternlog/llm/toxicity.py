@@ -10,7 +10,8 @@ Defined cases: a null or wordless text has no words and gets the models' base ra
 without a document are not learnt from; of labels of one document that conflict the larger of each category holds, so a
 rerun learns the same; repeated documents are learnt from as often as they occur; without labelled rows of both kinds a
 category's rate is the labels' mean (0 without labels); repeated rows are scored alike; an empty table gives an empty
-result.
+result. Very long texts count by their distinct words. Columns besides those that an operator names are not read by it,
+or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations

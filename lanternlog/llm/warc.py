@@ -11,8 +11,10 @@ is compressed before any shuffle, and only the small (digest, length, page_id) r
 
 Defined cases: a null html is an empty payload, which is compared like any other; a null url is written as
 ``urn:page:<id>``; pages that repeat the largest page_id with an equal payload are all responses, and their record ids
-get a number; a null page_id is below every other, sorts first, and is read back as null; an empty table writes an
-empty manifest; a listed file that is missing, or is not what the manifest says, is an error.
+get a number; a null page_id is below every other, sorts first, and is read back as null; an empty table writes an empty
+manifest; a listed file that is missing, or is not what the manifest says, is an error. Very long pages are one record
+each, and a file that is over its size after one holds no other. Columns besides those that an operator names are not
+read by it, or are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations
