@@ -6,7 +6,7 @@ the stage that runs; it is deleted when the stage after it is written.
 
 Null and empty texts fail the quality rules and go in the first stage; repeated rows are judged alike and the third
 stage keeps one of them; an empty table gives an empty result. Other columns than doc_id, text, lang and n_chars are
-handed on as they are, whatever their names.
+handed on as they are, whatever their names. Very long texts go through every stage whole.
 """
 
 from __future__ import annotations
