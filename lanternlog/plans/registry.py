@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, extraction, streams  # noqa: F401  the others register their queries with core
+from . import core, extraction, log, streams  # noqa: F401  the others register their queries with core
 
 Query = Callable[[SparkSession, str], DataFrame]
 
