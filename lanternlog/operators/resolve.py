@@ -64,10 +64,47 @@ def funds(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("fund_id").agg(F.max_by("series_name", F.when(F.col("series_name").isNotNull(), filed)).alias("series_name"), F.count("*").alias("n_snapshots"))
 
 
+BLOCK = 8  # a block of one level is so many of the level below
+LEVELS = 8  # the largest blocks are 8^7 days, and two of them hold every date of the years 1 to 9999
+
+
+def day_number(at: Column) -> Column:
+    return F.datediff(at, F.lit("0001-01-01").cast("date"))
+
+
+def covering_blocks(low: Column, high: Column) -> Column:
+    """The fewest aligned blocks of days (level, block) that make up the days from low to high, both included.
+
+    A level has its blocks that lie within the interval, less those that the level above covers: at most fourteen.
+    """
+    levels = []
+    of_level = lambda k: lambda b: F.struct(F.lit(k).alias("level"), b.alias("block"))
+    inside = [(F.ceil(low / BLOCK**k), F.floor((high + 1) / BLOCK**k)) for k in range(LEVELS)]
+    none = F.array().cast("array<bigint>")
+    run = lambda first, end: F.when(first < end, F.sequence(first.cast("bigint"), end.cast("bigint") - 1)).otherwise(none)
+    for k, (first, end) in enumerate(inside):
+        blocks = run(first, end)
+        if k + 1 < LEVELS:
+            over, past = inside[k + 1]
+            blocks = F.when(over < past, F.concat(run(first, over * BLOCK), run(past * BLOCK, end))).otherwise(blocks)
+        levels.append(F.transform(blocks, of_level(k)))
+    return F.concat(*levels)
+
+
 def valid_on(rows: DataFrame, identifiers: DataFrame, on: str) -> DataFrame:
-    """rows joined to the identifier that was valid on the row's date; both ends count, open ends are null."""
-    lo, hi = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
-    return rows.join(identifiers, "ticker").filter(F.col(on).between(lo, hi))
+    """rows joined to the identifier that was valid on the row's date; both ends count, open ends are null.
+
+    An interval is cut into aligned blocks of 1, 8, 64, ... days, and a date lies in one block of each size, so the join
+    is one of equal (ticker, level, block), which a pair meets in once at most: a row costs eight keys and its matches,
+    however many intervals its ticker has, and the rows of a hot ticker spread over its days. A row without a date or
+    ticker, and an interval that ends before it starts, match nothing.
+    """
+    day = day_number(F.col(on))
+    keys = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(day / BLOCK**k).cast("bigint").alias("block")) for k in range(LEVELS)))
+    low = F.coalesce(day_number(F.col("valid_from")), F.lit(0))
+    high = F.coalesce(day_number(F.col("valid_to")), day_number(F.lit("9999-12-31").cast("date")))
+    cut = identifiers.withColumn("_at", F.explode(covering_blocks(low, high)))
+    return rows.filter(F.col(on).isNotNull()).withColumn("_at", F.explode(keys)).join(cut, ["ticker", "_at"]).drop("_at")
 
 
 def worklist(explicit: DataFrame, companies: DataFrame) -> DataFrame:
