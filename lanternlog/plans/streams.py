@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import ingest, keyed
-from .core import ENTITY_SQL, ROLES_SQL, entity_columns, query, sightings, titled
-from .store import workspace
+from ..streaming import ingest, keyed, outbox
+from .core import AS_OF, CONV, ENTITY_SQL, HITS, ROLES_SQL, D, Facts, entity_columns, evidence_columns, query, rules, sightings, titled
+from .store import stored, workspace
 from .views import view
 
 
@@ -53,3 +53,20 @@ def e02_streamed(spark, d):
 def e14_streamed(spark, d):
     rows = titled(spark, d).select("event_id", "person_id", "company_id", "publication_time", *keyed.FLAGS, "title")
     return keyed.roles(kept_by_stream(spark, rows, keyed.ROLES, keyed.role_partials))
+
+
+@query(
+    "a06_streamed_outbox",
+    f"WITH {CONV}, {HITS} SELECT name, company_id, {D} AS alert_date, composite, n_evidence, first_evidence, last_evidence, CASE WHEN name = 'insider strong' THEN concat('insider strong/', company_id) END AS sent FROM th JOIN he USING (name, company_id)",
+)
+def a06_streamed(spark, d):
+    """Alerts that a stream of scores makes, and what of them is in the outbox, by its payload."""
+    facts, folder, r = Facts(spark, d), workspace(spark, "stream"), rules(spark)
+    scores = facts.families
+    scores.repartition(6, F.xxhash64("company_id")).write.parquet(f"{folder}/landing")
+    box = outbox.Outbox(spark, f"{folder}/box")
+    stream = ingest.landing(spark, f"{folder}/landing", scores.schema, files_per_batch=2)
+    outbox.alerted(stream, r, stored(facts.evidence()), box, AS_OF, f"{folder}/state").awaitTermination()
+    said = F.from_json("payload", "rule_name string, company_entity_id string")
+    sent = box.outbox().select("name", "company_id", F.concat_ws("/", said["rule_name"], said["company_entity_id"]).alias("sent"))
+    return box.alerts().join(sent, ["name", "company_id"], "left").select("name", "company_id", "alert_date", "composite", *evidence_columns(), "sent")

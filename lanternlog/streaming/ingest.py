@@ -1,4 +1,4 @@
-"""The same transforms under Structured Streaming: files that land are appended once, totalled, and alerted on."""
+"""The same transforms under Structured Streaming: files that land are appended once and totalled."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..operators import alerts, eventlog
+from ..operators import eventlog
 
 
 def landing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -68,20 +68,3 @@ def window_totals(stream: DataFrame, clock: str, key: str, amount: Column, windo
     """Totals of tumbling windows by key; a window is final when the watermark has passed it."""
     grouped = stream.withWatermark(clock, delay).groupBy(F.window(clock, window), key)
     return grouped.agg(F.sum(amount).alias("total"), F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "total", "n")
-
-
-ALERTS = StructType([StructField("name", StringType()), StructField("company_id", LongType()), StructField("alert_date", DateType()), StructField("composite", DoubleType()), StructField("summary", StringType())])
-
-
-def alert_writer(rules: DataFrame, scores_of: Callable[[DataFrame], DataFrame], target: str, as_of):
-    """An ``on_new`` that scores what came in and appends the alerts that no alert of the day has; a part for each day."""
-    rules.sparkSession.createDataFrame([], ALERTS).write.mode("overwrite").parquet(f"{target}/batch=-1/part=0")
-
-    def on_new(rows: DataFrame, batch_id: int) -> None:
-        today = as_of.toordinal()
-        known = target_rows(rows.sparkSession, target, ALERTS, before=batch_id).filter(F.col("part") == today)
-        hits = alerts.threshold_hits(rules, scores_of(rows))
-        fresh = alerts.new_alerts(hits, known, as_of).select("name", F.col("company_id").cast("long").alias("company_id"), "alert_date", "composite", "summary")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}/part={today}")
-
-    return on_new
