@@ -30,6 +30,11 @@ def prior_portfolio(holdings: DataFrame) -> DataFrame:
     return at.join(before, ["institution_id", "prior_period"]).select("institution_id", "period_of_report", "company_id", F.col("shares").alias("prior_shares"))
 
 
+def status_of(prior: Column, change: Column) -> Column:
+    """The status of a position that is held, by the shares before and the change."""
+    return F.when(prior.isNull(), "NEW").when(change > 0, "INCREASED").when(change < 0, "DECREASED").otherwise("UNCHANGED")
+
+
 def position_changes(holdings: DataFrame) -> DataFrame:
     """Holdings with status and change against the period before, and a row for each position that was given up.
 
@@ -42,7 +47,7 @@ def position_changes(holdings: DataFrame) -> DataFrame:
     at = at.withColumns({"last_period": F.lag("period_of_report").over(own), "last_shares": F.lag("shares").over(own), "lead_period": F.lead("period_of_report").over(own)})
     prior = F.when(F.col("last_period") == F.col("prior_period"), F.col("last_shares"))
     change = F.col("shares") - prior
-    status = F.when(prior.isNull(), "NEW").when(change > 0, "INCREASED").when(change < 0, "DECREASED").otherwise("UNCHANGED")
+    status = status_of(prior, change)
     shares, value = (lambda x: x.cast("decimal(28,4)")), (lambda x: x.cast("decimal(28,2)"))
     now = F.struct(F.col("period_of_report").alias("period"), shares(F.col("shares")).alias("shares"), value(F.col("market_value_usd")).alias("value"), shares(change).alias("change"), status.alias("status"))
     gone = F.col("next_period").isNotNull() & ~F.col("lead_period").eqNullSafe(F.col("next_period"))
