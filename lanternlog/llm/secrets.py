@@ -4,9 +4,11 @@ Token-like runs of at least ``LEAST`` characters are cut out and an encoding is
 base32, base36, letters, base62 and base64 whose characters it keeps to and whose kinds of characters it mixes (words
 in letters of one case are no encoding). A run without one, such as a path with a key in it, is cut at its marks, and
 its parts of ``LEAST`` characters are tokens of their own. Three tests then ask whether its symbols could be uniformly random: chi-squared
-over the alphabet, runs above and below the alphabet's middle, and serial correlation of neighbours, each as a normal
-deviate with the moments for the token's own length. The smallest of the three p-values, corrected for three tests, is
-the token's. Within each encoding and length class the Benjamini-Hochberg rule then dismisses tokens as not random, so
+over the alphabet, runs above and below the alphabet's middle, and serial correlation of neighbours. Chi-squared over
+equally likely symbols says how many pairs of places agree, and its chance is exact up to ``EXACT`` characters, from a
+table of all lengths; beyond, it is that of a gamma with the same three moments (Wilson and Hilferty). The other two are
+normal deviates with the moments for the token's own length; normal tails keep ten digits however small they are. The
+smallest of the three p-values, corrected for three tests, is the token's. Within each encoding and length class the Benjamini-Hochberg rule then dismisses tokens as not random, so
 that of those dismissed at most a share ``q`` were random; what is not dismissed is reported.
 
 p-values are counted in a fixed grid of bins, so the false-discovery step is one aggregation over all tokens and a
@@ -19,6 +21,12 @@ Columns besides those that an operator names are not read by it, or are handed o
 
 from __future__ import annotations
 
+import json
+import math
+from functools import lru_cache
+
+import numpy as np
+from numpy.polynomial import Chebyshev, Polynomial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +55,8 @@ ENCODINGS = [
     ("base64", UPPER + LOWER + DIGITS + "+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$"),
     ("base64url", UPPER + LOWER + DIGITS + "-_", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$"),
 ]
+EXACT = 64  # characters up to which chances of repeated symbols are exact
+LEAST_P = 1e-17
 BINS, BIN_WIDTH = 320, 0.05  # of -log10 p
 
 
@@ -70,10 +80,57 @@ def spans_of(docs: DataFrame) -> DataFrame:
     return placed.filter((F.col("kind") != "assign") | (F.length(F.regexp_extract("match", f"^{ASSIGN}$", 1)) >= LEAST_ASSIGNED))
 
 
+@lru_cache
+def repeat_tails(k: int, longest: int = EXACT) -> list[list[float]]:
+    """For each length up to ``longest``: the chances that at least 0, 1, 2, ... pairs of its places agree, of k equally likely symbols.
+
+    Symbols are added one by one: with c places of its own, one adds c (c - 1) / 2 pairs, and 1 / c! ways. Chances under
+    LEAST_P are left out.
+    """
+    most = max(longest * longest // 5, 50)  # more pairs have no chance that a double shows beside LEAST_P
+    ways = np.zeros((longest + 1, most))
+    ways[0, 0] = 1
+    for _ in range(k):
+        more = np.zeros_like(ways)
+        for c in range(longest + 1):
+            pairs = c * (c - 1) // 2
+            if pairs < most:
+                more[c:, pairs:] += ways[: longest + 1 - c, : most - pairs] / math.factorial(c)
+        ways = more
+    tails = np.cumsum((ways / ways.sum(axis=1, keepdims=True))[:, ::-1], axis=1)[:, ::-1]
+    return [[float(p) for p in row[row >= LEAST_P]] for row in tails]
+
+
+@lru_cache
+def tail_terms(degree: int = 14) -> list[float]:
+    """Powers of t = 1 / (1 + x / 2) that give ln(erfc(x) / t) + x^2, fitted where a double has erfc(x), to x = 9."""
+    of = np.vectorize(lambda t: math.log(math.erfc(2 / t - 2) / t) + (2 / t - 2) ** 2)
+    return [float(a) for a in Chebyshev.interpolate(of, degree, domain=[1 / 5.5, 1]).convert(kind=Polynomial).coef]
+
+
 def upper_tail(z: Column) -> Column:
-    """P(Z > z) of the standard normal, by a logistic with a cubic term (within 0.0002)."""
-    bounded = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(bounded * 1.5976 + bounded * bounded * bounded * 0.07056))
+    """P(Z > z) of the standard normal, to ten digits of its value, and not under that of 12."""
+    x = F.least(F.abs(z), F.lit(12.0)) / math.sqrt(2)
+    t = F.lit(1.0) / (1 + x / 2)
+    power = F.lit(0.0)
+    for a in reversed(tail_terms()):
+        power = power * t + a
+    half = t * F.exp(power - x * x) / 2
+    return F.when(z > 0, half).otherwise(1 - half)
+
+
+def gamma_tail(z: Column, skewness: Column) -> Column:
+    """The tail of a gamma with deviate z and a skewness, by Wilson and Hilferty's cube root."""
+    root = F.pow(F.greatest(1 + skewness * z / 2, F.lit(0.0)), F.lit(1 / 3))
+    return upper_tail((root - 1 + skewness * skewness / 36) * 6 / skewness)
+
+
+def exact_tails(spark) -> DataFrame:
+    """repeat_tails as rows (k, n, tails), a row for each size of alphabet and length."""
+    sizes = sorted({len(symbols) for _, symbols, _ in ENCODINGS})
+    said = json.dumps([{"k": k, "n": n, "tails": tails} for k in sizes for n, tails in enumerate(repeat_tails(k)) if n >= LEAST])
+    rows = F.from_json(F.lit(said), "array<struct<k:double,n:double,tails:array<double>>>")
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def inferred(tokens: DataFrame) -> DataFrame:
@@ -112,15 +169,22 @@ def battery(tokens: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     # symbols and their counts: a symbol's count is what its removal takes from the length
     squares = F.aggregate(F.array_distinct(F.split("bare", "")), zero, lambda s, c: s + F.pow(n - F.length(F.replace(F.col("bare"), c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    # chi-squared is k - n + 2 k / n x the pairs of places that agree; their first three moments are exact
+    agreeing = ((squares - n) / 2).cast("int")
+    all_pairs, one = n * (n - 1) / 2, 1 / k
+    spread_of = all_pairs * one * (1 - one)
+    third = spread_of * (1 - 2 * one) + n * (n - 1) * (n - 2) * one * one * (1 - one)
+    z_chi = (F.col("agreeing") - 0.5 - all_pairs * one) / F.sqrt(spread_of)
+    # one row for each size of alphabet and length: a few hundred, whatever the corpus is
+    known = known.withColumn("agreeing", agreeing).join(F.broadcast(exact_tails(tokens.sparkSession)), ["k", "n"], "left")
+    p_chi = F.when(n <= EXACT, F.coalesce(F.get("tails", F.col("agreeing")), F.lit(LEAST_P))).otherwise(gamma_tail(z_chi, third / F.pow(spread_of, F.lit(1.5))))
     above = F.aggregate("codes", zero, lambda s, c: s + F.when(c >= k / 2, 1.0).otherwise(0.0))
     following = F.slice("codes", 2, F.length("bare"))
     pairs = F.slice(F.zip_with("codes", following, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), 1, F.length("bare") - 1)
     half = k / 2
     changes = F.aggregate(pairs, zero, lambda s, p: s + F.when((p["a"] >= half) != (p["b"] >= half), 1.0).otherwise(0.0))
     mean = F.aggregate("codes", zero, lambda s, c: s + c) / n
-    known = known.withColumns({"z_chi": z_chi, "above": above, "changes": changes, "mean": mean, "pairs": pairs})
+    known = known.withColumns({"p_chi": p_chi, "above": above, "changes": changes, "mean": mean, "pairs": pairs})
     below = n - F.col("above")
     spread = 2 * F.col("above") * below
     variance = spread * (spread - n) / (n * n * (n - 1))
@@ -128,9 +192,9 @@ def battery(tokens: DataFrame) -> DataFrame:
     products = F.aggregate("pairs", zero, lambda s, p: s + (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))
     total = F.aggregate("codes", zero, lambda s, c: s + (c - F.col("mean")) * (c - F.col("mean")))
     z_serial = F.when(total > 0, F.abs(products / total + 1 / n) * F.sqrt(n)).otherwise(12.0)
-    least = F.least(upper_tail(F.col("z_chi")), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
-    p = F.lit(1.0) - F.pow(F.lit(1.0) - F.least(least, F.lit(1.0)), F.lit(3.0))
-    return known.withColumn("p", p).drop("codes", "pairs", "alphabet", "z_chi", "above", "changes", "mean", "bare")
+    least = F.least(F.col("p_chi"), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
+    p = -F.expm1(3 * F.log1p(-F.least(least, F.lit(1 - 1e-12))))
+    return known.withColumn("p", p).drop("codes", "pairs", "alphabet", "p_chi", "agreeing", "tails", "above", "changes", "mean", "bare")
 
 
 def dismissed_below(tested: DataFrame, q: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,6 +13,8 @@ import numpy as np
 import pytest
 from conftest import DOCUMENTS, sentence
 
+from pyspark.sql import functions as F
+
 from lanternlog.llm import decontaminate, langid, packing, quality, secrets, tokens, toxicity, warc
 
 
@@ -518,8 +521,8 @@ def plain_p(token):
         return None
     n, k = len(bare), len(alphabet)
     codes = [alphabet.index(c) for c in bare]
-    tail = lambda z: 1 / (1 + math.exp(1.5976 * max(min(z, 12), -12) + 0.07056 * max(min(z, 12), -12) ** 3))
-    chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(codes).values()) + (k - len(set(codes))) * n / k
+    tail = lambda z: math.erfc(min(z, 12) / math.sqrt(2)) / 2
+    agreeing = sum(x == y for x, y in itertools.combinations(codes, 2))
     above = [c >= k / 2 for c in codes]
     a = sum(above)
     spread = 2 * a * (n - a)
@@ -528,10 +531,56 @@ def plain_p(token):
     mean = sum(codes) / n
     total = sum((c - mean) ** 2 for c in codes)
     serial = sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:], strict=False)) / total if total else None
-    ps = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    if n <= 64:
+        tails = secrets.repeat_tails(k)[n]
+        ps = [tails[agreeing] if agreeing < len(tails) else 1e-17]
+    else:
+        m, v = math.comb(n, 2) / k, math.comb(n, 2) / k * (1 - 1 / k)
+        skew = (v * (1 - 2 / k) + 6 * math.comb(n, 3) * (1 - 1 / k) / k**2) / v**1.5
+        ps = [tail((max(1 + skew * (agreeing - 0.5 - m) / math.sqrt(v) / 2, 0) ** (1 / 3) - 1 + skew**2 / 36) * 6 / skew)]
     ps.append(2 * tail(abs(runs - 1 - spread / n) / math.sqrt(variance) if variance > 0 else 12))
     ps.append(2 * tail(abs(serial + 1 / n) * math.sqrt(n) if total else 12))
-    return 1 - (1 - min(min(ps), 1)) ** 3
+    return -math.expm1(3 * math.log1p(-min(min(ps), 1 - 1e-12)))
+
+
+def partitions(n, most):
+    """The ways to write n as a sum, greatest first."""
+    if n == 0:
+        yield []
+    for first in range(min(n, most), 0, -1):
+        for rest in partitions(n - first, first):
+            yield [first, *rest]
+
+
+@pytest.mark.parametrize("n, k", [(1, 16), (2, 16), (9, 62), (20, 16), (20, 62), (33, 32), (40, 64), (40, 16)])
+def test_chances_of_repeats_by_counting_all_texts(n, k):
+    texts = Counter()
+    for counts in partitions(n, n):
+        if len(counts) <= k:
+            same = math.prod(math.factorial(m) for m in Counter(counts).values())
+            texts[sum(math.comb(c, 2) for c in counts)] += math.factorial(n) // math.prod(map(math.factorial, counts)) * (math.perm(k, len(counts)) // same)
+    assert sum(texts.values()) == k**n
+    got = secrets.repeat_tails(k)[n]
+    for r in range(len(got) + 1):
+        p = sum(m for pairs, m in texts.items() if pairs >= r) / k**n
+        assert got[r] == pytest.approx(p, rel=1e-6) if r < len(got) else p < 1.01e-17
+
+
+def test_normal_tails_to_their_last_digits(spark):
+    zs = [z / 16 for z in range(-192, 193)]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", secrets.upper_tail(F.col("z")).alias("p")).collect()
+    assert len(got) == len(zs) and all(r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)) / 2, rel=1e-9) for r in got)
+
+
+def test_tails_beyond_the_table_join_on(spark):
+    """The gamma's tail beside the exact one where both are there: within a half for 1 in 1000 and more likely."""
+    for k in (16, 32, 62, 64):
+        n, tails = 64, secrets.repeat_tails(k)[64]
+        m, v = math.comb(n, 2) / k, math.comb(n, 2) / k * (1 - 1 / k)
+        skew = (v * (1 - 2 / k) + 6 * math.comb(n, 3) * (1 - 1 / k) / k**2) / v**1.5
+        rows = [((r - 0.5 - m) / math.sqrt(v), skew, p) for r, p in enumerate(tails) if 1e-3 <= p <= 0.5]
+        for r in spark.createDataFrame(rows, "z double, skew double, p double").select("p", secrets.gamma_tail(F.col("z"), F.col("skew")).alias("q")).collect():
+            assert r.p / 1.5 <= r.q <= r.p * 1.5
 
 
 def made_tokens():
@@ -553,7 +602,7 @@ def test_battery_by_its_definitions_and_what_it_reports(spark):
     df = spark.createDataFrame([(i, 0, "random", t, 0, len(t)) for i, t in enumerate(every)], "doc_id long, text_hash long, kind string, match string, start long, end long")
     got = {r.doc_id: r.p for r in secrets.battery(df).collect()}
     want = {i: p for i, t in enumerate(every) if (p := plain_p(t)) is not None}
-    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
     texts = [f"see {t} here" for t in every + paths + inner]
     out = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     found = lambda first, n: sum("random" in out[i] or "hex" in out[i] for i in range(first, first + n))
