@@ -21,7 +21,6 @@ Columns besides those that an operator names are not read by it, or are handed o
 
 from __future__ import annotations
 
-import json
 import math
 from functools import lru_cache
 
@@ -110,13 +109,15 @@ def tail_terms(degree: int = 14) -> list[float]:
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, to ten digits of its value, and not under that of 12."""
-    x = F.least(F.abs(z), F.lit(12.0)) / math.sqrt(2)
-    t = F.lit(1.0) / (1 + x / 2)
-    power = F.lit(0.0)
-    for a in reversed(tail_terms()):
-        power = power * t + a
-    half = t * F.exp(power - x * x) / 2
-    return F.when(z > 0, half).otherwise(1 - half)
+
+    def half(x: Column) -> Column:
+        t = F.lit(1.0) / (1 + x / 2)
+        power = F.aggregate(F.array(*map(F.lit, reversed(tail_terms()))), F.lit(0.0), lambda s, a: s * t + a)
+        return t * F.exp(power - x * x) / 2
+
+    # within the function a deviate is a name; written out, its expression would stand in the plan for each use of it
+    tail = lambda z: F.when(z > 0, half(F.least(z, F.lit(12.0)) / math.sqrt(2))).otherwise(1 - half(F.least(-z, F.lit(12.0)) / math.sqrt(2)))
+    return F.get(F.transform(F.array(z), tail), F.lit(0))
 
 
 def gamma_tail(z: Column, skewness: Column) -> Column:
@@ -128,9 +129,8 @@ def gamma_tail(z: Column, skewness: Column) -> Column:
 def exact_tails(spark) -> DataFrame:
     """repeat_tails as rows (k, n, tails), a row for each size of alphabet and length."""
     sizes = sorted({len(symbols) for _, symbols, _ in ENCODINGS})
-    said = json.dumps([{"k": k, "n": n, "tails": tails} for k in sizes for n, tails in enumerate(repeat_tails(k)) if n >= LEAST])
-    rows = F.from_json(F.lit(said), "array<struct<k:double,n:double,tails:array<double>>>")
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    rows = [(float(k), float(n), tails) for k in sizes for n, tails in enumerate(repeat_tails(k)) if n >= LEAST]
+    return spark.createDataFrame(rows, "k double, n double, tails array<double>")
 
 
 def inferred(tokens: DataFrame) -> DataFrame:

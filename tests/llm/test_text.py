@@ -12,12 +12,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest import DOCUMENTS, sentence
-
 from pyspark.sql import functions as F
 
 from lanternlog.llm import decontaminate, langid, packing, quality, secrets, tokens, toxicity, warc
 
-
 # --- language ------------------------------------------------------------------------------------------------------
 
 LATE = "ka mu shi to ra ne yo wi zu".split()
