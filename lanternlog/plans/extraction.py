@@ -28,7 +28,7 @@ def leaf(name: str, value):
 
 def joined(order, item):
     """The items of a group as one text, in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("x")))), lambda e: e["x"]), "")
+    return F.array_join(F.sort_array(F.collect_list(F.struct(order, item.alias("x"))))["x"], "")
 
 
 def ten(column: str):

@@ -107,18 +107,28 @@ def holdings_13f(filings: DataFrame) -> DataFrame:
     """
     path_cik = cik("path_cik") if "path_cik" in filings.columns else F.lit(None).cast("string")
     plain = lambda c, kind: F.trim(F.col(c)).try_cast(kind)
-    rows = filings.select("document", path_cik.alias("path_cik"), F.from_xml("cover", COVER_13F, PERMISSIVE).alias("c"), F.posexplode(body(filings, "xml", TABLE_13F)["infoTable"]).alias("pos", "t")).select(
+    # the cover's fields are made before the table's rows: what stands beside an explode is made again for each row
+    covers = filings.withColumns({"_c": F.from_xml("cover", COVER_13F, PERMISSIVE), "_path_cik": path_cik}).withColumns(
+        {
+            "filer_cik": F.coalesce(cik("_c.headerData.filerInfo.filer.credentials.cik"), "_path_cik"),
+            "filer_name": F.coalesce(text_or_null("_c.formData.coverPage.filingManager.name"), F.lit("UNKNOWN")),
+            "period_of_report": day("_c.headerData.filerInfo.periodOfReport", "MM-dd-yyyy"),
+        }
+    )
+    # the test is within the explode: a filter would be pushed below it, with the parsing that it needs
+    table = F.when(F.col("period_of_report").isNotNull(), body(filings, "xml", TABLE_13F)["infoTable"])
+    rows = covers.select("document", "filer_cik", "filer_name", "period_of_report", F.posexplode(table).alias("pos", "t")).select(
         "document",
-        F.coalesce(cik("c.headerData.filerInfo.filer.credentials.cik"), "path_cik").alias("filer_cik"),
-        F.coalesce(text_or_null("c.formData.coverPage.filingManager.name"), F.lit("UNKNOWN")).alias("filer_name"),
-        day("c.headerData.filerInfo.periodOfReport", "MM-dd-yyyy").alias("period_of_report"),
+        "filer_cik",
+        "filer_name",
+        "period_of_report",
         "pos",
         text_or_null("t.cusip").alias("cusip"),
         F.coalesce(text_or_null("t.nameOfIssuer"), F.lit("UNKNOWN")).alias("issuer"),
         plain("t.shrsOrPrnAmt.sshPrnamt", "decimal(20,4)").alias("shares"),
         plain("t.value", "decimal(20,2)").alias("value"),
     )
-    whole = rows.filter(F.col("period_of_report").isNotNull() & F.col("cusip").isNotNull() & F.col("shares").isNotNull() & F.col("value").isNotNull())
+    whole = rows.filter(F.col("cusip").isNotNull() & F.col("shares").isNotNull() & F.col("value").isNotNull())
     return whole.groupBy("document", "filer_cik", "filer_name", "period_of_report", "cusip").agg(
         F.min_by("issuer", "pos").alias("issuer_name"), F.sum("shares").cast("decimal(28,4)").alias("shares"), F.sum("value").cast("decimal(28,2)").alias("market_value_usd")
     )

@@ -36,7 +36,8 @@ def landed_records(spark: SparkSession, path: str, separator: str = "\n") -> Dat
     held = rows.groupBy("document", "block").agg(F.min("row").alias("first"), F.count("*").alias("here"))
     before = F.coalesce(F.sum("here").over(W.partitionBy("document").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = held.select("document", "block", (before - F.col("first")).alias("shift"))
-    return rows.join(shift, ["document", "block"]).select("document", (F.col("row") + F.col("shift")).alias("record_no"), "payload")
+    # a row for each block of a file: small beside the records, which would else be shuffled with their payloads
+    return rows.join(F.broadcast(shift), ["document", "block"]).select("document", (F.col("row") + F.col("shift")).alias("record_no"), "payload")
 
 
 def submission_documents(records: DataFrame) -> DataFrame:
