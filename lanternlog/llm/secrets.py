@@ -170,14 +170,14 @@ def battery(tokens: DataFrame) -> DataFrame:
     # symbols and their counts: a symbol's count is what its removal takes from the length
     squares = F.aggregate(F.array_distinct(F.split("bare", "")), zero, lambda s, c: s + F.pow(n - F.length(F.replace(F.col("bare"), c, F.lit(""))), F.lit(2.0)))
     # chi-squared is k - n + 2 k / n x the pairs of places that agree; their first three moments are exact
-    agreeing = ((squares - n) / 2).cast("int")
+    agreeing = ((squares - n) / 2).cast("long")  # of a long token more than an int holds
     all_pairs, one = n * (n - 1) / 2, 1 / k
     spread_of = all_pairs * one * (1 - one)
     third = spread_of * (1 - 2 * one) + n * (n - 1) * (n - 2) * one * one * (1 - one)
     z_chi = (F.col("agreeing") - 0.5 - all_pairs * one) / F.sqrt(spread_of)
     # one row for each size of alphabet and length: a few hundred, whatever the corpus is
     known = known.withColumn("agreeing", agreeing).join(F.broadcast(exact_tails(tokens.sparkSession)), ["k", "n"], "left")
-    p_chi = F.when(n <= EXACT, F.coalesce(F.get("tails", F.col("agreeing")), F.lit(LEAST_P))).otherwise(gamma_tail(z_chi, third / F.pow(spread_of, F.lit(1.5))))
+    p_chi = F.when(n <= EXACT, F.coalesce(F.get("tails", F.col("agreeing").try_cast("int")), F.lit(LEAST_P))).otherwise(gamma_tail(z_chi, third / F.pow(spread_of, F.lit(1.5))))
     above = F.aggregate("codes", zero, lambda s, c: s + F.when(c >= k / 2, 1.0).otherwise(0.0))
     following = F.slice("codes", 2, F.length("bare"))
     pairs = F.slice(F.zip_with("codes", following, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), 1, F.length("bare") - 1)
