@@ -207,8 +207,9 @@ def fact_payloads(spark, d):
     concept = F.when(F.col("metric") == "revenue", revenue).otherwise(one_of[F.col("metric")])
     unit = F.when(F.col("metric") == "eps_diluted", "USD/shares").otherwise("USD")
     fact = F.struct(s("value").alias("val"), s("period_start").alias("start"), s("period_end").alias("end"), s("filed").alias("filed"), "form", s("accession").alias("accn"))
-    some = rows.select("company_id", concept.alias("c"), unit.alias("unit"), fact.alias("f"))
-    some = some.unionByName(rows.filter("metric = 'revenue'").select("company_id", F.lit("PaymentsOfDividends").alias("c"), F.lit("USD").alias("unit"), fact.alias("f")))
+    reported = F.struct(concept.alias("c"), unit.alias("unit"))
+    dividend = F.when(F.col("metric") == "revenue", F.struct(F.lit("PaymentsOfDividends").alias("c"), F.lit("USD").alias("unit")))
+    some = rows.select("company_id", F.explode(F.array_compact(F.array(reported, dividend))).alias("k"), fact.alias("f")).select("company_id", "k.c", "k.unit", "f")
     units = some.groupBy("company_id", "c", "unit").agg(F.struct(F.create_map("unit", F.collect_list("f")).alias("units")).alias("u"))
     docs = units.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("c", "u"))).alias("us-gaap"))
     return docs.select(s("company_id").alias("document"), F.to_json(F.struct(F.lit("A company").alias("entityName"), F.struct("us-gaap").alias("facts"))).alias("payload"))

@@ -51,3 +51,15 @@ def test_changes_of_some_periods_equal_those_of_all(spark):
     some = derive.position_changes(held, since=since, until=until)
     want = derive.position_changes(held).filter(F.col("period_of_report").between(since, until))
     assert sorted(map(repr, some.collect())) == sorted(map(repr, want.collect())) and want.count() > 20
+
+
+def test_facts_are_read_once_for_their_agreement(spark):
+    q = (date(1999, 1, 1), date(1999, 3, 31))
+    rows = [
+        (1, "revenue", *q, 5, 2, 1), (1, "revenue", *q, 5, 1, 2), (1, "net_income", *q, 5, 1, 1), (1, "net_income", *q, 6, 1, 1), (2, "revenue", *q, None, 1, 1),
+        (2, "eps_diluted", *q, 4, 2, 1), (2, "eps_diluted", *q, None, 3, 1), (None, "revenue", *q, 5, 1, 1), (3, "revenue", q[0], date(1999, 2, 1), 5, 1, 1),
+    ]
+    facts = spark.createDataFrame(rows, "company_id int, metric string, period_start date, period_end date, value int, lag int, accession int").withColumn("filed", F.date_add("period_end", F.col("lag")))
+    made = derive.fundamentals(facts)
+    assert sorted((r.company_id, r.revenue, r.net_income, r.eps_diluted, str(r.publication_time)) for r in made.collect()) == [(1, 5, None, None, "1999-04-01"), (2, None, None, 4, "1999-04-02")]
+    assert "Join" not in plan_of(made)
