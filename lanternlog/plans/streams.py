@@ -8,16 +8,26 @@ from ..operators import derive
 from ..streaming import ingest, keyed, outbox, portfolio
 from .core import AS_OF, CH, CONV, ENTITY_SQL, HITS, ROLES_SQL, D, Facts, entity_columns, evidence_columns, query, rules, sightings, titled
 from .store import stored, workspace
-from .views import view
+from .views import base, view
+
+
+ROWS_A_FILE = 2_000_000
+
+
+def landing_files(spark, d, table: str = "lineitem", least: int = 6) -> int:
+    """How many files a stream's rows are laid down in: it follows the rows of the table that they come from."""
+    return max(least, -(-base(spark, d, table).count() // ROWS_A_FILE))
 
 
 @query("st01_streamed_append", "SELECT accession, txn_index, count(*) AS n FROM (SELECT DISTINCT accession, txn_index FROM tb_form4_raw) GROUP BY 1, 2")
 def st01(spark, d):
     folder, raw = workspace(spark, "stream"), view(spark, d, "tb_form4_raw")
-    # landed in order of accession numbers, as filings come in; how many files there are follows the table
-    raw.repartitionByRange("accession").write.parquet(f"{folder}/landing")
-    stream = ingest.landing(spark, f"{folder}/landing", raw.schema, files_per_batch=2)
-    part = F.floor(F.col("accession") / 10_000)
+    files = landing_files(spark, d)
+    # landed in order of accession numbers, as filings come in; equal ranges, as to sample them would be to make the view twice
+    last = base(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0
+    raw.repartitionById(files, F.floor(F.col("accession") * files / (last + 1)).cast("int")).write.parquet(f"{folder}/landing")
+    stream = ingest.landing(spark, f"{folder}/landing", raw.schema, files_per_batch=max(2, files // 12))
+    part = F.floor(F.col("accession") / max(10_000, last // 256))
     ingest.appended_once(stream, f"{folder}/target", f"{folder}/state", ["accession", "txn_index"], [F.col("l_partkey"), F.col("company_id"), F.col("shares")], part).awaitTermination()
     return ingest.read_target(spark, f"{folder}/target", raw.schema).groupBy("accession", "txn_index").agg(F.count("*").alias("n"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -28,12 +29,14 @@ def once_within(stream: DataFrame, keys: list[str], clock: str, delay: str) -> D
 MOST_PARTS = 1_000  # parts of a target that a batch is held against by name; beyond, against all of them
 
 
-def appended_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[Column], part: Column | None = None, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def appended_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[Column], part: Column | None = None, spread: int = 4, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Append every key once, whenever it comes: each batch is anti-joined with the target, as in a batch run.
 
     ``part`` is a function of the keys that puts keys that come at about the same time into one part, such as a range of
     accession numbers; the target is laid out by it, and a batch reads only the parts that it has keys of. A batch
-    writes into its own folder, so that a batch that is run again after a failure replaces what it wrote.
+    writes into its own folder, so that a batch that is run again after a failure replaces what it wrote. With ``part``,
+    a batch and the keys that are known are dealt by part and ``spread`` hashes of the key, once: the first row of each
+    key is found there, known keys first, and written from there, so a part gets ``spread`` files a batch at most.
     """
     spark, schema = stream.sparkSession, stream.schema
     own = (part if part is not None else F.lit(0)).cast("long").alias("part")
@@ -46,13 +49,28 @@ def appended_once(stream: DataFrame, target: str, checkpoint: str, keys: list[st
         known = target_rows(batch.sparkSession, target, schema, before=batch_id)
         if len(some) <= MOST_PARTS:
             known = known.filter(F.col("part").isin(some))
-        eventlog.new_rows(batch, known, keys, order).write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={batch_id}")
+        fresh = eventlog.new_rows(batch, known, keys, order) if part is None else new_by_part(batch, known, keys, order, spread)
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={batch_id}")
         if on_new is not None:
             on_new(target_rows(batch.sparkSession, target, schema).filter(F.col("batch") == batch_id).drop("batch", "part"), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def new_by_part(batch: DataFrame, known: DataFrame, keys: list[str], order: list[Column], spread: int) -> DataFrame:
+    """eventlog.new_rows where part is a function of the keys: one shuffle, by part and ``spread`` hashes of the key.
+
+    A key with a null is new each time, as in an anti-join.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    both = batch.withColumn("_new", F.lit(True)).unionByName(known.filter(whole).select(*keys, "part", F.lit(False).alias("_new")), allowMissingColumns=True)
+    dealt = both.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(spread))).repartition("part", "_slot")
+    first = W.partitionBy("part", "_slot", *keys).orderBy("_new", *order)
+    return dealt.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1 AND _new").drop("_rank", "_new", "_slot")
+
+
 def target_rows(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
     """What has been appended, with its batch and part, of batches before a given one if it is given."""
     rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType()), StructField("part", LongType())])).parquet(target)

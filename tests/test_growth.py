@@ -25,3 +25,15 @@ def test_names_are_joined_to_seats_and_not_to_pairs(spark):
     last = next(line for line in plan(out).splitlines() if "Join" in line)
     assert "lo#" in last and "hi#" in last
     assert sorted((r.company_a, r.company_b, r.person_name, r.company_a_name) for r in out.collect()) == [(1, 2, "Ann", "One"), (1, 3, "Ann", "One"), (2, 3, "Ann", "UNKNOWN")]
+
+
+def test_a_part_of_a_batch_is_few_files(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    rows.repartition(8).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        stream = ingest.landing(spark, f"{tmp_path}/in", rows.schema, files_per_batch=4)
+        ingest.appended_once(stream, f"{tmp_path}/out", f"{tmp_path}/state", ["k"], [F.col("v")], F.floor(F.col("k") / 1000), spread=1).awaitTermination()
+    got = ingest.read_target(spark, f"{tmp_path}/out", rows.schema)
+    assert got.filter("k IS NOT NULL").count() == got.select("k").dropna().distinct().count() == 2000 and got.filter("k IS NULL").count() == 1
+    for part in glob.glob(f"{tmp_path}/out/batch=[0-9]*/part=*"):
+        assert len(glob.glob(f"{part}/*.parquet")) == 1
