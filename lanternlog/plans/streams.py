@@ -86,12 +86,13 @@ def a06_streamed(spark, d):
 @query("d02_streamed_amendments", f"WITH {CH} SELECT institution_id, period_of_report, company_id, shares, market_value_usd, shares_change, position_status FROM ch")
 def d02_streamed(spark, d):
     """Position changes by a stream of filings in no order of time; every third portfolio was first filed with doubled shares and positions left out."""
-    folder, whole = workspace(spark, "stream"), derive.quarter_holdings(view(spark, d, "tb_13f_raw"))
+    folder, whole = workspace(spark, "stream"), stored(derive.quarter_holdings(view(spark, d, "tb_13f_raw")))
     wrong = (F.col("institution_id") + F.quarter("period_of_report")) % 3 == 0
     named = lambda rows, form, lag: rows.withColumns({"accession": F.concat_ws("-", "institution_id", "period_of_report", F.lit(form)), "filed": F.date_add("period_of_report", lag)})
     first = named(whole.filter(~wrong | (F.col("company_id") % 5 != 0)).withColumn("shares", F.when(wrong, F.col("shares") * 2).otherwise(F.col("shares")).cast("decimal(28,4)")), "HR", 45)
     filings = first.unionByName(named(whole.filter(wrong), "HR-A", 75))
-    filings.repartition(6, F.xxhash64("accession")).write.parquet(f"{folder}/landing")
+    files = landing_files(spark, d)
+    filings.repartition(files, F.xxhash64("accession")).write.parquet(f"{folder}/landing")
     kept = portfolio.Portfolios(spark, f"{folder}/portfolios", parts=4)
-    portfolio.follow(ingest.landing(spark, f"{folder}/landing", filings.schema, files_per_batch=2), kept, f"{folder}/state").awaitTermination()
+    portfolio.follow(ingest.landing(spark, f"{folder}/landing", filings.schema, files_per_batch=-(-files // 3)), kept, f"{folder}/state").awaitTermination()
     return kept.read().select("institution_id", "period_of_report", "company_id", *(F.col(c).cast("double").alias(c) for c in ("shares", "market_value_usd", "shares_change")), "position_status")

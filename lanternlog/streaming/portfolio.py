@@ -42,8 +42,8 @@ def days(period: str) -> Column:
 class Portfolios:
     """Four tables and a ledger under ``folder``, laid out by ``parts`` hashes of the institution."""
 
-    def __init__(self, spark: SparkSession, folder: str, parts: int = 64):
-        self.spark, self.folder, self.parts, self.ledger = spark, folder, parts, Ledger(spark, f"{folder}/ledger")
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 64, spread: int = 8):
+        self.spark, self.folder, self.parts, self.spread, self.ledger = spark, folder, parts, spread, Ledger(spark, f"{folder}/ledger")
         if self.ledger.latest()[0] < 0:
             for table, (schema, place) in TABLES.items():
                 first = "/".join(f"{c.split()[0]}=0" for c in place.split(", "))
@@ -61,23 +61,29 @@ class Portfolios:
         rows = self.spark.read.schema(f"{schema}, batch long, {place}").parquet(f"{self.folder}/{table}")
         return rows.filter(F.col("batch").between(first, self.last if last is None else last))
 
-    def _write(self, rows: DataFrame, table: str, batch_id: int) -> None:
+    def _write(self, rows: DataFrame, table: str, batch_id: int, dealt: bool = False) -> None:
         place = [c.split()[0] for c in TABLES[table][1].split(", ")]
-        rows.repartition(*place).write.mode("overwrite").partitionBy(*place).parquet(f"{self.folder}/{table}/batch={batch_id}")
+        (rows if dealt else rows.repartition(*place)).write.mode("overwrite").partitionBy(*place).parquet(f"{self.folder}/{table}/batch={batch_id}")
 
     def _part(self) -> Column:
         return F.pmod(F.xxhash64(F.col("institution_id").cast("long")), F.lit(self.parts)).cast("int").alias("part")
 
+    def _slot(self) -> Column:
+        """Parts are few, so that files are; ``spread`` hashes of the company make more tasks of a part."""
+        return F.pmod(F.xxhash64(F.col("company_id").cast("long")), F.lit(self.spread)).alias("slot")
+
     def add(self, filings: DataFrame, batch_id: int) -> bool:
         """Take a batch of filings in (institution_id, period_of_report, accession, filed, company_id, shares, market_value_usd); False if it was noted before."""
         if batch_id <= self.last:
             return False
         by = [*KEY, "accession"]
         keyed = filings.dropna(subset=by).withColumns({"institution_id": F.col("institution_id").cast("long"), "company_id": F.col("company_id").cast("long")})
-        own = keyed.groupBy(*by, "company_id").agg(
+        # dealt once, so that a company's rows are summed where they are written
+        dealt = keyed.select("*", self._part(), days("period_of_report").alias("day")).repartition("part", "day")
+        own = dealt.groupBy("part", "day", *by, "company_id").agg(
             F.min("filed").alias("filed"), F.sum("shares").cast("decimal(28,4)").alias("shares"), F.sum("market_value_usd").cast("decimal(28,2)").alias("market_value_usd")
         )
-        self._write(own.select(*(c.split()[0] for c in HOLDING.split(", ")), self._part(), days("period_of_report").alias("day")), "holdings", batch_id)
+        self._write(own.select(*(c.split()[0] for c in HOLDING.split(", ")), "part", "day"), "holdings", batch_id, dealt=True)
         mine = self.rows("holdings", batch_id, batch_id)
         parts = [r.part for r in mine.select("part").distinct().collect()]  # ``parts`` at most
         here = F.col("part").isin(parts)
@@ -85,7 +91,7 @@ class Portfolios:
         heard = mine.groupBy(*by, "part").agg(F.min("filed").alias("filed"), (F.count("company_id") > 0).alias("alive")).join(known, by, "left_anti")
         self._write(heard.select(*by, "filed", "alive", "part"), "filings", batch_id)
         self._write(self._changed(self.rows("filings", last=batch_id).filter(here), batch_id), "versions", batch_id)
-        self._write(self._made(batch_id, here), "changes", batch_id)
+        self._write(self._made(batch_id, here), "changes", batch_id, dealt=True)
         self.ledger.commit({"last": batch_id})
         return True
 
@@ -122,26 +128,28 @@ class Portfolios:
         stored = self.rows("holdings", last=batch_id).filter(here & F.col("day").isin(periods) & F.col("company_id").isNotNull())
         # an accession that came again in a later batch is in the holdings twice; its filing is the first
         first = self.rows("filings", last=batch_id).filter(here).select("institution_id", F.col("period_of_report").alias("at"), "accession", "batch")
-        sources = sources.join(first, ["institution_id", "at", "accession"])
-        return sources.join(stored.select("institution_id", F.col("period_of_report").alias("at"), "accession", "batch", "company_id", "shares", "market_value_usd"), ["institution_id", "at", "accession", "batch"])
+        # a row a filing: small beside the holdings, which would else be shuffled and sorted for it
+        sources = F.broadcast(sources.join(first, ["institution_id", "at", "accession"]))
+        return stored.select("institution_id", F.col("period_of_report").alias("at"), "accession", "batch", "company_id", "shares", "market_value_usd").join(sources, ["institution_id", "at", "accession", "batch"])
 
     def _made(self, batch_id: int, here: Column) -> DataFrame:
         now, then = F.col("now"), ~F.col("now")
-        at = self.held(batch_id, here).groupBy(*KEY, "company_id").agg(
+        dealt = self.held(batch_id, here).select("*", self._part(), self._slot()).repartition("part", "slot")
+        at = dealt.groupBy("part", "slot", *KEY, "company_id").agg(
             F.max("now").alias("held"), F.max(F.when(now, F.col("shares"))).alias("shares"), F.max(F.when(now, F.col("market_value_usd"))).alias("market_value_usd"), F.max(F.when(then, F.col("shares"))).alias("prior")
         )
         held, zero = F.col("held"), F.lit(0)
         change = F.when(held, F.col("shares") - F.col("prior")).otherwise(-F.col("prior")).cast("decimal(28,4)")
         return at.select(
             *KEY, "company_id", F.when(held, F.col("shares")).otherwise(zero).cast("decimal(28,4)").alias("shares"), F.when(held, F.col("market_value_usd")).otherwise(zero).cast("decimal(28,2)").alias("market_value_usd"),
-            change.alias("shares_change"), F.when(held, derive.status_of(F.col("prior"), change)).otherwise("EXITED").alias("position_status"), F.date_add("period_of_report", 45).alias("publication_time"), self._part(),
+            change.alias("shares_change"), F.when(held, derive.status_of(F.col("prior"), change)).otherwise("EXITED").alias("position_status"), F.date_add("period_of_report", 45).alias("publication_time"), "part",
         )
 
     def read(self, upto: int | None = None) -> DataFrame:
         """The changes as of the last noted batch, or as they were after an earlier one: each period's newest version."""
         last = self.last if upto is None else min(upto, self.last)
         newest = self.rows("versions", last=last).groupBy(*KEY).agg(F.max("batch").alias("batch"))
-        return self.rows("changes", last=last).join(newest, [*KEY, "batch"], "left_semi").drop("batch", "part")
+        return self.rows("changes", last=last).join(F.broadcast(newest), [*KEY, "batch"], "left_semi").drop("batch", "part")
 
 
 def follow(filings: DataFrame, out: Portfolios, checkpoint: str) -> StreamingQuery:

@@ -27,6 +27,18 @@ def test_names_are_joined_to_seats_and_not_to_pairs(spark):
     assert sorted((r.company_a, r.company_b, r.person_name, r.company_a_name) for r in out.collect()) == [(1, 2, "Ann", "One"), (1, 3, "Ann", "One"), (2, 3, "Ann", "UNKNOWN")]
 
 
+def test_changes_of_one_part_are_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a hundred rows would be one task again
+    kept = portfolio.Portfolios(spark, f"file://{tmp_path}/p", parts=1, spread=8)
+    rows = [(1, date(2026, 3, 31), "a", date(2026, 5, 1), c, Decimal(1), Decimal(1)) for c in range(100)]
+    try:
+        assert kept.add(spark.createDataFrame(rows, portfolio.HOLDING), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert 1 < len(glob.glob(f"{tmp_path}/p/changes/batch=0/part=0/*.parquet")) <= 8
+    assert len(glob.glob(f"{tmp_path}/p/holdings/batch=0/part=0/*/*.parquet")) == 1 and kept.read().count() == 100
+
+
 def test_a_part_of_a_batch_is_few_files(spark, tmp_path):
     rows = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
     rows.repartition(8).write.parquet(f"{tmp_path}/in")
