@@ -69,30 +69,44 @@ FORM4 = (
 def form4_transactions(payloads: DataFrame) -> DataFrame:
     """Every reporting owner with every non-derivative transaction that has a date and shares, numbered in that order.
 
-    The plan flag belongs to the filing; skipped_derivatives counts the rows of the other table.
+    The plan flag belongs to the filing; skipped_derivatives counts the rows of the other table. A filing is one payload:
+    its transactions are made once, as an array, so that each owner's rows are numbered by what the owners before have,
+    and nothing is parsed for each owner, shuffled or sorted for the numbers.
     """
     doc = payloads.select("document", body(payloads, "xml", FORM4).alias("f"))
-    owners = doc.select("document", "f", F.posexplode("f.reportingOwner").alias("owner_pos", "o"))
-    rows = owners.select("document", "f", "owner_pos", "o", F.posexplode("f.nonDerivativeTable.nonDerivativeTransaction").alias("txn_pos", "t"))
-    rows = rows.select(
+    made = lambda t: F.struct(
+        day(t["transactionDate"]["value"]).alias("event_time"),
+        F.coalesce(text_or_null(t["transactionCoding"]["transactionCode"]), F.lit("OTHER")).alias("transaction_code"),
+        number(t["transactionAmounts"]["transactionShares"]["value"]).alias("shares"),
+        number(t["transactionAmounts"]["transactionPricePerShare"]["value"]).alias("price"),
+        F.coalesce(text_or_null(t["transactionAmounts"]["transactionAcquiredDisposedCode"]["value"]), F.lit("A")).alias("acquired_disposed"),
+    )
+    transactions = F.filter(F.transform("f.nonDerivativeTable.nonDerivativeTransaction", made), lambda t: t["event_time"].isNotNull() & t["shares"].isNotNull())
+    flag = lambda c: F.coalesce(F.trim(c) == "true", F.lit(False))
+    one = doc.select(
         "document",
-        "owner_pos",
-        "txn_pos",
+        "f",
+        transactions.alias("transactions"),
         cik("f.issuer.issuerCik").alias("issuer_cik"),
         text_or_null("f.issuer.issuerName").alias("issuer_name"),
         text_or_null("f.issuer.issuerTradingSymbol").alias("ticker"),
-        cik("o.reportingOwnerId.rptOwnerCik").alias("owner_cik"),
-        *(F.coalesce(F.trim(f"o.reportingOwnerRelationship.{c}") == "true", F.lit(False)).alias(n) for c, n in (("isDirector", "is_director"), ("isOfficer", "is_officer"), ("isTenPercentOwner", "is_ten_percent"))),
-        F.coalesce(F.trim("f.aff10b5One") == "true", F.lit(False)).alias("is_10b5_1"),
-        day("t.transactionDate.value").alias("event_time"),
-        F.coalesce(text_or_null("t.transactionCoding.transactionCode"), F.lit("OTHER")).alias("transaction_code"),
-        number("t.transactionAmounts.transactionShares.value").alias("shares"),
-        number("t.transactionAmounts.transactionPricePerShare.value").alias("price"),
-        F.coalesce(text_or_null("t.transactionAmounts.transactionAcquiredDisposedCode.value"), F.lit("A")).alias("acquired_disposed"),
+        flag("f.aff10b5One").alias("is_10b5_1"),
         F.coalesce(F.size("f.derivativeTable.derivativeTransaction"), F.lit(0)).alias("skipped_derivatives"),
-    ).filter(F.col("event_time").isNotNull() & F.col("shares").isNotNull())
-    number_in_filing = F.row_number().over(W.partitionBy("document").orderBy("owner_pos", "txn_pos")) - 1
-    return rows.withColumn("transaction_index", number_in_filing).drop("owner_pos", "txn_pos")
+    )
+    of_filing = ["document", "issuer_cik", "issuer_name", "ticker", "is_10b5_1", "skipped_derivatives"]
+    # conditions that always hold: of a column that is exploded as it is, Spark tests the size below the parsing, and parses
+    # again for that; null would be counted as -1
+    owners = one.select(*of_filing, "transactions", F.posexplode(F.when(F.col("skipped_derivatives") >= -1, F.col("f.reportingOwner"))).alias("owner_pos", "o")).select(
+        *of_filing,
+        "transactions",
+        "owner_pos",
+        cik("o.reportingOwnerId.rptOwnerCik").alias("owner_cik"),
+        *(flag(f"o.reportingOwnerRelationship.{c}").alias(n) for c, n in (("isDirector", "is_director"), ("isOfficer", "is_officer"), ("isTenPercentOwner", "is_ten_percent"))),
+        (F.col("owner_pos") * F.size("transactions")).alias("before"),
+    )
+    own = ["owner_cik", "is_director", "is_officer", "is_ten_percent"]
+    rows = owners.select(*of_filing, *own, "before", F.posexplode(F.when(F.col("owner_pos") >= 0, F.col("transactions"))).alias("k", "t"))
+    return rows.select(*of_filing, *own, "t.*", (F.col("before") + F.col("k")).alias("transaction_index"))
 
 
 COVER_13F = "headerData struct<filerInfo:struct<filer:struct<credentials:struct<cik:string>>,periodOfReport:string>>, formData struct<coverPage:struct<filingManager:struct<name:string>>>"

@@ -49,3 +49,19 @@ def test_a_part_of_a_batch_is_few_files(spark, tmp_path):
     assert got.filter("k IS NOT NULL").count() == got.select("k").dropna().distinct().count() == 2000 and got.filter("k IS NULL").count() == 1
     for part in glob.glob(f"{tmp_path}/out/batch=[0-9]*/part=*"):
         assert len(glob.glob(f"{part}/*.parquet")) == 1
+
+
+FORM4 = (
+    "<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerCik>1</rptOwnerCik></reportingOwnerId></reportingOwner><reportingOwner><reportingOwnerId><rptOwnerCik>2</rptOwnerCik></reportingOwnerId></reportingOwner>"
+    "<nonDerivativeTable>{}</nonDerivativeTable></ownershipDocument>"
+)
+TRADE = "<nonDerivativeTransaction><transactionDate><value>{}</value></transactionDate><transactionAmounts><transactionShares><value>5</value></transactionShares></transactionAmounts></nonDerivativeTransaction>"
+
+
+def test_rows_of_a_filing_are_numbered_within_it(spark):
+    body = FORM4.format(TRADE.format("2026-01-01") + TRADE.format("none") + TRADE.format("2026-01-02"))
+    out = filings.form4_transactions(spark.createDataFrame([("a", body), ("a", body), ("b", FORM4.format(""))], "document string, payload string"))
+    got = sorted((r.document, int(r.owner_cik), r.transaction_index, r.event_time.day) for r in out.collect())
+    assert got == sorted(2 * [("a", 1, 0, 1), ("a", 1, 1, 2), ("a", 2, 2, 1), ("a", 2, 3, 2)])
+    text = plan(out)
+    assert text.count("from_xml") == 1 and "Window" not in text
