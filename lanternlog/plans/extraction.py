@@ -428,12 +428,12 @@ def batches(spark, d):
     return out
 
 
-def intakes(spark, d):
+def intakes(spark, d, keep=stored):
     """The five sources' batches taken in, each against a target that has what the documents numbered 1 have."""
     for name, batch in batches(spark, d).items():
         source = SOURCES[name]
         before = source.extract(batch.filter("number % 10 = 1")).select(*source.keys)
-        yield landing.intake(batch, source, before, stored)
+        yield landing.intake(batch, source, before, keep)
 
 
 def index_intake(spark, d) -> landing.Intake:
@@ -481,7 +481,7 @@ REJECTS = [f"SELECT '{name}' AS source, document, {REASON.format(SOURCES[name].f
 @query("e16_rejected_payloads", " UNION ALL ".join([*REJECTS, "SELECT DISTINCT 'index', 'signup', 'broken csv' FROM tb_volatility WHERE index_code = 'SIGNUP'"]))
 def e16_rejects(spark, d):
     """The quarantine of all sources: broken XML, JSON and CSV, blank and incomplete payloads."""
-    found = [x.quarantine for x in [*intakes(spark, d), index_intake(spark, d)]]
+    found = [x.quarantine for x in [*intakes(spark, d, keep=lambda parsed: parsed), index_intake(spark, d)]]  # read once
     out = found[0]
     for one in found[1:]:
         out = out.unionByName(one)

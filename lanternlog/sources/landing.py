@@ -106,6 +106,7 @@ def counted(name: str, documents: DataFrame, rows: DataFrame, fresh: DataFrame)
 def intake(batch: DataFrame, source: Source, known: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> Intake:
     """Take in a batch of (document, payload): parsed once and held by ``keep`` (written and read again), then told apart.
 
+    Who takes one of the three results only needs nothing held, and may give a ``keep`` that returns what it gets.
     ``known`` has the keys of the target. A batch of other shape than the source's schema goes to quarantine payload by
     payload; a null or blank payload does too.
     """
@@ -118,5 +119,6 @@ def intake(batch: DataFrame, source: Source, known: DataFrame, keep: Callable[[D
     rows = source.extract(one.filter("reason IS NULL").drop("reason"))
     order = [F.col(c).asc_nulls_first() for c in source.order or source.keys]
     fresh = eventlog.new_rows(rows, known, source.keys, order)
-    rejected = one.filter("reason IS NOT NULL").select(F.lit(source.name).alias("source"), "document", "reason", "payload")
+    # the test is within an explode: where nothing is kept, a filter would be pushed below the parsing and parse again
+    rejected = one.select(F.lit(source.name).alias("source"), "document", F.explode(F.array_compact(F.array("reason"))).alias("reason"), "payload")
     return Intake(fresh, rejected, counted(source.name, one.select("document", "reason"), rows.select("document"), fresh))

@@ -65,3 +65,11 @@ def test_rows_of_a_filing_are_numbered_within_it(spark):
     assert got == sorted(2 * [("a", 1, 0, 1), ("a", 1, 1, 2), ("a", 2, 2, 1), ("a", 2, 3, 2)])
     text = plan(out)
     assert text.count("from_xml") == 1 and "Window" not in text
+
+
+def test_a_quarantine_alone_parses_once(spark):
+    source = landing.Source("tone", "json", filings.TONE, lambda p: filings.tone_bins(p).withColumnRenamed("company_id", "document"), ["document", "bin"])
+    docs = spark.createDataFrame([("1", '{"tonechart":[]}'), ("2", "{"), ("3", " ")], "document string, payload string")
+    took = landing.intake(docs.repartition(2), source, spark.createDataFrame([], "document string, bin int"), lambda parsed: parsed)
+    assert sorted((r.document, r.reason) for r in took.quarantine.collect()) == [("2", "broken json"), ("3", "no payload")]
+    assert plan(took.quarantine).count("from_json") == 1
