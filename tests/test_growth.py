@@ -73,3 +73,14 @@ def test_a_quarantine_alone_parses_once(spark):
     took = landing.intake(docs.repartition(2), source, spark.createDataFrame([], "document string, bin int"), lambda parsed: parsed)
     assert sorted((r.document, r.reason) for r in took.quarantine.collect()) == [("2", "broken json"), ("3", "no payload")]
     assert plan(took.quarantine).count("from_json") == 1
+
+
+def test_shuffles_start_wider_for_longer_tables(spark, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(views, "ROWS_A_TASK", 100)
+    rows = views.base(spark, SF, "lineitem").count()
+    views.view(spark, SF, "tb_form4_raw")
+    assert int(spark.conf.get(key)) == -(-rows // 100) > 8
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1_000_000)
+    views.view(spark, SF, "tb_form4_raw")
+    assert int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
