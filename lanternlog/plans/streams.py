@@ -44,11 +44,12 @@ def st02(spark, d):
     return out.select(F.col("window_start").cast("date").alias("day"), "event_type", F.round("total", 4).alias("total"), "n")
 
 
-def kept_by_stream(spark, rows, merge, partials):
+def kept_by_stream(spark, d, rows, merge, partials):
     """The state that a stream of rows, landed in files in no order of time, leaves after several batches."""
     folder = workspace(spark, "stream")
-    rows.repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/landing")
-    stream = ingest.landing(spark, f"{folder}/landing", rows.schema, files_per_batch=2)
+    files = landing_files(spark, d)
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(f"{folder}/landing")
+    stream = ingest.landing(spark, f"{folder}/landing", rows.schema, files_per_batch=-(-files // 3))
     state = keyed.KeyedState(spark, f"{folder}/state", merge(partials(rows)).schema, merge, parts=16)
     keyed.follow(stream, state, partials, f"{folder}/progress", compact_every=2).awaitTermination()
     return state.read()
@@ -57,13 +58,13 @@ def kept_by_stream(spark, rows, merge, partials):
 @query("e02_streamed_entities", ENTITY_SQL)
 def e02_streamed(spark, d):
     rows = view(spark, d, "tb_form4").select("event_id", "accession", "company_id", "person_id", "transaction_code", "publication_time")
-    return entity_columns(kept_by_stream(spark, rows, keyed.ENTITIES, lambda batch: keyed.entity_partials(sightings(batch))))
+    return entity_columns(kept_by_stream(spark, d, rows, keyed.ENTITIES, lambda batch: keyed.entity_partials(sightings(batch))))
 
 
 @query("e14_streamed_roles", ROLES_SQL)
 def e14_streamed(spark, d):
     rows = titled(spark, d).select("event_id", "person_id", "company_id", "publication_time", *keyed.FLAGS, "title")
-    return keyed.roles(kept_by_stream(spark, rows, keyed.ROLES, keyed.role_partials))
+    return keyed.roles(kept_by_stream(spark, d, rows, keyed.ROLES, keyed.role_partials))
 
 
 @query(

@@ -84,3 +84,10 @@ def test_shuffles_start_wider_for_longer_tables(spark, monkeypatch):
     monkeypatch.setattr(views, "ROWS_A_TASK", 1_000_000)
     views.view(spark, SF, "tb_form4_raw")
     assert int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_landed_files_follow_the_table(spark, monkeypatch):
+    rows = views.base(spark, SF, "lineitem").count()
+    assert streams.landing_files(spark, SF) == 6
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 100)
+    assert streams.landing_files(spark, SF) == -(-rows // 100)
