@@ -95,16 +95,20 @@ def valid_on(rows: DataFrame, identifiers: DataFrame, on: str) -> DataFrame:
     """rows joined to the identifier that was valid on the row's date; both ends count, open ends are null.
 
     An interval is cut into aligned blocks of 1, 8, 64, ... days, and a date lies in one block of each size, so the join
-    is one of equal (ticker, level, block), which a pair meets in once at most: a row costs eight keys and its matches,
-    however many intervals its ticker has, and the rows of a hot ticker spread over its days. A row without a date or
-    ticker, and an interval that ends before it starts, match nothing.
+    is one of equal (ticker, level, block), which a pair meets in once at most, however many intervals its ticker has. Only
+    the distinct (ticker, date) of the rows are taken through it, at eight keys each: a hot ticker's large blocks are then
+    keys of as many rows as it has days, not transactions. The rows are joined with what was found for their ticker and
+    date, so they are sent once and spread over their days. A row without a date or ticker, and an interval that ends
+    before it starts, match nothing.
     """
     day = day_number(F.col(on))
     keys = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(day / BLOCK**k).cast("bigint").alias("block")) for k in range(LEVELS)))
     low = F.coalesce(day_number(F.col("valid_from")), F.lit(0))
     high = F.coalesce(day_number(F.col("valid_to")), day_number(F.lit("9999-12-31").cast("date")))
     cut = identifiers.withColumn("_at", F.explode(covering_blocks(low, high)))
-    return rows.filter(F.col(on).isNotNull()).withColumn("_at", F.explode(keys)).join(cut, ["ticker", "_at"]).drop("_at")
+    dates = rows.select("ticker", on).dropna().distinct().withColumn("_at", F.explode(keys))
+    found = dates.join(cut, ["ticker", "_at"]).drop("_at")
+    return rows.join(found, ["ticker", on])
 
 
 def worklist(explicit: DataFrame, companies: DataFrame) -> DataFrame:

@@ -91,3 +91,10 @@ def test_landed_files_follow_the_table(spark, monkeypatch):
     assert streams.landing_files(spark, SF) == 6
     monkeypatch.setattr(streams, "ROWS_A_FILE", 100)
     assert streams.landing_files(spark, SF) == -(-rows // 100)
+
+
+def test_only_distinct_dates_are_cut_into_blocks(spark):
+    rows = spark.range(1000).select("id", F.lit("T").alias("ticker"), F.lit("2026-01-01").cast("date").alias("at"))
+    intervals = spark.createDataFrame([("T", 7, None, None)], "ticker string, company_id long, valid_from date, valid_to date")
+    out = resolve.valid_on(rows, intervals, "at")
+    assert "Aggregate" in plan(out) and out.filter("company_id = 7").count() == out.count() == 1000
