@@ -41,6 +41,7 @@ from .common import blocks, cut_lineage, mix64, shared_dir, ship_package, table
 from .minhash import grouped_rows, group_bounds
 
 LENGTH, PART = 50, 20
+SIDE = (LENGTH - PART) // 2  # what a string has on one side of a part in it, at least
 FACTOR = np.uint64(0xD1342543DE82EF95)
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NO_ID = -(2**63)
@@ -60,14 +61,18 @@ def joined(first: np.ndarray, second: np.ndarray | None, size: int, factor: np.u
     return out
 
 
-def string_keys(data: np.ndarray) -> np.ndarray:
-    """For the LENGTH bytes from each place on: the least hash of their PART-byte parts. By doubling, in whole arrays."""
+def part_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the PART bytes from each place on. By doubling, in whole arrays."""
     h = BYTE_CODES[data]
     h = joined(h, h, 1)  # of 2 bytes
     four = joined(h, h, 2)
     h = joined(joined(four, four, 4), None, 8)  # of 16
-    least = mix64(joined(h, four, 16, power(4)))
-    del h, four
+    return mix64(joined(h, four, 16, power(4)))
+
+
+def string_keys(data: np.ndarray) -> np.ndarray:
+    """For the LENGTH bytes from each place on: the least hash of their PART-byte parts, by doubling."""
+    least = part_hashes(data)
     span = 1
     while 2 * span <= LENGTH - PART + 1:
         least = np.minimum(least[:-span], least[span:])
@@ -109,6 +114,48 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def contexts(texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How often each run has the part that is its key, and for its first: the text number and a hash of the parts SIDE before and after it.
+
+    The strings of a run that begin SIDE bytes or more before that part have the one before it, the others that after it.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    parts = part_hashes(np.frombuffer(b"".join(texts), np.uint8))
+    number = np.repeat(np.arange(len(texts)), sizes)[: len(parts)]
+    hit = np.flatnonzero(parts == keys[number])
+    hit = hit[hit <= ends[number[hit]] - PART]
+    of = number[hit]
+    at = hit[np.searchsorted(of, np.arange(len(texts)))]
+    before = np.flatnonzero(at - SIDE >= ends - sizes)
+    after = np.flatnonzero(at + SIDE + PART <= ends)
+    sides = np.concatenate([parts[at[before] - SIDE], ~parts[at[after] + SIDE]])
+    both = np.concatenate([before, after])
+    return np.bincount(of, minlength=len(texts)), both, mix64(keys[both] + sides * FACTOR)
+
+
+def may_share(texts: list[bytes], keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which runs two documents have (``least`` and ``most`` of their ids), or may have a string in common with another document's.
+
+    Two runs can only have a string in common where one of the parts beside their key is the same. Runs that have their
+    key's part more than once, and those of the same key, all stay.
+    """
+    often, of, sides, size = np.zeros(len(texts), bool), [], [], max(BLOCK // (LENGTH + MOST_STARTS), 1)
+    for lo in range(0, len(texts), size):
+        times, number, side = contexts(texts[lo : lo + size], keys[lo : lo + size])
+        often[lo : lo + size] = times > 1
+        of.append(number + lo)
+        sides.append(side)
+    out = (least < most) | np.isin(keys, keys[often])
+    of, sides = np.concatenate(of), np.concatenate(sides)
+    order = np.argsort(sides)
+    of, sides = of[order], sides[order]
+    group = np.flatnonzero(np.append(True, sides[1:] != sides[:-1]))
+    several = np.minimum.reduceat(least[of], group) < np.maximum.reduceat(least[of], group)
+    out[of[np.repeat(several, np.diff(np.append(group, len(of))))]] = True
+    return out
+
+
 class ColumnFiles:
     """Two files of a byte a row, symbols and common prefixes, and the two that the next round makes of them."""
 
@@ -135,7 +182,13 @@ class ColumnFiles:
                 s.close()
 
     def write(self, chunks) -> None:
-        """The next list, which is the current one from then on."""
+        """The next list, which is the current one from then on.
+
+        Files that are there are deleted first: some file systems send one that is cut short and rewritten to the disk at once.
+        """
+        if self.round > 1:
+            for k in self.KINDS:
+                self.store.delete_file(self.name(k, self.round + 1))
         streams = [self.store.open_output_stream(self.name(k, self.round + 1), compression=None) for k in self.KINDS]
         for rows in chunks:
             for s, column in zip(streams, rows, strict=True):
@@ -175,7 +228,7 @@ class CollectionIndex:
             new, changed, shared = self._places(place)
             going = sizes[active] > step
             before = np.where(going, codes[np.maximum(last[active] - step, 0)], 0).astype(np.uint8)
-            order = np.argsort(new)
+            order = np.argsort(codes[last[active] - step + 1], kind="stable")  # new ones are by symbol, then as before
             active, new, before, going = active[order], new[order], before[order], going[order]
             files.write(self._merged(new, before, changed, shared))
             self.counts += np.bincount(before, minlength=256)
@@ -190,35 +243,35 @@ class CollectionIndex:
         seen = np.zeros(256, np.int64)  # of each symbol in the chunks before
         least = np.zeros(256, np.uint8)  # of the common prefixes since its last one
         pending = np.zeros(256, bool)  # whether its last one makes a new position, so that its next one is changed
-        new, changed, shared, at = np.empty(len(place), np.int64), [], [], 0
+        new, changed, shared, kind_of, at = np.empty(len(place), np.int64), [], [], [], 0
         for symbol, common in self.files.read():
             size = len(symbol)
             lo, hi = np.searchsorted(place, (at, at + size))
             own = place[lo:hi] - at
             order = np.argsort(symbol, kind="stable")
-            number = np.bincount(symbol, minlength=256)
-            begin = np.cumsum(number) - number
+            ranked = symbol[order]
+            begin = np.searchsorted(ranked, np.arange(256, dtype=np.uint8))
+            number = np.diff(np.append(begin, size))
             kinds = np.flatnonzero(number)
             shift = smaller + seen - begin  # from a rank in the chunk to a position
             is_own = np.zeros(size, bool)
             is_own[own] = True
-            made = np.flatnonzero(is_own[order])  # the ranks of the chunk's own places
-            text = order[made]
-            new[lo + np.searchsorted(own, text)] = made + shift[symbol[text]]
-            flag = np.zeros(size + 1, bool)
-            flag[made + 1] = True
-            # the first of a symbol only follows one of its own symbol, in the chunks before
-            flag[begin[kinds]] = pending[kinds]
-            flag[made] = True
-            flag[begin[0] : begin[0] + number[0]] = False  # no symbol, no longer suffix
-            some = np.flatnonzero(flag[:size])
+            made = np.flatnonzero(is_own[order])  # the ranks of the chunk's own places, none of which has no symbol
+            new[lo + np.argsort(symbol[own], kind="stable")] = made + shift[ranked[made]]
+            # changed: the first of a symbol whose last one, in the chunks before, is a new position; then own places and what follows one
+            first = begin[kinds[pending[kinds]]]
+            both = np.stack([made, made + 1], axis=1)
+            counts = np.ones(both.shape, bool)
+            follows = np.minimum(made + 1, size - 1)
+            counts[:, 1] = (follows > made) & (ranked[follows] == ranked[made]) & ~is_own[order[follows]]
+            some = np.concatenate([first[~is_own[order[first]]], both[counts]])
             here = order[some]
-            of = symbol[here]
+            of = ranked[some]
             is_first = some == begin[of]
             start = np.where(is_first, 0, order[some - 1] + 1)
             value = np.empty(len(some), np.uint8)
             # ranges in falling order of their starts, so that nothing between two of them is looked at twice
-            turn = np.argsort(-start, kind="stable")
+            turn = np.argsort(start.astype(np.uint16) if size <= 1 << 16 else start, kind="stable")[::-1]
             bounds = np.stack([start[turn], here[turn] + 1], axis=1).ravel()
             padded = np.append(common, np.uint8(255))
             if len(some):
@@ -226,6 +279,7 @@ class CollectionIndex:
             value = np.where(is_first & (seen[of] > 0), np.minimum(value, least[of]), value)
             shared.append(np.where(is_first & (seen[of] == 0), 0, value + 1).astype(np.uint8))
             changed.append(some + shift[of])
+            kind_of.append(of)
             ends = order[begin[kinds] + number[kinds] - 1]
             least = np.minimum(least, common.min())
             turn = np.argsort(ends)
@@ -234,9 +288,8 @@ class CollectionIndex:
             pending[kinds] = is_own[ends]
             seen += number
             at += size
-        changed, shared = np.concatenate(changed), np.concatenate(shared)
-        order = np.argsort(changed)
-        return new, changed[order], shared[order]
+        order = np.argsort(np.concatenate(kind_of), kind="stable")
+        return new, np.concatenate(changed)[order], np.concatenate(shared)[order]
 
     def _merged(self, new: np.ndarray, before: np.ndarray, changed: np.ndarray, shared: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """The current list with the new positions in it."""
@@ -246,14 +299,18 @@ class CollectionIndex:
         for symbol, common in self.files.read():
             is_last = at + len(symbol) == total
             upto = len(new) if is_last else int(np.searchsorted(rows_before, at + len(symbol)))
-            where = rows_before[done:upto] - at
-            symbol = np.insert(symbol, where, before[done:upto])
-            common = np.insert(common, where, np.uint8(0))
-            lo, hi = np.searchsorted(changed, (at + done, at + done + len(symbol)))
-            common[changed[lo:hi] - at - done] = shared[lo:hi]
-            at += len(symbol) - (upto - done)
+            size = len(symbol) + upto - done
+            where = new[done:upto] - at - done
+            old = np.ones(size, bool)
+            old[where] = False
+            symbols, prefixes = np.empty(size, np.uint8), np.empty(size, np.uint8)
+            symbols[where] = before[done:upto]
+            symbols[old], prefixes[old] = symbol, common
+            lo, hi = np.searchsorted(changed, (at + done, at + done + size))
+            prefixes[changed[lo:hi] - at - done] = shared[lo:hi]  # all new positions are among them
+            at += len(symbol)
             done = upto
-            yield symbol, common
+            yield symbols, prefixes
 
     def read(self) -> tuple[np.ndarray, ...]:
         """The whole list: symbols and common prefixes."""
@@ -405,12 +462,19 @@ def settled_runs(keys, ids, slots, starts, texts: list[bytes], most_pieces: int,
     numbers: dict[bytes, int] = {}
     number = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
     distinct = list(numbers)
-    owner = np.full(len(distinct), 2**63 - 1, np.int64)
+    owner, other = np.full(len(distinct), 2**63 - 1, np.int64), np.full(len(distinct), NO_ID, np.int64)
     np.minimum.at(owner, number, ids)
+    np.maximum.at(other, number, ids)
     key_of = np.zeros(len(distinct), np.uint64)
     key_of[number] = keys
-    order = np.argsort(key_of, kind="stable")
-    group = np.flatnonzero(np.append(True, key_of[order][1:] != key_of[order][:-1]))
+    order = np.flatnonzero(may_share(distinct, key_of, owner, other))
+    # whole keys, by their longest runs: a collection has as many rounds as its longest run has bytes
+    _, nth = np.unique(key_of[order], return_inverse=True)
+    longest = np.zeros(len(order), np.int64)
+    np.maximum.at(longest, nth, np.fromiter((len(distinct[x]) for x in order), np.int64, len(order)))
+    turn = np.lexsort((nth, longest[nth]))
+    order, nth = order[turn], nth[turn]
+    group = np.flatnonzero(np.append(True, nth[1:] != nth[:-1]))
     members = np.argsort(number, kind="stable")
     member_at = np.searchsorted(number[members], np.arange(len(distinct) + 1))
     found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int32), *(np.zeros(0, np.int64),) * 2)], 0

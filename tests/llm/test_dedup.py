@@ -106,6 +106,90 @@ def test_strings(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def settled(texts, folder, most_pieces=20_000):
+    """What settled_runs covers of texts with ids 0, 1, ... by document, and for each collection its runs and rounds."""
+    keys, doc, start, count = suffix_dedup.runs_of(texts)
+    runs = [texts[d][a : a + n + 49] for d, a, n in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)]
+    made, texts_in = [], []
+
+    def new_files():
+        made.append(suffix_dedup.ColumnFiles(f"file://{folder}", 1000))
+        return made[-1]
+
+    plain = suffix_dedup.CollectionIndex.__init__
+
+    def noted(self, texts, files):
+        texts_in.append(len(texts))
+        plain(self, texts, files)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_dedup.CollectionIndex, "__init__", noted)
+        ids, _, begin, end = suffix_dedup.settled_runs(keys, doc, np.zeros(len(doc), np.int32), start, runs, most_pieces, new_files)
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for i, a, b in zip(ids.tolist(), begin.tolist(), end.tolist(), strict=True):
+        gone[i][a:b] = True
+    return [g.tolist() for g in gone], texts_in, [f.round for f in made], runs
+
+
+def covered(texts):
+    """The same by every string."""
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            seen.setdefault(t[k : k + 50], i)
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen[t[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        out.append(gone.tolist())
+    return out
+
+
+def test_runs_that_only_share_a_phrase_are_in_no_collection(tmp_path):
+    """A phrase of 30 bytes in other surroundings gives runs of one key, but no string of 50."""
+    rng = random.Random(5)
+    own = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    phrase, passage = own(30), own(90)
+    apart = [own(60) + phrase + own(60) for _ in range(30)]
+    gone, collected, _, runs = settled(apart, tmp_path)
+    assert len({r for r in runs if phrase[5:25] in r}) >= 30 and not np.any(np.concatenate(gone))
+    assert sum(collected) == 0
+    alike = [*apart, own(60) + passage + own(60), own(60) + passage + own(60)]
+    gone, collected, _, runs = settled(alike, tmp_path)
+    assert gone == covered(alike) and np.sum(gone[-1]) == 90 and 0 < sum(collected) < 40
+    # a run that two documents have goes through a collection too
+    gone, collected, _, runs = settled([apart[0], apart[1], apart[0]], tmp_path)
+    assert gone == covered([apart[0], apart[1], apart[0]]) and sum(collected) == len({*runs}) - len({*settled([apart[1]], tmp_path)[3]})
+
+
+def test_common_strings_are_found_at_every_edge(tmp_path):
+    rng = random.Random(6)
+    for turn in range(60):
+        own = lambda n: bytes(rng.choice(b"abcdefghijklmnop"[: 2 + turn % 13]) for _ in range(n))
+        passage = own(120)
+        texts = []
+        for _ in range(12):  # 49 to 60 bytes of a passage, and repeated words, at the edges and inside
+            a, n = rng.randint(0, 60), rng.randint(49, 60)
+            texts.append(own(rng.choice([0, 1, 20, 40])) + passage[a : a + n] + own(rng.choice([0, 1, 20, 40])))
+        word = own(rng.randint(1, 30))
+        texts += [word * rng.randint(2, 20), own(10) + word * 9 + own(10), texts[0], texts[3] + texts[4]]
+        rng.shuffle(texts)
+        texts = [t for t in texts if len(t) >= 50]
+        assert settled(texts, tmp_path, rng.choice([1, 5, 20_000]))[0] == covered(texts)
+
+
+def test_short_runs_take_few_rounds(tmp_path):
+    """Keys are in collections by their longest runs, so only one of these has as many rounds as the longest of all."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(4000)) for _ in range(2)]
+    texts.append(texts[0])
+    gone, collected, rounds, runs = settled(texts, tmp_path, most_pieces=50)
+    assert gone == covered(texts)
+    sizes = sorted(map(len, {r for r in runs if runs.count(r) > 1}))
+    assert sum(collected) == len(sizes) and len(collected) > 3
+    assert sorted(rounds) == rounds and rounds[0] < 60 < max(rounds) == 1 + sizes[-1]
+
+
 def similar(a: Counter, b: Counter) -> bool:
     common = len(a.keys() & b.keys())
     if common / (len(a) + len(b) - common) >= 0.8:
