@@ -11,11 +11,12 @@ into collections that no repeated string crosses:
 2. Keys go through one shuffle, a task's own repetitions combined first. Keys that two documents share come back.
 3. The runs with such keys are cut out of their documents and dealt by key. Equal runs are combined before the shuffle:
    the one with the least doc_id is sent on, and the others are covered by it. What arrives is combined once more, so a
-   collection has each distinct run of its keys once, owned by the least doc_id that has it.
+   collection has each distinct run of its keys once, owned by the least doc_id that has it. A run that one document has
+   is left out if no other document's run of its key has the part before or after it too: they have no common string.
 4. Strings with a common prefix of 50 in the sorted list are equal; the least owner among them says which documents
    lose them. The covered bytes go back to their documents.
 
-A collection is whole keys with about ``most_pieces`` runs. Its list is in two files (symbols and common prefixes) in
+A collection is whole keys with about ``most_pieces`` runs, of similar length: its rounds are the bytes of its longest. Its list is in two files (symbols and common prefixes) in
 the shared folder, read and written a chunk of ``chunk`` rows at a time; only numbers for each text are in memory.
 Documents are shuffled once, for steps 3 and 4.
 
