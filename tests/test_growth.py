@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from lanternlog.operators import graph, resolve
-from lanternlog.plans import streams, views
+from lanternlog.plans import core, streams, views
 from lanternlog.sources import filings, landing
 from lanternlog.streaming import ingest, portfolio
 
@@ -27,6 +27,50 @@ def test_names_are_joined_to_seats_and_not_to_pairs(spark):
     assert sorted((r.company_a, r.company_b, r.person_name, r.company_a_name) for r in out.collect()) == [(1, 2, "Ann", "One"), (1, 3, "Ann", "One"), (2, 3, "Ann", "UNKNOWN")]
 
 
+SEAT = "person_id long, company_id long, start_date date, title string"
+
+
+def test_pairs_come_in_order_and_without_an_unknown_company(spark):
+    roles = spark.createDataFrame([(1, c, date(2026, 1, 1), "T") for c in (*range(40), None)], SEAT)
+    rows = graph.interlocks(roles, most_seats=10, tasks=1).collect()
+    assert {(r.company_a, r.company_b) for r in rows} == {tuple(sorted((a, b), key=str)) for a in range(40) for b in range(a)} and len(rows) == 780
+    runs = 1 + sum(one.company_a != next_one.company_a for one, next_one in zip(rows, rows[1:]))
+    assert runs <= 40 * 4  # a seat's pairs with a block follow each other, which is what makes a file of them small
+
+
+def test_a_company_of_two_names_is_no_pair_with_itself(spark):
+    roles = spark.createDataFrame([(1, c, date(2026, 1, 1), "T") for c in (1, 2, 3)], SEAT)
+    names = spark.createDataFrame([(2, "Two", "company"), (2, "Deux", "company")], "entity_id long, name string, kind string")
+    for most_seats in (1, 500):
+        out = graph.interlocks(roles, names=names, most_seats=most_seats)
+        assert sorted((r.company_a, r.company_b) for r in out.collect()) == [(1, 2), (1, 2), (1, 3), (2, 3), (2, 3)]
+
+
+def test_seats_are_made_once_and_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    out = core.QUERIES["g01_interlocks"](spark, SF)
+    assert not any("lineitem" in f for f in out.inputFiles())
+    pairs = out.count()
+    few = max(1, pairs // 16)
+    monkeypatch.setattr(core, "PAIRS_A_TASK", few)
+    assert core.QUERIES["g01_interlocks"](spark, SF).rdd.getNumPartitions() == -(-pairs // few) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_of_other_parts_are_three_columns(spark, tmp_path):
+    lines = [(1, 1, 40), (1, 1, 39), (1, 2, 80), (1, 2, 79), (1, 2, 81), (1, 3, 40), (1, 3, 40), (1, None, 80), (1, None, 40), (2, None, 40), (2, None, 39), (2, 4, None), (2, 5, 120), (3, 1, 40), (None, 1, 40), (4, 1, 39), (4, 1, 40)]
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(k, n, p, i % 4, 1.0 * i, 1.0, 0.0, 0.06, "A", "F", None) for i, (k, n, p) in enumerate(lines)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, 10 * k + i, date(1996, k, 1)) for k in (1, 2, 4) for i in range(1 + k // 4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(p, 2.0) for p in (39, 40, 40, 80, 81, None)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    whole = views.view(spark, str(tmp_path), "tb_roles")
+    seats = core.seats(spark, str(tmp_path))
+    got = sorted(map(str, seats.select(whole.columns).collect()))
+    assert got == sorted(map(str, whole.collect())) and len(got) > 2
+    scans = [line for line in seats._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "l_partkey#" in line]
+    assert len(scans) >= 2 and all("% 40) = 0" in x for x in scans if "l_quantity#" in x)
+
+
 def test_changes_of_one_part_are_several_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a hundred rows would be one task again
     kept = portfolio.Portfolios(spark, f"file://{tmp_path}/p", parts=1, spread=8)
